@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, wavelet
-from .common import table
+from . import bpe, minhash, mixing, quality, wavelet
+from .common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,3 +28,22 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return wavelet.read_documents(wavelet.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = staged(quality.with_stats(table(spark, sf_dir, "documents"), keep=["doc_id", "lang", "source"]), "stats")
+    out = quality.verdicts(stats, *quality.fit(stats))
+    return out.select("doc_id", "q_n_words", *[f"q_{s}" for s in quality.STATS[1:]], "q_base_failed", "q_kept", "q_distance").toDF(
+        "doc_id", *quality.STATS, "base_failed", "kept", "distance"
+    )
+
+
+@query
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
