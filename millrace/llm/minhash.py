@@ -118,16 +118,16 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         cache = WordHashes()
-        last, held = None, None
+        last: bytes | None = None
+        held = np.zeros(0, np.uint64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                ids_a = part.column(0).to_pylist()
                 left, right = texts_of(part.column(2)), texts_of(part.column(3))
                 ok = []
-                for a, x, y in zip(ids_a, left, right):
-                    if a != last or held is None:
-                        last, held = a, text_set(x, cache)
+                for x, y in zip(left, right):
+                    if x != last:
+                        last, held = x, text_set(x, cache)
                     other = text_set(y, cache)
                     common = len(np.intersect1d(held, other, assume_unique=True))
                     ok.append(common > 0 and DEN * common >= NUM * (len(held) + len(other) - common))
