@@ -48,7 +48,7 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     owner = np.repeat(np.arange(d, dtype=np.int64), [len(s) for s in sets]) * T
     out = np.full(d * T, EMPTY)
     for r in range(2 * T):
-        h = mix(flat + np.uint64(r + 1) * np.uint64(0x9E3779B97F4A7C15))
+        h = mix(flat + np.uint64((r + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         bins = owner + ((h >> np.uint64(57)).astype(np.int64) if r < T else r - T)
         np.minimum.at(out, bins, np.uint64(r << 48) | (h & np.uint64((1 << 48) - 1)))
         full = (out.reshape(d, T) != EMPTY).all(axis=1)

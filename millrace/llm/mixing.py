@@ -50,7 +50,7 @@ def targets(sources: DataFrame) -> DataFrame:
     # were this source and all after it not full, they would share what is left at this level
     w = w.withColumn("level", (F.col("total") - F.col("full")) / (F.col("heavy") - F.col("lighter")))
     w = w.withColumn("open", F.col("level") <= COPIES * F.col("ratio"))
-    w = w.withColumn("level", F.min(F.when("open", F.col("level"))).over(everything))
+    w = w.withColumn("level", F.max(F.when(F.col("open"), F.col("level"))).over(everything))
     return w.withColumn("target", F.least(COPIES * F.col("source_size").cast("double"), F.col("level") * F.col("weight"))).select("source", "source_size", "weight", "target", "rank")
 
 
@@ -100,7 +100,24 @@ def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str
             bound = F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["rank"]).alias("rank"), F.lit(last["doc_id"]).cast(queued.schema["doc_id"].dataType).alias("doc_id"), F.lit(last["size"]).alias("size"), F.lit(last["copy"]).alias("copy"))
             fits = fits | ((in_range[k] == edge) & (key(k) <= bound))
         taken = taken + F.when((F.col("size") > 0) & fits, F.col("size")).otherwise(0)
-    return queued.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return _settled(queued.withColumn("taken", taken), small)
+
+
+def _settled(taken: DataFrame, small) -> DataFrame:
+    """The cut leaves a source up to a document off its target. One document each makes up for it: of
+    those no longer than what is missing (or too much), the longest is taken once more (or less)."""
+    got = taken.groupBy("source").agg(F.sum("taken").alias("got"), F.first("target").alias("goal"))
+    off = small(got.select(F.col("source").alias("o_source"), (F.col("goal") - F.col("got")).alias("off")))
+    rows = taken.join(off, F.col("source").eqNullSafe(F.col("o_source"))).drop("o_source")
+    more = (F.col("off") > 0) & (F.col("size") <= F.col("off")) & (F.col("taken") < COPIES * F.col("size"))
+    less = (F.col("off") < 0) & (F.col("size") <= -F.col("off")) & (F.col("taken") >= F.col("size"))
+    fits = (F.col("size") > 0) & (more | less)
+    pick = rows.where(fits).groupBy("source").agg(F.max(F.struct("size", "first", "doc_id")).alias("p"))
+    pick = small(pick.select(F.col("source").alias("o_source"), "p"))
+    rows = rows.join(pick, F.col("source").eqNullSafe(F.col("o_source")), "left")
+    hit = fits & F.struct("size", "first", "doc_id").eqNullSafe(F.col("p"))
+    change = F.when(hit, F.when(F.col("off") > 0, F.col("size")).otherwise(-F.col("size"))).otherwise(0)
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("taken") + change).alias("taken"))
 
 
 def take(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
