@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, quality, secrets, wavelet
+from . import ann, bpe, chat, minhash, mixing, quality, secrets, wavelet
 from .common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,17 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query
+def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.segments(chat.neighbours(table(spark, sf_dir, "conversations"))))
+
+
+ORACLE["op5_preferences"] = chat.ORACLE_SQL
