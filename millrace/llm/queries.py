@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, minhash, mixing, quality, repeats, secrets, wavelet
+from . import ann, bpe, chat, minhash, mixing, quality, repeats, secrets, toxicity, wavelet
 from .common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ ORACLE["op5_preferences"] = chat.ORACLE_SQL
 @query
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
