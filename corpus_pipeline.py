@@ -1,10 +1,40 @@
-"""Corpus preparation in stages."""
+"""Corpus preparation in five stages; each works on all that its predecessor kept."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from millrace.llm import bpe, minhash, mixing, quality, secrets
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or lie outside their group's scatter go."""
+    return quality.reject_outliers(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest doc_id stays."""
+    return minhash.keep_one(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; all documents stay."""
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: none to three times."""
+    return mixing.take(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids_sha256, decoded_sha256 of every document taken."""
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), ["doc_id", "source"])
+
+
+STAGES = [("quality", quality_rules), ("near_dedup", near_dedup), ("secrets", secret_scan), ("mixing", mix_sources), ("byte_bpe", tokens)]
+#: Robust scatter, sketches and byte-level merges are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
