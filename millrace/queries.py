@@ -14,7 +14,7 @@ from millrace.sources import feed as sources
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-WITH = "WITH " + sources.FEED_SQL
+WITH = "WITH RECURSIVE " + sources.FEED_SQL
 
 
 def query(sql: str | None = None, ctes: str = ""):
