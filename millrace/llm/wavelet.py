@@ -216,6 +216,13 @@ class WordCodec:
 _CODECS: dict[str, WordCodec] = {}
 
 
+def word_codec(path: str) -> WordCodec:
+    """One codec for each Python worker, kept from task to task."""
+    if path not in _CODECS:
+        _CODECS[path] = WordCodec(path)
+    return _CODECS[path]
+
+
 def write_shards(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes df in doc_id order, a range of doc_ids to a task, and writes the shards; returns the
     table read back: part, seq, n_docs, n_tokens, image."""
@@ -227,7 +234,7 @@ def write_shards(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id",
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        c = _CODECS.setdefault(path, WordCodec(path))
+        c = word_codec(path)
         end, part, seq = struct.pack("<I", end_id), TaskContext.get().partitionId(), 0
         held: list[bytes] = []
         docs: list = []
