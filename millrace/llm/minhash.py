@@ -11,8 +11,8 @@ BANDS bands of ROWS coordinates; at similarity 0.75 a pair shares no band with p
 (1 - 0.75^4)^32 < 1e-5. Candidate pairs are verified on the full shingle sets:
   1. every representative with the smallest doc_id it shares a band with,
   2. every representative with the smallest doc_id of each further band it is in,
-  3. in bands that still hold more than one component, pairs from different components, compared by
-     sketch in blocks and passed on if their estimate is not far below the bound.
+  3. in bands that still hold more than one component, pairs from different components: blocks of
+     the band compare sketches, verify what is not far below the bound, and emit links alone.
 Between the steps linked representatives are contracted, so no step emits all pairs of a group,
 and pairs whose link cannot change a component are not verified again.
 
@@ -36,7 +36,7 @@ NUM, DEN = 75, 100
 #: Pairs of the third step are verified if their sketches estimate at least this (4.6 deviations below the bound).
 NEAR = 0.57
 #: Rows of a band that are compared in one task.
-BLOCK = 1500
+BLOCK = 600
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 CHUNK = 1 << 20
 
@@ -177,23 +177,49 @@ def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _similar(pdf):
-    """Pairs from different components of a block (or between two blocks) of a band whose sketches agree enough."""
+def _linked(pdf):
+    """Links between different components of a block (or between two blocks) of a band: pairs whose
+    sketches agree enough are verified on their full sets, unless links found here already join them.
+    A pair that shares several bands is looked at in the first of them only."""
     import pandas as pd
 
     sk = np.frombuffer(b"".join(pdf.short), np.uint16).reshape(-1, T)
-    ids, comp = pdf.id.to_numpy(), pdf.component.to_numpy()
+    keys = np.array(pdf.bands.tolist(), np.int64)
+    place = int((keys[0] == pdf.band.iloc[0]).argmax())
+    ids, texts, cache = pdf.id.to_numpy(), pdf.t.tolist(), WordHashes()
+    across = pdf.low.iloc[0] != pdf.high.iloc[0]
     side = (pdf.block == pdf.low).to_numpy()
     rows = np.flatnonzero(side)
-    cols = np.flatnonzero(~side) if pdf.low.iloc[0] != pdf.high.iloc[0] else rows
+    cols = np.flatnonzero(~side) if across else rows
+    comp = {c: c for c in pdf.component.tolist()}
+    own = pdf.component.to_numpy()
+    sets: dict[int, np.ndarray] = {}
+
+    def root(c):
+        while comp[c] != c:
+            comp[c] = c = comp[comp[c]]
+        return c
+
+    def full(i):
+        if i not in sets:
+            sets[i] = text_set(texts[i].encode(), cache)
+        return sets[i]
+
     a, b = [], []
     for i in rows:
-        at = cols[(comp[cols] != comp[i]) & ((ids[cols] > ids[i]) | (pdf.low.iloc[0] != pdf.high.iloc[0]))]
-        if len(at):
-            at = at[(sk[at] == sk[i]).sum(1) >= NEAR * T]
-            a += [int(ids[i])] * len(at)
-            b += ids[at].tolist()
-    return pd.DataFrame({"a": np.minimum(a, b) if a else [], "b": np.maximum(a, b) if a else []}).astype("int64")
+        at = cols[(own[cols] != own[i]) & (across | (ids[cols] > ids[i]))]
+        at = at[(keys[at] == keys[i]).argmax(axis=1) == place] if len(at) else at
+        at = at[(sk[at] == sk[i]).sum(axis=1) >= NEAR * T] if len(at) else at
+        for j in at.tolist():
+            x, y = root(own[i]), root(own[j])
+            if x == y:
+                continue
+            common = len(np.intersect1d(full(i), full(j), assume_unique=True))
+            if common and DEN * common >= NUM * (len(full(i)) + len(full(j)) - common):
+                comp[x] = y
+                a.append(int(min(ids[i], ids[j])))
+                b.append(int(max(ids[i], ids[j])))
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
 def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,11 +254,9 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     dealt = open_bands.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", "id", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    dealt = dealt.join(reps.select(F.col("doc_id").alias("id"), "short").dropDuplicates(["id"]), "id")
-    close = dealt.groupBy("band", "low", "high").applyInPandas(_similar, "a long, b long").distinct()
-    close = staged(close.join(stars.select("a", "b").distinct(), ["a", "b"], "left_anti"), "close")
-    if not close.isEmpty():
-        links = links.union(staged(verified(close, texts), "linked"))
+    sketch = reps.select(F.col("doc_id").alias("id"), "short", "bands").dropDuplicates(["id"])
+    dealt = dealt.join(sketch.join(texts.dropDuplicates(["id"]), "id"), "id")
+    links = links.union(staged(dealt.groupBy("band", "low", "high").applyInPandas(_linked, "a long, b long"), "linked"))
     label = components(links.union(twins.select("a", "b")))
     out = rows.select("doc_id", "n_shingles").join(label.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
