@@ -5,6 +5,10 @@ time is the words its source has sent by then, divided by the source's weight; a
 through its queue up to COPIES times. All copies are ranged by finish time, and the queue is cut
 where the budget is reached.
 
+A document longer than a quarter of its source's target waits behind all copies of the others. After
+the cut a source is off its target by part of a document; it takes a few fitting documents once more
+or less to settle.
+
 Prefix sums run in two levels. A source's hash space is cut into buckets of about BUCKET_ROWS rows of
 an average source share, so no window holds a source: the buckets' sums are chained first, then
 rows within a bucket. The finish times are range-partitioned likewise; only the range that the
@@ -29,6 +33,11 @@ COPIES = 3
 BUCKET_ROWS = 20_000
 #: Ranges of finish time.
 RANGES = 4096
+#: A document longer than this share of its source's target waits until the others have been through
+#: all their copies: at the head of a queue it would hold up the whole source.
+GIANT = 0.25
+#: Times that sources are moved closer to their targets by one document each.
+SETTLING = 3
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -66,18 +75,22 @@ def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str
     small = F.broadcast if few else (lambda x: x)
     same = F.col("source").eqNullSafe(F.col("s_source"))
     docs = sized.withColumn("h", F.xxhash64(F.lit("mix"), "doc_id")).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 8), F.lit(buckets)).cast("int"))
-    chain = Window.partitionBy("source").orderBy("bucket")
-    sums = docs.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    sums = sums.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), (F.sum("n").over(chain) - F.col("n")).alias("before"))
-    row = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    docs = docs.join(small(plan.withColumnRenamed("source", "s_source")), same).drop("s_source")
+    docs = staged(docs.withColumn("giant", F.col("size") > GIANT * F.col("target")), "documents")
+    chain = Window.partitionBy("source", "giant").orderBy("bucket")
+    whole = Window.partitionBy("source", "giant")
+    sums = docs.groupBy("source", "giant", "bucket").agg(F.sum("size").alias("n"))
+    sums = sums.select(F.col("source").alias("b_source"), F.col("giant").alias("b_giant"), F.col("bucket").alias("b_bucket"), (F.sum("n").over(chain) - F.col("n")).alias("before"), F.sum("n").over(whole).alias("round"))
+    row = Window.partitionBy("source", "giant", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     queued = docs.withColumn("sent", F.sum("size").over(row))
-    queued = queued.join(sums, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-    queued = queued.join(small(plan.withColumnRenamed("source", "s_source")), same)
-    first = (F.col("before") + F.col("sent")).cast("double")
-    queued = queued.select("doc_id", "source", "size", "source_size", "target", "rank", "weight", first.alias("first"))
+    queued = queued.join(sums, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("giant") == F.col("b_giant")) & (F.col("bucket") == F.col("b_bucket")))
+    # giants come behind all copies of the others
+    head = F.when(F.col("giant"), COPIES * (F.col("source_size") - F.col("round"))).otherwise(0)
+    first = (head + F.col("before") + F.col("sent")).cast("double")
+    queued = queued.select("doc_id", "source", "size", "source_size", "target", "rank", "weight", "round", first.alias("first"))
     queued = staged(queued, "queue")
     # every copy of a row has its own finish time
-    finish = [(F.col("first") + k * F.col("source_size")) / F.col("weight") for k in range(COPIES)]
+    finish = [(F.col("first") + k * F.col("round")) / F.col("weight") for k in range(COPIES)]
     copies = queued.where("size > 0").select("doc_id", "size", "rank", F.posexplode(F.array(*finish)).alias("copy", "finish"))
     level = plan.agg(F.max(F.col("target") / F.col("weight")).alias("v")).first()["v"] or 1.0
     copies = copies.withColumn("range", F.least(F.floor(F.col("finish") / F.lit(level * 2 / RANGES)), F.lit(RANGES)).cast("int"))
@@ -100,7 +113,10 @@ def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str
             bound = F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["rank"]).alias("rank"), F.lit(last["doc_id"]).cast(queued.schema["doc_id"].dataType).alias("doc_id"), F.lit(last["size"]).alias("size"), F.lit(last["copy"]).alias("copy"))
             fits = fits | ((in_range[k] == edge) & (key(k) <= bound))
         taken = taken + F.when((F.col("size") > 0) & fits, F.col("size")).otherwise(0)
-    return _settled(queued.withColumn("taken", taken), small)
+    out = queued.withColumn("taken", taken)
+    for _ in range(SETTLING):
+        out = _settled(staged(out, "taken"), small)
+    return out.drop("first")
 
 
 def _settled(taken: DataFrame, small) -> DataFrame:
@@ -117,7 +133,7 @@ def _settled(taken: DataFrame, small) -> DataFrame:
     rows = rows.join(pick, F.col("source").eqNullSafe(F.col("o_source")), "left")
     hit = fits & F.struct("size", "first", "doc_id").eqNullSafe(F.col("p"))
     change = F.when(hit, F.when(F.col("off") > 0, F.col("size")).otherwise(-F.col("size"))).otherwise(0)
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("taken") + change).alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "first", (F.col("taken") + change).alias("taken"))
 
 
 def take(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
