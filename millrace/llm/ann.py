@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import in_batches, staged
 
 K = 10
 TABLES, PROBES, SEED = 12, 10, 20
@@ -84,7 +84,7 @@ def _hashed(df: DataFrame, probes: int, longest: float) -> DataFrame:
                         keys[k] = row
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["id", "v", "keys"])
 
-    return df.mapInArrow(run, "id long, v array<double>, keys array<long>").select("id", "v", F.explode("keys").alias("key"))
+    return in_batches(df, run, "id long, v array<double>, keys array<long>").select("id", "v", F.explode("keys").alias("key"))
 
 
 def best(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[list, list, list]:

@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 #: Symbols. W*: white space; *L: the last of its run, before something else. C1, C2: an apostrophe
 #: before a one- or two-letter contraction.
 LETTER, NUMBER, OTHER, C1, C2, WS, SPACE_L, WS_L = range(8)
@@ -272,7 +274,7 @@ def _mapped(df: DataFrame, keep: list[str], schema: str, text: str, path: str, w
 
     source = df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").cast("string").alias("__text"))
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
-    return source.mapInArrow(run, f"{fields}, {schema}")
+    return in_batches(source, run, f"{fields}, {schema}")
 
 
 def encode(df: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import io
+import os
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import xxhash
@@ -53,6 +57,39 @@ def _clean() -> None:
             return
 
 
+#: Rows of a batch between Spark and Python: texts can be long, and a batch is held several times.
+BATCH_ROWS = 1000
+
+
+def _importable(spark: SparkSession) -> None:
+    """Sends this package to Python workers that would not find it: those of a driver that runs
+    neither in its folder nor with it in PYTHONPATH. Goes through the shared folder."""
+    root = Path(__file__).resolve().parents[2]
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(":") or Path.cwd() == root or getattr(context, "_millrace_sent", False):
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in sorted((root / "millrace").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}/millrace.zip"
+    p = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(context._jsc.hadoopConfiguration()).create(p)
+    out.write(data.getvalue())
+    out.close()
+    context.addPyFile(path)
+    context._millrace_sent = True
+
+
+def in_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow in batches of at most BATCH_ROWS rows (a session setting, lowered where it is higher)."""
+    _importable(df.sparkSession)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def word_count(text: str):
     """Column: number of words of a text column (null: 0), JVM-side."""
     t = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"^{GAP}|{GAP}$", "")

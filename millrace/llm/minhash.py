@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLACES, WordHashes, hashes, mix, shingle_set, staged, texts_of
+from .common import PLACES, WordHashes, hashes, in_batches, mix, shingle_set, staged, texts_of
 
 K = 5
 T, BANDS, ROWS = 128, 32, 4
@@ -108,7 +108,7 @@ def signatures(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                     yield out(ids, sets)
 
     source = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, sig binary, bands array<long>, short binary")
+    return in_batches(source, run, "doc_id long, n_shingles long, sig binary, bands array<long>, short binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     x = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
     y = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return in_batches(pairs.join(y, "b").join(x, "a").select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, grams, staged, texts_of
+from .common import WordHashes, grams, in_batches, staged, texts_of
 
 SYMBOLS = [b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"]
 PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -82,13 +82,14 @@ def with_stats(df: DataFrame, text: str = "text", keep: list[str] | None = None)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                rows = [text_stats(b, cache) for b in texts_of(part.column(part.num_columns - 1))]
+                rows = [text_stats(b, cache) for b in texts_of(part.column(at))]
                 cols = list(zip(*rows)) if rows else [()] * len(STATS + MORE)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, pa.int64()) for c in cols)], names=[*(f"c{i}" for i in range(len(keep))), *(f"q_{s}" for s in STATS + MORE)])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(c, pa.int64()) for c in cols)], names=[*(f"c{i}" for i in range(len(keep))), *(f"q_{s}" for s in STATS + MORE)])
 
-    source = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("t"))
+    at = keep.index(text) if text in keep else len(keep)  # a text that is kept is not sent twice
+    source = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], *([] if text in keep else [F.col(f"`{text}`").cast("string").alias("t")]))
     fields = ", ".join(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = source.mapInArrow(run, f"{fields}, " + ", ".join(f"q_{s} long" for s in STATS + MORE))
+    out = in_batches(source, run, f"{fields}, " + ", ".join(f"q_{s} long" for s in STATS + MORE))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *[f"q_{s}" for s in STATS + MORE])
 
 

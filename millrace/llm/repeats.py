@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, grams, hashes, staged, texts_of
+from .common import WordHashes, grams, hashes, in_batches, staged, texts_of
 
 #: Least words of a passage; window of the minimisers and words of their runs.
 MIN, WINDOW, K = 50, 32, 5
@@ -79,7 +79,7 @@ def suffixes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 )
 
     source = df.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.col(f"`{text}`").cast("string").alias("t"))
-    return source.mapInArrow(run, "doc_id long, n_words long, whole binary, at array<long>, core array<long>, after array<long>, before array<long>")
+    return in_batches(source, run, "doc_id long, n_words long, whole binary, at array<long>, core array<long>, after array<long>, before array<long>")
 
 
 def _neighbours(batches):
@@ -197,7 +197,7 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     texts = df.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.col(f"`{text}`").cast("string").alias("t")).join(ids, "d", "left_semi")
     texts = staged(texts.dropDuplicates(["d"]), "texts")
     joined = near.join(texts.select(F.col("d").alias("b"), F.col("t").alias("tb")), "b").join(texts.select(F.col("d").alias("a"), F.col("t").alias("ta")), "a")
-    found = joined.select("a", "b", "at", "ta", "tb").mapInArrow(_extended, "doc_id long, start long, end long, other long")
+    found = in_batches(joined.select("a", "b", "at", "ta", "tb"), _extended, "doc_id long, start long, end long, other long")
     return staged(found, "passages").unionByName(copies.drop("first"))
 
 

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import in_batches, staged
 
 #: Labelled rows that are used.
 FIT_ROWS = 16_000
@@ -170,7 +170,7 @@ def lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
 
     totals = rows.groupBy().agg(F.count_if(F.col("toxic") > 0).alias("p"), F.count_if(F.col("toxic") <= 0).alias("n")).first()
     odds = F.log((F.col("pos") + 0.5) / (totals["p"] + 1.0)) - F.log((F.col("neg") + 0.5) / (totals["n"] + 1.0))
-    counts = rows.select("text", F.col("toxic").cast("int")).mapInArrow(count, "term string, neg long, pos long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = in_batches(rows.select("text", F.col("toxic").cast("int")), count, "term string, neg long, pos long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     counts = counts.withColumn("odds", odds).withColumn("open", F.col("term").endswith("*"))
     good = counts.where((F.col("pos") >= F.when(F.col("open"), STEM_SUPPORT).otherwise(SUPPORT)) & (F.col("odds") >= ODDS))
     out: tuple[dict, dict] = ({}, {})
@@ -230,7 +230,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for part, x in _featured(batches, f"{key}{half}", shared.value[1 - half]):
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in x.T)], names=["toxic", *FEATURES])
 
-        return rows.where(F.col("half") == half).select(F.col("toxic").cast("int"), "text").mapInArrow(run, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES))
+        return in_batches(rows.where(F.col("half") == half).select(F.col("toxic").cast("int"), "text"), run, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES))
 
     fit = fit_rows(0).unionAll(fit_rows(1)).toPandas()  # at most FIT_ROWS
     y = (fit["toxic"].to_numpy() > 0).astype(float)
@@ -248,5 +248,5 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(scored, f"doc_id {kind}, score double")
+    out = in_batches(docs.select("doc_id", F.col("text").cast("string")), scored, f"doc_id {kind}, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

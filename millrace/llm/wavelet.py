@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import in_batches, staged
 
 MAGIC = b"WVM1"
 #: Ids in a shard, about.
@@ -261,7 +261,7 @@ def write_shards(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id",
 
     source = df.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.col(f"`{text}`").cast("string").alias("t"))
     ordered = source.repartitionByRange(F.col("d").asc_nulls_first()).sortWithinPartitions(F.col("d").asc_nulls_first(), "t")
-    return staged(ordered.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, image binary"), "wavelet")
+    return staged(in_batches(ordered, run, "part int, seq int, n_docs long, n_tokens long, image binary"), "wavelet")
 
 
 def read_documents(shards: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -287,4 +287,4 @@ def read_documents(shards: DataFrame, doc_id: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_pydict({doc_id: pa.array(w.doc_ids, pa.int64()), "start": pa.array(edges[:-1] + start, pa.int64()), "n_tokens": pa.array(w.counts, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
     joined = shards.select("part", "seq", "image").join(starts, ["part", "seq"]).select("start", "image")
-    return joined.mapInArrow(run, f"`{doc_id}` long, start long, n_tokens long, ids_crc32 long")
+    return in_batches(joined, run, f"`{doc_id}` long, start long, n_tokens long, ids_crc32 long")
