@@ -258,3 +258,32 @@ def test_order_and_partitions_do_not_matter(spark):
         r = rows.orderBy(F.xxhash64("seq", F.lit(n))).repartition(n)
         results.append(sorted(map(tuple, classifying.classify(r, mining.keywords(r), mining.class_prior(r)).collect())))
     assert results[0] == results[1] == results[2]
+
+
+def test_whole_plan_and_service(spark, tmp_path):
+    import os
+
+    from millrace.plans import enrich, service
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    labelled = feed.feed(spark, data)
+    rows = labelled.select("seq", *feed.RAW)
+    clean = labelled.withColumns({c: X.clean_value(F.col(c)) for c in feed.RAW}).withColumn("brand", F.coalesce("E1_Brand", "Unilog_Brand", "DIB_Brand"))
+    look = enrich.mined(clean, feed.attributes(labelled))
+    products, attributes = enrich.enrich(rows, look)
+    products, attributes = products.cache(), attributes.cache()
+    assert products.count() == rows.count() and products.where("confidence between 0 and 95").count() == rows.count()
+    assert attributes.where("origin = 'rule_prior'").count() > 0
+    delivered = enrich.deliver(products, attributes)
+    assert delivered.count() == rows.count() and len(delivered.columns) == 1 + len(exporting.delivery_columns())
+    s = service.Service(spark, str(tmp_path / "service"))
+    s.process("j1", products)
+    assert s.job("j1")["status"] == "DONE" and s.results("j1").count() == rows.count()
+    pid = s.results("j1").first().product_id
+    assert s.product("j1", pid)["product_id"] == pid
+    s.review(pid, "classpath", "x")
+    assert s.evaluate("j1", labelled, attributes, feed.attributes(labelled))["rows_scored"] == rows.count()
+    with pytest.raises(KeyError):
+        s.job("none")
