@@ -152,7 +152,7 @@ class WordCodec:
     tokenizer encodes whole texts.
     """
 
-    limit = 800_000
+    limit = 600_000
     #: Separators to str.split that are no white space to the tokenizer; such texts are encoded whole.
     not_white = "\x1c\x1d\x1e\x1f"
 
@@ -176,6 +176,15 @@ class WordCodec:
     def _raw(self, items: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(items, add_special_tokens=False)]
 
+    def _letters(self, items: list[str]) -> list[bytes]:
+        """_raw for runs of letters, many in one call: each is one pre-token, which the count shows."""
+        e = self.tokenizer.encode(" ".join(items), add_special_tokens=False)
+        word = np.array(e.word_ids)
+        if not len(word) or word[-1] + 1 != len(items):
+            return self._raw(items)
+        ids, cut = np.array(e.ids, "<u4").tobytes(), (4 * np.searchsorted(word, np.arange(len(items) + 1))).tolist()
+        return [ids[a:b] for a, b in zip(cut, cut[1:])]
+
     @staticmethod
     def _core(word: str) -> tuple[str, str]:
         """A plain Latin word in lower case, and the full stop or comma behind it; else the word itself."""
@@ -195,15 +204,17 @@ class WordCodec:
             split[k] = []
         if len(self.words) > self.limit:
             self.words.clear()
-        if len(self.cores) > self.limit:
+        if len(self.cores) > 2 * self.limit:
             self.cores.clear()
         words = self.words
         if missing := [w for w in set(chain.from_iterable(split)) if w not in words]:
             pairs = [self._core(w) for w in missing]
             cores = self.cores
             new = [c for c in {x for p in pairs for x in p if x} if c not in cores]
-            for lo in range(0, len(new), 20_000):
-                cores.update(zip(new[lo : lo + 20_000], self._raw(new[lo : lo + 20_000])))
+            for kind, encode in ((True, self._letters), (False, self._raw)):
+                part = [c for c in new if c.isalpha() == kind]
+                for lo in range(0, len(part), 2000):
+                    cores.update(zip(part[lo : lo + 2000], encode(part[lo : lo + 2000])))
             for w, (core, tail) in zip(missing, pairs):
                 words[w] = cores[core] + cores[tail] if tail else cores[core]
         out = [b"".join(map(words.__getitem__, s)) for s in split]
