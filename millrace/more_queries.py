@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.operators import caching, describing, evaluating, exporting, layout, mining, reconciling, resolving, validating
-from millrace.plans import enrich
 from millrace.queries import CLEAN, PRIORS, TEMPLATES, cleaned, priors_of, query
 from millrace.sources import feed as sources
 from millrace.sources import pages
@@ -447,15 +446,3 @@ def cache_flow(spark, sf_dir):
     cache = old.select("namespace", "prompt_hash", "model", F.lower("prompt").alias("response"), F.lit(0).alias("seq")).union(old.select("namespace", "prompt_hash", "model", F.upper("prompt"), F.lit(1)))
     answered, _ = caching.read_through(requests, cache, lambda d: d.withColumn("response", F.lower("prompt")))
     return answered.select("seq", "prompt_hash", "response", "hit")
-
-
-# ---------------------------------------------------------------- the whole way
-
-
-@query()
-def enrich_products(spark, sf_dir):
-    """The composed plan from raw feed to scored products; its steps have their own queries and SQL."""
-    labelled = sources.feed(spark, sf_dir)
-    rows = cleaned(spark, sf_dir)
-    scored, _ = enrich.enrich(labelled.select("seq", *sources.RAW), enrich.mined(rows, sources.attributes(labelled)))
-    return scored.select("seq", "status", "manufacturer_name", "classpath", "class_confidence", "mfr_url", "INVOICE_DESC", "SHORT_DESC", *FLAGS, "confidence", "band")
