@@ -1,7 +1,7 @@
 """Secret scans with a randomness test battery. DataFrame functions only.
 
 Three fixed patterns give the base spans. Beyond them, every long token of an encoding's alphabet is
-tested: chi-squared uniformity over the alphabet, the number of runs of character classes, and
+tested: chi-squared uniformity over the alphabet and over its character classes, the number of runs of character classes, and
 the lag-1 serial correlation of alphabet places. A token is a candidate if none of the three
 rejects uniform randomness. What then counts is how unlikely it would be for ordinary text of the same
 length to look that random: under ordinary text the chi-squared statistic is non-central (its excess
@@ -88,6 +88,10 @@ def _tested(tokens: DataFrame) -> DataFrame:
     share = lambda e: [sum(f(c) for c in e[2]) / len(e[2]) for f in (str.isdigit, str.islower, str.isupper, lambda c: not c.isalnum())]
     t = t.withColumn("uniform_change", F.expr(pick(lambda e: round(1 - sum(x * x for x in share(e)), 6))))
     t = t.withColumn("class", F.expr("split(translate(body, '0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_', concat(repeat('0', 10), repeat('1', 26), repeat('2', 26), '3333')), '')"))
+    # uniformity over the classes as well: names in mixed case spread over letters but hold few capitals and digits
+    shares = lambda e: [(i, x) for i, x in zip((0, 1, 2, 3), share(e)) if x]
+    by_class = lambda e: "(" + " + ".join(f"power(size(filter(class, c -> c = '{i}')), 2) / (len * {x}D)" for i, x in shares(e)) + f" - len) / {[0, 1, 10.8, 13.8, 16.3][len(shares(e))]}D"
+    t = t.withColumn("class_chi2", F.expr(pick(by_class)))
     t = t.withColumn("changes", F.expr("size(filter(zip_with(slice(class, 2, len - 1), slice(class, 1, len - 1), (x, y) -> x <> y), x -> x))"))
     t = t.withColumn("place", F.expr("transform(chars, c -> cast(instr(alphabet, c) as double))"))
     t = t.withColumn("mean", F.expr("aggregate(place, 0D, (a, x) -> a + x) / len"))
@@ -97,7 +101,7 @@ def _tested(tokens: DataFrame) -> DataFrame:
     z_chi = "(chi2 - (k - 1)) / sqrt(2D * (k - 1))"
     z_runs = "(changes - (len - 1) * uniform_change) / sqrt((len - 1) * uniform_change * (1 - uniform_change))"
     z_serial = "if(spread > 0, (serial / spread + 1D / len) * sqrt(len), 99D)"
-    t = t.withColumn("random", F.expr(f"enc > 0 and abs({z_chi}) <= {REJECT} and abs({z_runs}) <= {REJECT} and abs({z_serial}) <= {REJECT}"))
+    t = t.withColumn("random", F.expr(f"enc > 0 and class_chi2 <= 1 and abs({z_chi}) <= {REJECT} and abs({z_runs}) <= {REJECT} and abs({z_serial}) <= {REJECT}"))
     far = "len * (k * agree - 1)"
     t = t.withColumn("away", F.expr(f"((k - 1 + {far} - chi2) / sqrt(2D * (k - 1 + 2 * {far})) + (changes - (len - 1) * change) / sqrt((len - 1) * change * (1 - change))) / sqrt(2D)"))
     # upper tail of the normal distribution beyond `away`, by a bound on Mills' ratio

@@ -37,7 +37,8 @@ def test_stages(spark, tmp_path):
     assert len(by["secrets"][1]) == by["secrets"][0].count() and all(not brute_spans(x.text or "") for x in by["secrets"][1])
     assert any("[SECRET]" in (x.text or "") for x in by["secrets"][1])
     times = Counter(x.doc_id for x in by["mixing"][1])
-    assert max(times.values()) <= 3 and set(times) <= {x.doc_id for x in by["secrets"][1]}
+    rows_of = Counter(x.doc_id for x in by["secrets"][1])  # rows that repeat a doc_id are taken each
+    assert all(n <= 3 * rows_of[d] for d, n in times.items()) and set(times) <= {x.doc_id for x in by["secrets"][1]}
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
     texts = {x.doc_id: x.text or "" for x in by["mixing"][1]}
     assert len(by["byte_bpe"][1]) == len(by["mixing"][1])
