@@ -53,6 +53,20 @@ class Trie:
                 for c in term:
                     node = node.setdefault(c, {})
                 node[kind] = weight
+        # one edit leaves one half of a term as it is, at its end of the token
+        self.halves: dict[int, tuple[set, set]] = {}
+        for term in terms:
+            if (n := len(term)) >= FUZZY:
+                heads, tails = self.halves.setdefault(n, (set(), set()))
+                heads.add(term[: n // 2])
+                tails.add(term[n // 2 :])
+
+    def _may_be_near(self, token: str) -> bool:
+        """False only for tokens without a term at one edit."""
+        for n in (len(token) - 1, len(token), len(token) + 1):
+            if (h := self.halves.get(n)) and (token[: n // 2] in h[0] or token[n // 2 - n :] in h[1]):
+                return True
+        return False
 
     def find(self, token: str) -> tuple[int, float] | None:
         """(edits, weight) of the best term: kind 0 exact, 1 beginning, 2 with one edit."""
@@ -68,7 +82,7 @@ class Trie:
                 return 0, node["$"]
         if stem is not None:
             return 1, stem
-        if len(token) >= FUZZY - 1 and (w := self._near(token)) is not None:
+        if self._may_be_near(token) and (w := self._near(token)) is not None:
             return 2, w
         return None
 
