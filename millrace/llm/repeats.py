@@ -1,16 +1,15 @@
-"""Passages that repeat across documents, by sparse suffix arrays.
+"""Passages that repeat across documents, by windows of MIN words at shared minimisers.
 
-Words are compared by 64-bit hashes, A-Z lower-cased. A text keeps the suffixes at minimiser positions
-only: in every WINDOW consecutive K-word runs the one with the least hash. Any passage of MIN
-words or more holds such a position among its first WINDOW words, the same one in every copy, with
-at least CORE words of the passage after it. Suffixes are sorted by their next CORE words, then
-what follows, then what precedes. Neighbours that share their CORE words and come from different
-documents are extended word by word to the right and to the left on the texts themselves; an extent
-of MIN words or more is a repeated passage of both documents.
+Words are compared by 64-bit hashes, A-Z lower-cased. Every window of MIN words has an anchor among its
+first WINDOW words, the start of the K-word run with the least hash: the same one in every copy, with at
+least CORE words of the window after it. Anchors whose CORE words stand in one document only belong to no
+repeated window. Of the others, every window of MIN words is hashed as a whole; a window whose hash two
+documents hold is repeated, and the union of a document's repeated windows are its passages. So a core
+that many other documents hold takes nothing away.
 
-The sort is a range partition, so a passage that a third of all documents hold is spread over many
-tasks and costs one comparison per copy. Texts that are equal as a whole go through one
-representative; their other copies repeat from end to end.
+What two documents hold is found by a sort: a range partition by hash and document, so a passage
+that a third of all documents hold is spread over many tasks and costs one row per copy. Texts that
+are equal as a whole go through one representative; their other copies repeat from end to end.
 
 Null or short texts have no passages. Repeats within one document alone are not reported. Rows with a
 null doc_id are left out; rows that repeat a doc_id are one document to this operator. Documents
@@ -21,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, grams, hashes, in_batches, staged, texts_of
@@ -29,8 +28,6 @@ from .common import WordHashes, grams, hashes, in_batches, staged, texts_of
 #: Least words of a passage; window of the minimisers and words of their runs.
 MIN, WINDOW, K = 50, 32, 5
 CORE = MIN - WINDOW + 1
-#: Words after the core, and before it, that order the suffixes further.
-AFTER, BEFORE = 32, 8
 
 
 def _words(raw: bytes, cache: WordHashes) -> np.ndarray:
@@ -38,31 +35,20 @@ def _words(raw: bytes, cache: WordHashes) -> np.ndarray:
 
 
 def anchors(h: np.ndarray) -> np.ndarray:
-    """Positions of the retained suffixes of a text of word hashes."""
-    if len(h) < MIN:
+    """The anchor's place of each window of MIN words of a text of word hashes."""
+    n = len(h) - MIN + 1
+    if n <= 0:
         return np.zeros(0, np.int64)
-    g = grams(h, K)
-    at = np.lib.stride_tricks.sliding_window_view(g, WINDOW).argmin(axis=1) + np.arange(len(g) - WINDOW + 1)
-    at = np.unique(at)
-    return at[at + CORE <= len(h)]
+    return np.lib.stride_tricks.sliding_window_view(grams(h, K), WINDOW).argmin(axis=1)[:n] + np.arange(n)
 
 
-def suffix_keys(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the CORE words at each position, of the AFTER words behind, of the BEFORE words in front."""
-    core = grams(h, CORE)[at]
-    padded = np.concatenate((np.zeros(BEFORE, np.uint64), h, np.zeros(CORE + AFTER, np.uint64)))
-    after = grams(padded, AFTER)[at + BEFORE + CORE]
-    before = grams(padded, BEFORE)[at]
-    return [x.view(np.int64) for x in (core, after, before)]
-
-
-def suffixes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, whole (hash of all words), at, core, after, before (arrays): one row per text of MIN words or more."""
+def cores(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """d, n_words, whole (hash of all words), at, h (arrays: anchors and their cores): one row per text of MIN words or more."""
 
     def run(batches):
         import pyarrow as pa
 
-        cache, longs = WordHashes(), pa.list_(pa.int64())
+        cache = WordHashes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
@@ -70,135 +56,119 @@ def suffixes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 for d, raw in zip(part.column(0).to_pylist(), texts_of(part.column(1))):
                     h = _words(raw, cache)
                     if d is not None and len(h) >= MIN:
-                        at = anchors(h)
-                        rows.append((d, len(h), xxhash.xxh3_128_digest(h.tobytes()), at, *suffix_keys(h, at)))
-                cols = list(zip(*rows)) if rows else [()] * 7
+                        at = np.unique(anchors(h))
+                        rows.append((d, len(h), xxhash.xxh3_128_digest(h.tobytes()), at, grams(h, CORE)[at].view(np.int64)))
+                cols = list(zip(*rows)) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), *(pa.array(c, longs) for c in cols[3:])],
-                    names=["doc_id", "n_words", "whole", "at", "core", "after", "before"],
+                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.list_(pa.int64()))],
+                    names=["d", "n_words", "whole", "at", "h"],
                 )
 
     source = df.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.col(f"`{text}`").cast("string").alias("t"))
-    return in_batches(source, run, "doc_id long, n_words long, whole binary, at array<long>, core array<long>, after array<long>, before array<long>")
+    return in_batches(source, run, "d long, n_words long, whole binary, at array<int>, h array<long>")
 
 
-def _neighbours(batches):
-    """Sorted (core, after, before, doc_id, at): pairs of neighbours with one core and different
-    documents (part null), and the first and the last row of the task with its number."""
+def _windows(batches):
+    """From d, anchors, text: d, at, h (arrays: starts and hashes of the windows of these anchors)."""
     import pyarrow as pa
-    from pyspark import TaskContext
 
-    part, carried, first = TaskContext.get().partitionId(), None, None
-    names = ["part", "core", "a", "at_a", "b", "at_b"]
+    cache = WordHashes()
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 200):
+            part = batch.slice(lo, 200)
+            ds, starts, found = [], [], []
+            for d, held, raw in zip(part.column(0).to_pylist(), part.column(1), texts_of(part.column(2))):
+                h = _words(raw, cache)
+                if len(h) >= MIN:
+                    at = np.flatnonzero(np.isin(anchors(h), held.values.to_numpy()))
+                    ds.append(d)
+                    starts.append(at)
+                    found.append(grams(h, MIN)[at].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ds, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))], names=["d", "at", "h"])
+
+
+#: Kinds of rows of _held: found; of a hash at a task's edge, so far in one document; first document of such a hash.
+FOUND, EDGE, BOUND = 0, 1, 2
 
-    def rows(part_, core, a, at_a, b, at_b):
-        n = len(core)
-        return pa.RecordBatch.from_arrays([pa.array([part_] * n, pa.int32()), *(pa.array(x, pa.int64()) for x in (core, a, at_a, b, at_b))], names=names)
 
+def _held(batches):
+    """From h, d, at sorted by h and d: kind, h, d, at, other (another document that holds h)."""
+    import pyarrow as pa
+
+    def rows(kind, h, d, at, other):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), *(pa.array(x.astype(np.int64)) for x in (h, d)), pa.array(at.astype(np.int32)), pa.array(other.astype(np.int64))], names=["kind", "h", "d", "at", "other"])
+
+    first, last = None, None
+    held = [np.zeros(0, np.int64)] * 3  # of the last hash: its rows while in one document, then one of its first document
+    shown = False  # the row held is shown already
     for batch in batches:
-        core, doc, at = (batch.column(k).to_numpy() for k in (0, 3, 4))
-        if not len(core):
+        h, d, at = (batch.column(k).to_numpy() for k in range(3))
+        if not len(h):
             continue
-        if first is None:
-            first = (core[0], doc[0], at[0])
-        old = 0
-        if carried is not None:  # the last run may go on; the row before it is its neighbour
-            old = len(carried[0])
-            core, doc, at = (np.concatenate(x) for x in zip(carried, (core, doc, at)))
-        n = len(core)
-        starts = np.flatnonzero(np.concatenate(([True], (core[1:] != core[:-1]) | (doc[1:] != doc[:-1]))))
-        ends = np.concatenate((starts[1:], [n]))
-        run, i = np.repeat(np.arange(len(starts)), ends - starts), np.arange(n)
-        before, after = starts[run] - 1, ends[run]
-        x = (i >= old) & (before >= 0) & (core[before] == core)
-        y = (after < n) & (after >= old) & (i != after - 1) & (core[np.minimum(after, n - 1)] == core)
-        a, b = np.concatenate((before[x], i[y])), np.concatenate((i[x], after[y]))
-        yield rows(None, core[a], doc[a], at[a], doc[b], at[b])
-        keep = max(0, starts[-1] - 1)
-        carried = core[keep:], doc[keep:], at[keep:]
-        end = (core[-1], doc[-1], at[-1])
+        first = first or (h[0], d[0])
+        new = np.concatenate((np.full(len(held[0]), not shown), np.ones(len(h), bool)))
+        h, d, at = (np.concatenate(x) for x in zip(held, (h, d, at)))
+        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        ends = np.concatenate((starts[1:], [len(h)]))
+        low, high = d[starts], d[ends - 1]
+        two = low != high
+        of = np.repeat(np.arange(len(starts)), ends - starts)
+        out = two[of] & new
+        yield rows(FOUND, h[out], d[out], at[out], np.where(d == low[of], high[of], low[of])[out])
+        if len(starts) > 1 and not two[0] and h[0] == first[0]:
+            yield rows(EDGE, h[: ends[0]], d[: ends[0]], at[: ends[0]], d[: ends[0]])
+        shown = bool(two[-1])
+        keep = slice(starts[-1], starts[-1] + 1 if shown else None)
+        held = [h[keep], d[keep], at[keep]]
+        last = (h[-1], low[-1])
     if first is not None:
-        yield rows(part, *[[f, e] for f, e in ((first[0], end[0]), (first[1], end[1]), (first[2], end[2]), (0, 1), (0, 0))])
-
-
-def pairs_of_neighbours(sorted_rows: DataFrame) -> DataFrame:
-    """a, at_a, b, at_b: suffix neighbours of different documents with the same core."""
-    found = staged(sorted_rows.mapInArrow(_neighbours, "part int, core long, a long, at_a long, b long, at_b long"), "neighbours")
-    inner = found.where("part is null").select("a", "at_a", "b", "at_b")
-    # where a task's rows end and the next task's begin: two rows a task
-    ends = found.where("part is not null").select("part", F.col("b").alias("which"), "core", "a", "at_a")
-    w = Window.orderBy("part", "which")
-    seam = ends.select("core", "a", "at_a", "which", F.lead("core").over(w).alias("core_b"), F.lead("a").over(w).alias("b"), F.lead("at_a").over(w).alias("at_b"))
-    seam = seam.where("which = 1 and core = core_b and a <> b").select("a", "at_a", "b", "at_b")
-    return inner.unionByName(seam)
-
-
-def extents(x: np.ndarray, y: np.ndarray, at: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(start in x, start in y, words) of the common runs of MIN words or more through the given places."""
-    out, seen = [], {}
-    for i, j in sorted(at):
-        if seen.get(i - j, -1) >= i:
-            continue
-        n = min(len(x) - i, len(y) - j)
-        right = _agree(x[i : i + n], y[j : j + n])
-        m = min(i, j)
-        left = _agree(x[i - m : i][::-1], y[j - m : j][::-1])
-        seen[i - j] = i + right
-        if left + right >= MIN:
-            out.append((i - left, j - left, left + right))
-    return out
-
-
-def _agree(x: np.ndarray, y: np.ndarray) -> int:
-    step, lo = 64, 0
-    while lo < len(x):
-        differ = np.flatnonzero(x[lo : lo + step] != y[lo : lo + step])
-        if len(differ):
-            return lo + int(differ[0])
-        lo, step = lo + step, step * 2
-    return len(x)
-
-
-def _extended(batches):
+        if not shown:
+            yield rows(EDGE, *held, held[1])
+        h, d = (np.array(x) for x in zip(first, last))
+        yield rows(BOUND, h, d, np.zeros(2), d)
+
+
+def held_twice(rows: DataFrame, name: str) -> DataFrame:
+    """d, at, other: those of the rows (h, d, at) whose h stands with another document too, and one such document."""
+    # a hash's rows of one document stay in one task; a hash at the edge of a task may go on in the next
+    ordered = rows.select("h", "d", "at").repartitionByRange("h", "d").sortWithinPartitions("h", "d")
+    found = staged(ordered.mapInArrow(_held, "kind int, h long, d long, at int, other long"), name)
+    bounds = found.where(F.col("kind") == BOUND).groupBy("h").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low <> high")  # two rows a task at most
+    edge = found.where(F.col("kind") == EDGE).join(F.broadcast(bounds), "h").select("d", "at", F.when(F.col("d") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
+    return found.where(F.col("kind") == FOUND).select("d", "at", "other").unionByName(edge)
+
+
+def _joined(batches):
+    """From d, starts (sorted) of windows, other: doc_id, start, end, other of their unions."""
     import pyarrow as pa
 
-    cache = WordHashes()
-    last: bytes | None = None
-    held = np.zeros(0, np.uint64)
     for batch in batches:
-        for lo in range(0, batch.num_rows, 200):
-            part = batch.slice(lo, 200)
-            out = []
-            rows = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), texts_of(part.column(3)), texts_of(part.column(4)))
-            for a, b, at, s, t in rows:
-                if s != last:
-                    last, held = s, _words(s, cache)
-                for i, j, n in extents(held, _words(t, cache), [(p["at_a"], p["at_b"]) for p in at]):
-                    out += [(a, i, i + n, b), (b, j, j + n, a)]
-            cols = list(zip(*out)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "end", "other"])
+        ds, start, end, other = [], [], [], []
+        for d, starts, o in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            at = starts.values.to_numpy().astype(np.int64)
+            cut = np.flatnonzero(np.diff(at) > MIN)
+            start += at[np.concatenate(([0], cut + 1))].tolist()
+            end += (at[np.concatenate((cut, [len(at) - 1]))] + MIN).tolist()
+            ds += [d] * (len(cut) + 1)
+            other += [o] * (len(cut) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ds, start, end, other)], names=["doc_id", "start", "end", "other"])
 
 
 def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, start, end (words), other: repeated passages, each with a document that also holds it."""
-    rows = staged(suffixes(df, doc_id, text), "suffixes")
-    same = rows.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep <> top")
-    copies = rows.select("whole", "doc_id", "n_words").join(same, "whole")
-    copies = staged(copies.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"), F.when(F.col("doc_id") == F.col("rep"), F.col("top")).otherwise(F.col("rep")).alias("other"), (F.col("doc_id") == F.col("rep")).alias("first")), "copies")
-    reps = rows.join(copies.where("not first").select("doc_id"), "doc_id", "left_anti")
-    each = reps.select("doc_id", F.explode(F.arrays_zip("core", "after", "before", "at")).alias("s")).select("s.core", "s.after", "s.before", "doc_id", "s.at")
-    each = staged(each, "anchors")
-    key = ["core", "after", "before", "doc_id", "at"]
-    near = pairs_of_neighbours(each.repartitionByRange(*key).sortWithinPartitions(*key))
-    near = near.select(F.least("a", "b").alias("a"), F.when(F.col("a") <= F.col("b"), F.col("at_a")).otherwise(F.col("at_b")).alias("at_a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") <= F.col("b"), F.col("at_b")).otherwise(F.col("at_a")).alias("at_b"))
-    near = near.where("a <> b").groupBy("a", "b").agg(F.collect_set(F.struct("at_a", "at_b")).alias("at"))
-    near = staged(near, "pairs")
-    ids = near.select(F.col("a").alias("d")).union(near.select("b")).distinct()
-    texts = df.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.col(f"`{text}`").cast("string").alias("t")).join(ids, "d", "left_semi")
-    texts = staged(texts.dropDuplicates(["d"]), "texts")
-    joined = near.join(texts.select(F.col("d").alias("b"), F.col("t").alias("tb")), "b").join(texts.select(F.col("d").alias("a"), F.col("t").alias("ta")), "a")
-    found = in_batches(joined.select("a", "b", "at", "ta", "tb"), _extended, "doc_id long, start long, end long, other long")
-    return staged(found, "passages").unionByName(copies.drop("first"))
+    """doc_id, start, end (words), other: repeated passages, each with the smallest other document met."""
+    rows = staged(cores(df, doc_id, text), "cores")
+    same = rows.groupBy("whole").agg(F.min("d").alias("rep"), F.max("d").alias("top")).where("rep <> top")
+    copies = rows.select("whole", "d", "n_words").join(same, "whole")
+    copies = staged(copies.select("whole", F.col("d").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"), F.when(F.col("d") == F.col("rep"), F.col("top")).otherwise(F.col("rep")).alias("other"), (F.col("d") == F.col("rep")).alias("first")), "copies")
+    reps = rows.join(copies.where("not first").select("whole", F.col("doc_id").alias("d")), ["whole", "d"], "left_anti")
+    each = lambda t: t.select("d", F.explode(F.arrays_zip("h", "at")).alias("s")).select("s.h", "d", "s.at")
+    shared = held_twice(each(staged(reps.select("d", "at", "h"), "anchors")), "shared")
+    shared = staged(shared.groupBy("d").agg(F.collect_set("at").alias("at")), "places")
+    texts = df.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.col(f"`{text}`").cast("string").alias("t"))
+    windows = staged(in_batches(shared.join(texts, "d").select("d", "at", "t"), _windows, "d long, at array<int>, h array<long>"), "windows")
+    found = held_twice(each(windows), "held").groupBy("d").agg(F.array_sort(F.collect_set("at")).alias("at"), F.min("other").alias("other"))
+    found = in_batches(found.select("d", "at", "other"), _joined, "doc_id long, start long, end long, other long")
+    return found.unionByName(copies.drop("first", "whole"))
 
 
 def repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

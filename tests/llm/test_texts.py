@@ -272,3 +272,21 @@ def test_passages_of_many_documents_over_many_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(got) == 120 and all(x.spans == "40:104" for x in got)
+
+
+def test_passages_around_a_popular_core(spark):
+    common = words(45, 52)  # its least run stands in the middle: every window's anchor, with a core inside
+    rows = [(1000 + k, " ".join(words(60, 2000 + k, 10**6) + common + words(60, 4000 + k, 10**6)), "en", "a", "", 0) for k in range(100)]
+    want = {}
+    for p in range(20):
+        passage = words(8, 6000 + p, 10**6) + common + words(7, 7000 + p, 10**6)
+        for side in range(2):
+            rows.append((2 * p + side, " ".join(words(30, 8000 + 2 * p + side, 10**6) + passage + words(30, 9000 + 2 * p + side, 10**6)), "en", "a", "", 0))
+            want[2 * p + side] = (60, "30:90", 2 * p + 1 - side)
+    for n in (17,):  # rows of a hash go over the edges of tasks
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        try:
+            got = repeats.repeated(frame(spark, rows)).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert {x.doc_id: (x.repeated_words, x.spans, x.other_doc_id) for x in got} == want
