@@ -3,8 +3,8 @@
 Each of TABLES tables turns unit vectors by a pseudo-rotation (three rounds of random signs and a
 fast Hadamard transform) and assigns them to the nearest signed axis. A query probes the PROBES
 nearest axes of each table; what shares a bucket is reranked exactly, by Euclidean distance of the
-original vectors in double precision. Vectors of unequal length get one more coordinate that puts
-all of them on one sphere, so that near vectors stay near.
+original vectors in double precision. Where a dimension's vectors are of unequal length, all of its rows
+and queries get one more coordinate that puts them on one sphere, so that near vectors stay near.
 
 Buckets are dealt in blocks: rows of a bucket over row blocks, its queries over query blocks, so a
 bucket that holds a third of all rows is many tasks, and a task keeps only the K best of each query.
@@ -61,8 +61,9 @@ def valid(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return df.select(F.col(f"`{vec_id}`").cast("long").alias("id"), v.alias("v")).where(F.coalesce(ok, F.lit(False)) & F.col("id").isNotNull())
 
 
-def _hashed(df: DataFrame, probes: int, longest: float) -> DataFrame:
-    """id, v, key: a row for each table and probe. The key holds dimension, table and axis."""
+def _hashed(df: DataFrame, probes: int, norms: dict[int, tuple[float, float]]) -> DataFrame:
+    """id, v, key: a row for each table and probe. The key holds dimension, table and axis. norms: by
+    dimension the least and the greatest length of all rows and queries, which decide on the lift of each."""
 
     def run(batches):
         import pyarrow as pa
@@ -77,8 +78,9 @@ def _hashed(df: DataFrame, probes: int, longest: float) -> DataFrame:
                 for d in np.unique(sizes):
                     at = np.flatnonzero(sizes == d)
                     x = flat[first[at][:, None] + np.arange(d)]
-                    lift = np.sqrt(np.maximum(0.0, longest**2 - (x * x).sum(axis=1)))
-                    x = np.column_stack((x, lift)) if lift.max() > 1e-3 * longest else x
+                    least, longest = norms[int(d)]
+                    if longest**2 - least**2 > 1e-6 * longest**2:
+                        x = np.column_stack((x, np.sqrt(np.maximum(0.0, longest**2 - (x * x).sum(axis=1)))))
                     axes = signed_axes(x, probes)
                     for k, row in zip(at.tolist(), (axes + (np.arange(TABLES)[:, None, None] << 32) + (int(d) << 40)).transpose(1, 0, 2).reshape(len(at), -1).tolist()):
                         keys[k] = row
@@ -160,8 +162,10 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest found."""
     x, q = staged(valid(vectors, vec_id, embedding), "vectors"), staged(valid(queries, vec_id, embedding).dropDuplicates(["id"]), "queries")
-    longest = float(x.agg(F.max(F.expr("sqrt(aggregate(v, 0D, (a, e) -> a + e * e))"))).first()[0] or 1.0)
-    hx, hq = _hashed(x, 1, longest), _hashed(q, PROBES, longest)
+    length = F.expr("sqrt(aggregate(v, 0D, (a, e) -> a + e * e))")
+    lengths = x.select("v").unionByName(q.select("v")).groupBy(F.size("v").alias("d")).agg(F.min(length).alias("lo"), F.max(length).alias("hi"))
+    norms = {r["d"]: (r["lo"], r["hi"]) for r in lengths.collect()}  # a row for each dimension
+    hx, hq = _hashed(x, 1, norms), _hashed(q, PROBES, norms)
     hx, hq = staged(hx, "hashed"), staged(hq, "probes")
     count = lambda h, name: h.groupBy("key").agg(F.count("*").alias(name))
     found = staged(_ranked(_reranked(hx, hq, count(hx, "n"), count(hq, "m"), k), k).drop("rank"), "found")

@@ -32,6 +32,21 @@ def test_ann_recall_ties_and_odd_vectors(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_ann_recall_with_few_shorter_vectors(spark):
+    r = np.random.default_rng(5)
+    x = np.repeat(r.normal(size=(200, 64)), 20, axis=0) + 0.5 * r.normal(size=(4000, 64))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    x[0] *= 0.9  # a query in one batch of many
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    out = ann.search(df, df.where("vec_id % 40 = 0")).collect()
+    hit = 0
+    for q in range(0, 4000, 40):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d)[:10].tolist()) & {o.vec_id for o in out if o.query_id == q})
+    assert hit / 1000 >= 0.97
+
+
 def test_hadamard_is_orthogonal():
     a = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose((ann.hadamard(a) ** 2).sum(1), (a**2).sum(1)) and np.allclose(ann.hadamard(ann.hadamard(a)), a)
