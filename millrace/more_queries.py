@@ -35,8 +35,18 @@ pairs AS (SELECT DISTINCT a, b FROM na, kb WHERE abs(length(a) - length(b)) <= 0
     CLEAN + ", " + FUZZY + ", " + LCS_SQL,
 )
 def resolve_similar(spark, sf_dir):
-    rows = cleaned(spark, sf_dir)
-    misses = rows.where("Part_Manuf like 'Suplier%' and seq % 4 = 1").select(F.col("Part_Manuf").alias("name")).distinct()
+    """A fixed quarter of the misspelt rows, as in its SQL; resolve_similar_all has all of them."""
+    return similar_of(cleaned(spark, sf_dir), "Part_Manuf like 'Suplier%' and seq % 4 = 1")
+
+
+@query()
+def resolve_similar_all(spark, sf_dir):
+    """Every distinct misspelt name."""
+    return similar_of(cleaned(spark, sf_dir), "Part_Manuf like 'Suplier%'")
+
+
+def similar_of(rows: DataFrame, which: str) -> DataFrame:
+    misses = rows.where(which).select(F.col("Part_Manuf").alias("name")).distinct()
     known = mining.raw_manufacturers(rows.where("Part_Manuf like 'Supplier%'")).where("size(names) = 1").select("raw", F.col("names")[0].alias("manufacturer"))
     return resolving.by_similarity(misses, known)
 
