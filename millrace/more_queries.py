@@ -75,11 +75,21 @@ pairs_b AS (SELECT lower(brand) AS key, arg_min(manufacturer, manufacturer) AS m
     CLEAN + ", " + RESOLVED,
 )
 def resolve_cascade(spark, sf_dir):
-    rows = cleaned(spark, sf_dir)
+    """The rows without a misspelt name, as in its SQL; resolve_cascade_all has the whole feed."""
+    return cascade_of(cleaned(spark, sf_dir), "seq % 11 <> 1").select("seq", "status", "manufacturer_name")
+
+
+@query()
+def resolve_cascade_all(spark, sf_dir):
+    """The whole feed with all output columns, similarity included."""
+    out = cascade_of(cleaned(spark, sf_dir), "true")
+    return out.select("seq", "status", "manufacturer_name", "domain", "matched_raw", "match_score", F.array_join("candidates", "|").alias("candidates"))
+
+
+def cascade_of(rows: DataFrame, which: str) -> DataFrame:
     names = mining.raw_manufacturers(rows.where("not Part_Manuf like 'Suplier%'"))
     brands = rows.where("brand is not null").groupBy(X.brand_key(F.col("brand")).alias("key")).agg(F.min("manufacturer").alias("manufacturer"))
-    out = resolving.resolve(rows.where("seq % 11 <> 1").select("seq", "Part_Manuf", "brand", "Part_Desc", "Mfg_Part_Num"), names, brands, mining.domains(rows))
-    return out.select("seq", "status", "manufacturer_name")
+    return resolving.resolve(rows.where(which).select("seq", "Part_Manuf", "brand", "Part_Desc", "Mfg_Part_Num"), names, brands, mining.domains(rows))
 
 
 # ---------------------------------------------------------------- reconciliation

@@ -41,3 +41,21 @@ def test_every_misspelt_name_is_resolved(spark):
     got = {r.name: (round(r.score, 6), r.raw, r.manufacturer) for r in QUERIES["resolve_similar_all"](spark, DATA).collect()}
     part = {r.name for r in QUERIES["resolve_similar"](spark, DATA).collect()}
     assert got == want and part < set(got)
+
+
+def test_cascade_covers_every_row(spark):
+    rows = cleaned(spark, DATA).collect()
+    want, makers = expected(rows)
+    out = {r.seq: r for r in QUERIES["resolve_cascade_all"](spark, DATA).collect()}
+    assert sorted(out) == sorted(r.seq for r in rows)
+    near = 0
+    for r in rows:
+        o = out[r.seq]
+        if r.Part_Manuf in want:
+            score, raw, maker = want[r.Part_Manuf]
+            near += 1
+            assert (round(o.match_score, 6), o.matched_raw, o.manufacturer_name) == (score, raw, maker)
+            assert o.status == ("RESOLVED" if score >= 85 else "NEEDS_REVIEW") and o.domain
+        elif len(makers.get(r.Part_Manuf, ())) > 1:
+            assert o.status == "NEEDS_DISAMBIGUATION" and o.candidates == "|".join(sorted(makers[r.Part_Manuf]))
+    assert near
