@@ -28,20 +28,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a fresh local one only where it is unset (local mode and tests)."""
+    """The folder in spark.checkpoint.dir; a fresh local one only where it is unset in local mode (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
-def staged(df: DataFrame, name: str, bucket_rows: str | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df written once as Parquet to the shared folder and read back: later steps survive lost
-    executors and do not compute it again. Folders go when the driver ends."""
+    executors and do not compute it again. Folders go when the driver ends. options: the writer's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _STAGED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -82,7 +84,8 @@ def _importable(spark: SparkSession) -> None:
 
 
 def in_batches(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow in batches of at most BATCH_ROWS rows (a session setting, lowered where it is higher)."""
+    """mapInArrow in batches of at most BATCH_ROWS rows. Spark has this as a session setting only and
+    reads it when the plan runs, so it stays lowered where the session has more."""
     _importable(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:

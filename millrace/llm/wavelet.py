@@ -1,22 +1,26 @@
-"""Token-ID output as wavelet matrices: one compressed, succinct file image per shard.
+"""Token-ID output as wavelet matrices: one compressed, succinct file for each shard.
 
-A shard holds the ids of consecutive documents in ascending doc_id order. Its image keeps one
+A shard holds the ids of consecutive documents in ascending doc_id order. Its file keeps one
 bit-plane for each bit of the largest id (highest bit first; after each plane the zeros go before
-the ones) and a directory of the documents. Rank counts in steps of 512 bits are rebuilt when the
-image is opened. Access, counting and occurrence lookup work on the opened image alone.
-
-Shards travel as rows of a Parquet table (binary column `image`), so that Spark's committer makes
-each of them appear whole or not at all on any store, also when executors are lost.
-
-Order of documents: doc_id ascending, null first; equal doc_ids by text. A null text is empty, and
-an empty text has the end id alone. A document is never split, so a shard may exceed the target.
+the ones), cut into blocks of BLOCK bits that are compressed one by one, and stores what rank and
+select need: the ones before every block of every plane. Access, counting and occurrence lookup
+read the header and unpack the few blocks they touch; the directory of documents is a block of its own.
+
+write_shards encodes documents where they lie, writes the ids, ranges them by doc_id and writes one
+Parquet file for each shard (its image is the one cell of column `image`), so that Spark's committer
+makes every shard appear whole or not at all on any store, also when executors are lost. Only ids
+are shuffled, never texts, and images never are.
+
+Order of documents: doc_id ascending, null first; equal doc_ids by a checksum of their ids. A null
+text is empty, and an empty text has the end id alone. A document is never split, so a shard may
+exceed the target. Other columns of the table, whatever their names, take no part. An empty table
+has no shards and no rows.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from itertools import chain
 
 import numpy as np
 import zstandard
@@ -25,68 +29,101 @@ from pyspark.sql import functions as F
 
 from .common import in_batches, staged
 
-MAGIC = b"WVM1"
-#: Ids in a shard, about.
-SHARD = 1 << 20
-STEP = 512
+#: Ids in a shard, about, and bits of a block.
+SHARD, BLOCK = 1 << 21, 1 << 16
+#: Magic, bits, bits of a block, ids, documents, compressed size of the directory.
+HEAD = struct.Struct("<4sIIqqq")
+MAGIC = b"WVM2"
 
 
 def build(ids: np.ndarray, doc_ids: list, counts: list[int]) -> bytes:
-    """The image of a shard: header, directory, bit-planes; all but the header compressed."""
+    """A shard's file: header, zeros of each plane, ones before each block, ends of the compressed
+    blocks, directory, blocks."""
     a = ids.astype(np.uint16 if len(ids) == 0 or ids.max() < 1 << 16 else np.uint32)
-    bits = max(1, int(a.max()).bit_length()) if len(a) else 1
-    planes, zeros = [], []
+    n, bits = len(a), max(1, int(a.max()).bit_length()) if len(a) else 1
+    pack = zstandard.ZstdCompressor(level=1).compress
+    zeros, ranks, blocks = [], [], []
     for level in range(bits - 1, -1, -1):
-        one = (a & a.dtype.type(1 << level)) != 0
-        planes.append(np.packbits(one, bitorder="little").tobytes())
+        one = ((a >> a.dtype.type(level)) & a.dtype.type(1)).astype(bool)
+        plane = np.zeros(-(-n // BLOCK) * BLOCK // 8, np.uint8)
+        packed = np.packbits(one, bitorder="little")
+        plane[: len(packed)] = packed
+        ones = np.bitwise_count(plane.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.int64)
+        ranks.append(np.concatenate(([0], np.cumsum(ones))))
+        blocks += [pack(b) for b in plane.reshape(-1, BLOCK // 8)]
         low = a[~one]
         zeros.append(len(low))
         a = np.concatenate((low, a[one]))
     null = [d is None for d in doc_ids]
-    directory = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + np.array(null, "u1").tobytes() + np.array(counts, "<i8").tobytes()
-    body = np.array(zeros, "<i8").tobytes() + directory + b"".join(planes)
-    return struct.pack("<4sBqq", MAGIC, bits, len(ids), len(counts)) + zstandard.ZstdCompressor(level=1).compress(body)
+    directory = pack(np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + np.array(null, "u1").tobytes() + np.array(counts, "<i8").tobytes())
+    ends = np.cumsum([0, *map(len, blocks)])
+    return b"".join([HEAD.pack(MAGIC, bits, BLOCK, n, len(counts), len(directory)), np.array(zeros, "<i8").tobytes(), np.concatenate(ranks).astype("<i8").tobytes(), ends.astype("<i8").tobytes(), directory, *blocks])
 
 
 class WaveletMatrix:
-    """An opened image."""
+    """An opened shard: anything that can be sliced as bytes (bytes, a buffer, an mmap of a file)."""
 
-    def __init__(self, image: bytes):
-        magic, self.bits, self.n, docs = struct.unpack_from("<4sBqq", image)
+    #: Unpacked blocks that are kept.
+    held = 256
+
+    def __init__(self, image):
+        magic, self.bits, self.block, self.n, docs, size = HEAD.unpack(image[: HEAD.size])
         if magic != MAGIC:
             raise ValueError("not a wavelet shard")
-        body = zstandard.ZstdDecompressor().decompress(image[21:])
-        self.zeros = np.frombuffer(body, "<i8", self.bits)
-        at = 8 * self.bits
-        ids, null = np.frombuffer(body, "<i8", docs, at), np.frombuffer(body, "u1", docs, at + 8 * docs)
-        self.doc_ids = [None if x else d for d, x in zip(ids.tolist(), null.tolist())]
-        self.counts = np.frombuffer(body, "<i8", docs, at + 9 * docs)
-        at += 17 * docs
-        size = -(-self.n // 8)
-        self.planes = [np.frombuffer(body, np.uint8, size, at + k * size) for k in range(self.bits)]
-        self._ranks: list = [None] * self.bits
-
-    def _plane(self, k: int) -> np.ndarray:
-        return np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
+        at, steps = HEAD.size, -(-self.n // self.block)
+
+        def numbers(count):
+            nonlocal at
+            at += 8 * count
+            return np.frombuffer(image[at - 8 * count : at], "<i8")
+
+        self.zeros = numbers(self.bits)
+        self.ranks = numbers(self.bits * (steps + 1)).reshape(self.bits, steps + 1)
+        self.ends = numbers(self.bits * steps + 1)
+        self.image, self.steps, self.docs, self._directory, self._blocks_at = image, steps, docs, (at, at + size), at + size
+        self._unpack = zstandard.ZstdDecompressor().decompress
+        self._kept: dict[int, np.ndarray] = {}
+
+    def directory(self) -> tuple[list, np.ndarray]:
+        """doc_ids and numbers of ids of the shard's documents."""
+        raw = self._unpack(bytes(self.image[slice(*self._directory)]))
+        ids, null = np.frombuffer(raw, "<i8", self.docs), np.frombuffer(raw, "u1", self.docs, 8 * self.docs)
+        return [None if x else d for d, x in zip(ids.tolist(), null.tolist())], np.frombuffer(raw, "<i8", self.docs, 9 * self.docs)
+
+    def _bytes(self, b: int) -> bytes:
+        lo, hi = self.ends[b : b + 2].tolist()
+        return self._unpack(bytes(self.image[self._blocks_at + lo : self._blocks_at + hi]))
+
+    def _block(self, k: int, b: int) -> np.ndarray:
+        key = k * self.steps + b
+        if key not in self._kept:
+            if len(self._kept) >= self.held:
+                self._kept.clear()
+            self._kept[key] = np.frombuffer(self._bytes(key), np.uint8)
+        return self._kept[key]
 
     def _rank(self, k: int, i: int) -> int:
         """Ones among the first i bits of plane k."""
-        if self._ranks[k] is None:
-            words = np.zeros(-(-(self.n + 1) // STEP) * STEP // 8, np.uint8)
-            words[: len(self.planes[k])] = self.planes[k]
-            self._ranks[k] = (words, np.concatenate(([0], np.cumsum(np.bitwise_count(words).reshape(-1, STEP // 8).sum(1, dtype=np.int64)))))
-        words, steps = self._ranks[k]
-        block, rest = divmod(i, STEP)
-        part = words[block * STEP // 8 : (i + 7) // 8]
-        ones = int(steps[block]) + int(np.bitwise_count(part).sum())
-        return ones - (bin(part[-1] >> (i % 8)).count("1") if i % 8 and len(part) else 0) if rest else int(steps[block])
+        b, rest = divmod(i, self.block)
+        ones = int(self.ranks[k, b])
+        if rest:
+            part = self._block(k, b)[: (rest + 7) // 8]
+            ones += int(np.bitwise_count(part).sum()) - (int(part[-1] >> (rest % 8)).bit_count() if rest % 8 else 0)
+        return ones
+
+    def _select(self, k: int, bit: int, j: int) -> int:
+        """Place of the j-th (from 0) such bit of plane k: its block by the stored counts, then within."""
+        before = self.ranks[k] if bit else np.minimum(np.arange(self.steps + 1) * self.block, self.n) - self.ranks[k]
+        b = int(np.searchsorted(before, j, side="right")) - 1
+        bits = np.unpackbits(self._block(k, b), bitorder="little")
+        return b * self.block + int(np.flatnonzero(bits == bit)[j - int(before[b])])
 
     def access(self, i: int) -> int:
         """The id at place i."""
         out = 0
         for k in range(self.bits):
             ones = self._rank(k, i)
-            bit = self._rank(k, i + 1) - ones
+            bit = int(self._block(k, i // self.block)[i % self.block // 8]) >> (i % 8) & 1
             out = out << 1 | bit
             i = int(self.zeros[k]) + ones if bit else i - ones
         return out
@@ -107,18 +144,6 @@ class WaveletMatrix:
         a, b = self._span(token, lo, self.n if hi is None else hi)
         return b - a
 
-    def _select(self, k: int, bit: int, j: int) -> int:
-        """Place of the j-th (from 0) such bit of plane k, by bisection over rank."""
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = self._rank(k, mid + 1)
-            if (ones if bit else mid + 1 - ones) <= j:
-                lo = mid + 1
-            else:
-                hi = mid
-        return lo
-
     def find(self, token: int, j: int = 0) -> int | None:
         """Place of the j-th occurrence of token."""
         if token >> self.bits:
@@ -136,7 +161,8 @@ class WaveletMatrix:
         """Every id in its place, rebuilt plane by plane from the last."""
         a = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for k in range(self.bits - 1, -1, -1):
-            one, z = self._plane(k), int(self.zeros[k])
+            plane = b"".join(self._bytes(k * self.steps + b) for b in range(self.steps))
+            one, z = np.unpackbits(np.frombuffer(plane, np.uint8), count=self.n, bitorder="little").view(bool), int(self.zeros[k])
             out = np.empty_like(a)
             out[~one] = a[:z]
             out[one] = a[z:] | a.dtype.type(1 << (self.bits - 1 - k))
@@ -145,24 +171,22 @@ class WaveletMatrix:
 
 
 class WordCodec:
-    """Encodes with the tokenizers library, one call for each distinct word.
+    """Encodes with the tokenizers library, one call for many distinct words.
 
-    Sound where normaliser and pre-tokeniser act within white-space-separated words (white space is
-    only a separator to them), which `separable` checks on the tokenizer's own definition; any other
-    tokenizer encodes whole texts.
+    Sound where normaliser, pre-tokeniser and added tokens act within white-space-separated words
+    (white space is only a separator to them), which `separable` checks on the tokenizer's own
+    definition; any other tokenizer encodes whole texts.
     """
 
     limit = 600_000
-    #: Separators to str.split that are no white space to the tokenizer; such texts are encoded whole.
-    not_white = "\x1c\x1d\x1e\x1f"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.separable = self._separable()
-        self.words: dict[str, bytes] = {}
+        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.words: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
     def _separable(self) -> bool:
@@ -171,10 +195,11 @@ class WordCodec:
         spec = json.loads(self.tokenizer.to_str())
         steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-        return steps == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("behavior") == "Removed" and "\\s" in str(split["pattern"]) and not spec.get("post_processor")
+        plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"])) for t in spec.get("added_tokens") or [])
+        return plain and steps == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("behavior") == "Removed" and "\\s" in str(split["pattern"]) and not spec.get("post_processor")
 
     def _raw(self, items: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(items, add_special_tokens=False)]
+        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch(items, add_special_tokens=False)]
 
     def _letters(self, items: list[str]) -> list[bytes]:
         """_raw for runs of letters, many in one call: each is one pre-token, which the count shows."""
@@ -182,46 +207,56 @@ class WordCodec:
         word = np.array(e.word_ids)
         if not len(word) or word[-1] + 1 != len(items):
             return self._raw(items)
-        ids, cut = np.array(e.ids, "<u4").tobytes(), (4 * np.searchsorted(word, np.arange(len(items) + 1))).tolist()
+        ids, size = np.array(e.ids, self.type).tobytes(), self.type.itemsize
+        cut = (size * np.searchsorted(word, np.arange(len(items) + 1))).tolist()
         return [ids[a:b] for a, b in zip(cut, cut[1:])]
 
     @staticmethod
     def _core(word: str) -> tuple[str, str]:
         """A plain Latin word in lower case, and the full stop or comma behind it; else the word itself."""
-        tail = word[-1] if word[-1] in ".," else ""
+        tail = word[-1:] if word[-1:] in (".", ",") else ""
         core = word[:-1] if tail else word
         if core.isalpha() and max(core) < "İ":  # composed letters, lower-cased one by one
             return core.lower(), tail
         return word, ""
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
+    def _learn(self, missing: list[bytes]) -> None:
+        pairs, cores = [self._core(w.decode()) for w in missing], self.cores
+        new = [c for c in {x for p in pairs for x in p if x} if c not in cores]
+        for kind, encode in ((True, self._letters), (False, self._raw)):
+            part = [c for c in new if c.isalpha() == kind]
+            for lo in range(0, len(part), 2000):
+                cores.update(zip(part[lo : lo + 2000], encode(part[lo : lo + 2000])))
+        cores[""] = b""
+        for w, (core, tail) in zip(missing, pairs):
+            self.words[w] = cores[core] + cores[tail] if tail else cores[core]
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an Arrow array of texts, one after another, and where each text's begin (and the last one's end)."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = texts.fill_null("")
         if not self.separable:
-            return self._raw(texts)
-        odd = [k for k, t in enumerate(texts) if any(c in t for c in self.not_white)]
-        split = [t.split() for t in texts]
-        for k in odd:
-            split[k] = []
+            raw = self._raw(texts.to_pylist())
+            return np.frombuffer(b"".join(raw), self.type), np.cumsum([0, *map(len, raw)]) // self.type.itemsize
         if len(self.words) > self.limit:
             self.words.clear()
         if len(self.cores) > 2 * self.limit:
             self.cores.clear()
-        words = self.words
-        if missing := [w for w in set(chain.from_iterable(split)) if w not in words]:
-            pairs = [self._core(w) for w in missing]
-            cores = self.cores
-            new = [c for c in {x for p in pairs for x in p if x} if c not in cores]
-            for kind, encode in ((True, self._letters), (False, self._raw)):
-                part = [c for c in new if c.isalpha() == kind]
-                for lo in range(0, len(part), 2000):
-                    cores.update(zip(part[lo : lo + 2000], encode(part[lo : lo + 2000])))
-            for w, (core, tail) in zip(missing, pairs):
-                words[w] = cores[core] + cores[tail] if tail else cores[core]
-        out = [b"".join(map(words.__getitem__, s)) for s in split]
-        if odd:
-            for k, ids in zip(odd, self._raw([texts[k] for k in odd])):
-                out[k] = ids
-        return out
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        first = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().cast(pa.large_binary()).dictionary_encode()
+        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        found = list(map(self.words.get, distinct))
+        if missing := [w for w, x in zip(distinct, found) if x is None]:
+            self._learn(missing)
+            found = list(map(self.words.__getitem__, distinct))
+        ids = np.frombuffer(b"".join(found), self.type)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.type.itemsize
+        begin, size = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        return ids[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])], ends[first]
 
 
 _CODECS: dict[str, WordCodec] = {}
@@ -234,45 +269,71 @@ def word_codec(path: str) -> WordCodec:
     return _CODECS[path]
 
 
-def write_shards(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes df in doc_id order, a range of doc_ids to a task, and writes the shards; returns the
-    table read back: part, seq, n_docs, n_tokens, image."""
+def encoded(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """d, ids (little-endian, 2 or 4 bytes each by the tokenizer's size, with the end id): one row for each row of df."""
 
     def run(batches):
         import os
 
         import pyarrow as pa
-        from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         c = word_codec(path)
-        end, part, seq = struct.pack("<I", end_id), TaskContext.get().partitionId(), 0
-        held: list[bytes] = []
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                ids, first = c.encode(part.column(1))
+                out = np.insert(ids, first[1:], end_id)
+                offsets = (first + np.arange(len(first))) * c.type.itemsize
+                cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])
+                yield pa.RecordBatch.from_arrays([part.column(0), cells.cast(pa.binary())], names=["d", "ids"])
+
+    source = df.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.col(f"`{text}`").cast("string").alias("t"))
+    return in_batches(source, run, "d long, ids binary")
+
+
+def write_shards(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Encodes df, deals the ids by ranges of doc_id and writes the shards, a file each; returns the
+    table read back: part, seq, n_docs, n_tokens, image."""
+    width = "<u2" if _vocabulary(path) <= 1 << 16 > end_id else "<u4"
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, seq = TaskContext.get().partitionId(), 0
+        held: list = []
         docs: list = []
+        counts: list = []
         size = 0
 
         def shard():
-            counts = [len(x) // 4 for x in held]
-            image = build(np.frombuffer(b"".join(held), "<u4"), docs, counts)
+            image = build(np.frombuffer(b"".join(held), width), docs, counts)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(docs)], pa.int64()), "n_tokens": pa.array([sum(counts)], pa.int64()), "image": pa.array([image], pa.binary())})
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                piece = batch.slice(lo, 200)
-                texts = [t if t is not None else "" for t in piece.column(1).to_pylist()]
-                for d, ids in zip(piece.column(0).to_pylist(), c.encode(texts)):
-                    docs.append(d)
-                    held.append(ids + end)
-                    size += len(ids) // 4 + 1
-                    if size >= SHARD:
-                        yield shard()
-                        held, docs, size, seq = [], [], 0, seq + 1
+            for d, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                docs.append(d)
+                held.append(ids)
+                counts.append(len(ids) // np.dtype(width).itemsize)
+                size += counts[-1]
+                if size >= SHARD:
+                    yield shard()
+                    held, docs, counts, size, seq = [], [], [], 0, seq + 1
         if docs:
             yield shard()
 
-    source = df.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.col(f"`{text}`").cast("string").alias("t"))
-    ordered = source.repartitionByRange(F.col("d").asc_nulls_first()).sortWithinPartitions(F.col("d").asc_nulls_first(), "t")
-    return staged(in_batches(ordered, run, "part int, seq int, n_docs long, n_tokens long, image binary"), "wavelet")
+    # rows alike in doc_id and ids may lie in any order; their number keeps them from one task
+    order = [F.col("d").asc_nulls_first(), F.crc32("ids"), F.monotonically_increasing_id()]
+    ids = staged(encoded(df, path, end_id, doc_id, text), "ids").withColumns({"c": order[1], "r": order[2]})
+    ordered = ids.repartitionByRange(order[0], "c", "r").sortWithinPartitions(order[0], "c", "r").select("d", "ids")
+    return staged(in_batches(ordered, run, "part int, seq int, n_docs long, n_tokens long, image binary"), "wavelet", maxRecordsPerFile="1", compression="uncompressed")
+
+
+def _vocabulary(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()
 
 
 def read_documents(shards: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -282,7 +343,7 @@ def read_documents(shards: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """
     sizes = shards.select("part", "seq", "n_tokens")
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each task of the writer
     within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
     starts = sizes.withColumn("within", within).join(before, "part").select("part", "seq", (F.col("before") + F.col("within")).alias("start"))
 
@@ -290,12 +351,12 @@ def read_documents(shards: DataFrame, doc_id: str = "doc_id") -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for start, image in zip(batch.column(0).to_pylist(), batch.column(1)):
-                w = WaveletMatrix(image.as_py())
-                ids = w.all_ids().astype("<u4")
-                edges = np.concatenate(([0], np.cumsum(w.counts)))
+            for part, seq, image in zip(*(batch.column(k).to_pylist() for k in (0, 1)), batch.column(2)):
+                w = WaveletMatrix(memoryview(image.as_buffer()))
+                ids, (docs, counts) = w.all_ids().astype("<u4"), w.directory()
+                edges = np.concatenate(([0], np.cumsum(counts)))
                 crc = [zlib.crc32(ids[a:b].data) for a, b in zip(edges.tolist(), edges[1:].tolist())]
-                yield pa.RecordBatch.from_pydict({doc_id: pa.array(w.doc_ids, pa.int64()), "start": pa.array(edges[:-1] + start, pa.int64()), "n_tokens": pa.array(w.counts, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(docs), pa.int32()), "seq": pa.array([seq] * len(docs), pa.int32()), "d": pa.array(docs, pa.int64()), "at": pa.array(edges[:-1], pa.int64()), "n": pa.array(counts, pa.int64()), "crc": pa.array(crc, pa.int64())})
 
-    joined = shards.select("part", "seq", "image").join(starts, ["part", "seq"]).select("start", "image")
-    return in_batches(joined, run, f"`{doc_id}` long, start long, n_tokens long, ids_crc32 long")
+    rows = in_batches(shards.select("part", "seq", "image"), run, "part int, seq int, d long, at long, n long, crc long")
+    return rows.join(starts, ["part", "seq"]).select(F.col("d").alias(doc_id), (F.col("start") + F.col("at")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))

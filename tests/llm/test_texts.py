@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 from millrace.llm import bpe, minhash, mixing, quality, repeats, secrets, wavelet
@@ -57,7 +58,7 @@ def test_wavelet_matrix():
     ids = np.random.default_rng(0).zipf(1.3, 20000) % 49000
     for a in (ids, ids[:513], ids[:512], ids[:1], ids[:0]):
         w = wavelet.WaveletMatrix(wavelet.build(a.astype("u4"), [1, None], [len(a), 0]))
-        assert (w.all_ids() == a).all() and w.doc_ids == [1, None]
+        assert (w.all_ids() == a).all() and w.directory()[0] == [1, None] and w.directory()[1].tolist() == [len(a), 0]
         assert all(w.access(i) == a[i] for i in range(0, len(a), max(1, len(a) // 40)))
         for t in (1, 2, 77, 48000, 70000):
             at = np.flatnonzero(a == t)
@@ -65,19 +66,34 @@ def test_wavelet_matrix():
             assert [w.find(t, j) for j in (0, 3)] == [at[j] if j < len(at) else None for j in (0, 3)]
 
 
+def test_wavelet_access_unpacks_few_blocks(tmp_path, monkeypatch):
+    import mmap
+
+    monkeypatch.setattr(wavelet, "BLOCK", 1 << 10)
+    ids = np.random.default_rng(1).integers(0, 49000, 50_000).astype("u4")
+    (tmp_path / "shard").write_bytes(wavelet.build(ids, [3], [len(ids)]))
+    with open(tmp_path / "shard", "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as image:
+        w = wavelet.WaveletMatrix(image)
+        assert w.access(31_000) == ids[31_000] and len(w._kept) <= w.bits
+        token = int(ids[40_000])
+        assert [w.find(token, j) for j in range(w.count(token))] == np.flatnonzero(ids == token).tolist()
+        assert w.count(token, 1000, 40_001) == (ids[1000:40_001] == token).sum()
+
+
 def test_word_codec_equals_library():
-    c = wavelet.WordCodec(WORD)
-    extra = ["Привет мир İstanbul dIŞ", "ﬁne, Ünïcode. naïve.", "Σίσυφος", "<|endoftext|> x"]
+    from tokenizers import Tokenizer
+
+    c, plain = wavelet.WordCodec(WORD), Tokenizer.from_file(WORD)
+    extra = ["Привет мир İstanbul dIŞ", "ﬁne, Ünïcode. naïve.", "Σίσυφος", "<|endoftext|> x", "a<|endoftext|>b <|startoftext|> <|ENDOFTEXT|>", "H\u0331 e\u0301\u00a0x\u2003y \u0301z", None]
     sample = texts() + extra
-    expected = [np.array(e.ids, "<u4").tobytes() for e in c.tokenizer.encode_batch(sample, add_special_tokens=False)]
-    assert c.separable and c.encode(sample) == expected
+    ids, first = c.encode(pa.array(sample))
+    assert c.separable and [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [e.ids for e in plain.encode_batch([t or "" for t in sample], add_special_tokens=False)]
 
 
 def test_wavelet_on_odd_documents(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORD)
-    t.encode_special_tokens = True
     rows = wavelet.read_documents(wavelet.write_shards(frame(spark), WORD, end_id=2)).orderBy("start").collect()
     docs = sorted(odd_documents(), key=lambda r: (r[0] is not None, r[0] or 0))
     assert [r.doc_id for r in rows] == [d[0] for d in docs]
