@@ -1,22 +1,24 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every document joins its source's queue in a shuffled order (a hash of its id). Its virtual finish
-time is the words its source has sent by then, divided by the source's weight; a source may go
-through its queue up to COPIES times. All copies are ranged by finish time, and the queue is cut
-where the budget is reached.
+Every document joins its source's queue in a shuffled order (a hash of its id and text). Its virtual
+finish time is the words its source has sent by then, divided by the source's weight; a source may
+go through its queue up to COPIES times. Truncating the globally ordered queue at the budget means a
+level of finish time, the one at which the sources' words, each at most COPIES times its size, add up
+to the budget. `targets` finds it from the sources' totals, so the cut is a filter and no row waits
+for a global sort; `schedule` range-sorts what is taken, for a reader that wants the mixed order.
 
-A document longer than a quarter of its source's target waits behind all copies of the others. After
-the cut a source is off its target by part of a document; it takes a few fitting documents once more
-or less to settle.
+Documents are whole. Where the level falls inside a copy, that copy is passed over and the queue
+behind it moves up, PASSES times, so that neither a giant document nor a long tail keeps a source off
+its target by more than a part of the last document passed over.
 
-Prefix sums run in two levels. A source's hash space is cut into buckets of about BUCKET_ROWS rows of
-an average source share, so no window holds a source: the buckets' sums are chained first, then
-rows within a bucket. The finish times are range-partitioned likewise; only the range that the
-budget falls into is ordered row by row.
+Prefix sums run in two levels: a source's hash space is cut into buckets in proportion to its rows,
+the buckets' sums are chained, then rows within a bucket. What is taken of a source is a copy number,
+a hash and at most PASSES exceptions, so `take` decides on each row where it lies: texts are never shuffled.
 
 Null text has no words. Documents without words take nothing. Null is a source of its own, last.
-Rows that repeat a doc_id are documents of their own; ties in finish time go by source, then
-doc_id, then size. An empty table gives an empty result.
+Rows that repeat a doc_id are documents of their own; rows alike in doc_id and text are taken alike.
+Columns of the table that bear the names used here are neither read nor lost. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -24,20 +26,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, word_count
+from .common import WORD, staged, word_count
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
 #: Times a source's documents may be taken.
 COPIES = 3
-BUCKET_ROWS = 20_000
-#: Ranges of finish time.
-RANGES = 4096
-#: A document longer than this share of its source's target waits until the others have been through
-#: all their copies: at the head of a queue it would hold up the whole source.
-GIANT = 0.25
-#: Times that sources are moved closer to their targets by one document each.
-SETTLING = 3
+#: Copies at the level of the cut that a source passes over.
+PASSES = 4
+#: Rows of a bucket at most, and buckets of a small table.
+BUCKET_ROWS, BUCKETS = 20_000, 1024
+SKIPS = "array<struct<pos:double,k:int,h:bigint,size:bigint>>"
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -63,83 +62,86 @@ def targets(sources: DataFrame) -> DataFrame:
     return w.withColumn("target", F.least(COPIES * F.col("source_size").cast("double"), F.col("level") * F.col("weight"))).select("source", "source_size", "weight", "target", "rank")
 
 
+def _place(doc_id: str, text: str):
+    """A row's place in the shuffled order of its source: 63 bits."""
+    return F.xxhash64(F.lit("mix"), F.col(f"`{doc_id}`"), F.col(f"`{text}`")).bitwiseAND(F.lit((1 << 63) - 1))
+
+
+def _with_sources(rows: DataFrame, per_source: DataFrame, source) -> DataFrame:
+    """rows with their source's columns. per_source has a row for each source: broadcast where they are few."""
+    on = source.eqNullSafe(F.col("s_source"))
+    return rows.join(F.broadcast(per_source) if per_source.count() <= 100_000 else per_source, on).drop("s_source")
+
+
+def _queue(df: DataFrame, doc_id: str, source: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The queue, a row for each row of df: doc_id, size, h, pos (words its source has sent with it, in
+    the first round), block (words of the rows alike) and its source's columns; and the sources."""
+    rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), word_count(text).alias("size"), _place(doc_id, text).alias("h"))
+    rows = staged(rows, "sizes")
+    totals = staged(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "totals")
+    everything = totals.agg(F.sum("rows")).first()[0] or 0
+    in_bucket = min(BUCKET_ROWS, max(1, everything // BUCKETS))
+    sources = targets(totals.select("source", "source_size")).join(totals.select(F.col("source").alias("t_source"), "rows"), F.col("source").eqNullSafe(F.col("t_source")))
+    sources = staged(sources.select(F.col("source").alias("s_source"), "source_size", "weight", "target", "rank", F.ceil(F.col("rows") / in_bucket).alias("buckets")), "sources")
+    rows = _with_sources(rows, sources, F.col("source")).withColumn("bucket", F.floor(F.col("h") / float(1 << 63) * F.col("buckets")))
+    sums = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("n"))
+    sums = sums.select("rank", "bucket", (F.sum("n").over(Window.partitionBy("rank").orderBy("bucket")) - F.col("n")).alias("before"))
+    here = Window.partitionBy("rank", "bucket").orderBy("h")  # rows alike have one place
+    rows = rows.withColumns({"sent": F.sum("size").over(here), "block": F.sum("size").over(Window.partitionBy("rank", "bucket", "h"))})
+    rows = rows.join(sums, ["rank", "bucket"])
+    return staged(rows.select("doc_id", "source", "size", "h", (F.col("before") + F.col("sent")).cast("double").alias("pos"), "block", "rank", "source_size", "weight", "target"), "queue"), sources
+
+
+def _cuts(queue: DataFrame, sources: DataFrame) -> DataFrame:
+    """For each source the last copy taken (cut_k from 0, cut_h) and the copies passed over (skips)."""
+    each = F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))
+    cuts = sources.withColumn("skips", F.expr(f"cast(array() as {SKIPS})"))
+    moved = "pos - aggregate(skips, 0D, (a, s) -> a + if(s.pos < pos, s.size, 0L))"
+    skipped = "exists(skips, s -> s.pos = pos)"
+    for turn in range(PASSES + 1):
+        copies = _with_sources(queue.where("size > 0").select("source", "h", "block", F.col("pos").alias("first"), each.alias("k")), cuts, F.col("source"))
+        copies = copies.withColumn("pos", F.col("first") + F.col("k") * F.col("source_size")).where(f"not {skipped}")
+        copy = F.struct("pos", F.col("k").cast("int").alias("k"), "h", F.col("block").alias("size"))
+        inside = F.expr(f"{moved} <= target")
+        one = copies.groupBy("rank").agg(F.max(F.when(inside, copy)).alias("last"), F.min(F.when(~inside, copy)).alias("over"))
+        joined = cuts.join(one, "rank", "left")
+        if turn < PASSES:
+            cuts = staged(joined.select("s_source", "source_size", "weight", "target", "rank", F.expr(f"if(over is null, skips, concat(skips, array(cast(over as {SKIPS[6:-1]}))))").alias("skips")), "passed")
+    return staged(joined.select("s_source", "source_size", "weight", "target", "rank", F.expr("transform(skips, s -> named_struct('k', s.k, 'h', s.h))").alias("skips"), F.col("last.k").alias("cut_k"), F.col("last.h").alias("cut_h")), "cuts")
+
+
+def _times(h: str):
+    """How often a row at place h is taken, beside its source's cut."""
+    within = f"(s.k < cut_k or s.k = cut_k and {h} <= cut_h)"
+    return F.expr(f"if(cut_k is null, 0, cut_k + if({h} <= cut_h, 1, 0) - size(filter(skips, s -> s.h = {h} and {within})))")
+
+
 def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: one row for each row of df."""
-    sized = staged(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), word_count(text).alias("size")), "sizes")
-    per_source = staged(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "sources")
-    plan = staged(targets(per_source.select("source", "source_size")), "targets")
-    totals = per_source.agg(F.sum("rows").alias("rows"), F.sum("source_size").alias("words"), F.count("*").alias("n")).first()
-    budget = totals["words"] or 0
-    buckets = max(16, int((totals["rows"] or 0) // BUCKET_ROWS) + 1)
-    few = totals["n"] <= 100_000  # checked: a row of a source is under 100 bytes
-    small = F.broadcast if few else (lambda x: x)
-    same = F.col("source").eqNullSafe(F.col("s_source"))
-    docs = sized.withColumn("h", F.xxhash64(F.lit("mix"), "doc_id")).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 8), F.lit(buckets)).cast("int"))
-    docs = docs.join(small(plan.withColumnRenamed("source", "s_source")), same).drop("s_source")
-    docs = staged(docs.withColumn("giant", F.col("size") > GIANT * F.col("target")), "documents")
-    chain = Window.partitionBy("source", "giant").orderBy("bucket")
-    whole = Window.partitionBy("source", "giant")
-    sums = docs.groupBy("source", "giant", "bucket").agg(F.sum("size").alias("n"))
-    sums = sums.select(F.col("source").alias("b_source"), F.col("giant").alias("b_giant"), F.col("bucket").alias("b_bucket"), (F.sum("n").over(chain) - F.col("n")).alias("before"), F.sum("n").over(whole).alias("round"))
-    row = Window.partitionBy("source", "giant", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = docs.withColumn("sent", F.sum("size").over(row))
-    queued = queued.join(sums, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("giant") == F.col("b_giant")) & (F.col("bucket") == F.col("b_bucket")))
-    # giants come behind all copies of the others
-    head = F.when(F.col("giant"), COPIES * (F.col("source_size") - F.col("round"))).otherwise(0)
-    first = (head + F.col("before") + F.col("sent")).cast("double")
-    queued = queued.select("doc_id", "source", "size", "source_size", "target", "rank", "weight", "round", first.alias("first"))
-    queued = staged(queued, "queue")
-    # every copy of a row has its own finish time
-    finish = [(F.col("first") + k * F.col("round")) / F.col("weight") for k in range(COPIES)]
-    copies = queued.where("size > 0").select("doc_id", "size", "rank", F.posexplode(F.array(*finish)).alias("copy", "finish"))
-    level = plan.agg(F.max(F.col("target") / F.col("weight")).alias("v")).first()["v"] or 1.0
-    copies = copies.withColumn("range", F.least(F.floor(F.col("finish") / F.lit(level * 2 / RANGES)), F.lit(RANGES)).cast("int"))
-    ranges = copies.groupBy("range").agg(F.sum("size").alias("n"))
-    ranges = ranges.select("range", F.sum("n").over(Window.orderBy("range")).alias("upto"), "n").where(F.col("upto") >= budget).orderBy("range").limit(1)
-    cut = ranges.first()
-    if cut is None:  # nothing to send, or less than the budget
-        return queued.select("doc_id", "source", "size", "source_size", "target", F.lit(0 if not budget else COPIES).cast("long") * F.col("size")).toDF("doc_id", "source", "size", "source_size", "target", "taken")
-    # within the range of the cut, the last copy that fits
-    at = Window.orderBy("finish", "rank", "doc_id", "size", "copy").rowsBetween(Window.unboundedPreceding, 0)
-    last = copies.where(F.col("range") == cut["range"]).withColumn("upto", F.sum("size").over(at) + (cut["upto"] - cut["n"]))
-    last = last.where(F.col("upto") <= budget).orderBy(F.desc("finish"), F.desc("rank"), F.desc("doc_id"), F.desc("size"), F.desc("copy")).limit(1).first()
-    edge = F.lit(cut["range"])
-    in_range = [F.least(F.floor(f / F.lit(level * 2 / RANGES)), F.lit(RANGES)).cast("int") for f in finish]
-    key = lambda k: F.struct(finish[k].alias("finish"), F.col("rank").alias("rank"), F.col("doc_id").alias("doc_id"), F.col("size").alias("size"), F.lit(k).alias("copy"))
-    taken = F.lit(0).cast("long")
-    for k in range(COPIES):
-        fits = in_range[k] < edge
-        if last is not None:
-            bound = F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["rank"]).alias("rank"), F.lit(last["doc_id"]).cast(queued.schema["doc_id"].dataType).alias("doc_id"), F.lit(last["size"]).alias("size"), F.lit(last["copy"]).alias("copy"))
-            fits = fits | ((in_range[k] == edge) & (key(k) <= bound))
-        taken = taken + F.when((F.col("size") > 0) & fits, F.col("size")).otherwise(0)
-    out = queued.withColumn("taken", taken)
-    for _ in range(SETTLING):
-        out = _settled(staged(out, "taken"), small)
-    return out.drop("first")
-
-
-def _settled(taken: DataFrame, small) -> DataFrame:
-    """The cut leaves a source up to a document off its target. One document each makes up for it: of
-    those no longer than what is missing (or too much), the longest is taken once more (or less)."""
-    got = taken.groupBy("source").agg(F.sum("taken").alias("got"), F.first("target").alias("goal"))
-    off = small(got.select(F.col("source").alias("o_source"), (F.col("goal") - F.col("got")).alias("off")))
-    rows = taken.join(off, F.col("source").eqNullSafe(F.col("o_source"))).drop("o_source")
-    more = (F.col("off") > 0) & (F.col("size") <= F.col("off")) & (F.col("taken") < COPIES * F.col("size"))
-    less = (F.col("off") < 0) & (F.col("size") <= -F.col("off")) & (F.col("taken") >= F.col("size"))
-    fits = (F.col("size") > 0) & (more | less)
-    pick = rows.where(fits).groupBy("source").agg(F.max(F.struct("size", "first", "doc_id")).alias("p"))
-    pick = small(pick.select(F.col("source").alias("o_source"), "p"))
-    rows = rows.join(pick, F.col("source").eqNullSafe(F.col("o_source")), "left")
-    hit = fits & F.struct("size", "first", "doc_id").eqNullSafe(F.col("p"))
-    change = F.when(hit, F.when(F.col("off") > 0, F.col("size")).otherwise(-F.col("size"))).otherwise(0)
-    return rows.select("doc_id", "source", "size", "source_size", "target", "first", (F.col("taken") + change).alias("taken"))
+    """doc_id, source, size, source_size, target, taken, finish (virtual time at which the first copy
+    ends): one row for each row of df."""
+    queue, sources = _queue(df, doc_id, source, text)
+    cuts = _cuts(queue, sources).select("s_source", "skips", "cut_k", "cut_h")
+    out = _with_sources(queue, cuts, F.col("source"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * _times("h")).alias("taken"), (F.col("pos") / F.col("weight")).alias("finish"))
 
 
 def take(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """df's rows as the mix takes them, each as many times as it is taken, with df's columns."""
-    chosen = mix(df, doc_id, source, text).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__source"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    chosen = chosen.groupBy("__id", "__source", "__size").agg(F.max("__times").alias("__times"))  # rows that are alike in all three share their number
-    rows = df.withColumn("__words", word_count(text))
-    on = F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")) & F.col(f"`{source}`").cast("string").eqNullSafe(F.col("__source"))
-    return rows.join(chosen, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*[F.col(f"`{c}`") for c in df.columns])
+    cuts = _cuts(*_queue(df, doc_id, source, text)).select("s_source", "skips", "cut_k", "cut_h")
+    inner = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]
+    rows = df.select(*inner, F.col(f"`{source}`").cast("string").alias("source"), _place(doc_id, text).alias("h")).where(F.col(f"c{df.columns.index(text)}").rlike(WORD))
+    rows = _with_sources(rows, cuts, F.col("source")).withColumn("times", _times("h")).where("times > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
+
+
+def schedule(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """doc_id, source, copy, finish of all copies taken, range-sorted by finish time: the order in
+    which the mix sends them. Copies passed over leave no gap: those behind them keep their times."""
+    queue, sources = _queue(df, doc_id, source, text)
+    cuts = _cuts(queue, sources).select("s_source", "skips", "cut_k", "cut_h")
+    rows = _with_sources(queue.where("size > 0"), cuts, F.col("source")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    rows = rows.where("(k < cut_k or k = cut_k and h <= cut_h) and not exists(skips, s -> s.k = k and s.h = h)")
+    finish = (F.col("pos") + F.col("k") * F.col("source_size")) / F.col("weight")
+    rows = rows.select("doc_id", "source", F.col("k").alias("copy"), finish.alias("finish"))
+    return rows.repartitionByRange("finish", "source", "doc_id").sortWithinPartitions("finish", "source", "doc_id")

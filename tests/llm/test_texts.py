@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import bpe, minhash, mixing, quality, repeats, secrets, wavelet
 
@@ -201,9 +202,35 @@ def brute_targets(sizes, copies=3, weights=(5, 2, 1)):
     return target
 
 
+def brute_taken(rows, target):
+    """taken by row number: each source's queue copy by copy, what does not fit passed over, at most PASSES times."""
+    from fractions import Fraction
+
+    taken = Counter()
+    for s in {r[1] for r in rows}:
+        mine = sorted((h, n, size) for n, (_, src, size, h) in enumerate(rows) if src == s and size)
+        sent, passes = 0, 0
+        for _ in range(mixing.COPIES):
+            for h in sorted({m[0] for m in mine}):
+                block = [m for m in mine if m[0] == h]
+                words = sum(m[2] for m in block)
+                if Fraction(sent + words) <= Fraction(target[s]):
+                    sent += words
+                    taken.update({n: size for _, n, size in block})
+                else:
+                    passes += 1
+                    if passes > mixing.PASSES:
+                        break
+            else:
+                continue
+            break
+    return taken
+
+
 def test_mixing(spark):
     r = random.Random(2)
     rows = odd_documents() + [(2000 + k, " ".join(["w"] * r.randint(0, 120)), "en", r.choice(["a", "a", "a", "b", "c", "d", None]), "", 0) for k in range(600)]
+    rows += [(4000 + k, " ".join(["w"] * 9000), "en", s, "", 0) for k, s in enumerate("bcc")]  # giants
     got = mixing.mix(frame(spark, rows)).collect()
     again = mixing.mix(frame(spark, rows[::-1]).repartition(5)).collect()
     key = lambda x: (x.doc_id or -1, x["size"], x.source or "", x.taken)
@@ -216,10 +243,17 @@ def test_mixing(spark):
         assert 0 <= x.taken <= 3 * x["size"]
     expected = brute_targets(sizes)
     for s in sizes:
-        assert target[s] == pytest.approx(expected[s]) and abs(taken[s] - target[s]) <= max(40, 0.02 * target[s])
+        assert target[s] == pytest.approx(expected[s]) and target[s] - max(40, 0.02 * target[s]) <= taken[s] <= target[s] + 1e-6
+    places = {(x.doc_id, x.source, x.n): x.h for x in frame(spark, rows).select("doc_id", "source", F.coalesce(mixing.word_count("text"), F.lit(0)).alias("n"), mixing._place("doc_id", "text").alias("h")).collect()}
+    flat = [(x.doc_id, x.source, x["size"], places[x.doc_id, x.source, x["size"]]) for x in got]
+    assert [x.taken for x in got] == [brute_taken(flat, target)[n] for n in range(len(flat))]
     out = mixing.take(frame(spark, rows))
     assert out.columns == frame(spark, rows).columns
-    assert mixing.mix(frame(spark, [])).count() == 0
+    times = Counter((x.doc_id, x.source) for x in out.collect())
+    assert times == {k: n for k, n in sum((Counter({(x.doc_id, x.source): x.taken // max(1, x["size"])}) for x in got), Counter()).items() if n}
+    order = [x.finish for x in mixing.schedule(frame(spark, rows)).collect()]
+    assert order == sorted(order) and len(order) == sum(times.values())
+    assert mixing.mix(frame(spark, [])).count() == 0 and mixing.take(frame(spark, [])).count() == 0
     assert mixing.mix(frame(spark, [(1, None, "en", "a", "", 0)])).first().taken == 0
 
 
