@@ -11,7 +11,7 @@ them into strings for pairs of ordinary length, `digests` summarises them withou
 Turns are aligned by their number. Rows without pair, side or turn number are left out. Where a
 side repeats a turn number, the smallest (role, text) counts. A null role is "unknown", a null text
 empty. A pair of one side only has an empty prompt and one completion; two equal conversations are
-all prompt. An empty table gives an empty result.
+all prompt. Columns of other names are neither read nor lost. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -77,34 +77,37 @@ def digests(rows: DataFrame) -> DataFrame:
     return rows.groupBy("pair_id").agg(*out)
 
 
-def neighbours(conversations: DataFrame) -> DataFrame:
-    """Turns of a table without preferences, paired by id: 2k is the chosen side of pair k, 2k + 1 the rejected."""
-    return conversations.select(
-        F.expr("conv_id div 2").alias("pair_id"), F.when(F.expr("conv_id % 2 = 0"), F.lit("chosen")).otherwise(F.lit("rejected")).alias("side"), "turn", "role", "text"
-    )
+def swapped_answers(conversations: DataFrame) -> DataFrame:
+    """Preferences from a table that has none: of every conversation, the chosen side is itself; the
+    rejected one is the same up to its last assistant turn, which says what the last assistant turn of
+    the conversation with the next conv_id says (nothing, if there is none) and ends the conversation."""
+    rows = conversations.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min(F.struct(F.coalesce(F.col("role"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))).alias("said"))
+    answer = F.when(F.col("said.role") == TRAINED, F.struct("turn", F.col("said.text").alias("text")))
+    last = rows.groupBy("conv_id").agg(F.max(answer).alias("last"))
+    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("other"))
+    last = last.where("last is not null").select("conv_id", F.col("last.turn").alias("at")).join(other, "conv_id", "left")
+    chosen = rows.select(F.col("conv_id").alias("pair_id"), F.lit("chosen").alias("side"), "turn", "said.role", "said.text")
+    rejected = rows.join(last, "conv_id").where("turn <= at")
+    text = F.when(F.col("turn") == F.col("at"), F.coalesce("other", F.lit(""))).otherwise(F.col("said.text"))
+    return chosen.unionByName(rejected.select(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), "turn", "said.role", text.alias("text")))
 
 
-#: The digests of neighbours() over conversations, as DuckDB SQL.
+#: segments() of swapped_answers() over conversations, as DuckDB SQL.
 ORACLE_SQL = """
 WITH t AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn,
-         min({'role': coalesce(role, 'unknown'), 'text': coalesce(text, '')}) AS said
+  SELECT conv_id, turn, min({'role': coalesce(role, 'unknown'), 'text': coalesce(text, '')}) AS said
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
-b AS (
-  SELECT pair_id, turn, max(said) FILTER (side = 0) AS c, max(said) FILTER (side = 1) AS r FROM t GROUP BY ALL),
+l AS (SELECT conv_id, max(turn) AS at, arg_max(said.text, turn) AS text FROM t WHERE said.role = 'assistant' GROUP BY ALL),
+r AS (
+  SELECT conv_id, turn, {'role': said.role, 'text': CASE WHEN turn = l.at THEN coalesce(n.text, '') ELSE said.text END} AS said
+  FROM t JOIN l USING (conv_id) LEFT JOIN (SELECT conv_id - 1 AS conv_id, text FROM l) n USING (conv_id) WHERE turn <= l.at),
+b AS (SELECT conv_id AS pair_id, turn, t.said AS c, r.said AS r FROM t LEFT JOIN r USING (conv_id, turn)),
 s AS (SELECT pair_id, min(turn) FILTER (c IS DISTINCT FROM r) AS split FROM b GROUP BY ALL),
 p AS (
   SELECT pair_id, turn, 'prompt' AS part, c AS said FROM b JOIN s USING (pair_id) WHERE split IS NULL OR turn < split
   UNION ALL SELECT pair_id, turn, 'chosen', c FROM b JOIN s USING (pair_id) WHERE turn >= split AND c IS NOT NULL
-  UNION ALL SELECT pair_id, turn, 'rejected', r FROM b JOIN s USING (pair_id) WHERE turn >= split AND r IS NOT NULL),
-x AS (
-  SELECT pair_id, part, '<|' || said.role || '|>' || chr(10) || said.text || '<|end|>' || chr(10) AS rendered, turn,
-         CASE WHEN part <> 'prompt' AND said.role = 'assistant' THEN length(said.text) + 8 ELSE 0 END AS t FROM p),
-y AS (
-  SELECT pair_id, part, length(rendered) AS n, t,
-         CAST('0x' || substr(md5(CAST(turn AS VARCHAR) || ':' || rendered), 1, 8) AS BIGINT) AS c FROM x)
-SELECT pair_id, """ + ", ".join(
-    f"CAST(count(*) FILTER (part = '{p}') AS BIGINT) AS {p}_turns, CAST(coalesce(sum(n) FILTER (part = '{p}'), 0) AS BIGINT) AS {p}_chars, "
-    f"CAST(coalesce(sum(t) FILTER (part = '{p}'), 0) AS BIGINT) AS {p}_trained, CAST(coalesce(sum(c) FILTER (part = '{p}'), 0) AS BIGINT) AS {p}_check"
-    for p in ("prompt", "chosen", "rejected")
-) + " FROM y GROUP BY pair_id"
+  UNION ALL SELECT pair_id, turn, 'rejected', r FROM b JOIN s USING (pair_id) WHERE turn >= split AND r IS NOT NULL)
+SELECT pair_id, part, turn, '<|' || said.role || '|>' || chr(10) || said.text || '<|end|>' || chr(10) AS rendered,
+  CAST(CASE WHEN part <> 'prompt' AND said.role = 'assistant' THEN 14 ELSE 0 END AS INTEGER) AS trained_from,
+  CAST(CASE WHEN part <> 'prompt' AND said.role = 'assistant' THEN length(said.text) + 22 ELSE 0 END AS INTEGER) AS trained_to
+FROM p"""

@@ -11,13 +11,20 @@ BANDS bands of ROWS coordinates; at similarity 0.75 a pair shares no band with p
 (1 - 0.75^4)^32 < 1e-5. Candidate pairs are verified on the full shingle sets:
   1. every representative with the smallest doc_id it shares a band with,
   2. every representative with the smallest doc_id of each further band it is in,
-  3. in bands that still hold more than one component, pairs from different components: blocks of
-     the band compare sketches, verify what is not far below the bound, and emit links alone.
+  3. in bands that still hold more than one component, pairs from different components: what lies
+     outside the band's largest component meets all of the band in blocks, which compare sketches,
+     verify what is not far below the bound, and emit links alone.
 Between the steps linked representatives are contracted, so no step emits all pairs of a group,
-and pairs whose link cannot change a component are not verified again.
+and pairs whose link cannot change a component are not verified again. Joins on a band, a set or a
+representative that many rows share are salted (common.join_hot).
+
+The sketch decides who meets: of pairs at the bound, 1e-5 share no band, and 2e-6 are estimated under
+NEAR and would be lost in the third step, where no chain of other links joins them; closer pairs are
+lost far less often still. Every link that is reported is exact.
 
 Null or wordless texts have an empty set and no links. Rows that repeat a doc_id are one vertex; a
-null doc_id is linked with nothing (component null, kept).
+null doc_id is linked with nothing (component null, kept). Columns of other names are neither read
+nor lost. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLACES, WordHashes, hashes, in_batches, mix, shingle_set, staged, texts_of
+from .common import PLACES, WordHashes, hashes, in_batches, join_hot, mix, shingle_set, staged, texts_of
 
 K = 5
 T, BANDS, ROWS = 128, 32, 4
@@ -136,7 +143,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     x = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
     y = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
-    return in_batches(pairs.join(y, "b").join(x, "a").select("a", "b", "ta", "tb"), run, "a long, b long")
+    counts = staged(pairs.groupBy("a").agg(F.count("*").alias("n")), "counts")
+    return in_batches(join_hot(pairs.join(y, "b"), x, "a", counts=counts).select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -152,7 +160,7 @@ def components(links: DataFrame) -> DataFrame:
         up = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to"))
         while True:  # every pointer goes to a smaller id; double the steps until all reach roots
             up = staged(up, "pointers")
-            far = up.join(up.select(F.col("id").alias("to"), F.col("to").alias("root")), "to", "left")
+            far = join_hot(up, up.select(F.col("id").alias("to"), F.col("to").alias("root")), "to", "left")
             if far.where("root is not null").isEmpty():
                 break
             up = far.select("id", F.coalesce("root", "to").alias("to"))
@@ -162,8 +170,8 @@ def components(links: DataFrame) -> DataFrame:
         if label is None:
             label = staged(new, "components")
         else:  # what hung under an earlier root moves with it
-            label = staged(label.join(new.select(F.col("id").alias("component"), F.col("component").alias("c")), "component", "left").select("id", F.coalesce("c", "component").alias("component")), "components")
-        one = edges.join(new.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(new.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+            label = staged(join_hot(label, new.select(F.col("id").alias("component"), F.col("component").alias("c")), "component", "left").select("id", F.coalesce("c", "component").alias("component")), "components")
+        one = join_hot(edges, new.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(new.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
         edges = staged(one.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "links")
     spark = links.sparkSession
     return label if label is not None else spark.createDataFrame([], "id long, component long")
@@ -173,24 +181,23 @@ def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs whose ends are not in one component yet."""
     ca = label.select(F.col("id").alias("a"), F.col("component").alias("ca"))
     cb = label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    out = pairs.join(ca, "a", "left").join(cb, "b", "left")
+    out = join_hot(pairs, ca, "a", "left").join(cb, "b", "left")
     return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def _linked(pdf):
-    """Links between different components of a block (or between two blocks) of a band: pairs whose
-    sketches agree enough are verified on their full sets, unless links found here already join them.
-    A pair that shares several bands is looked at in the first of them only."""
+    """Links between a block of a band's rows outside its largest component (asks) and a block of all
+    its rows: pairs of different components whose sketches agree enough are verified on their full
+    sets, unless links found here already join them. A pair that shares several bands is looked at in
+    the first of them only, two rows that ask by the smaller one."""
     import pandas as pd
 
     sk = np.frombuffer(b"".join(pdf.short), np.uint16).reshape(-1, T)
     keys = np.array(pdf.bands.tolist(), np.int64)
     place = int((keys[0] == pdf.band.iloc[0]).argmax())
     ids, texts, cache = pdf.id.to_numpy(), pdf.t.tolist(), WordHashes()
-    across = pdf.low.iloc[0] != pdf.high.iloc[0]
-    side = (pdf.block == pdf.low).to_numpy()
-    rows = np.flatnonzero(side)
-    cols = np.flatnonzero(~side) if across else rows
+    asks, minor = pdf.asks.to_numpy(), (pdf.component != pdf.main).to_numpy()
+    rows, cols = np.flatnonzero(asks), np.flatnonzero(~asks)
     comp = {c: c for c in pdf.component.tolist()}
     own = pdf.component.to_numpy()
     sets: dict[int, np.ndarray] = {}
@@ -207,7 +214,7 @@ def _linked(pdf):
 
     a, b = [], []
     for i in rows:
-        at = cols[(own[cols] != own[i]) & (across | (ids[cols] > ids[i]))]
+        at = cols[(own[cols] != own[i]) & (~minor[cols] | (ids[cols] > ids[i]))]
         at = at[(keys[at] == keys[i]).argmax(axis=1) == place] if len(at) else at
         at = at[(sk[at] == sk[i]).sum(axis=1) >= NEAR * T] if len(at) else at
         for j in at.tolist():
@@ -228,13 +235,13 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     rows = staged(signatures(df, doc_id, text), "signatures")
     # texts with one set: their smallest doc_id stands for them
     known = rows.where("doc_id is not null and sig is not null")
-    same = known.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"))
-    twins = known.select("sig", "doc_id").join(same.where("rep <> top"), "sig").where("doc_id <> rep").select("sig", F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    same = staged(known.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"), F.count("*").alias("n")), "sets")
+    twins = join_hot(known.select("sig", "doc_id"), same.where("rep <> top").drop("n"), "sig", counts=same).where("doc_id <> rep").select("sig", F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     twins = staged(twins.distinct(), "twins")
     reps = known.join(twins.select("sig", F.col("b").alias("doc_id")), ["sig", "doc_id"], "left_anti")
     keyed = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("top")).where("a <> top").select("band", "a")
-    stars = keyed.join(shared, "band").where("id <> a").select("band", "a", F.col("id").alias("b"))
+    shared = staged(keyed.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("top"), F.count("*").alias("n")).where("a <> top").select("band", "a", "n"), "bands")
+    stars = join_hot(keyed, shared.drop("n"), "band", counts=shared).where("id <> a").select("band", "a", F.col("id").alias("b"))
     stars = staged(stars, "stars")
     ends = stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))).distinct()
     source = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
@@ -249,14 +256,19 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     # 3: bands with more than one component
     named = stars.select("band", F.explode(F.array("a", "b")).alias("id")).distinct().join(label, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     mixed = staged(named, "members")
-    counts = mixed.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("n")).where("c1 <> c2 and n > 2")
-    open_bands = mixed.join(counts.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "band")
-    dealt = open_bands.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "id", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    sizes = mixed.groupBy("band", "component").agg(F.count("*").alias("m")).groupBy("band").agg(F.max(F.struct("m", "component")).alias("main"), F.sum("m").alias("n"), F.count("*").alias("parts"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.where("parts > 1 and n > 2").select("band", "n", F.col("main.component").alias("main"), blocks(F.col("n")).alias("rb"), blocks(F.col("n") - F.col("main.m")).alias("qb"))
+    sizes = staged(sizes, "open")
+    dealt = join_hot(mixed, sizes.drop("n"), "band", counts=sizes)
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = dealt.where("component <> main").withColumns({"asks": F.lit(True), "q": block("qb")}).withColumn("r", over("rb"))
+    asked = dealt.withColumns({"asks": F.lit(False), "r": block("rb")}).withColumn("q", over("qb"))
+    dealt = asking.unionByName(asked).select("band", "id", "component", "main", "asks", "q", "r")
     sketch = reps.select(F.col("doc_id").alias("id"), "short", "bands").dropDuplicates(["id"])
     dealt = dealt.join(sketch.join(texts.dropDuplicates(["id"]), "id"), "id")
-    links = links.union(staged(dealt.groupBy("band", "low", "high").applyInPandas(_linked, "a long, b long"), "linked"))
+    links = links.union(staged(dealt.groupBy("band", "q", "r").applyInPandas(_linked, "a long, b long"), "linked"))
     label = components(links.union(twins.select("a", "b")))
     out = rows.select("doc_id", "n_shingles").join(label.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")

@@ -1,15 +1,20 @@
 """Quality rules: robust multivariate outliers.
 
-Statistics of every whole text become a vector of transformed ratios. For each language and source
-(and for the whole corpus, which stands in where a group is small) the minimum covariance
-determinant estimate is found by concentration steps over all rows: distances under the current
-centre and scatter are binned, moments are summed for each group and bin before the shuffle, and
-the bins holding the nearest three quarters of the group give the next centre and scatter. No group
-is gathered: a step moves one row of moments per group and bin. A document whose squared
-Mahalanobis distance exceeds the cut is rejected.
+Statistics of every whole text become a vector of transformed ratios. For each language and source,
+each language and the whole corpus the minimum covariance determinant estimate is found by
+concentration steps over all rows: distances under the current centre and scatter are binned,
+moments are summed for each group and bin before the shuffle, and the bins holding the nearest three
+quarters of the group give the next centre and scatter; a last step reweights, over all rows within
+the 97.5% quantile. No group is gathered: a step moves one row of moments per group and bin.
+
+A group's estimate counts as its n rows against PRIOR rows of its language's, and that likewise
+against the corpus's: a group of many rows is judged by itself, a group of a few mostly by its
+language, without a size at which the rule changes. A document whose squared Mahalanobis distance
+exceeds the cut is rejected.
 
 Null text has no words, so it fails the base rule; null lang or source form groups of their own.
-An empty table gives an empty result. Repeated rows count as often as they stand.
+An empty table gives an empty result. Repeated rows count as often as they stand. Columns of any name
+pass through reject_outliers; with_stats leaves out columns whose names are those of its statistics.
 """
 
 from __future__ import annotations
@@ -33,8 +38,10 @@ MORE = ["n_lines", "n_upper", "n_punct", "n_digits", "n_distinct"]
 #: Components of the vector and the least standard deviation of each, in its own unit.
 VECTOR = {"length": 0.06, "symbols": 0.25, "dup_lines": 0.7, "repeats": 0.8, "upper": 0.25, "punct": 0.25}
 P = len(VECTOR)
-#: Share of a group that the estimate rests on, concentration steps, rows below which the corpus stands in.
-SHARE, STEPS, LEAST = 0.75, 6, 300
+#: Share of a group that the estimate rests on, concentration steps, quantile of the reweighting step.
+SHARE, STEPS, WITHIN = 0.75, 6, 0.975
+#: Rows that the wider group's estimate counts for beside a group's own.
+PRIOR = 100
 #: Groups up to which their parameters (under 1 KB each) are broadcast; beyond, they are joined.
 BROADCAST_GROUPS = 20_000
 #: Cut on the squared distance: a chi-squared quantile (upper tail) times a factor for tails heavier than normal.
@@ -73,7 +80,8 @@ def text_stats(raw: bytes, cache: WordHashes) -> tuple[int, ...]:
 
 def with_stats(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """keep (all columns by default) and the statistics of each whole text, under a `q_` prefix."""
-    keep = df.columns if keep is None else keep
+    own = {f"q_{s}" for s in STATS + MORE}
+    keep = [c for c in df.columns if c not in own] if keep is None else keep
 
     def run(batches):
         import pyarrow as pa
@@ -108,10 +116,10 @@ def _base_failed():
     return (F.col("q_n_words") < MIN_WORDS) | (100 * F.col("q_n_repeat_words") > 50 * F.col("q_n_words"))
 
 
-def _group(lang: str | None, source: str | None):
-    """Key of a row's own group; the whole corpus is the empty string."""
+def _groups(lang: str | None, source: str | None) -> list:
+    """Keys of a row's groups: its language and source, its language, the whole corpus (empty)."""
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-")) if c else F.lit("-")
-    return F.concat(part(lang), F.lit("\x1f"), part(source))
+    return [F.concat(part(lang), F.lit("\x1f"), part(source)), part(lang), F.lit("")]
 
 
 def chi2_upper(p: int, tail: float) -> float:
@@ -122,16 +130,19 @@ def chi2_upper(p: int, tail: float) -> float:
     return p * (1 - 2 / (9 * p) + z * math.sqrt(2 / (9 * p))) ** 3
 
 
-PARAMS = "g string, n long, mu array<double>, inv array<double>"
+PARAMS = "g string, n long, mu array<double>, cov array<double>, inv array<double>"
+
+
+def _floored(cov: np.ndarray) -> np.ndarray:
+    floor = np.array(list(VECTOR.values())) ** 2
+    return cov + np.diag(np.maximum(0, floor - np.diag(cov)))
 
 
 def _params(g: str, n: int, mu: np.ndarray, cov: np.ndarray):
     import pandas as pd
 
-    floor = np.array(list(VECTOR.values())) ** 2
-    cov = cov + np.diag(np.maximum(0, floor - np.diag(cov)))
-    inv = np.linalg.inv(cov)
-    return pd.DataFrame({"g": [g], "n": [n], "mu": [mu.tolist()], "inv": [inv.ravel().tolist()]})
+    cov = _floored(cov)
+    return pd.DataFrame({"g": [g], "n": [n], "mu": [mu.tolist()], "cov": [cov.ravel().tolist()], "inv": [np.linalg.inv(cov).ravel().tolist()]})
 
 
 def _first(pdf):
@@ -150,21 +161,32 @@ def _first(pdf):
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
-def _step(pdf):
-    """From moments for each bin of distance to the next centre and scatter."""
+def _bin(d: float) -> int:
+    """The bin of a squared distance, as in fit()."""
+    return min(800, math.floor(16 * math.log1p(d)))
+
+
+def _moments(pdf, kept: float, upto: float | None = None):
+    """Centre and scatter from moments for each bin of distance: of the nearest share `kept`, or of the
+    bins up to a distance. The nearest rows of a normal group have a smaller scatter than the group."""
     pdf = pdf.sort_values("b")
     n = int(pdf.c.sum())
-    last = int(np.searchsorted(np.cumsum(pdf.c.to_numpy()), math.ceil(SHARE * n)))
-    near = pdf.iloc[: last + 1]
+    near = pdf.iloc[: int(np.searchsorted(np.cumsum(pdf.c.to_numpy()), math.ceil(kept * n))) + 1] if upto is None else pdf[pdf.b <= _bin(upto)]
+    near = near if len(near) else pdf
     c = near.c.sum()
     mu = np.array([near[f"s{i}"].sum() for i in range(P)]) / c
     cov = np.zeros((P, P))
     for i, j in PAIRS:
         cov[i, j] = cov[j, i] = near[f"m{i}_{j}"].sum() / c - mu[i] * mu[j]
-    # the nearest share of a normal group has a smaller scatter than the group
-    q, kept = chi2_upper(P, 1 - SHARE), SHARE
-    beyond = _chi2_cdf(P + 2, q)
-    return _params(pdf.g.iloc[0], n, mu, cov * (kept / beyond))
+    return _params(pdf.g.iloc[0], n, mu, cov * (kept / _chi2_cdf(P + 2, chi2_upper(P, 1 - kept))))
+
+
+def _step(pdf):
+    return _moments(pdf, SHARE)
+
+
+def _reweighted(pdf):
+    return _moments(pdf, WITHIN, chi2_upper(P, 1 - WITHIN))
 
 
 def _chi2_cdf(p: int, x: float) -> float:
@@ -173,46 +195,72 @@ def _chi2_cdf(p: int, x: float) -> float:
     return NormalDist().cdf(((x / p) ** (1 / 3) - (1 - 2 / (9 * p))) / math.sqrt(2 / (9 * p)))
 
 
-def _distance(prefix: str = "x"):
-    d = [F.col(f"{prefix}{i}") - F.col("mu")[i] for i in range(P)]
+def _distance(x: str, mu: str, inv: str):
+    d = [F.col(f"{x}{i}") - F.col(mu)[i] for i in range(P)]
     total = F.lit(0.0)
     for i, j in PAIRS:
-        total = total + (1 if i == j else 2) * d[i] * d[j] * F.col("inv")[i * P + j]
+        total = total + (1 if i == j else 2) * d[i] * d[j] * F.col(inv)[i * P + j]
     return total
 
 
+def toward(n: float, mu: np.ndarray, cov: np.ndarray, wider_mu: np.ndarray, wider_cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A group's centre and scatter with PRIOR rows of the wider group's beside its n."""
+    w = n / (n + PRIOR)
+    return w * mu + (1 - w) * wider_mu, w * cov + (1 - w) * wider_cov
+
+
+def _combined(frames):
+    """From a group's estimate (mu, cov), its language's (1) and the corpus's (2): g, mu, inv."""
+    import pandas as pd
+
+    square = lambda v: np.array(v, float).reshape(P, P)
+    for pdf in frames:
+        mus, invs = [], []
+        for r in pdf.itertuples():
+            mu, cov = toward(r.n1, np.array(r.mu1), square(r.cov1), np.array(r.mu2), square(r.cov2))
+            mu, cov = toward(r.n, np.array(r.mu), square(r.cov), mu, cov)
+            mus.append(mu.tolist())
+            invs.append(np.linalg.inv(_floored(cov)).ravel().tolist())
+        yield pd.DataFrame({"g": pdf.g, "q_mu": mus, "q_inv": invs})
+
+
 def fit(stats: DataFrame, lang: str | None = "lang", source: str | None = "source") -> tuple[DataFrame, bool]:
-    """Centre and inverse scatter of each group of a staged table with statistics, and of the corpus
-    (key ''); and whether they are few enough to broadcast."""
-    rows = stats.where(~_base_failed()).select(_group(lang, source).alias("own"), *[x.alias(f"x{i}") for i, x in enumerate(_vector())])
-    rows = rows.withColumn("g", F.explode(F.array("own", F.lit("")))).drop("own")
+    """g, q_mu, q_inv: centre and inverse scatter by which each language and source of a staged table
+    with statistics is judged; and whether they are few enough to broadcast."""
+    own, wide, corpus = _groups(lang, source)
+    rows = stats.where(~_base_failed()).select(own.alias("own"), wide.alias("wide"), *[x.alias(f"x{i}") for i, x in enumerate(_vector())])
+    pairs = staged(rows.select("own", "wide").distinct(), "groups")
+    rows = rows.withColumn("g", F.explode(F.array("own", "wide", corpus))).drop("own", "wide")
     coordinate = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.round(F.col(f"x{k}") / 0.02).cast("long").alias("b")) for k in range(P)]))
     binned = rows.select("g", coordinate.alias("v")).groupBy("g", "v.k", "v.b").agg(F.count("*").alias("c"))
     params = staged(binned.groupBy("g").applyInPandas(_first, PARAMS), "mcd0")
     few = params.count() <= BROADCAST_GROUPS
-    for k in range(STEPS):
-        at = rows.join(F.broadcast(params) if few else params, "g").withColumn("d", _distance())
+    for k, step in enumerate([*[_step] * STEPS, _reweighted]):
+        at = rows.join(F.broadcast(params) if few else params, "g").withColumn("d", _distance("x", "mu", "inv"))
         at = at.withColumn("b", F.least(F.floor(16 * F.log1p(F.greatest("d", F.lit(0.0)))), F.lit(800)).cast("long"))
         sums = at.groupBy("g", "b").agg(F.count("*").alias("c"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(P)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"m{i}_{j}") for i, j in PAIRS])
-        params = staged(sums.groupBy("g").applyInPandas(_step, PARAMS), f"mcd{k + 1}")
-    return params, few
+        params = staged(sums.groupBy("g").applyInPandas(step, PARAMS), f"mcd{k + 1}")
+    named = lambda n: [F.col(c).alias(f"{c}{n}") for c in ("n", "mu", "cov")]
+    every = pairs.join(params.select(F.col("g").alias("own"), "n", "mu", "cov"), "own").join(params.select(F.col("g").alias("wide"), *named(1)), "wide")
+    every = every.withColumn("any", F.lit("")).join(params.select(F.col("g").alias("any"), *named(2)), "any")
+    return staged(every.withColumnRenamed("own", "g").mapInPandas(_combined, "g string, q_mu array<double>, q_inv array<double>"), "estimates"), few
 
 
-def verdicts(stats: DataFrame, params: DataFrame, few: bool, lang: str | None = "lang", source: str | None = "source") -> DataFrame:
+def verdicts(stats: DataFrame, estimates: DataFrame, few: bool, lang: str | None = "lang", source: str | None = "source") -> DataFrame:
     """stats with q_base_failed, q_distance (squared) and q_kept."""
-    xs = [f"__x{i}" for i in range(P)]
-    rows = stats.withColumns({"__g": _group(lang, source), **{x: v for x, v in zip(xs, _vector())}})
-    own = params.where((F.col("n") >= LEAST) & (F.col("g") != "")).select(F.col("g").alias("__g"), F.col("mu").alias("mu_own"), F.col("inv").alias("inv_own"))
-    corpus = params.where("g = ''").select(F.col("mu").alias("mu_all"), F.col("inv").alias("inv_all"), F.lit(True).alias("__any"))  # at most one row
-    out = rows.join(F.broadcast(own) if few else own, "__g", "left").withColumn("__any", F.lit(True)).join(F.broadcast(corpus), "__any", "left")
-    out = out.withColumns({"mu": F.coalesce("mu_own", "mu_all"), "inv": F.coalesce("inv_own", "inv_all")})
-    out = out.withColumns({"q_base_failed": _base_failed(), "q_distance": _distance("__x")})
+    xs = [f"q_x{i}" for i in range(P)]
+    rows = stats.withColumns({"q_g": _groups(lang, source)[0], **{x: v for x, v in zip(xs, _vector())}})
+    estimates = estimates.withColumnRenamed("g", "q_g")
+    out = rows.join(F.broadcast(estimates) if few else estimates, "q_g", "left")
+    out = out.withColumns({"q_base_failed": _base_failed(), "q_distance": _distance("q_x", "q_mu", "q_inv")})
     out = out.withColumn("q_kept", ~F.col("q_base_failed") & (F.coalesce(F.col("q_distance"), F.lit(0.0)) <= HEAVY * chi2_upper(P, TAIL)))
     return out.select(*stats.columns, "q_base_failed", "q_distance", "q_kept")
 
 
 def reject_outliers(df: DataFrame, text: str = "text", lang: str | None = "lang", source: str | None = "source") -> DataFrame:
     """The rows of df that are kept, with df's columns. Texts are read twice and never shuffled."""
-    narrow = [c for c in (lang, source) if c]
-    params, few = fit(staged(with_stats(df, text, narrow), "stats"), lang, source)
-    return verdicts(with_stats(df, text), params, few, lang, source).where("q_kept").select(*[F.col(f"`{c}`") for c in df.columns])
+    name = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    rows = df.toDF(*name.values())
+    text, lang, source = name[text], lang and name[lang], source and name[source]
+    estimates, few = fit(staged(with_stats(rows, text, [c for c in (lang, source) if c]), "stats"), lang, source)
+    return verdicts(with_stats(rows, text), estimates, few, lang, source).where("q_kept").select(*rows.columns).toDF(*df.columns)

@@ -34,9 +34,7 @@ def op6_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = staged(quality.with_stats(table(spark, sf_dir, "documents"), keep=["doc_id", "lang", "source"]), "stats")
     out = quality.verdicts(stats, *quality.fit(stats))
-    return out.select("doc_id", "q_n_words", *[f"q_{s}" for s in quality.STATS[1:]], "q_base_failed", "q_kept", "q_distance").toDF(
-        "doc_id", *quality.STATS, "base_failed", "kept", "distance"
-    )
+    return out.select("doc_id", *[f"q_{s}" for s in quality.STATS], "q_base_failed", "q_kept", "q_distance").toDF("doc_id", *quality.STATS, "base_failed", "kept", "distance")
 
 
 @query
@@ -62,7 +60,7 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.digests(chat.segments(chat.neighbours(table(spark, sf_dir, "conversations"))))
+    return chat.segments(chat.swapped_answers(table(spark, sf_dir, "conversations")))
 
 
 ORACLE["op5_preferences"] = chat.ORACLE_SQL

@@ -1,20 +1,27 @@
 """Secret scans with a randomness test battery. DataFrame functions only.
 
 Three fixed patterns give the base spans. Beyond them, every long token of an encoding's alphabet is
-tested: chi-squared uniformity over the alphabet and over its character classes, the number of runs of character classes, and
-the lag-1 serial correlation of alphabet places. A token is a candidate if none of the three
-rejects uniform randomness. What then counts is how unlikely it would be for ordinary text of the same
+tested (an equals sign ends a token, so NAME=value and the parameters of a URL are tested value by
+value): chi-squared uniformity over the alphabet and over its character classes, the number of runs
+of character classes, and the lag-1 serial correlation of alphabet places. A token is a candidate if
+none of the three rejects uniform randomness. What then counts is how unlikely it would be for ordinary text of the same
 length to look that random: under ordinary text the chi-squared statistic is non-central (its excess
 grows with the length) and runs are few, so a short token has little evidence and a long one much.
 These p-values go through the weighted Benjamini-Hochberg procedure over all tokens of the corpus,
 weights growing with length (mean one), by a histogram of bounded size.
 
+A row's spans depend on its text and two numbers of the corpus (mean length and cut), so nothing but
+the histogram is shuffled: `redact` reads the texts twice and rewrites them where they lie.
+
 Spans are in code points, end exclusive. Null text is empty and has none. Tokens that lie in a base
-span are not repeated. Rows are independent; an empty table gives an empty result.
+span are not repeated. Rows are independent, also those that repeat a doc_id; columns of any other
+name are neither read nor lost. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +34,19 @@ ACCESS = "AKIA[A-Z0-9]{16,}"  # a whole run of 20 or more; a shorter run holds n
 HEX = "[0-9a-f]{24,}"  # likewise
 KINDS = ["assign", "access", "hex", "random"]
 
-#: Tokens that are tested; shorter ones carry no evidence.
-TOKEN = "[A-Za-z0-9+/_=-]{20,}"
+#: Tokens that are tested, with their padding; shorter ones carry no evidence.
+TOKEN = "[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 #: One-case words and numbers: uniformity over 62 or more symbols is beyond them.
-PLAIN = "^[A-Z]?[a-z]+$|^[A-Z]+$|^[0-9]+$|^[-_=+/]+$"
+PLAIN = "^[A-Z]?[a-z]+$|^[A-Z]+$|^[0-9]+$|^[-_+/]+=*$"
 #: Encodings in the order they are tried: pattern, alphabet, chance that two characters of ordinary
 #: text in it agree, chance that the class changes from one character to the next in ordinary text.
 ENCODINGS = [
     ("hex", "^[0-9a-f]+$", "0123456789abcdef", 0.12, 0.15),
     ("HEX", "^[0-9A-F]+$", "0123456789ABCDEF", 0.12, 0.15),
     ("base32", "^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.065, 0.12),
+    ("base32 lower", "^[a-z2-7]+=*$", "abcdefghijklmnopqrstuvwxyz234567", 0.065, 0.12),
+    ("base36", "^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 0.065, 0.12),
+    ("base36 upper", "^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.065, 0.12),
     ("base62", "^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 0.06, 0.15),
     ("base64", "^[A-Za-z0-9+/]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.06, 0.18),
     ("base64url", "^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 0.06, 0.18),
@@ -69,89 +79,94 @@ def _joined(spans: str) -> str:
     return f"array_join(transform({spans}, s -> concat({names}[s.kind], ':', s.start, ':', s.end)), ',')"
 
 
-def _battery() -> str:
-    """SQL for a token's (enc, len, evidence): the encoding's number from 1 (0: none, or not random),
-    and -log10 of the chance that ordinary text looks as random."""
-    enc = "CASE " + " ".join(f"WHEN tok rlike '{p}' THEN {i}" for i, (_, p, *_) in enumerate(ENCODINGS, 1)) + " ELSE 0 END"
-    pick = lambda f: "CASE enc " + " ".join(f"WHEN {i} THEN {f(e)}" for i, e in enumerate(ENCODINGS, 1)) + " END"
-    return enc, pick  # type: ignore[return-value]
-
-
-def _tested(tokens: DataFrame) -> DataFrame:
-    """Adds enc, len, random (the battery does not reject) and evidence to rows with a token `tok`."""
-    enc, pick = _battery()
-    t = tokens.withColumn("enc", F.expr(enc)).withColumn("body", F.regexp_replace("tok", "=+$", ""))
-    t = t.withColumns({"len": F.length("body"), "k": F.expr(pick(lambda e: len(e[2]))), "alphabet": F.expr(pick(lambda e: f"'{e[2]}'")), "agree": F.expr(pick(lambda e: e[3])), "change": F.expr(pick(lambda e: e[4]))})
-    t = t.withColumn("chars", F.expr("split(body, '')"))
-    t = t.withColumn("square", F.expr("aggregate(array_distinct(chars), 0L, (a, c) -> a + (len - length(replace(body, c, ''))) * (len - length(replace(body, c, ''))))"))
+def _battery() -> list[tuple[str, str]]:
+    """Fields of a tested token, each from those before it: SQL over a token `s`."""
+    pick = lambda f: "CASE s.enc " + " ".join(f"WHEN {i} THEN {f(e)}" for i, e in enumerate(ENCODINGS, 1)) + " END"
     # classes: digit, lower case, upper case, other; chances of each under uniform randomness
     share = lambda e: [sum(f(c) for c in e[2]) / len(e[2]) for f in (str.isdigit, str.islower, str.isupper, lambda c: not c.isalnum())]
-    t = t.withColumn("uniform_change", F.expr(pick(lambda e: round(1 - sum(x * x for x in share(e)), 6))))
-    t = t.withColumn("class", F.expr("split(translate(body, '0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_', concat(repeat('0', 10), repeat('1', 26), repeat('2', 26), '3333')), '')"))
-    # uniformity over the classes as well: names in mixed case spread over letters but hold few capitals and digits
     shares = lambda e: [(i, x) for i, x in zip((0, 1, 2, 3), share(e)) if x]
-    by_class = lambda e: "(" + " + ".join(f"power(size(filter(class, c -> c = '{i}')), 2) / (len * {x}D)" for i, x in shares(e)) + f" - len) / {[0, 1, 10.8, 13.8, 16.3][len(shares(e))]}D"
-    t = t.withColumn("class_chi2", F.expr(pick(by_class)))
-    t = t.withColumn("changes", F.expr("size(filter(zip_with(slice(class, 2, len - 1), slice(class, 1, len - 1), (x, y) -> x <> y), x -> x))"))
-    t = t.withColumn("place", F.expr("transform(chars, c -> cast(instr(alphabet, c) as double))"))
-    t = t.withColumn("mean", F.expr("aggregate(place, 0D, (a, x) -> a + x) / len"))
-    t = t.withColumn("spread", F.expr("aggregate(place, 0D, (a, x) -> a + (x - mean) * (x - mean))"))
-    t = t.withColumn("serial", F.expr("aggregate(zip_with(slice(place, 2, len - 1), slice(place, 1, len - 1), (x, y) -> (x - mean) * (y - mean)), 0D, (a, x) -> a + x)"))
-    t = t.withColumn("chi2", F.expr("k * square / cast(len as double) - len"))
-    z_chi = "(chi2 - (k - 1)) / sqrt(2D * (k - 1))"
-    z_runs = "(changes - (len - 1) * uniform_change) / sqrt((len - 1) * uniform_change * (1 - uniform_change))"
-    z_serial = "if(spread > 0, (serial / spread + 1D / len) * sqrt(len), 99D)"
-    t = t.withColumn("random", F.expr(f"enc > 0 and class_chi2 <= 1 and abs({z_chi}) <= {REJECT} and abs({z_runs}) <= {REJECT} and abs({z_serial}) <= {REJECT}"))
-    far = "len * (k * agree - 1)"
-    t = t.withColumn("away", F.expr(f"((k - 1 + {far} - chi2) / sqrt(2D * (k - 1 + 2 * {far})) + (changes - (len - 1) * change) / sqrt((len - 1) * change * (1 - change))) / sqrt(2D)"))
+    # uniformity over the classes as well: names in mixed case spread over letters but hold few capitals and digits
+    by_class = lambda e: "(" + " + ".join(f"power(size(filter(s.class, c -> c = '{i}')), 2) / (s.len * {x}D)" for i, x in shares(e)) + f" - s.len) / {[0, 1, 10.8, 13.8, 16.3][len(shares(e))]}D"
+    z_chi = "(s.chi2 - (s.k - 1)) / sqrt(2D * (s.k - 1))"
+    z_runs = "(s.changes - (s.len - 1) * s.uniform_change) / sqrt((s.len - 1) * s.uniform_change * (1 - s.uniform_change))"
+    z_serial = "if(s.spread > 0, (s.serial / s.spread + 1D / s.len) * sqrt(s.len), 99D)"
+    far = "s.len * (s.k * s.agree - 1)"
     # upper tail of the normal distribution beyond `away`, by a bound on Mills' ratio
-    tail = "if(away <= 0, 0D, (away * away / 2 + ln(sqrt(2 * pi()) * (away + sqrt(away * away + 8 / pi())) / 2)) / ln(10D))"
-    return t.withColumn("evidence", F.expr(f"least({BINS - 1}, greatest(0, floor(if(random, {tail}, 0D) / {BIN})))").cast("int"))
+    tail = "if(s.away <= 0, 0D, (s.away * s.away / 2 + ln(sqrt(2 * pi()) * (s.away + sqrt(s.away * s.away + 8 / pi())) / 2)) / ln(10D))"
+    return [
+        ("enc", "CASE " + " ".join(f"WHEN s.tok rlike '{p}' THEN {i}" for i, (_, p, *_) in enumerate(ENCODINGS, 1)) + " ELSE 0 END"),
+        ("body", "regexp_replace(s.tok, '=+$', '')"),
+        ("len", "length(s.body)"), ("k", pick(lambda e: len(e[2]))), ("alphabet", pick(lambda e: f"'{e[2]}'")), ("agree", pick(lambda e: f"{e[3]}D")), ("change", pick(lambda e: f"{e[4]}D")),
+        ("uniform_change", pick(lambda e: f"{round(1 - sum(x * x for x in share(e)), 6)}D")),
+        ("chars", "split(s.body, '')"),
+        ("class", "split(translate(s.body, '0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_', concat(repeat('0', 10), repeat('1', 26), repeat('2', 26), '3333')), '')"),
+        ("chi2", "s.k * aggregate(array_distinct(s.chars), 0L, (a, c) -> a + (s.len - length(replace(s.body, c, ''))) * (s.len - length(replace(s.body, c, '')))) / cast(s.len as double) - s.len"),
+        ("class_chi2", pick(by_class)),
+        ("changes", "size(filter(zip_with(slice(s.class, 2, s.len - 1), slice(s.class, 1, s.len - 1), (x, y) -> x <> y), x -> x))"),
+        ("place", "transform(s.chars, c -> cast(instr(s.alphabet, c) as double))"),
+        ("mean", "aggregate(s.place, 0D, (a, x) -> a + x) / s.len"),
+        ("spread", "aggregate(s.place, 0D, (a, x) -> a + (x - s.mean) * (x - s.mean))"),
+        ("serial", "aggregate(zip_with(slice(s.place, 2, s.len - 1), slice(s.place, 1, s.len - 1), (x, y) -> (x - s.mean) * (y - s.mean)), 0D, (a, x) -> a + x)"),
+        ("random", f"s.enc > 0 and s.class_chi2 <= 1 and abs({z_chi}) <= {REJECT} and abs({z_runs}) <= {REJECT} and abs({z_serial}) <= {REJECT}"),
+        ("away", f"((s.k - 1 + {far} - s.chi2) / sqrt(2D * (s.k - 1 + 2 * {far})) + (s.changes - (s.len - 1) * s.change) / sqrt((s.len - 1) * s.change * (1 - s.change))) / sqrt(2D)"),
+        ("evidence", f"cast(least({BINS - 1}, greatest(0, floor(if(s.random, {tail}, 0D) / {BIN}))) as int)"),
+    ]
+
+
+def _tested(tokens: str) -> str:
+    """SQL for an array of tokens (start, end, tok) with len (at most LONG), random (the battery does
+    not reject) and evidence (bin of -log10 of the chance that ordinary text looks as random)."""
+    fields = ["start", "end", "tok"]
+    for name, value in _battery():
+        tokens = f"transform({tokens}, s -> named_struct({', '.join(f"'{f}', s.{f}" for f in fields)}, '{name}', {value}))"
+        fields.append(name)
+    return f"transform({tokens}, s -> named_struct('start', s.start, 'end', s.end, 'len', least(s.len, {LONG}), 'random', s.random, 'evidence', s.evidence))"
 
 
 def _scanned(df: DataFrame, text: str, keep: list) -> DataFrame:
-    """keep, base (array of spans), tested (array of start, end, len, evidence)."""
-    t = "coalesce(cast(`__t` as string), '')"
-    rows = df.select(*keep, F.col(f"`{text}`").alias("__t")).withColumn("__t", F.expr(t))
-    base = f"array_sort(concat({_spans('__t', ASSIGN, 0, ASSIGN_VALUE)}, {_spans('__t', ACCESS, 1)}, {_spans('__t', HEX, 2)}))"
-    rows = rows.withColumns({"base": F.expr(base), "tokens": F.expr(_spans("__t", TOKEN, 3))})
+    """keep (aliased apart from t, base, tested), t (the text), base (array of spans), tested."""
+    rows = df.select(*keep, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
+    base = f"array_sort(concat({_spans('t', ASSIGN, 0, ASSIGN_VALUE)}, {_spans('t', ACCESS, 1)}, {_spans('t', HEX, 2)}))"
+    rows = rows.withColumns({"base": F.expr(base), "tokens": F.expr(_spans("t", TOKEN, 3))})
     inside = "exists(base, b -> b.start <= s.start and s.end <= b.end)"
-    rows = rows.withColumn("tokens", F.expr(f"transform(filter(tokens, s -> not {inside}), s -> named_struct('start', s.start, 'end', s.end, 'tok', substring(__t, s.start + 1, s.end - s.start)))"))
-    return rows.withColumn("tokens", F.expr(f"filter(tokens, s -> not s.tok rlike '{PLAIN}')")).drop("__t")
-
-
-def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, base and found: arrays of (start, kind, end), kind by its place in KINDS."""
-    rows = staged(_scanned(df, text, [F.col(f"`{doc_id}`").alias("doc_id"), F.monotonically_increasing_id().alias("row")]), "scan")
-    tokens = rows.where(F.size("tokens") > 0).select("row", F.explode("tokens").alias("s")).select("row", "s.start", "s.end", "s.tok")
-    tested = staged(_tested(tokens).select("row", "start", "end", F.least("len", F.lit(LONG)).alias("len"), "random", "evidence"), "tested")
-    found = tested.where("random").where(F.col("evidence") + F.floor(F.log10(F.col("len") / _mean_length(tested)) / BIN) >= _cut(tested))
-    per_row = found.groupBy("row").agg(F.collect_list(F.expr("named_struct('start', start, 'kind', 3, 'end', end)")).alias("found"))
-    out = rows.join(per_row, "row", "left")
-    return out.select("doc_id", "base", F.expr("coalesce(array_sort(found), cast(array() as array<struct<start:int,kind:int,end:int>>))").alias("found"))
-
-
-def _mean_length(tested: DataFrame):
-    return F.lit(float(tested.agg(F.avg("len")).first()[0] or 1.0))
+    rows = rows.withColumn("tokens", F.expr(f"transform(filter(tokens, s -> not {inside}), s -> named_struct('start', s.start, 'end', s.end, 'tok', substring(t, s.start + 1, s.end - s.start)))"))
+    rows = rows.withColumn("tokens", F.expr(f"filter(tokens, s -> not s.tok rlike '{PLAIN}')"))
+    return rows.withColumn("tested", F.expr(_tested("tokens"))).drop("tokens")
 
 
-def _cut(tested: DataFrame):
-    """The least bin of weighted evidence that the Benjamini-Hochberg procedure accepts."""
-    bins = tested.groupBy("len", "evidence").agg(F.count("*").alias("n")).collect()  # at most LONG x BINS rows
+def _accepted(scanned: DataFrame) -> str:
+    """SQL for the tokens of `tested` that the weighted Benjamini-Hochberg procedure accepts over all of scanned."""
+    bins = scanned.where(F.size("tested") > 0).select(F.explode("tested").alias("s")).groupBy("s.len", "s.evidence").agg(F.count("*").alias("n")).collect()  # at most LONG x BINS rows
     total = sum(r["n"] for r in bins)
     mean = sum(r["n"] * r["len"] for r in bins) / total if total else 1.0
-    import math
-
     by_bin: dict[int, int] = {}
     for r in bins:
-        e = r["evidence"] + math.floor(math.log10(r["len"] / mean) / BIN)
+        e = r["evidence"] + weight_bin(r["len"], mean)
         by_bin[e] = by_bin.get(e, 0) + r["n"]
+    cut = accepted_bin(by_bin, total)
+    weights = ", ".join(str(weight_bin(n, mean)) for n in range(1, LONG + 1))
+    return f"transform(filter(tested, s -> s.random and s.evidence + element_at(array({weights}), s.len) >= {cut}), s -> named_struct('start', s.start, 'kind', 3, 'end', s.end))"
+
+
+def weight_bin(length: int, mean: float) -> int:
+    """Bins that a token's weight, its length over the mean length, adds to its evidence."""
+    return math.floor(math.log10(max(1, length) / mean) / BIN)
+
+
+def accepted_bin(by_bin: dict[int, int], total: int) -> int:
+    """The least bin of weighted -log10 p that the Benjamini-Hochberg procedure accepts: p <= rate * rank / total."""
     cut, so_far = 10**6, 0
     for e in sorted(by_bin, reverse=True):
         so_far += by_bin[e]
         if 10 ** (-BIN * e) <= RATE * so_far / total:
             cut = e
-    return F.lit(cut)
+    return cut
+
+
+def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, base and found: arrays of (start, kind, end), kind by its place in KINDS."""
+    rows = staged(_scanned(df, text, [F.col(f"`{doc_id}`").alias("doc_id")]).drop("t"), "scan")
+    return rows.select("doc_id", "base", F.expr(f"array_sort({_accepted(rows)})").alias("found"))
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -164,19 +179,14 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def redact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """df with every span of its texts replaced by the mark; rows and columns stay.
-
-    Rows are matched to their spans by doc_id and a 64-bit hash of the text, so rows that repeat a
-    doc_id keep their own texts.
-    """
-    keyed = df.withColumn("__h", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    spans = scan(keyed.select(F.struct(F.col(f"`{doc_id}`").alias("d"), F.col("__h").alias("h")).alias("key"), F.col(f"`{text}`").alias("text")), "key", "text")
-    spans = spans.where("size(base) + size(found) > 0").select("doc_id.d", "doc_id.h", F.expr("array_sort(concat(base, found))").alias("__s")).dropDuplicates(["d", "h"])
-    out = keyed.join(spans, F.col(f"`{doc_id}`").eqNullSafe(F.col("d")) & (F.col("__h") == F.col("h")), "left")
-    t = f"`{text}`"
-    fold = f"""aggregate(__s, named_struct('at', 0, 'out', ''),
+    """df with every span of its texts replaced by the mark; rows and columns stay."""
+    accepted = _accepted(staged(_scanned(df, text, []).select("tested"), "tested"))
+    rows = _scanned(df, text, [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)])
+    rows = rows.withColumn("spans", F.expr(f"array_sort(concat(base, {accepted}))"))
+    fold = f"""aggregate(spans, named_struct('at', 0, 'out', ''),
         (a, s) -> if(s.start < a.at, named_struct('at', greatest(a.at, s.end), 'out', a.out),
-            named_struct('at', s.end, 'out', concat(a.out, substring({t}, a.at + 1, s.start - a.at), '{mark}'))),
-        a -> concat(a.out, substring({t}, a.at + 1)))"""
-    clean = F.expr(f"if(__s is null, {t}, {fold})").alias(text)
-    return out.select(*[clean if c == text else F.col(f"`{c}`") for c in df.columns])
+            named_struct('at', s.end, 'out', concat(a.out, substring(t, a.at + 1, s.start - a.at), '{mark}'))),
+        a -> concat(a.out, substring(t, a.at + 1)))"""
+    at = df.columns.index(text)
+    clean = F.expr(f"if(size(spans) = 0, c{at}, {fold})")
+    return rows.select(*[(clean if i == at else F.col(f"c{i}")).alias(c) for i, c in enumerate(df.columns)])

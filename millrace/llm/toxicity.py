@@ -2,16 +2,22 @@
 
 A lexicon of terms and of word beginnings that go with the toxic label is learned from labelled
 rows. The terms form a trie; every distinct token of a text is run through the trie as a
-Levenshtein automaton of one edit, so misspelled terms are found with the path that led to them.
+Levenshtein automaton of one edit (for terms of FUZZY letters or more), so misspelled terms are
+found with the path that led to them.
 Around each hit a window of words is read: quotation marks and words of reporting speak for
 quotation, words of address for abuse. Counts of hits by kind and context feed a logistic
 regression. It is fitted crosswise: each half of the labelled rows is read with the lexicon of the
 other half; texts are then scored with the lexicon of both.
 
 Labels come only from rows whose crc32(doc_id as text) mod 5 is not 0; FIT_ROWS of them, those with
-the least hash of the doc_id, are the documented bound of the sample. Labels, lang, source and doc_id
-never enter a score. Null text is empty; an empty text gets the score of a text without hits. Without
-labels of both kinds every score is the share of toxic rows among what there is (0 if nothing).
+the least hash of the doc_id, are the documented bound of the sample (every term needs SUPPORT of
+them, so the lexicon is bounded too). Labels, lang, source and doc_id never enter a score.
+
+Null text is empty; an empty text gets the score of a text without hits. Without labels of both kinds
+every score is the share of toxic rows among what there is (0 if nothing). Rows that repeat a doc_id
+are scored each by its own text; as a labelled row such a doc_id counts once, by its least text; where
+labels repeat a doc_id, toxic wins. A null doc_id is scored, not labelled, not held out. Columns of
+other names are neither read nor lost. An empty table of documents gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +34,8 @@ from .common import in_batches, staged
 
 #: Labelled rows that are used.
 FIT_ROWS = 16_000
-#: Rows with a term that the lexicon needs, log-odds it needs, and terms and beginnings at most.
-SUPPORT, ODDS, TERMS = 3, 2.5, 4000
+#: Rows with a term that the lexicon needs, and log-odds it needs.
+SUPPORT, ODDS = 3, 2.5
 #: Lengths of word beginnings, and rows with one.
 STEMS, STEM_SUPPORT = (4, 5, 6, 7), 5
 #: Terms of this length or more are also found with one edit.
@@ -38,7 +44,8 @@ WINDOW = 6
 #: Words of reporting and of address in the corpus languages: fixed values.
 REPORT = frozenset("said says wrote writes quoted quote called calls reported claims dit disait écrit cité appelé dijo escribió llamó citó sagte schrieb nannte zitierte".split())
 ADDRESS = frozenset("you your you're u ur yourself tu toi ton ta tes vous votre usted tú te tus ustedes du dich dir dein deine ihr euch".split())
-QUOTES = re.compile("[\"“”„«»‘’]|^'|'$")
+#: Quotation marks; single ones only at the edges of a word, as they are apostrophes within it.
+QUOTES = re.compile("[\"“”„«»]|^\\W*['‘’]|['‘’]\\W*$")
 FEATURES = ["any", "exact", "stem", "fuzzy", "quoted", "addressed", "density", "strongest"]
 
 
@@ -130,7 +137,7 @@ class Scorer:
         if len(self.seen) >= self.limit:
             self.seen.clear()
         core = EDGE.sub("", token)
-        hit = self.trie.find(core) if len(core) >= 3 else None
+        hit = self.trie.find(core) if core else None
         self.seen[token] = hit
         return hit
 
@@ -162,11 +169,11 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)))
     out = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")  # FIT_ROWS rows of 20 bytes
-    return staged(out.select("text", "toxic", "half"), "sample")
+    return staged(out.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.max("half").alias("half")).drop("doc_id"), "sample")
 
 
 def lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Terms and beginnings with their log-odds; at most TERMS of each reach the driver."""
+    """Terms and beginnings with their log-odds: a few for each SUPPORT toxic rows of the bounded sample."""
 
     def count(batches):
         import pyarrow as pa
@@ -174,7 +181,7 @@ def lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
         tally: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                cores = {c for w in set(text.lower().split()) if 3 <= len(c := EDGE.sub("", w)) <= 40}
+                cores = {c for w in set(text.lower().split()) if (c := EDGE.sub("", w))}
                 stems = {c[:k] + "*" for c in cores for k in STEMS if len(c) >= k}
                 tally[1 if toxic else 0].update(cores | stems)
         keys = list(tally[0].keys() | tally[1].keys())
@@ -188,9 +195,8 @@ def lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     counts = counts.withColumn("odds", odds).withColumn("open", F.col("term").endswith("*"))
     good = counts.where((F.col("pos") >= F.when(F.col("open"), STEM_SUPPORT).otherwise(SUPPORT)) & (F.col("odds") >= ODDS))
     out: tuple[dict, dict] = ({}, {})
-    for kind in (False, True):
-        for r in good.where(F.col("open") == kind).orderBy(F.desc(F.col("pos") * F.col("odds")), "term").limit(TERMS).collect():
-            out[int(kind)][r["term"].removesuffix("*")] = float(r["odds"])
+    for r in good.select("open", F.col("term"), "odds").orderBy("term").collect():
+        out[int(r["open"])][r["term"].removesuffix("*")] = float(r["odds"])
     return out
 
 
@@ -235,7 +241,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = sample(docs, labels)
     context = docs.sparkSession.sparkContext
     lexica = [lexicon(rows.where("half = 0")), lexicon(rows.where("half = 1")), lexicon(rows)]
-    shared, key = context.broadcast(lexica), uuid.uuid4().hex  # at most 6 x TERMS terms
+    shared, key = context.broadcast(lexica), uuid.uuid4().hex
 
     def fit_rows(half):
         def run(batches):

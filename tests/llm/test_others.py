@@ -84,10 +84,29 @@ def test_preferences_odd_turns(spark):
     rows = [(1, "chosen", 0, None, None), (1, "chosen", 0, "user", "b"), (1, "rejected", 0, "unknown", ""), (None, "chosen", 0, "user", "x"), (2, "rejected", None, "user", "x"), (3, "other", 0, "user", "x"), (4, "chosen", 5, "assistant", "only")]
     df = spark.createDataFrame(rows, "pair_id long, side string, turn long, role string, text string")
     got = {x.pair_id: x for x in chat.digests(chat.segments(df)).collect()}
+    assert chat.segments(df.withColumns({"part": F.lit(1), "said": F.lit(2), "chosen": F.lit("x"), "split": F.lit(0)})).count() == 2
     assert set(got) == {1, 4} and got[1].prompt_turns == 1 and got[4].chosen_turns == 1 and got[4].chosen_trained == len("only<|end|>\n")
     assert chat.digests(chat.segments(df.limit(0))).count() == 0
 
 
+def test_swapped_answers_share_a_prompt(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d" * 50_000), (1, 4, "user", "bye"), (2, 0, "user", "x"), (2, 1, "assistant", "y"), (4, 0, "user", "alone"), (None, 0, "user", "z"), (2, 1, "assistant", "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("at", F.lit("clash"))
+    show = lambda *t: "".join(f"<|{r}|>\n{x}<|end|>\n" for r, x in t)
+    got = {x.pair_id: x for x in chat.assembled(chat.segments(chat.swapped_answers(df))).collect()}
+    assert set(got) == {1, 2, 4}
+    assert got[1].prompt == show(("user", "a"), ("assistant", "b"), ("user", "c"))
+    assert got[1].chosen == show(("assistant", "d" * 50_000), ("user", "bye")) and got[1].rejected == show(("assistant", "y"))
+    assert got[1].chosen[got[1].chosen_mask[0].start : got[1].chosen_mask[0].end] == "d" * 50_000 + "<|end|>\n" and len(got[1].chosen_mask) == 1
+    assert (got[2].prompt, got[2].chosen, got[2].rejected) == (show(("user", "x")), show(("assistant", "y")), show(("assistant", "")))
+    assert got[4].chosen == show(("user", "alone")) and got[4].rejected == got[4].prompt == ""
+
+
+def test_quotation_marks_and_apostrophes():
+    assert not any(toxicity.QUOTES.search(w) for w in ("don’t", "l'eau", "it's", "plain"))
+    assert all(toxicity.QUOTES.search(w) for w in ("“so", "‘so", "so’,", "«so»", "'so", "so'"))
+
+
 def test_automaton_equals_edit_distance():
     terms = {"idiot": 5.0, "loser": 4.0, "scum": 3.0, "pathetic": 2.0}
     trie = toxicity.Trie(terms, {"lowei": 6.0})
@@ -144,6 +163,8 @@ def test_toxicity_learns_and_holds_out(spark):
     flipped = lab.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     again = {x.doc_id: x.score for x in toxicity.score(frame(spark, docs), flipped).collect()}
     assert all(abs(again[i] - out[i].score) < 1e-12 for i in range(900))  # labels of held-out rows say nothing
+    twice = toxicity.score(frame(spark, docs + docs[:50] + [(1, "another " * 200_000, "en", "a", "", 0)]).withColumns({"toxic": F.lit("x"), "half": F.lit(1)}), lab.union(lab.limit(50))).collect()
+    assert len(twice) == len(docs) + 51 and toxicity.score(frame(spark, []), lab).count() == 0
     empty = toxicity.score(frame(spark, docs[:5]), lab.limit(0)).collect()
     assert len(empty) == 5 and all(x.predicted == 0 for x in empty)
 

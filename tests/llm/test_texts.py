@@ -181,11 +181,53 @@ def test_quality_statistics_and_verdicts(spark):
     assert not out[5000].q_kept and not out[5000].q_base_failed
     assert out[5].q_base_failed and out[15].q_base_failed and not out[15].q_kept
     assert sum(out[1000 + k].q_kept for k in range(400)) >= 398
+    for d, x in brute_distances(stats).items():
+        assert out[d].q_distance == pytest.approx(x, rel=1e-6, abs=1e-9) and out[d].q_kept == (x <= quality.HEAVY * quality.chi2_upper(quality.P, quality.TAIL))
     kept = quality.reject_outliers(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns and kept.where("doc_id = 5000").count() == 0
     assert quality.reject_outliers(frame(spark, [])).count() == 0
 
 
+def brute_distances(stats):
+    """Squared distances of the rows that pass the base rules: the estimates over gathered vectors, group by group."""
+    import math
+
+    names = [f"x{i}" for i in range(quality.P)]
+    rows = stats.where(~quality._base_failed()).select("doc_id", *[g.alias(f"g{i}") for i, g in enumerate(quality._groups("lang", "source"))], *[v.alias(n) for n, v in zip(names, quality._vector())]).toPandas()
+    floor = np.array(list(quality.VECTOR.values())) ** 2
+
+    def floored(c):
+        return c + np.diag(np.maximum(0, floor - np.diag(c)))
+
+    def estimate(x):
+        steps = np.rint(x / 0.02).astype(int)
+        mu = np.array([sorted(c)[math.ceil(len(c) / 2) - 1] for c in steps.T]) * 0.02
+        spread = np.array([sorted(abs(c * 0.02 - m))[math.ceil(len(c) / 2) - 1] for c, m in zip(steps.T, mu)])
+        cov = floored(np.diag((1.4826 * spread) ** 2))
+        for kept in [quality.SHARE] * quality.STEPS + [quality.WITHIN]:
+            d = np.einsum("ni,ij,nj->n", x - mu, np.linalg.inv(cov), x - mu)
+            b = np.minimum(np.floor(16 * np.log1p(np.maximum(d, 0))), 800)
+            upto = sorted(b)[math.ceil(kept * len(b)) - 1] if kept == quality.SHARE else quality._bin(quality.chi2_upper(quality.P, 1 - kept))
+            near = x[b <= upto] if (b <= upto).any() else x
+            mu, cov = near.mean(0), (near.T @ near) / len(near) - np.outer(near.mean(0), near.mean(0))
+            cov = floored(cov * (kept / quality._chi2_cdf(quality.P + 2, quality.chi2_upper(quality.P, 1 - kept))))
+        return len(x), mu, cov
+
+    est = {}
+    for g in ("g0", "g1", "g2"):
+        for key, part in rows.groupby(g):
+            est[g, key] = estimate(part[names].to_numpy())
+    out = {}
+    for r in rows.itertuples():
+        (n, mu, cov), (n1, mu1, cov1), (_, mu2, cov2) = est["g0", r.g0], est["g1", r.g1], est["g2", r.g2]
+        w, w1 = n / (n + quality.PRIOR), n1 / (n1 + quality.PRIOR)
+        mu1, cov1 = w1 * mu1 + (1 - w1) * mu2, w1 * cov1 + (1 - w1) * cov2
+        mu, cov = w * mu + (1 - w) * mu1, floored(w * cov + (1 - w) * cov1)
+        x = np.array([getattr(r, n) for n in names]) - mu
+        out[r.doc_id] = float(x @ np.linalg.inv(cov) @ x)
+    return {d: x for d, x in out.items() if d == d}
+
+
 def brute_targets(sizes, copies=3, weights=(5, 2, 1)):
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     w = {s: weights[i % 3] for i, s in enumerate(order)}
@@ -281,6 +323,23 @@ def test_secret_base_spans(spark):
     assert secrets.scan(frame(spark, [])).count() == 0
 
 
+def r_token(r, alphabet, n):
+    return "".join(r.choice(alphabet) for _ in range(n))
+
+
+def test_false_discovery_control_equals_brute_force(spark):
+    """The cut by bins is the Benjamini-Hochberg step-up over all weighted p-values, one by one."""
+    r = random.Random(6)
+    tokens = [(r.randint(20, 64), r.choice([0, 0, 0, r.randint(0, 200)])) for _ in range(500)]
+    mean = sum(n for n, _ in tokens) / len(tokens)
+    score = [e + secrets.weight_bin(n, mean) for n, e in tokens]
+    p = sorted(10 ** (-secrets.BIN * s) for s in score)
+    k = max((i for i, x in enumerate(p, 1) if x <= secrets.RATE * i / len(p)), default=0)
+    by_bin = Counter(score)
+    cut = secrets.accepted_bin(by_bin, len(tokens))
+    assert k and sum(s >= cut for s in score) == k
+
+
 def test_secret_randomness_battery(spark):
     r = random.Random(4)
     b62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -291,6 +350,10 @@ def test_secret_randomness_battery(spark):
     got = {x.doc_id: x for x in secrets.digests(secrets.scan(frame(spark, rows))).collect()}
     assert sum(got[i].n_random for i in range(60)) >= 48
     assert sum(got[100 + i].n_random for i in range(60)) == 0
+    glued = [(500 + i, f"AWS_SECRET_ACCESS_KEYS={r_token(r, b62, 40)}&x=1 ?sig={r_token(r, b62, 44)}&y", "en", "a", "", 0) for i in range(30)]
+    glued += [(600 + i, "id " + r_token(r, b62[26:52] + b62[52:], 48) + " or " + r_token(r, "abcdefghijklmnopqrstuvwxyz234567", 56) + "= .", "en", "a", "", 0) for i in range(30)]
+    more = {x.doc_id: x for x in secrets.digests(secrets.scan(frame(spark, rows + glued))).collect()}
+    assert sum(more[500 + i].n_random for i in range(30)) >= 48 and sum(more[600 + i].n_random for i in range(30)) >= 45
     clean = secrets.redact(frame(spark, rows)).where("doc_id < 60 and text like '%[SECRET]%'")
     assert clean.count() >= 48 and secrets.redact(frame(spark, rows)).count() == len(rows)
 
