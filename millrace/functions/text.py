@@ -1,7 +1,6 @@
-"""Column functions on text: cleaning, tokens, units, casing, similarity. All run JVM-side."""
-
-from __future__ import annotations
+"""Column functions on text: cleaning, tokens, units, casing, similarity. All but similarity run JVM-side."""
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -137,18 +136,36 @@ def token_sorted(c: Column) -> Column:
     return F.array_join(F.array_sort(F.split(strip(c), r"\s+")), " ")
 
 
-def similarity(a: str, b: str) -> Column:
-    """100 x 2 x longest common subsequence / total length of two string columns, by name.
+def similarity(a: str, b: str, where: Column | None = None) -> Column:
+    """100 x 2 x longest common subsequence / total length of two string columns, by name; in Arrow
+    batches, and null without a call where `where` does not hold."""
+
+    def common(x: str, y: str) -> int:
+        """Length of the longest common subsequence: a row of the usual table as the bits of one integer."""
+        at: dict[str, int] = {}
+        for i, c in enumerate(y):
+            at[c] = at.get(c, 0) | 1 << i
+        every = row = (1 << len(y)) - 1
+        for c in x:
+            hit = row & at.get(c, 0)
+            row = (row + hit | row - hit) & every
+        return len(y) - row.bit_count()
+
+    def one(x, y):
+        return None if x is None or y is None else 100.0 if not x and not y else 200.0 * common(x, y) / (len(x) + len(y))
 
-    A row of the usual table is the running maximum of (match: diagonal + 1, else the cell above),
-    so one fold over a's characters with a fold over b's inside fills it.
-    """
-    row = f"""aggregate(split({a}, ''), array_repeat(0, length({b}) + 1), (r, c) ->
-        aggregate(sequence(1, length({b})), array(0), (o, j) ->
-            concat(o, array(greatest(element_at(o, -1), if(substring({b}, j, 1) = c, element_at(r, j) + 1, element_at(r, j + 1)))))))"""
-    return F.expr(f"CASE WHEN length({a}) + length({b}) = 0 THEN 100D WHEN length({a}) = 0 OR length({b}) = 0 THEN 0D ELSE 200D * element_at({row}, -1) / (length({a}) + length({b})) END")
+    def both(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(list(map(one, x, y)), dtype="float64")
+
+    x, y = (F.col(c) if where is None else F.when(where, F.col(c)) for c in (a, b))
+    return F.pandas_udf(both, "double")(x, y)
 
 
 def could_reach(a: str, b: str, least: float) -> Column:
     """Whether two lengths allow a similarity of at least `least`: the pairs left out cannot reach it."""
     return F.abs(F.length(a) - F.length(b)) <= (1 - least / 100) * (F.length(a) + F.length(b))
+
+
+def could_be_near(a: str, b: str, least: float) -> Column:
+    """could_reach, and the edit distance, which is no more than what the common subsequence leaves, allows it."""
+    return could_reach(a, b, least) & (F.levenshtein(a, b) <= (1 - least / 100) * (F.length(a) + F.length(b)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.operators import caching, describing, evaluating, exporting, layout, mining, reconciling, resolving, validating
-from millrace.queries import CLEAN, PRIORS, TEMPLATES, cleaned, priors_of, query
+from millrace.queries import CLEAN, PRIORS, TEMPLATES, URLS, cleaned, priors_of, query
 from millrace.sources import feed as sources
 from millrace.sources import pages
 
@@ -21,32 +21,20 @@ LCS_SQL = """lcs AS (
 sim AS (SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 100.0 ELSE 200.0 * r[-1] / (length(a) + length(b)) END AS score FROM lcs WHERE i = length(a))"""
 
 
-FUZZY = """misses AS (SELECT DISTINCT Part_Manuf AS name FROM branded WHERE Part_Manuf LIKE 'Suplier%' AND seq % 4 = 1),
+FUZZY = """misses AS (SELECT DISTINCT Part_Manuf AS name FROM branded WHERE Part_Manuf LIKE 'Suplier%'),
 known AS (SELECT raw, manufacturer FROM (SELECT Part_Manuf AS raw, min(manufacturer) AS manufacturer, count(DISTINCT manufacturer) AS n FROM branded
   WHERE Part_Manuf LIKE 'Supplier%' GROUP BY 1) WHERE n = 1),
 na AS (SELECT name, trim(regexp_replace(name, '\\s*\\([^)]*\\)\\s*$', '')) AS a FROM misses),
 kb AS (SELECT trim(regexp_replace(raw, '\\s*\\([^)]*\\)\\s*$', '')) AS b, max(raw) AS raw, arg_max(manufacturer, raw) AS manufacturer FROM known GROUP BY 1),
 pairs AS (SELECT DISTINCT a, b FROM na, kb WHERE abs(length(a) - length(b)) <= 0.3 * (length(a) + length(b)))"""
+NEAREST = """nearest AS (SELECT name, raw, manufacturer, score FROM (SELECT name, raw, manufacturer, score, row_number() OVER (PARTITION BY name ORDER BY score DESC, raw) AS r
+  FROM na JOIN sim USING (a) JOIN kb USING (b) WHERE score >= 70) WHERE r = 1)"""
 
 
-@query(
-    """SELECT name, raw, manufacturer, score FROM (SELECT name, raw, manufacturer, score, row_number() OVER (PARTITION BY name ORDER BY score DESC, raw) AS r
-  FROM na JOIN sim USING (a) JOIN kb USING (b) WHERE score >= 70) WHERE r = 1""",
-    CLEAN + ", " + FUZZY + ", " + LCS_SQL,
-)
+@query("SELECT * FROM nearest", CLEAN + ", " + FUZZY + ", " + LCS_SQL + ", " + NEAREST)
 def resolve_similar(spark, sf_dir):
-    """A fixed quarter of the misspelt rows, as in its SQL; resolve_similar_all has all of them."""
-    return similar_of(cleaned(spark, sf_dir), "Part_Manuf like 'Suplier%' and seq % 4 = 1")
-
-
-@query()
-def resolve_similar_all(spark, sf_dir):
-    """Every distinct misspelt name."""
-    return similar_of(cleaned(spark, sf_dir), "Part_Manuf like 'Suplier%'")
-
-
-def similar_of(rows: DataFrame, which: str) -> DataFrame:
-    misses = rows.where(which).select(F.col("Part_Manuf").alias("name")).distinct()
+    rows = cleaned(spark, sf_dir)
+    misses = rows.where("Part_Manuf like 'Suplier%'").select(F.col("Part_Manuf").alias("name")).distinct()
     known = mining.raw_manufacturers(rows.where("Part_Manuf like 'Supplier%'")).where("size(names) = 1").select("raw", F.col("names")[0].alias("manufacturer"))
     return resolving.by_similarity(misses, known)
 
@@ -63,33 +51,27 @@ def resolve_by_description(spark, sf_dir):
     return resolving.by_description(sources.feed(spark, sf_dir), makers)
 
 
-RESOLVED = """named AS (SELECT Part_Manuf AS raw, count(DISTINCT manufacturer) AS n, min(manufacturer) AS manufacturer FROM branded WHERE Part_Manuf IS NOT NULL AND Part_Manuf NOT LIKE 'Suplier%' GROUP BY 1),
-pairs_b AS (SELECT lower(brand) AS key, arg_min(manufacturer, manufacturer) AS manufacturer FROM branded WHERE brand IS NOT NULL GROUP BY 1)"""
+RESOLVED = """named AS (SELECT Part_Manuf AS raw, count(DISTINCT manufacturer) AS n, min(manufacturer) AS manufacturer, array_to_string(list_sort(list_distinct(list(manufacturer))), '|') AS names
+  FROM branded WHERE Part_Manuf IS NOT NULL AND Part_Manuf NOT LIKE 'Suplier%' GROUP BY 1),
+pairs_b AS (SELECT lower(brand) AS key, min(manufacturer) AS manufacturer FROM branded WHERE brand IS NOT NULL GROUP BY 1),
+cascade AS (SELECT seq, CASE WHEN Part_Manuf IS NULL THEN CASE WHEN p.manufacturer IS NULL THEN 'UNRESOLVED' ELSE 'RESOLVED' END
+    WHEN n = 1 THEN 'RESOLVED' WHEN n > 1 THEN 'NEEDS_DISAMBIGUATION' WHEN s.score >= 85 THEN 'RESOLVED' WHEN s.score >= 70 THEN 'NEEDS_REVIEW' ELSE 'UNRESOLVED' END AS status,
+    CASE WHEN n = 1 THEN named.manufacturer WHEN n IS NULL AND Part_Manuf IS NOT NULL THEN s.manufacturer WHEN Part_Manuf IS NULL THEN p.manufacturer END AS manufacturer_name,
+    CASE WHEN n = 1 THEN Part_Manuf WHEN s.raw IS NOT NULL THEN s.raw WHEN Part_Manuf IS NULL AND p.manufacturer IS NOT NULL THEN 'brand' END AS matched_raw,
+    CASE WHEN n = 1 OR Part_Manuf IS NULL AND p.manufacturer IS NOT NULL THEN 100.0 WHEN n IS NULL THEN coalesce(s.score, 0.0) ELSE 0.0 END AS match_score, CASE WHEN n > 1 THEN names END AS candidates
+  FROM branded LEFT JOIN named ON raw = Part_Manuf LEFT JOIN pairs_b p ON p.key = lower(brand) LEFT JOIN nearest s ON s.name = Part_Manuf)"""
+CASCADE = ", ".join([CLEAN, FUZZY, LCS_SQL, NEAREST, RESOLVED])
 
 
-@query(
-    """SELECT seq, CASE WHEN Part_Manuf IS NULL THEN CASE WHEN p.manufacturer IS NULL THEN 'UNRESOLVED' ELSE 'RESOLVED' END
-    WHEN n = 1 THEN 'RESOLVED' WHEN n > 1 THEN 'NEEDS_DISAMBIGUATION' ELSE 'UNRESOLVED' END AS status,
-    coalesce(CASE WHEN n = 1 THEN named.manufacturer END, CASE WHEN Part_Manuf IS NULL THEN p.manufacturer END) AS manufacturer_name
-  FROM branded LEFT JOIN named ON raw = Part_Manuf LEFT JOIN pairs_b p ON p.key = lower(brand) WHERE seq % 11 <> 1""",
-    CLEAN + ", " + RESOLVED,
-)
+@query("SELECT c.seq, status, manufacturer_name, domain, matched_raw, match_score, candidates FROM cascade c LEFT JOIN domains d ON d.manufacturer = manufacturer_name", URLS + ", " + CASCADE)
 def resolve_cascade(spark, sf_dir):
-    """The rows without a misspelt name, as in its SQL; resolve_cascade_all has the whole feed."""
-    return cascade_of(cleaned(spark, sf_dir), "seq % 11 <> 1").select("seq", "status", "manufacturer_name")
-
-
-@query()
-def resolve_cascade_all(spark, sf_dir):
-    """The whole feed with all output columns, similarity included."""
-    out = cascade_of(cleaned(spark, sf_dir), "true")
-    return out.select("seq", "status", "manufacturer_name", "domain", "matched_raw", "match_score", F.array_join("candidates", "|").alias("candidates"))
+    return cascade_of(cleaned(spark, sf_dir)).select("seq", "status", "manufacturer_name", "domain", "matched_raw", "match_score", F.array_join("candidates", "|").alias("candidates"))
 
 
-def cascade_of(rows: DataFrame, which: str) -> DataFrame:
+def cascade_of(rows: DataFrame) -> DataFrame:
     names = mining.raw_manufacturers(rows.where("not Part_Manuf like 'Suplier%'"))
     brands = rows.where("brand is not null").groupBy(X.brand_key(F.col("brand")).alias("key")).agg(F.min("manufacturer").alias("manufacturer"))
-    return resolving.resolve(rows.where(which).select("seq", "Part_Manuf", "brand", "Part_Desc", "Mfg_Part_Num"), names, brands, mining.domains(rows))
+    return resolving.resolve(rows.select("seq", "Part_Manuf", "brand", "Part_Desc", "Mfg_Part_Num"), names, brands, mining.domains(rows))
 
 
 # ---------------------------------------------------------------- reconciliation

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.sources.staging import kept
 
 from .resolving import lookup
 
@@ -21,21 +22,28 @@ def scores(rows: DataFrame, keywords: DataFrame, prior: DataFrame) -> DataFrame:
     return by_token.unionByName(by_maker).groupBy("seq", "classpath").agg(F.sum("score").alias("score"), F.max("has_kw").alias("has_kw"))
 
 
+def ranked(s: DataFrame) -> DataFrame:
+    """scores with place (1: best; rounded score, then whether a token matched, then the name) and total of each seq."""
+    w = Window.partitionBy("seq")
+    order = [F.desc(F.round("score", 9)), F.desc("has_kw"), F.asc("classpath")]
+    return s.withColumns({"place": F.row_number().over(w.orderBy(*order)), "total": F.sum("score").over(w)})
+
+
 def classify(rows: DataFrame, keywords: DataFrame, prior: DataFrame) -> DataFrame:
     """seq, classpath, confidence (best score's share), method, runner_up; null and 0 without any score."""
-    s = scores(rows.select("seq", "Part_Desc", "manufacturer"), keywords, prior)
-    order = F.struct((-F.round("score", 9)).alias("a"), (-F.col("has_kw")).alias("b"), F.col("classpath").alias("c"))
-    best = s.groupBy("seq").agg(F.min(order).alias("top"), F.sum("score").alias("total"), F.max("score").alias("most"))
-    second = s.join(best.select("seq", "top"), "seq").where(order > F.col("top")).groupBy("seq").agg(F.min(order).alias("next"))
-    out = rows.select("seq").join(best, "seq", "left").join(second, "seq", "left")
-    confidence = F.coalesce(F.round(F.col("most") / F.col("total"), 3), F.lit(0.0))
-    return out.select("seq", F.col("top.c").alias("classpath"), confidence.alias("confidence"), F.lit("RULE_BASED").alias("method"), F.col("next.c").alias("runner_up"))
+    s = ranked(scores(rows.select("seq", "Part_Desc", "manufacturer"), keywords, prior)).where("place <= 2")
+    at = lambda k, c: F.max(F.when(F.col("place") == k, F.col(c)))
+    best = s.groupBy("seq").agg(at(1, "classpath").alias("classpath"), F.round(at(1, "score") / F.max("total"), 3).alias("share"), at(2, "classpath").alias("runner_up"))
+    out = rows.select("seq").join(best, "seq", "left")
+    return out.select("seq", "classpath", F.coalesce("share", F.lit(0.0)).alias("confidence"), F.lit("RULE_BASED").alias("method"), "runner_up")
 
 
-def shortlist(classified: DataFrame, classes: list[str], n: int = 8) -> DataFrame:
-    """seq, candidates: the best, the runner-up, then classes in order, n at most."""
-    every = F.array(*[F.lit(c) for c in sorted(classes)])
-    return classified.select("seq", F.slice(F.array_distinct(F.array_compact(F.concat(F.array("classpath", "runner_up"), every))), 1, n).alias("candidates"))
+def shortlist(classified: DataFrame, classes: DataFrame, n: int = 8) -> DataFrame:
+    """seq, candidates: the best, the runner-up, then classes (column classpath) in order, n at most. The
+    first n classes are all that any row can need, so they travel as one row."""
+    first = classes.select("classpath").where("classpath is not null").distinct().orderBy("classpath").limit(n).agg(F.array_sort(F.collect_list("classpath")).alias("first"))
+    candidates = F.array_distinct(F.array_compact(F.concat(F.array("classpath", "runner_up"), F.col("first"))))
+    return classified.crossJoin(F.broadcast(first)).select("seq", F.slice(candidates, 1, n).alias("candidates"))
 
 
 def accept_answer(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -47,34 +55,45 @@ def accept_answer(rows: DataFrame, known: DataFrame) -> DataFrame:
     return hit.select("seq", F.when(ok, F.col("answer")).otherwise(F.col("classpath")).alias("classpath"), F.when(ok, 1.0).otherwise(F.col("confidence")).alias("confidence"), method.alias("method"))
 
 
-def leave_one_out(rows: DataFrame, held: DataFrame, top: int = 15) -> DataFrame:
-    """seq, classpath, predicted for the rows whose seq is in `held`: keywords and prior as mined without the row.
+def leave_one_out(rows: DataFrame, top: int = 15) -> DataFrame:
+    """seq, classpath, predicted of every row: keywords and prior as mined without the row itself. Rows of
+    a class of their own are left out.
 
-    Counts of all rows are made once; for each held-out row its own contribution is taken off and the
-    top tokens of every class ranked again. Rows of a class of their own are left out. The cost is
-    held rows x vocabulary, so held is a sample.
+    Only a row's own tokens can match, so only their weights and places among a class's tokens are
+    needed. Without the row, a token of it has one row less (in all classes), and so has its count in
+    the row's own class: the weights of its tokens change, those of all others stay. A token's place is
+    then the number of others above it: of the class's tokens that the row does not hold, counted by a
+    lookup among the class's leading weights, and of the row's own, counted among its few matches. As a
+    row holds at most m distinct tokens, the leading `top` + m tokens of a class (m: the most that any
+    row has) are all that can stand above one that is kept. Rows meet classes through shared tokens only.
     """
     rows = rows.where("classpath <> ''")
-    tok = rows.select("seq", "classpath", F.explode(X.tokens(F.col("Part_Desc"))).alias("token"))
-    freq = tok.groupBy("classpath", "token").agg(F.count("*").alias("freq"))
+    tok = kept(rows.select("seq", F.col("classpath").alias("own"), F.explode(X.tokens(F.col("Part_Desc"))).alias("token")), "tokens")
+    freq = tok.groupBy(F.col("own").alias("classpath"), "token").agg(F.count("*").alias("freq"))
     df = freq.groupBy("token").agg(F.sum("freq").alias("df"))
-    sizes = rows.groupBy("classpath").agg(F.count("*").alias("size"))
+    freq = kept(freq.join(df, "token"), "frequencies")
+    sizes = kept(rows.groupBy(F.col("classpath").alias("own")).agg(F.count("*").alias("size")), "sizes")
     n_classes = sizes.count()
-    test = rows.join(held, "seq", "left_semi").join(sizes, "classpath").where("size > 1").select("seq", F.col("classpath").alias("own"), "manufacturer")
-    mine = tok.join(test.select("seq"), "seq", "left_semi").select("seq", "token", F.lit(1).alias("m"))
-    # every (class, token) once for each held-out row, its own contribution taken off
-    vocabulary = freq.join(df, "token")
-    each = test.select("seq", "own").join(F.broadcast(vocabulary)).join(mine, ["seq", "token"], "left")
-    m = F.coalesce("m", F.lit(0))
-    each = each.select("seq", "classpath", "token", m.alias("m"), (F.col("freq") - F.when(F.col("classpath") == F.col("own"), m).otherwise(0)).alias("freq"), (F.col("df") - m).alias("df"))
-    each = each.where("freq > 0").withColumn("weight", F.round(F.col("freq") * (F.lit(n_classes) / F.col("df")), 4))
-    w = Window.partitionBy("seq", "classpath").orderBy(F.desc("weight"), "token")
-    kept = each.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= top) & (F.col("m") == 1))
-    by_token = kept.groupBy("seq", "classpath").agg(F.sum("weight").alias("score"), F.lit(1).alias("has_kw"))
+    weight = lambda f, d: F.round(F.col(f) * (F.lit(n_classes) / F.col(d)), 4)
+    most = tok.groupBy("seq").agg(F.count("*").alias("m")).agg(F.max("m")).first()[0] or 0
+    leading = Window.partitionBy("classpath").orderBy(F.desc("weight"), "token")
+    lead = freq.withColumn("weight", weight("freq", "df")).withColumn("place", F.row_number().over(leading)).where(F.col("place") <= top + most)
+    lead = kept(lead.groupBy("classpath").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "token"))).alias("lead")), "leading")  # top + m each
+    test = rows.withColumnRenamed("classpath", "own").join(sizes, "own").where("size > 1").select("seq", "own", "manufacturer")
+    # the row's tokens in each class that holds them, the row's own contribution taken off
+    mine = tok.join(sizes.where("size > 1").select("own"), "own", "left_semi").join(freq, "token")
+    mine = mine.withColumns({"freq": F.col("freq") - (F.col("classpath") == F.col("own")).cast("int"), "df": F.col("df") - 1}).where("freq > 0").withColumn("weight", weight("freq", "df"))
+    held = tok.groupBy("seq").agg(F.collect_set("token").alias("all"))
+    per = mine.groupBy("seq", "classpath").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "token"))).alias("mine"))
+    per = per.join(held, "seq").join(lead, "classpath")
+    # of the leading tokens that the row does not hold, those before a token of its own; its own before it
+    others = F.filter("lead", lambda x: ~F.array_contains("all", x["token"]))
+    merged = F.slice(F.array_sort(F.concat(F.transform(others, lambda x: F.struct(x["w"].alias("w"), x["token"].alias("token"), F.lit(0).alias("m"))), F.transform("mine", lambda x: F.struct(x["w"].alias("w"), x["token"].alias("token"), F.lit(1).alias("m"))))), 1, top)
+    hits = F.filter(merged, lambda x: x["m"] == 1)
+    by_token = per.select("seq", "classpath", hits.alias("h")).where("size(h) > 0").select("seq", "classpath", F.aggregate("h", F.lit(0.0), lambda a, x: a - x["w"]).alias("score"), F.lit(1).alias("has_kw"))
     prior = rows.where("manufacturer <> ''").groupBy("manufacturer", "classpath").agg(F.count("*").alias("n"))
-    own = test.join(prior, "manufacturer").withColumn("n", F.col("n") - F.when(F.col("classpath") == F.col("own"), 1).otherwise(0)).where("n > 0")
+    own = test.join(lookup(prior), "manufacturer").withColumn("n", F.col("n") - (F.col("classpath") == F.col("own")).cast("int")).where("n > 0")
     by_maker = own.select("seq", "classpath", (BONUS * F.col("n") / F.sum("n").over(Window.partitionBy("seq"))).alias("score"), F.lit(0).alias("has_kw"))
     s = by_token.unionByName(by_maker).groupBy("seq", "classpath").agg(F.sum("score").alias("score"), F.max("has_kw").alias("has_kw"))
-    order = F.struct((-F.round("score", 9)).alias("a"), (-F.col("has_kw")).alias("b"), F.col("classpath").alias("c"))
-    best = s.groupBy("seq").agg(F.min(order).alias("top"))
-    return test.join(best, "seq", "left").select("seq", F.col("own").alias("classpath"), F.col("top.c").alias("predicted"))
+    best = ranked(s).where("place = 1").select("seq", F.col("classpath").alias("predicted"))
+    return test.join(best, "seq", "left").select("seq", F.col("own").alias("classpath"), "predicted")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.sources.staging import kept
 
 CLOSE = 85.0
+#: Ranges into which stride_sample cuts its order.
+RANGES = 256
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -17,7 +20,8 @@ def percent(part: Column, whole: Column) -> Column:
 def match_status(rows: DataFrame, got: str, expected: str, out: str) -> DataFrame:
     """rows with out: NO_GT, MISS, EXACT, or CLOSE (words sorted, similarity 85 or more)."""
     rows = rows.withColumns({"__a": X.token_sorted(F.coalesce(F.col(got), F.lit(""))), "__b": X.token_sorted(F.coalesce(F.col(expected), F.lit("")))})
-    close = F.when(X.could_reach("__a", "__b", CLOSE), X.similarity("__a", "__b") >= CLOSE).otherwise(False)
+    open_ = (F.col("__a") != F.col("__b")) & (F.col("__a") != "") & X.could_be_near("__a", "__b", CLOSE)
+    close = (F.col("__a") == F.col("__b")) | F.coalesce(X.similarity("__a", "__b", open_) >= CLOSE, F.lit(False))
     e, g = X.strip(F.coalesce(F.col(expected), F.lit(""))), X.strip(F.coalesce(F.col(got), F.lit("")))
     status = F.when(e == "", "NO_GT").when(g == "", "MISS").when(e == g, "EXACT").when(close, "CLOSE").otherwise("MISS")
     return rows.withColumn(out, status).drop("__a", "__b")
@@ -82,8 +86,18 @@ def same_lists(rows: DataFrame, got: str, want: str) -> DataFrame:
 
 
 def stride_sample(rows: DataFrame, order: str, keep: Column, step: int) -> DataFrame:
-    """All rows that keep holds for, and every step-th of the others in order."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy(keep).orderBy(order)) - 1
-    return rows.withColumn("__n", n).where(keep | (F.col("__n") % step == 0)).drop("__n")
+    """All rows that keep holds for, and every step-th of the others in order of a number (ties by the row).
+
+    Numbers run in two levels: ranges of the order are counted and the counts summed up, then rows are
+    numbered within their range, so that no task sorts more than a range."""
+    rest = rows.where(~keep)
+    edges = [r for r in (rest.stat.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 1 / (4 * RANGES)) if not rest.isEmpty() else [])]
+    part = F.lit(0)
+    if edges:
+        part = F.aggregate(F.array(*[F.lit(float(e)) for e in edges]), F.lit(0), lambda n, e: n + (F.col(order) > e).cast("int"))
+    rest = kept(rest.withColumn("__part", part), "strided")
+    before = rest.groupBy("__part").agg(F.count("*").alias("n"))
+    before = before.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))  # RANGES rows
+    n = F.row_number().over(Window.partitionBy("__part").orderBy(order, F.xxhash64(*rows.columns))) - 1
+    taken = rest.withColumn("__n", n).join(before, "__part").where((F.col("__n") + F.col("__before")) % step == 0)
+    return rows.where(keep).unionByName(taken.select(*rows.columns))

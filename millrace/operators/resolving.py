@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.sources.staging import kept
 
 #: Name parts that identify nobody: fixed values.
 GENERIC = ["corporation", "company", "inc", "incorporated", "llc", "corp", "manufacturing", "industries", "holding", "holdings", "products", "systems", "group", "co", "ltd", "limited", "international", "usa"]
@@ -17,13 +18,11 @@ COOP_WORDS = [
 ]
 COOP_PREFIXES = [("XOU", "XO Ventilation"), ("MVWP", "Whirlpool Corporation"), ("WDTS", "Whirlpool Corporation"), ("PDSH", "Rheem Manufacturing")]
 ACCEPT, REVIEW = 85.0, 70.0
-#: Bytes up to which a lookup table is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 200_000
 
 
 def lookup(dim: DataFrame) -> DataFrame:
-    """A broadcast hint for a lookup table of checked size; none beyond it."""
-    return F.broadcast(dim) if dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dim
+    """A mined lookup table, computed once: Spark sees its size and broadcasts it only where it is small."""
+    return kept(dim, "lookup")
 
 
 def coop_rule(desc: Column, mpn: Column) -> Column:
@@ -54,7 +53,7 @@ def by_similarity(names: DataFrame, known: DataFrame, least: float = REVIEW) ->
     width = least / 100
     # lengths with |la - lb| <= (1 - least) (la + lb): lb within la x least / (2 - least) .. la x (2 - least) / least
     reach = F.sequence(F.ceil(F.length("a") * (width / (2 - width))).cast("int"), F.floor(F.length("a") * ((2 - width) / width)).cast("int"))
-    pairs = a.withColumn("n", F.explode(reach)).join(b.withColumn("n", F.length("b")), "n").where(X.could_reach("a", "b", least))
+    pairs = kept(a, "names").withColumn("n", F.explode(reach)).join(kept(b, "known").withColumn("n", F.length("b")), "n").where(X.could_reach("a", "b", least))
     scored = pairs.withColumn("score", X.similarity("a", "b")).where(F.col("score") >= least)
     w = Window.partitionBy("name").orderBy(F.desc("score"), "k.raw")
     return scored.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("name", "k.raw", "k.manufacturer", "score")
@@ -67,11 +66,12 @@ def resolve(rows: DataFrame, raw_names: DataFrame, brands: DataFrame, domains: D
     name in the description; with it: exact name, candidates (one cooperative's by rule), similarity.
     Only what the equi-joins leave reaches the similarity step.
     """
+    raw_names = lookup(raw_names)
     known = raw_names.where("size(names) = 1").select("raw", F.col("names")[0].alias("exact"))
     several = raw_names.where("size(names) > 1").select("raw", F.col("names").alias("candidates"))
-    out = rows.join(lookup(known.withColumnRenamed("raw", "Part_Manuf")), "Part_Manuf", "left").join(lookup(several.withColumnRenamed("raw", "Part_Manuf")), "Part_Manuf", "left")
-    key = brands.select(F.col("key").alias("__key"), F.col("manufacturer").alias("by_brand")).dropDuplicates(["__key"])
-    out = out.withColumn("__key", F.when(F.col("Part_Manuf").isNull(), X.brand_key(F.col("brand")))).join(lookup(key), "__key", "left")
+    out = rows.join(known.withColumnRenamed("raw", "Part_Manuf"), "Part_Manuf", "left").join(several.withColumnRenamed("raw", "Part_Manuf"), "Part_Manuf", "left")
+    key = brands.groupBy(F.col("key").alias("__key")).agg(F.min("manufacturer").alias("by_brand"))
+    out = kept(out.withColumn("__key", F.when(F.col("Part_Manuf").isNull(), X.brand_key(F.col("brand")))).join(lookup(key), "__key", "left"), "named")
     nameless = out.where("Part_Manuf is null and by_brand is null")
     told = by_description(nameless.select("seq", "Part_Desc"), raw_names.select(F.explode("names").alias("manufacturer")).distinct())
     out = out.join(told.withColumnRenamed("manufacturer", "by_text"), "seq", "left")
@@ -79,7 +79,7 @@ def resolve(rows: DataFrame, raw_names: DataFrame, brands: DataFrame, domains: D
     left = out.where("Part_Manuf is not null and exact is null and candidates is null").select(F.col("Part_Manuf").alias("name"))
     near = by_similarity(left, known.withColumnRenamed("exact", "manufacturer"))
     near = near.select(F.col("name").alias("Part_Manuf"), F.col("raw").alias("near_raw"), F.col("manufacturer").alias("near_name"), "score")
-    out = out.join(near, "Part_Manuf", "left")
+    out = out.join(lookup(near), "Part_Manuf", "left")
     ruled = F.col("exact").isNull() & F.col("candidates").isNotNull()
     status = (
         F.when(F.col("exact").isNotNull() | (ruled & F.col("by_rule").isNotNull()), "RESOLVED").when(ruled, "NEEDS_DISAMBIGUATION")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.sources.staging import kept
 
 from .resolving import lookup
 
@@ -19,14 +20,14 @@ def repaired(attributes: DataFrame, allowed: DataFrame) -> DataFrame:
     """attributes with value repaired to the most similar allowed one (90 or more, lower-cased; the first
     in order among equals), was (the value before), and lov_valid: null on rows with any repair but for
     the repaired values themselves, else whether the value is allowed (or its label has no list)."""
-    a = attributes.join(lookup(allowed.select("classpath", "label", "values")), ["classpath", "label"], "left")
+    a = kept(attributes.join(lookup(allowed.select("classpath", "label", "values")), ["classpath", "label"], "left"), "checked")
     checked = (F.col("value") != "") & F.col("values").isNotNull()
     ok = F.array_contains("values", F.col("value"))
     miss = a.where(checked & ~ok).select("classpath", "label", "value", "values").distinct()
     pairs = miss.select("classpath", "label", "value", F.explode("values").alias("v")).withColumns({"x": F.lower("value"), "y": F.lower("v")})
-    pairs = pairs.where(X.could_reach("x", "y", REPAIR)).withColumn("score", X.similarity("x", "y")).where(F.col("score") >= REPAIR)
+    pairs = pairs.where(X.could_be_near("x", "y", REPAIR)).withColumn("score", X.similarity("x", "y")).where(F.col("score") >= REPAIR)
     best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("classpath", "label", "value").orderBy(F.desc("score"), "v"))).where("rank = 1")
-    a = a.join(best.select("classpath", "label", "value", F.col("v").alias("fixed")), ["classpath", "label", "value"], "left")
+    a = a.join(lookup(best.select("classpath", "label", "value", F.col("v").alias("fixed"))), ["classpath", "label", "value"], "left")
     a = a.withColumn("any_fixed", F.max(F.col("fixed").isNotNull()).over(Window.partitionBy("seq")))
     valid = F.when(F.col("fixed").isNotNull(), True).when(F.col("any_fixed"), F.lit(None)).when(F.col("value") == "", F.lit(None)).otherwise(F.col("values").isNull() | ok)
     fixed = F.coalesce("fixed", "value")

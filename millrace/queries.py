@@ -198,15 +198,15 @@ def classify_rules(spark, sf_dir):
 )
 def class_shortlist(spark, sf_dir):
     rows = sources.feed(spark, sf_dir)
-    classes = [r[0] for r in rows.select("classpath").distinct().collect()]  # a catalog's classes: some thousands at most
-    found = classifying.shortlist(classifying.classify(rows, mining.keywords(rows), mining.class_prior(rows)), classes)
+    found = classifying.shortlist(classifying.classify(rows, mining.keywords(rows), mining.class_prior(rows)), rows)
     return found.select("seq", F.array_join("candidates", "|").alias("candidates"))
 
 
 LOO = """sizes AS (SELECT classpath, count(*) AS size FROM feed GROUP BY 1),
-held AS (SELECT seq, classpath AS own, manufacturer FROM feed JOIN sizes USING (classpath) WHERE size > 1 AND seq % 50 = 7),
+held AS (SELECT seq, classpath AS own, manufacturer FROM feed JOIN sizes USING (classpath) WHERE size > 1),
+seen AS (SELECT DISTINCT h.seq, h.own, f.classpath FROM held h JOIN tok t USING (seq) JOIN freq f ON f.token = t.token),
 gone AS (SELECT h.seq, h.own, f.classpath, f.token, coalesce(t.m, 0) AS m, f.freq - CASE WHEN f.classpath = h.own THEN coalesce(t.m, 0) ELSE 0 END AS freq, d.df - coalesce(t.m, 0) AS df
-  FROM held h CROSS JOIN freq f JOIN df d USING (token) LEFT JOIN (SELECT seq, token, 1 AS m FROM tok) t ON t.seq = h.seq AND t.token = f.token),
+  FROM seen h JOIN freq f USING (classpath) JOIN df d USING (token) LEFT JOIN (SELECT seq, token, 1 AS m FROM tok) t ON t.seq = h.seq AND t.token = f.token),
 top AS (SELECT * FROM (SELECT *, round(freq * ((SELECT count(DISTINCT classpath) FROM feed) / df), 4) AS weight,
   row_number() OVER (PARTITION BY seq, classpath ORDER BY round(freq * ((SELECT count(DISTINCT classpath) FROM feed) / df), 4) DESC, token) AS r FROM gone WHERE freq > 0) WHERE r <= 15 AND m = 1),
 own AS (SELECT h.seq, p.classpath, p.n - CASE WHEN p.classpath = h.own THEN 1 ELSE 0 END AS n FROM held h JOIN prior p USING (manufacturer)),
@@ -217,9 +217,7 @@ won AS (SELECT seq, classpath AS predicted FROM (SELECT *, row_number() OVER (PA
 
 @query("SELECT seq, own AS classpath, predicted FROM held LEFT JOIN won USING (seq)", TOKENS + ", " + LOO)
 def leave_one_out(spark, sf_dir):
-    """A stated test set (every 50th row), as the cost is test rows times vocabulary."""
-    rows = sources.feed(spark, sf_dir)
-    return classifying.leave_one_out(rows, rows.where("seq % 50 = 7").select("seq"))
+    return classifying.leave_one_out(sources.feed(spark, sf_dir))
 
 
 @query("SELECT classpath, label, array_to_string(list_sort(list_distinct(list(value))), '|') AS allowed FROM attributes WHERE value <> '' GROUP BY 1, 2")
