@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
-from millrace.sources.staging import kept
+from millrace.sources.staging import is_kept, kept
 
 #: Name parts that identify nobody: fixed values.
 GENERIC = ["corporation", "company", "inc", "incorporated", "llc", "corp", "manufacturing", "industries", "holding", "holdings", "products", "systems", "group", "co", "ltd", "limited", "international", "usa"]
@@ -22,7 +22,7 @@ ACCEPT, REVIEW = 85.0, 70.0
 
 def lookup(dim: DataFrame) -> DataFrame:
     """A mined lookup table, computed once: Spark sees its size and broadcasts it only where it is small."""
-    return kept(dim, "lookup")
+    return dim if is_kept(dim) else kept(dim, "lookup")
 
 
 def coop_rule(desc: Column, mpn: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as X
 from millrace.operators import classifying, describing, exporting, mining, reconciling, resolving, validating
 from millrace.sources.feed import RAW
+from millrace.sources.staging import kept
 
 
 @dataclass
@@ -27,15 +28,19 @@ class Lookups:
     brand_makers: DataFrame
 
     def kept(self) -> Lookups:
-        """The same tables, each computed once: they are small and every plan reads them several times."""
-        return Lookups(*[getattr(self, f.name).cache() for f in fields(self)])
+        """The same tables, each computed once: every plan reads them several times."""
+        return Lookups(*[kept(getattr(self, f.name), f.name) for f in fields(self)])
 
 
-def mined(labelled: DataFrame, attributes: DataFrame) -> Lookups:
-    """All lookups from labelled rows with cleaned raw columns and a brand."""
+def mined(labelled: DataFrame, attributes: DataFrame, reviewed: str = "true") -> Lookups:
+    """All lookups from labelled rows with cleaned raw columns and a brand. reviewed: condition on the
+    rows whose raw names may be learnt."""
+    labelled = kept(labelled, "labelled")
+    brands = mining.brand_pairs(labelled)
+    keys = brands.groupBy(X.brand_key(F.col("brand")).alias("key")).agg(F.min("manufacturer").alias("manufacturer"))
     return Lookups(
-        mining.raw_manufacturers(labelled), mining.clean_brands(labelled).select("key", "manufacturer"), mining.domains(labelled), mining.url_patterns(labelled), mining.keywords(labelled),
-        mining.class_prior(labelled), mining.templates(attributes), mining.allowed_values(attributes), mining.brand_pairs(labelled),
+        mining.raw_manufacturers(labelled.where(reviewed)), keys, mining.domains(labelled), mining.url_patterns(labelled), mining.keywords(labelled),
+        mining.class_prior(labelled), mining.templates(attributes), mining.allowed_values(attributes), brands,
     ).kept()
 
 
@@ -49,24 +54,24 @@ def clean(raw: DataFrame) -> DataFrame:
 def enrich(raw: DataFrame, look: Lookups, extracted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """products (one row for each raw row, scored) and their attributes. extracted: seq, label, value from
     pages, sheets or a cached model; without it only what the descriptions say is filled. What several
-    later steps read is persisted; lost blocks are computed again."""
-    rows = clean(raw).persist()
+    later steps read is written once, so the plan grows by its steps and not by their product."""
+    rows = kept(clean(raw), "cleaned")
     resolved = resolving.resolve(rows.select("seq", "Part_Manuf", "brand", "Part_Desc", "Mfg_Part_Num"), look.raw_names, look.brands, look.domains)
-    named = rows.join(resolved.select("seq", "status", "manufacturer_name", "match_score", "domain"), "seq", "left")
+    named = kept(rows.join(resolved.select("seq", "status", "manufacturer_name", "match_score", "domain"), "seq", "left"), "resolved")
     classes = classifying.classify(named.select("seq", "Part_Desc", F.col("manufacturer_name").alias("manufacturer")), look.keywords, look.prior)
     rows = named.join(classes.select("seq", "classpath", F.col("confidence").alias("class_confidence"), "runner_up"), "seq", "left")
-    rows = rows.join(resolving.lookup(look.patterns.select("domain", "template")), "domain", "left")
-    rows = rows.withColumn("mfr_url", F.replace(F.col("template"), F.lit("{mpn}"), F.col("Mfg_Part_Num"))).drop("template").persist()
+    rows = rows.join(look.patterns.select("domain", "template"), "domain", "left")
+    rows = kept(rows.withColumn("mfr_url", F.replace(F.col("template"), F.lit("{mpn}"), F.col("Mfg_Part_Num"))).drop("template"), "classified")
     priors = rows.select("seq", F.posexplode(X.unit_priors(F.col("Part_Desc"))).alias("pos", "p")).select("seq", "pos", "p.value", "p.uom")
     if extracted is None:
         extracted = rows.select("seq", F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("value")).limit(0)
     slots = reconciling.reconcile(rows, look.templates, reconciling.usable(extracted, rows, look.templates), priors)
     none = lambda t: F.lit(None).cast(t)
     where = rows.select("seq", "Part_Desc", F.lit("desc_fallback").alias("path"), F.col("mfr_url").alias("page_url"), none("string").alias("page_text"), none("string").alias("chart_url"), none("array<string>").alias("chart_labels"))
-    slots = reconciling.provenance(slots, where).persist()
+    slots = kept(reconciling.provenance(slots, where), "slots")
     # texts are made before values are repaired
     described = describing.describe(rows.join(describing.attribute_maps(slots), "seq", "left").withColumn("attrs", F.coalesce("attrs", F.expr("cast(map() as map<string,string>)"))))
-    slots = validating.repaired(slots, look.allowed).persist()
+    slots = kept(validating.repaired(slots, look.allowed), "repaired")
     scored = validating.confidence(validating.validate(described.drop("attrs", "ordered"), slots, look.brand_makers), slots)
     return scored, slots
 

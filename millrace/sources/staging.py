@@ -29,7 +29,13 @@ def kept(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     _KEPT.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._millrace_kept = True
+    return out
+
+
+def is_kept(df: DataFrame) -> bool:
+    return getattr(df, "_millrace_kept", False)
 
 
 @atexit.register
