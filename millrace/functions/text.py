@@ -132,6 +132,24 @@ def snippet(text: Column, value: Column, around: int = 80, head: int = 160) -> C
     return F.when((F.coalesce(value, F.lit("")) != "") & (at >= 0), cut).otherwise(strip(F.substring(text, 1, head)))
 
 
+#: Words in a description and the label they speak for, in order of trial: fixed values.
+KEYWORDS = {
+    "stainless steel": "Material", "ss": "Material", "brass": "Material", "aluminum": "Material", "plastic": "Material", "steel": "Material",
+    "t9": "Bulb Shape Code", "a19": "Bulb Shape Code", "br30": "Bulb Shape Code", "tube": "Bulb Shape", "round": "Bulb Shape",
+}
+
+
+def keyword_priors(c: Column) -> Column:
+    """A map of label to the last of its words that stands in the text; only labels with one."""
+    low = F.lower(c)
+    found = {}
+    for word, label in KEYWORDS.items():
+        hit = F.when(low.rlike(rf"(?U)\b{word}\b"), word)
+        found[label] = F.coalesce(hit, found[label]) if label in found else hit
+    every = F.create_map(*[x for label, v in found.items() for x in (F.lit(label), v)])
+    return F.map_filter(every, lambda _, v: v.isNotNull())
+
+
 def token_sorted(c: Column) -> Column:
     return F.array_join(F.array_sort(F.split(strip(c), r"\s+")), " ")
 

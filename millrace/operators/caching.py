@@ -40,6 +40,11 @@ def read_through(requests: DataFrame, cache: DataFrame, call: Callable[[DataFram
     return answered, called.where("response is not null").select(*KEY, "response")
 
 
+def by_substring(cache: DataFrame, part: str) -> DataFrame:
+    """Entries whose key holds a text."""
+    return latest(cache).where(F.col("prompt_hash").contains(part))
+
+
 def stats(cache: DataFrame, answered: DataFrame) -> DataFrame:
     """namespace, entries, hits, misses."""
     a = latest(cache).groupBy("namespace").agg(F.count("*").alias("entries"))

@@ -133,7 +133,7 @@ def template_copy(rows: DataFrame, table: DataFrame, maker: str, aliases: dict[s
     for a, b in (aliases or {}).items():
         shape = F.when(shape == a, b).otherwise(shape)
     keyed = rows.withColumns({"shape": F.when(F.col("manufacturer_name") == maker, shape), "ct": X.last_number(value("Color Temperature"))})
-    return keyed.join(F.broadcast(table), ["shape", "ct"], "left").drop("shape", "ct")
+    return keyed.join(table, ["shape", "ct"], "left").drop("shape", "ct")
 
 
 def describe(rows: DataFrame, names: dict[str, str] | None = None) -> DataFrame:

@@ -61,6 +61,56 @@ def replay(validated: DataFrame, flags: list[str]) -> DataFrame:
     return long.groupBy("flag").agg(F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"))
 
 
+def source_counts(attributes: DataFrame) -> DataFrame:
+    """One row: rows whose filled attributes all have a source URL (strict) or at least a text (gated),
+    attributes that fail the strict rule, and of these those with neither (hard) and with a text only (soft)."""
+    bare = (F.col("value") != "") & F.col("source_url").isNull()
+    hard = bare & F.col("evidence_text").isNull()
+    per = attributes.groupBy("seq").agg(F.count_if(bare).alias("b"), F.count_if(hard).alias("h"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return per.agg(F.count_if(F.col("b") == 0).alias("strict_pass"), F.count_if(F.col("h") == 0).alias("gated_pass"), zero("b").alias("strict_fails"), zero("h").alias("hard"), (zero("b") - zero("h")).alias("soft"))
+
+
+def compare_arms(results: DataFrame) -> DataFrame:
+    """arm, ok, skipped, errors, expected, right, pct of results (arm, call: ok, skipped or error: .., expected, right)."""
+    out = results.groupBy("arm").agg(
+        F.count_if(F.col("call") == "ok").alias("ok"), F.count_if(F.col("call") == "skipped").alias("skipped"), F.count_if(F.col("call").startswith("error")).alias("errors"),
+        F.sum("expected").alias("expected"), F.sum("right").alias("right"),
+    )
+    return out.withColumn("pct", percent(F.col("right"), F.col("expected")))
+
+
+def description_scores(made: DataFrame, truth: DataFrame, led: str, fields: list[str], most: int = 40) -> DataFrame:
+    """One row: rows, exact matches of each text with the labelled one, invoice texts over the limit, and
+    rows of other classes whose texts speak of bulbs or LEDs."""
+    t = truth.select("seq", *[F.col(f).alias(f"t_{f}") for f in fields])
+    both = made.join(t, "seq")
+    said = F.exists(F.transform(F.array(*fields), F.lower), lambda x: x.contains("bulb") | x.contains(" led") | x.startswith("led"))
+    wrong = (F.coalesce("classpath", F.lit("")) != led) & F.coalesce(said, F.lit(False))
+    return both.agg(F.count("*").alias("rows"), *[F.count_if(F.col(f) == F.col(f"t_{f}")).alias(f"exact_{f.lower()}") for f in fields], F.count_if(F.length(fields[0]) > most).alias("over_limit"), F.count_if(wrong).alias("wrong_noun"))
+
+
+def whole_run(matched: DataFrame, attributes: DataFrame, true_attributes: DataFrame) -> DataFrame:
+    """One row of a whole run against labelled rows, exact matches only. matched: seq (labelled), made (the
+    product's seq, null: missing), row_error, classpath, manufacturer_name, t_class, t_maker."""
+    want = true_attributes.where("value <> ''").select("seq", "label", F.col("value").alias("want"))
+    got = attributes.where("value <> ''").groupBy(F.col("seq").alias("made"), "label").agg(F.max_by("value", "slot").alias("got"))
+    fields = matched.where("made is not null").select("seq", "made").join(want, "seq").join(got, ["made", "label"], "left").agg(F.count("*").alias("fields"), F.count_if(F.col("got") == F.col("want")).alias("fields_right"))
+    rows = matched.agg(
+        F.count("*").alias("rows"), F.count_if(F.col("made").isNull() | F.col("row_error").isNotNull()).alias("errors"),
+        F.count_if(F.col("classpath") == F.col("t_class")).alias("classpath_right"), F.count_if(F.col("manufacturer_name") == F.col("t_maker")).alias("manufacturer_right"),
+    )
+    return rows.crossJoin(fields)  # one row each
+
+
+def accuracy(answers: DataFrame, subset: str) -> DataFrame:
+    """One row: rows, right, pct of answers (classpath, answer), and the same of the classes that end in subset."""
+    right = F.coalesce(F.col("classpath") == F.col("answer"), F.lit(False))
+    part = F.col("classpath").endswith(subset)
+    out = answers.agg(F.count("*").alias("rows"), F.count_if(right).alias("right"), F.count_if(part).alias("subset_rows"), F.count_if(part & right).alias("subset_right"))
+    return out.select("*", percent(F.col("right"), F.col("rows")).alias("pct"), percent(F.col("subset_right"), F.col("subset_rows")).alias("subset_pct"))
+
+
 def band_table(scored: DataFrame, correct: str) -> DataFrame:
     """band, right, wrong, avg_confidence."""
     return scored.groupBy("band").agg(F.count_if(correct).alias("right"), F.count_if(~F.col(correct)).alias("wrong"), F.round(F.avg("confidence"), 4).alias("avg_confidence"))

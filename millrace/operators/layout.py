@@ -33,7 +33,7 @@ def label_values(words: DataFrame, labels: DataFrame) -> DataFrame:
     at = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("x0", "text")))), lambda w: w["text"]), " ")
     is_label = (F.col("x0") >= LABEL_X[0]) & (F.col("x0") < LABEL_X[1])
     rows = line_numbers(words).groupBy("doc", "page", "line").agg(at(is_label).alias("label"), at(F.col("x0") >= VALUE_X).alias("value"))
-    rows = rows.where("label <> '' and value <> ''").join(F.broadcast(labels), "label").where("slot_label is not null")
+    rows = rows.where("label <> '' and value <> ''").join(labels, "label").where("slot_label is not null")
     return rows.groupBy("doc", "slot_label").agg(F.max_by("value", F.struct("page", "line")).alias("value"))
 
 
@@ -48,6 +48,38 @@ def nearest_header(cells: DataFrame, headers: DataFrame) -> DataFrame:
     return cells.groupBy("doc", "page", "line", "label").agg(joined.alias("text"))
 
 
+#: Header words that stand apart but are one header: fixed values.
+HEADERS = {"Wattage": "Replacement Wattage", "Replacement": "Replacement Wattage", "Beam": "Beam Angle", "Angle": "Beam Angle", "Pack": "Pack Qty", "Qty": "Pack Qty"}
+#: How far header words may stand from the anchor's line, and from each other.
+ABOVE, APART = 12.0, 10.0
+
+
+def headers(words: DataFrame, anchor: str = "Sku") -> DataFrame:
+    """doc, page, text, x0, x1, top of a table's headers: words about the anchor's line, those that stand
+    closer than APART to the one before joined, known halves as one."""
+    at = words.where(F.col("text") == anchor).groupBy("doc", "page").agg(F.min("top").alias("y"))
+    near = words.join(at, ["doc", "page"]).where(F.abs(F.col("top") - F.col("y")) <= ABOVE)
+    order = Window.partitionBy("doc", "page").orderBy("x0", "top", "text")
+    gap = F.coalesce((F.col("x0") - F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1)) > APART).cast("int"), F.lit(1))
+    near = near.withColumn("gap", gap).withColumn("n", F.sum("gap").over(order))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "top", "text"))), lambda w: w["text"]), " ")
+    out = near.groupBy("doc", "page", "n").agg(text.alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("top").alias("top"))
+    known = F.create_map(*[F.lit(x) for kv in HEADERS.items() for x in kv])
+    return out.select("doc", "page", F.coalesce(F.try_element_at(known, "text"), F.when(F.col("text").isin("Wattage Replacement"), "Replacement Wattage"), F.col("text")).alias("text"), "x0", "x1", "top")
+
+
+def sku_table(words: DataFrame, anchor: str = "Sku") -> DataFrame:
+    """doc, page, line, label, text: the cells below the headers, each under the nearest one; lines end with
+    the first one after the headers that has nothing under the anchor."""
+    heads = headers(words, anchor)
+    below = heads.groupBy("doc", "page").agg(F.max("top").alias("y"))
+    cells = line_numbers(words.join(below, ["doc", "page"]).where(F.col("top") > F.col("y") + TOLERANCE).drop("y"))
+    table = nearest_header(cells, heads)
+    keyed = table.groupBy("doc", "page", "line").agg(F.max((F.col("label") == anchor).cast("int")).alias("keyed"))
+    first = keyed.where("keyed = 0").groupBy("doc", "page").agg(F.min("line").alias("end"))
+    return table.join(first, ["doc", "page"], "left").where(F.col("end").isNull() | (F.col("line") < F.col("end"))).drop("end")
+
+
 def table_row(table: DataFrame, sku: str, key: str = "Sku") -> DataFrame:
     """doc, label, text of the row of a part number: rows stop at the first one after it without a key."""
     keys = table.where(F.col("label") == key).select("doc", "page", "line", F.col("text").alias("sku"))
@@ -105,6 +137,42 @@ def shape_name(code: Column) -> Column:
     return out
 
 
+#: What only sheets of a whole family print: fixed values.
+FAMILY = ["GENERAL SPECIFICATIONS", "ITEM SPECIFICATIONS"]
+
+
+def sheet(words: DataFrame, labels: DataFrame, skus: DataFrame) -> DataFrame:
+    """doc, label, value of spec sheets, by their layout: one product (labels and values side by side) or a
+    family (the row of the document's part number and the general block; the row counts where both do).
+    labels: label, slot_label (null drops); skus: doc, sku. A sheet that holds neither has no rows."""
+    text = lines(words)
+    told = F.exists(F.array(*[F.lit(t) for t in FAMILY]), lambda t: F.upper("text").contains(t))
+    family = text.groupBy("doc").agg(F.max(told).alias("family"))
+    one = label_values(words.join(family.where("not family"), "doc", "left_semi"), labels).select("doc", F.col("slot_label").alias("label"), "value")
+    many = words.join(family.where("family"), "doc", "left_semi")
+    table = sku_table(many)
+    norm = lambda c: F.lower(F.replace(c, F.lit("/"), F.lit("-")))
+    keys = table.where(F.col("label") == "Sku").select("doc", "page", "line", F.col("text").alias("own")).join(skus, "doc").where(norm(F.col("own")) == norm(F.col("sku"))).select("doc", "page", "line")
+    row = table.join(keys, ["doc", "page", "line"]).where("label <> 'Sku'").select("doc", "label", F.col("text").alias("value"), F.lit(1).alias("first"))
+    block = general_block(lines(many)).select("doc", "label", "value", F.lit(0).alias("first"))
+    found = row.unionByName(block).join(labels, "label").where("slot_label is not null")
+    found = found.groupBy("doc", F.col("slot_label").alias("label")).agg(F.max_by("value", "first").alias("value"))
+    return one.unionByName(found)
+
+
+def sheet_features(attrs: Column, family: Column, text: Column) -> Column:
+    """The bullets of a sheet from its attributes (map) and, for a family's, its text, in order."""
+    v = lambda label: F.coalesce(F.try_element_at(attrs, F.lit(label)), F.lit(""))
+    full = lambda c, s: F.when(c != "", F.concat(c, F.lit(s)))
+    watt, code = v("Wattage"), v("Bulb Shape Code")
+    thread = F.when(~family & (code.startswith("T") | code.startswith("ST")), " Filament").otherwise("")
+    lead = F.when((watt != "") & (code != ""), F.concat(watt, F.lit(" Watt "), code, F.lit(" LED"), thread))
+    shared = [full(v("Color Temperature"), "K")]
+    one = bullets(lead, v("Bulb Finish"), full(v("Bulb Base"), " base"), full(F.regexp_replace(v("Color Rendering Index (CRI)"), r"\++$", ""), " CRI"), *shared, full(v("Voltage Rating"), " Volt"))
+    many = bullets(lead, F.regexp_extract(text, r"Color:\s*(\w+)", 1), *shared, full(v("Lumens"), " Lumens"), full(v("Voltage Rating"), " Volt"), F.when(F.upper(text).contains("PIR"), "PIR Sensor"))
+    return F.when(family, many).otherwise(one)
+
+
 def bullets(*parts: Column) -> Column:
     """The non-empty cells in order."""
     return F.array_compact(F.array(*[F.when(F.coalesce(p, F.lit("")) != "", p) for p in parts]))

@@ -62,6 +62,23 @@ def shape_mismatches(rows: DataFrame) -> DataFrame:
     return r.groupBy("domain").agg(F.count("*").alias("rows"), F.array_sort(F.collect_set(F.when(odd, F.col("Mfg_Part_Num")))).alias("odd"))
 
 
+def manual_patterns(rows: DataFrame, manual: DataFrame) -> DataFrame:
+    """manual (domain, template, mpn_transform, shape: what a part number must look like) with the domain's
+    rows as confirmed_on and of_total, and mismatches: its rows of another shape."""
+    r = rows.where("mfr_url <> ''").select(url_domain(F.col("mfr_url")).alias("domain"), "Mfg_Part_Num")
+    r = r.join(manual.select("domain", "shape"), "domain")
+    counts = r.groupBy("domain").agg(F.count("*").alias("n"), F.count_if(~F.expr("Mfg_Part_Num rlike shape")).alias("bad"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = manual.join(counts, "domain", "left")
+    return out.select("domain", "template", "mpn_transform", zero("n").alias("confirmed_on"), zero("n").alias("of_total"), zero("bad").alias("mismatches"), F.lit(True).alias("manual"))
+
+
+def merged_patterns(mined: DataFrame, manual: DataFrame) -> DataFrame:
+    """domain, template, confirmed_on, of_total, mpn_transform, manual: mined patterns, manual ones instead where there are."""
+    own = mined.join(manual.select("domain"), "domain", "left_anti").select("domain", "template", "confirmed_on", "of_total", F.lit(None).cast("string").alias("mpn_transform"), F.lit(False).alias("manual"))
+    return own.unionByName(manual.select(*own.columns))
+
+
 def domains(rows: DataFrame) -> DataFrame:
     """manufacturer, domain: the most frequent."""
     return most_frequent(rows.withColumn("domain", url_domain(F.col("mfr_url"))), ["manufacturer"], "domain").drop("n")

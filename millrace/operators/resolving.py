@@ -110,6 +110,11 @@ def product_urls(rows: DataFrame, domains: DataFrame, patterns: DataFrame, trans
     return out.withColumn("url", F.replace(F.col("template"), F.lit("{mpn}"), TRANSFORMS[transform](F.col("Mfg_Part_Num"))))
 
 
+def filled_url(template: str, mpn: Column) -> Column:
+    """A URL template with the part number in it, as for a product's chart."""
+    return F.replace(F.lit(template), F.lit("{mpn}"), mpn)
+
+
 #: Sites that are never fetched: a parameter of blocked().
 def blocked(url: Column, sites: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(s) for s in sites]), lambda s: F.lower(url).contains(s))

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from millrace import more_queries, plan_queries  # noqa: F401
+from millrace import extra_queries, more_queries, plan_queries  # noqa: F401
 from millrace.queries import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
