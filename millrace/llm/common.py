@@ -97,18 +97,17 @@ def in_batches(df: DataFrame, run, schema: str) -> DataFrame:
 HOT_KEYS = 10_000
 
 
-def join_hot(rows: DataFrame, unique: DataFrame, on: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+def join_hot(rows: DataFrame, unique: DataFrame, on: str, counts: DataFrame, how: str = "inner") -> DataFrame:
     """rows joined with unique (one row for each key), a key that holds many rows dealt over many tasks.
 
-    A key with more than a HOT_KEYS-th of all rows (and more than 200) is hot: at most HOT_KEYS keys
-    are, whatever the table's size, so they are broadcast; their rows are salted by a hash of the row,
-    and their row of unique stands once for each salt. counts: a staged table of the keys
-    and the number n of their rows, if there is one.
+    counts is a staged table of keys and the number n of their rows. A key with more than a HOT_KEYS-th
+    of all these rows (and more than 200) is hot: at most HOT_KEYS keys are, whatever the table's size,
+    so they are broadcast; their rows are salted by a hash of the row, and their row of unique stands
+    once for each salt.
     """
-    if counts is None:
-        counts = staged(rows.groupBy(on).agg(F.count("*").alias("n")), "counts")
-    bound = max(200, (counts.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
-    hot = F.broadcast(counts.where(F.col("n") > bound).select(on, F.ceil(F.col("n") / bound).cast("int").alias("__salts")))
+    total = F.broadcast(counts.agg(F.sum("n").alias("__total")))  # one row
+    bound = F.greatest(F.lit(200), F.expr(f"__total div {HOT_KEYS}"))
+    hot = F.broadcast(counts.crossJoin(total).where(F.col("n") > bound).select(on, F.ceil(F.col("n") / bound).cast("int").alias("__salts")))
     salts = F.coalesce("__salts", F.lit(1))
     left = rows.join(hot, on, "left").withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), salts).cast("int")).drop("__salts")
     right = unique.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")

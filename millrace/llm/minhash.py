@@ -118,8 +118,8 @@ def signatures(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return in_batches(source, run, "doc_id long, n_shingles long, sig binary, bands array<long>, short binary")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+def verified(pairs: DataFrame, texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough. counts: a, n (pairs with it, at most)."""
 
     def run(batches):
         import pyarrow as pa
@@ -143,8 +143,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     x = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
     y = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
-    counts = staged(pairs.groupBy("a").agg(F.count("*").alias("n")), "counts")
-    return in_batches(join_hot(pairs.join(y, "b"), x, "a", counts=counts).select("a", "b", "ta", "tb"), run, "a long, b long")
+    return in_batches(join_hot(pairs.join(y, "b"), x, "a", counts).select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -152,7 +151,8 @@ def components(links: DataFrame) -> DataFrame:
 
     A round hangs every vertex under its smallest neighbour, follows the pointers to their roots and
     replaces the ends of each link by their roots; links within a root go. The number of vertices at
-    least halves, so rounds are few.
+    least halves, so rounds are few. Rows are two numbers: a key that many share is split by Spark's
+    own skew join where it is large.
     """
     edges = staged(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
     label: DataFrame | None = None
@@ -160,7 +160,7 @@ def components(links: DataFrame) -> DataFrame:
         up = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to"))
         while True:  # every pointer goes to a smaller id; double the steps until all reach roots
             up = staged(up, "pointers")
-            far = join_hot(up, up.select(F.col("id").alias("to"), F.col("to").alias("root")), "to", "left")
+            far = up.join(up.select(F.col("id").alias("to"), F.col("to").alias("root")), "to", "left")
             if far.where("root is not null").isEmpty():
                 break
             up = far.select("id", F.coalesce("root", "to").alias("to"))
@@ -170,18 +170,18 @@ def components(links: DataFrame) -> DataFrame:
         if label is None:
             label = staged(new, "components")
         else:  # what hung under an earlier root moves with it
-            label = staged(join_hot(label, new.select(F.col("id").alias("component"), F.col("component").alias("c")), "component", "left").select("id", F.coalesce("c", "component").alias("component")), "components")
-        one = join_hot(edges, new.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(new.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+            label = staged(label.join(new.select(F.col("id").alias("component"), F.col("component").alias("c")), "component", "left").select("id", F.coalesce("c", "component").alias("component")), "components")
+        one = edges.join(new.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(new.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
         edges = staged(one.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "links")
     spark = links.sparkSession
     return label if label is not None else spark.createDataFrame([], "id long, component long")
 
 
-def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
+def _across(pairs: DataFrame, label: DataFrame, counts: DataFrame) -> DataFrame:
     """Pairs whose ends are not in one component yet."""
     ca = label.select(F.col("id").alias("a"), F.col("component").alias("ca"))
     cb = label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    out = join_hot(pairs, ca, "a", "left").join(cb, "b", "left")
+    out = join_hot(pairs, ca, "a", counts, "left").join(cb, "b", "left")
     return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
@@ -236,22 +236,23 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     # texts with one set: their smallest doc_id stands for them
     known = rows.where("doc_id is not null and sig is not null")
     same = staged(known.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"), F.count("*").alias("n")), "sets")
-    twins = join_hot(known.select("sig", "doc_id"), same.where("rep <> top").drop("n"), "sig", counts=same).where("doc_id <> rep").select("sig", F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    twins = join_hot(known.select("sig", "doc_id"), same.where("rep <> top").drop("n"), "sig", same).where("doc_id <> rep").select("sig", F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     twins = staged(twins.distinct(), "twins")
     reps = known.join(twins.select("sig", F.col("b").alias("doc_id")), ["sig", "doc_id"], "left_anti")
     keyed = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band"))
     shared = staged(keyed.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("top"), F.count("*").alias("n")).where("a <> top").select("band", "a", "n"), "bands")
-    stars = join_hot(keyed, shared.drop("n"), "band", counts=shared).where("id <> a").select("band", "a", F.col("id").alias("b"))
+    stars = join_hot(keyed, shared.drop("n"), "band", shared).where("id <> a").select("band", "a", F.col("id").alias("b"))
     stars = staged(stars, "stars")
+    counts = staged(stars.groupBy("a").agg(F.count("*").alias("n")), "counts")
     ends = stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))).distinct()
     source = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
     texts = staged(source.join(ends, "id", "left_semi"), "texts")
     # 1: one pair each
-    links = staged(verified(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts), "linked")
+    links = staged(verified(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, counts), "linked")
     label = components(links)
     # 2: the other bands, across components
-    more = _across(stars.select("a", "b").distinct(), label)
-    links = links.union(staged(verified(staged(more, "pairs"), texts), "linked"))
+    more = _across(stars.select("a", "b").distinct(), label, counts)
+    links = links.union(staged(verified(staged(more, "pairs"), texts, counts), "linked"))
     label = components(links)
     # 3: bands with more than one component
     named = stars.select("band", F.explode(F.array("a", "b")).alias("id")).distinct().join(label, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
@@ -260,7 +261,7 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     sizes = sizes.where("parts > 1 and n > 2").select("band", "n", F.col("main.component").alias("main"), blocks(F.col("n")).alias("rb"), blocks(F.col("n") - F.col("main.m")).alias("qb"))
     sizes = staged(sizes, "open")
-    dealt = join_hot(mixed, sizes.drop("n"), "band", counts=sizes)
+    dealt = join_hot(mixed, sizes.drop("n"), "band", sizes)
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = dealt.where("component <> main").withColumns({"asks": F.lit(True), "q": block("qb")}).withColumn("r", over("rb"))

@@ -158,7 +158,7 @@ def passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """doc_id, start, end (words), other: repeated passages, each with the smallest other document met."""
     rows = staged(cores(df, doc_id, text), "cores")
     same = staged(rows.groupBy("whole").agg(F.min("d").alias("rep"), F.max("d").alias("top"), F.count("*").alias("n")).where("rep <> top"), "same")
-    copies = join_hot(rows.select("whole", "d", "n_words"), same.drop("n"), "whole", counts=same)
+    copies = join_hot(rows.select("whole", "d", "n_words"), same.drop("n"), "whole", same)
     copies = staged(copies.select("whole", F.col("d").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"), F.when(F.col("d") == F.col("rep"), F.col("top")).otherwise(F.col("rep")).alias("other"), (F.col("d") == F.col("rep")).alias("first")), "copies")
     reps = rows.join(copies.where("not first").select("whole", F.col("doc_id").alias("d")), ["whole", "d"], "left_anti")
     each = lambda t: t.select("d", F.explode(F.arrays_zip("h", "at")).alias("s")).select("s.h", "d", "s.at")
