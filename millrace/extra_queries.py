@@ -9,7 +9,7 @@ from millrace.more_queries import PROVS, REC, reconciled_of, sourced_of
 from millrace.operators import caching, classifying, describing, evaluating, exporting, extracting, layout, mining, reconciling, resolving
 from millrace.queries import CLEAN, RAWMAP, SCORED, TOKENS, URLS, cleaned, query
 from millrace.sources import feed as sources
-from millrace.sources import lookups
+from millrace.sources import lookups, pages
 from millrace.sources.staging import shared_dir
 
 
@@ -31,7 +31,7 @@ def load_lookups(spark, sf_dir):
 
     path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}-lookup"
     lookups.write_map(mining.raw_manufacturers(cleaned(spark, sf_dir)), "raw", "names", path)
-    return lookups.read_map(spark, path, "array<string>").select("key", F.array_join("value", "|").alias("names"))
+    return lookups.read_map(spark, path, "array<string>", lines=True).select("key", F.array_join("value", "|").alias("names"))
 
 
 @query("SELECT seq, Mfg_Part_Num FROM feed ORDER BY seq LIMIT 25")
@@ -371,3 +371,43 @@ def sheet_bullets(spark, sf_dir):
     attrs = F.create_map(*[x for k, v in {"Wattage": F.col("p_size").cast("string"), "Bulb Shape Code": code, "Bulb Finish": F.lit("Clear"), "Bulb Base": F.lit("Medium"), "Color Rendering Index (CRI)": F.lit("90+"), "Color Temperature": F.lit("2700"), "Voltage Rating": F.lit("120"), "Lumens": F.lit("800")}.items() for x in (F.lit(k), v)])
     out = layout.sheet_features(attrs, F.col("seq") % 3 == 1, F.lit("Led pir sensor lamps\nColor: White"))
     return rows.select("seq", F.array_join(out, "|").alias("bullets"), layout.shape_name(code).alias("shape"))
+
+
+# ---------------------------------------------------------------- wide rows, keys and files
+
+
+@query("SELECT seq, slot, label, value, uom FROM reconciled WHERE value <> ''", REC)
+def unpivot_delivery(spark, sf_dir):
+    """The repeated columns of wide delivery rows as a long table."""
+    from millrace.more_queries import products_of
+
+    return exporting.unpivot_wide(exporting.delivery(products_of(spark, sf_dir)))
+
+
+@query("SELECT Mfg_Part_Num, CASE WHEN new_ THEN 'new' ELSE 'old' END AS side FROM (SELECT Mfg_Part_Num, bool_and(seq % 3 = 0) AS old_, bool_and(seq % 3 = 1) AS new_ FROM feed WHERE seq % 3 <> 2 OR true GROUP BY 1) WHERE old_ OR new_")
+def export_keys(spark, sf_dir):
+    """Part numbers in one of two exports only: one lacks every third row, the other the next ones."""
+    rows = sources.feed(spark, sf_dir)
+    return exporting.key_differences(rows.where("seq % 3 <> 1"), rows.where("seq % 3 <> 0"), "Mfg_Part_Num")
+
+
+SYNONYM_VALUES = ["Med.", "cand base", "Stain", "E26", "plain  text", "alum", "oil rubbed bronze", "BRS."]
+
+
+@query(
+    """SELECT classpath, 'Base' AS label, array_to_string(list_sort(list_distinct(list(x))), '|') AS allowed FROM (SELECT classpath, unnest(list_distinct(list_filter([v, """
+    + "CASE v WHEN 'Med.' THEN 'Medium' WHEN 'cand base' THEN 'Candelabra' WHEN 'Stain' THEN 'Stainless Steel' WHEN 'alum' THEN 'Aluminum' WHEN 'oil rubbed bronze' THEN 'Oil Rubbed Bronze' WHEN 'BRS.' THEN 'Brass' WHEN 'plain  text' THEN 'plain text' END"
+    + f"], lambda y: y IS NOT NULL))) AS x FROM (SELECT classpath, {sql_picked(SYNONYM_VALUES)} AS v FROM feed)) GROUP BY 1"
+)
+def mine_synonyms(spark, sf_dir):
+    """Allowed values with what abbreviations stand for."""
+    rows = sources.feed(spark, sf_dir).select("classpath", F.lit("Base").alias("label"), picked(SYNONYM_VALUES).alias("value"))
+    return mining.allowed_values(rows).select("classpath", "label", F.array_join("values", "|").alias("allowed"))
+
+
+@query("SELECT page_id, page_id % 4 = 0 AND page_id % 3 <> 0 AS usable FROM pages")
+def chart_guard(spark, sf_dir):
+    """A fetched chart counts with status 200 and a PDF's first bytes."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    body = F.when(F.col("page_id") % 4 == 0, F.encode(F.lit("%PDF-1.7 x"), "UTF-8")).otherwise(F.encode(F.col("html"), "UTF-8"))
+    return p.select("page_id", pages.usable_chart(F.when(F.col("page_id") % 3 != 0, 200).otherwise(404), body).alias("usable"))

@@ -439,10 +439,10 @@ CACHE = """req AS (SELECT seq, sha256('m|sys' || chr(0) || classpath || chr(0) |
 cache AS (SELECT DISTINCT h, upper(classpath) AS response FROM req WHERE length(classpath) % 2 = 0)"""
 
 
-@query("SELECT seq, h AS prompt_hash, coalesce(c.response, lower(classpath)) AS response, c.response IS NOT NULL AS hit FROM req LEFT JOIN cache c USING (h)", CACHE.replace("chr(0)", "chr(1)"))
+@query("SELECT seq, h AS prompt_hash, coalesce(c.response, lower(classpath)) AS response, c.response IS NOT NULL AS hit FROM req LEFT JOIN cache c USING (h)", CACHE)
 def cache_flow(spark, sf_dir):
     rows = sources.feed(spark, sf_dir)
-    h = F.sha2(F.concat(F.lit("m|sys\x01"), "classpath", F.lit("\x010.0")), 256)
+    h = caching.prompt_hash(F.lit("m"), F.lit("sys"), F.col("classpath"), "0.0")
     requests = rows.select("seq", F.lit("classify").alias("namespace"), h.alias("prompt_hash"), F.lit("m").alias("model"), F.col("classpath").alias("prompt"))
     old = requests.where("length(prompt) % 2 = 0")
     cache = old.select("namespace", "prompt_hash", "model", F.lower("prompt").alias("response"), F.lit(0).alias("seq")).union(old.select("namespace", "prompt_hash", "model", F.upper("prompt"), F.lit(1)))

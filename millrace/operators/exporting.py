@@ -103,15 +103,27 @@ def last_by_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, *[f"r.{c}" for c in rest])
 
 
-def cells(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """key, nth, column, cell of an all-string table."""
-    columns = [c for c in rows.columns if c not in (key, order)]
-    return occurrences(rows, key, order).unpivot([key, "nth"], columns, "column", "cell")
-
-
 def differences(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """key, nth, column, old, new: cells that are not the same in two exports; rows of one side only have nulls."""
-    a = cells(old, key, order).withColumnRenamed("cell", "old").withColumn("in_old", F.lit(True))
-    b = cells(new, key, order).withColumnRenamed("cell", "new").withColumn("in_new", F.lit(True))
-    both = a.join(b, [key, "nth", "column"], "full")
-    return both.where(~F.col("old").eqNullSafe(F.col("new")) | F.col("in_old").isNull() | F.col("in_new").isNull()).drop("in_old", "in_new")
+    """key, nth, column, old, new: cells that are not the same in two exports; rows of one side only have nulls.
+    Whole rows meet first; only those that differ are laid out cell by cell."""
+    columns = [c for c in old.columns if c not in (key, order)]
+    side = lambda rows, name: occurrences(rows, key, order).select(key, "nth", F.struct(*columns).alias(name))
+    both = side(old, "a").join(side(new, "b"), [key, "nth"], "full").where(~F.col("a").eqNullSafe(F.col("b")))
+    cell = lambda c: F.struct(F.lit(c).alias("column"), F.col(f"a.`{c}`").alias("old"), F.col(f"b.`{c}`").alias("new"))
+    one_side = F.col("a").isNull() | F.col("b").isNull()
+    laid = both.select(key, "nth", one_side.alias("alone"), F.explode(F.array(*[cell(c) for c in columns])).alias("c"))
+    return laid.select(key, "nth", "c.column", "c.old", "c.new", "alone").where(~F.col("old").eqNullSafe(F.col("new")) | F.col("alone")).drop("alone")
+
+
+def key_differences(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """key, side: keys that stand in one of two exports only."""
+    a, b = (rows.select(key).distinct() for rows in (old, new))
+    return a.exceptAll(b).withColumn("side", F.lit("old")).unionByName(b.exceptAll(a).withColumn("side", F.lit("new")))
+
+
+def unpivot_wide(rows: DataFrame, key: str = "seq") -> DataFrame:
+    """key, slot, label, value, uom from the repeated columns of delivery rows, trimmed; only slots with a label and a value."""
+    have = set(rows.columns)
+    cell = lambda kind, i: F.trim(F.coalesce(F.col(f"`ATTRIBUTE_{kind} {i}`"), F.lit(""))).alias(kind.lower()) if f"ATTRIBUTE_{kind} {i}" in have else F.lit("").alias(kind.lower())
+    slots = [F.struct(F.lit(i).alias("slot"), *[cell(k, i) for k in ("LABEL", "VALUE", "UOM")]) for i in range(1, SLOTS + 1) if f"ATTRIBUTE_LABEL {i}" in have]
+    return rows.select(key, F.explode(F.array(*slots)).alias("s")).select(key, "s.*").where("label <> '' and value <> ''")

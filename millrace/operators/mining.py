@@ -56,10 +56,10 @@ def url_patterns(rows: DataFrame, least: int = 2, share: float = 0.8) -> DataFra
 
 
 def shape_mismatches(rows: DataFrame) -> DataFrame:
-    """domain, rows, odd: part numbers of each domain whose URL does not hold them."""
+    """domain, rows, odd: each part number whose URL does not hold it, a row each, with the domain's rows."""
     r = rows.where("mfr_url <> ''").withColumn("domain", url_domain(F.col("mfr_url")))
-    odd = F.instr(F.lower("mfr_url"), F.lower("Mfg_Part_Num")) == 0
-    return r.groupBy("domain").agg(F.count("*").alias("rows"), F.array_sort(F.collect_set(F.when(odd, F.col("Mfg_Part_Num")))).alias("odd"))
+    odd = r.where(F.instr(F.lower("mfr_url"), F.lower("Mfg_Part_Num")) == 0).select("domain", F.col("Mfg_Part_Num").alias("odd")).distinct()
+    return odd.join(r.groupBy("domain").agg(F.count("*").alias("rows")), "domain")
 
 
 def manual_patterns(rows: DataFrame, manual: DataFrame) -> DataFrame:

@@ -130,9 +130,9 @@ def mine_domains(spark, sf_dir):
     return mining.domains(sources.feed(spark, sf_dir))
 
 
-@query("SELECT domain, count(*) AS rows, array_to_string(list_sort(coalesce(list(DISTINCT Mfg_Part_Num) FILTER (found_at = 0), [])), ',') AS odd FROM hosts GROUP BY 1", URLS)
+@query("SELECT DISTINCT domain, rows, Mfg_Part_Num AS odd FROM hosts JOIN (SELECT domain, count(*) AS rows FROM hosts GROUP BY 1) USING (domain) WHERE found_at = 0", URLS)
 def url_mismatches(spark, sf_dir):
-    return mining.shape_mismatches(sources.feed(spark, sf_dir)).select("domain", "rows", F.array_join("odd", ",").alias("odd"))
+    return mining.shape_mismatches(sources.feed(spark, sf_dir)).select("domain", "rows", "odd")
 
 
 @query(

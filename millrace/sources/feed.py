@@ -22,6 +22,14 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in have else F.lit(None).cast("string").alias(c) for c in RAW])
 
 
+def read_labelled(spark: SparkSession, path: str) -> DataFrame:
+    """A labelled CSV table, all columns as strings in its own order, with seq in file order; a byte-order
+    mark goes, empty cells are empty."""
+    df = spark.read.option("header", True).option("encoding", "UTF-8").option("emptyValue", "").option("escape", '"').option("multiLine", True).csv(path)
+    names = [c.lstrip("\ufeff") for c in df.columns]
+    return df.toDF(*names).select(F.monotonically_increasing_id().alias("seq"), *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names])
+
+
 def _tables(spark: SparkSession, sf_dir: str):
     return [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "supplier", "nation")]
 

@@ -8,24 +8,19 @@ from pyspark.sql import functions as F
 from millrace.sources.feed import RAW
 
 
-def read_map(spark: SparkSession, path: str, value: str = "string") -> DataFrame:
-    """key, value of JSON objects: a file with one object, or one object to a line. value is the SQL type
-    of the values: string, array<string>, map<string,double>, struct<...>. Raises where a file is no object."""
-    whole = spark.read.option("wholetext", True).text(path)
-    object_ = f"map<string,{value}>"
-    if whole.where(F.from_json("value", object_).isNull()).isEmpty():
-        rows = whole
-        many = whole.select(F.size(F.split(F.trim("value"), r"\}\s*\n\s*\{")).alias("n")).agg(F.max("n")).first()[0] or 0
-        if many <= 1:
-            return rows.select(F.explode(F.from_json("value", object_)).alias("key", "value"))
-    lines = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", object_).alias("m"))
-    if not lines.where("m is null").isEmpty():
+def read_map(spark: SparkSession, path: str, value: str = "string", lines: bool = False) -> DataFrame:
+    """key, value of files with one JSON object each, or with one object to a line. value is the SQL type
+    of the values: string, array<string>, map<string,double>, struct<...>. Raises ValueError where there is
+    something else."""
+    texts = spark.read.option("wholetext", not lines).text(path).where(F.trim("value") != "")
+    maps = texts.select(F.from_json("value", f"map<string,{value}>").alias("m"))
+    if not maps.where("m is null").isEmpty():
         raise ValueError(f"not a JSON object: {path}")
-    return lines.select(F.explode("m").alias("key", "value"))
+    return maps.select(F.explode("m").alias("key", "value"))
 
 
 def write_map(table: DataFrame, key: str, value: str, path: str) -> None:
-    """One object with one entry to a line: parts of any number, read back by read_map."""
+    """One object with one entry to a line: parts of any number, read back by read_map(lines=True)."""
     table.select(F.to_json(F.create_map(F.col(key), F.col(value))).alias("value")).write.mode("overwrite").text(path)
 
 

@@ -27,6 +27,11 @@ def is_pdf(content: Column) -> Column:
     return F.substring(content, 1, 4) == F.lit(b"%PDF")
 
 
+def usable_chart(http_status: Column, content: Column) -> Column:
+    """Whether a fetched chart can be read: found, and a PDF by its first bytes."""
+    return F.coalesce((http_status == 200) & is_pdf(content), F.lit(False))
+
+
 def fetch_status(url: Column, blocked: Column, http_status: Column, text: Column) -> Column:
     """Outcome of one fetch as the pages table (or a fetcher) reports it."""
     return (

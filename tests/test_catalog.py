@@ -238,11 +238,11 @@ def test_job_keeps_bad_rows_and_replays(spark, tmp_path):
     for k, rows in enumerate([[(1, "GOOD1"), (2, None)], [(3, "GOOD2")]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     schema_ = spark.read.parquet(str(tmp_path / "in")).schema
-    enrich = jobs.safe(lambda d: d.withColumn("up", F.upper("part")), "part is not null")
+    enrich = jobs.safe(lambda d: d.withColumn("up", F.when(F.col("part").isNull(), F.raise_error("ValueError: no part")).otherwise(F.upper("part"))))
     for _ in range(2):  # a second start finds nothing new
         jobs.run_job(spark, str(tmp_path / "in"), schema_, enrich, str(tmp_path / "out"), str(tmp_path / "cp"))
     out = spark.read.parquet(str(tmp_path / "out"))
-    assert out.count() == 3 and out.where("row_error is not null").count() == 1
+    assert {r.seq: (r.up, r.row_error) for r in out.collect()} == {1: ("GOOD1", None), 2: (None, "ValueError: no part"), 3: ("GOOD2", None)}
     assert jobs.progress(spark, str(tmp_path / "out"), 3).orderBy(F.desc("batch")).first().status == "DONE"
 
 
@@ -284,3 +284,35 @@ def test_clean_keeps_raw_cells(spark):
     raw = spark.createDataFrame([(1, "M", None, "-- Unbranded --", " Acme ", "n/a", "-")], "seq long, Mfg_Part_Num string, Part_Desc string, E1_Brand string, Unilog_Brand string, DIB_Brand string, Part_Manuf string")
     r = enrich.clean(raw).first()
     assert r.brand == "Acme" and r.Part_Manuf is None and r.raw["E1_Brand"] == "-- Unbranded --"
+
+
+def test_lookup_files(spark, tmp_path):
+    from millrace.sources import lookups
+
+    (tmp_path / "one.json").write_text('{\n "a": {"x": 1.5,\n "y": 2},\n "b": {}\n}')
+    got = {r.key: r.value for r in lookups.read_map(spark, str(tmp_path / "one.json"), "map<string,double>").collect()}
+    assert got == {"a": {"x": 1.5, "y": 2.0}, "b": {}}
+    (tmp_path / "lines.json").write_text('{"a": "x"}\n{"b": "y"}\n')
+    assert {tuple(r) for r in lookups.read_map(spark, str(tmp_path / "lines.json"), lines=True).collect()} == {("a", "x"), ("b", "y")}
+    (tmp_path / "bad.json").write_text("[1")
+    with pytest.raises(ValueError, match="not a JSON object"):
+        lookups.read_map(spark, str(tmp_path / "bad.json"))
+    df = spark.createDataFrame([("k",), ("l",)], "Part_Manuf string")
+    assert lookups.require_disjoint(df.where("Part_Manuf = 'k'"), df.where("Part_Manuf = 'l'"), "Part_Manuf").count() == 1
+    with pytest.raises(ValueError, match="k"):
+        lookups.require_disjoint(df, df, "Part_Manuf")
+
+
+def test_read_labelled(spark, tmp_path):
+    p = tmp_path / "gt.csv"
+    p.write_bytes('\ufeffMfg_Part_Num,ATTRIBUTE_LABEL 1,ATTRIBUTE_VALUE 1,ATTRIBUTE_LABEL 2,ATTRIBUTE_VALUE 2\r\nA, Wattage ,8,Finish,\r\n'.encode())
+    rows = feed.read_labelled(spark, str(p))
+    assert rows.columns[1] == "Mfg_Part_Num" and rows.first()["ATTRIBUTE_VALUE 2"] == ""
+    assert [(r.slot, r.label, r.value, r.uom) for r in exporting.unpivot_wide(rows).collect()] == [(1, "Wattage", "8", "")]
+
+
+def test_strided_sample_numbers_across_ranges(spark):
+    rows = spark.range(3000).select(F.col("id").alias("seq"), (F.col("id") % 10).alias("k")).repartition(7)
+    got = sorted(r.seq for r in evaluating.stride_sample(rows, "seq", F.col("k") == 3, 7).collect())
+    rest = [i for i in range(3000) if i % 10 != 3]
+    assert got == sorted([i for i in range(3000) if i % 10 == 3] + rest[::7])
