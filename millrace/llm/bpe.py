@@ -8,6 +8,8 @@ lane from its true state and marks the boundaries. No regular expression runs. T
 through a bounded cache in front of the pair merging; offsets of every token are kept.
 
 Null text is empty text. Empty texts have no tokens; very long runs use a heap to merge pairs.
+Rows are independent, also those that repeat a doc_id; columns that are not asked for take no part,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -1,19 +1,27 @@
-"""Passages that repeat across documents, by windows of MIN words at shared minimisers.
+"""Passages that repeat across documents: a sparse suffix array over minimiser positions.
 
 Words are compared by 64-bit hashes, A-Z lower-cased. Every window of MIN words has an anchor among its
 first WINDOW words, the start of the K-word run with the least hash: the same one in every copy, with at
-least CORE words of the window after it. Anchors whose CORE words stand in one document only belong to no
-repeated window. Of the others, every window of MIN words is hashed as a whole; a window whose hash two
-documents hold is repeated, and the union of a document's repeated windows are its passages. So a core
-that many other documents hold takes nothing away.
-
-What two documents hold is found by a sort: a range partition by hash and document, so a passage
-that a third of all documents hold is spread over many tasks and costs one row per copy. Texts that
-are equal as a whole go through one representative; their other copies repeat from end to end.
-
-Null or short texts have no passages. Repeats within one document alone are not reported. Rows with a
-null doc_id are left out; rows that repeat a doc_id are one document to this operator. Documents
-without a repeated passage have no row; an empty table gives an empty result.
+least CORE words of the window after it. Only suffixes at anchors are looked at first: they are sorted
+by their CORE first words, and those whose neighbours do not share them are in no repeated window.
+
+Comparing a suffix with its two neighbours and extending the match to the left is not enough where
+many documents share a core: a longer match on the right may stand next to it while the repeated
+passage reaches to the left, and the better neighbour is then not the one that repeats. So of the
+suffixes that are left, those at the starts of the windows around their anchors (at most WINDOW - 1
+words to the left) are sorted in turn by their MIN first words, and neighbours that agree in all of
+them are repeats: every window of MIN words that two documents hold is found, whatever else shares parts of
+it. Overlapping windows of a document are then joined, which extends a passage as far as it repeats.
+
+The first words are compared as one hash, so that suffixes with equal ones lie side by side. Each sort
+is a range partition by hash and document, so a passage that a third of all documents hold is spread
+over many tasks and costs one row per copy. Texts that are equal as a whole go through one
+representative; their other copies repeat from end to end.
+
+Null or short texts have no passages. Repeats within one document alone are not reported: the operator
+looks for what documents share. Rows with a null doc_id are left out; rows that repeat a doc_id are one
+document to this operator. Documents without a repeated passage have no row; columns of other names are
+neither read nor lost; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -396,7 +396,7 @@ def test_passages_around_a_popular_core(spark):
         for side in range(2):
             rows.append((2 * p + side, " ".join(words(30, 8000 + 2 * p + side, 10**6) + passage + words(30, 9000 + 2 * p + side, 10**6)), "en", "a", "", 0))
             want[2 * p + side] = (60, "30:90", 2 * p + 1 - side)
-    for n in (17,):  # rows of a hash go over the edges of tasks
+    for n in (4, 17):  # rows of a hash go over the edges of tasks
         spark.conf.set("spark.sql.shuffle.partitions", str(n))
         try:
             got = repeats.repeated(frame(spark, rows)).collect()
