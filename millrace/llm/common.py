@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import io
 import os
-import re
-import tempfile
 import uuid
 import zipfile
 from pathlib import Path
@@ -16,49 +13,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.staging import kept as staged
+from millrace.sources.staging import shared_dir
+
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
 GAP = "[\\x20\\x09-\\x0D]+"
 
-_STAGED: list = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a fresh local one only where it is unset in local mode (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df written once as Parquet to the shared folder and read back: later steps survive lost
-    executors and do not compute it again. Folders go when the driver ends. options: the writer's."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}-{name}"
-    df.write.options(**options).parquet(path)
-    _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _STAGED:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session has ended
-            return
-
-
 #: Rows of a batch between Spark and Python: texts can be long, and a batch is held several times.
 BATCH_ROWS = 1000
 
@@ -170,7 +136,3 @@ def shingle_set(h: np.ndarray, k: int) -> np.ndarray:
     if not len(h):
         return h
     return np.unique(grams(h, min(k, len(h))))
-
-
-def safe(name: str) -> str:
-    return re.sub(r"\W+", "_", name)
