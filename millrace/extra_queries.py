@@ -363,7 +363,7 @@ BULLETS = [("T9", "one"), ("A19", "many"), ("", "one")]
 
 @query(
     """SELECT seq, CASE seq % 3 WHEN 0 THEN p || ' Watt T9 LED Filament|Clear|Medium base|90 CRI|2700K|120 Volt' WHEN 1 THEN p || ' Watt A19 LED|White|2700K|800 Lumens|120 Volt|PIR Sensor' ELSE 'Clear|Medium base|90 CRI|2700K|120 Volt' END AS bullets,
-  CASE seq % 3 WHEN 0 THEN 'Tube' WHEN 1 THEN 'A-Line' END AS shape FROM (SELECT seq, CAST(p_size AS VARCHAR) AS p FROM feed)"""
+  CASE seq % 3 WHEN 0 THEN 'Tube' WHEN 1 THEN 'Type A' END AS shape FROM (SELECT seq, CAST(p_size AS VARCHAR) AS p FROM feed)"""
 )
 def sheet_bullets(spark, sf_dir):
     rows = sources.feed(spark, sf_dir)
@@ -411,3 +411,67 @@ def chart_guard(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     body = F.when(F.col("page_id") % 4 == 0, F.encode(F.lit("%PDF-1.7 x"), "UTF-8")).otherwise(F.encode(F.col("html"), "UTF-8"))
     return p.select("page_id", pages.usable_chart(F.when(F.col("page_id") % 3 != 0, 200).otherwise(404), body).alias("usable"))
+
+
+#: Slot, what a sheet prints, what the slot holds.
+PRINTED = [
+    ("Wattage", "8.5 W", "8.5"), ("Wattage", "W", "W"), ("Voltage Rating", "120V/60Hz", "120"), ("Voltage Rating", "n", "n"), ("Color Temperature", "2700 K", "2700"), ("Lumens", "1,050L", "1050"), ("Beam Angle", "1,10 Degrees", "110"),
+    ("Beam Angle", "36°", "36"), ("Average Life", "25,000 Hrs.", "25000"), ("Length", "7.20 in", "7.2"), ("Length", '3.5"', "3.5"), ("Dimmable", "Yes, most", "Dimmable"), ("Dimmable", "No", ""), ("Energy Star Certified", " YES ", "Energy Star Certified"),
+    ("Energy Star Certified", "no", ""), ("Title 20 Compliant", "No", ""), ("Title 20 Compliant", "CEC listed", "Title 20 Compliant"), ("Color Rendering Index (CRI)", "90", "90+"), ("Color Rendering Index (CRI)", "82", "82"), ("Bulb Finish", " Frost, White", "Frost White"), ("Other", "", ""),
+]
+
+
+@query(f"SELECT seq, {sql_picked([a for a, _, _ in PRINTED])} AS slot, {sql_picked([c for _, _, c in PRINTED])} AS value FROM feed")
+def slot_values(spark, sf_dir):
+    """Printed values in the form of their slots."""
+    slot = picked([a for a, _, _ in PRINTED])
+    return sources.feed(spark, sf_dir).select("seq", slot.alias("slot"), layout.slot_value(picked([b for _, b, _ in PRINTED]), slot).alias("value"))
+
+
+@query(
+    """SELECT seq, CASE seq % 4 WHEN 0 THEN 'Medium' WHEN 1 THEN 'Candelabra' WHEN 2 THEN 'Mogul' ELSE '' END AS base, CASE seq % 4 WHEN 0 THEN 'E26' WHEN 1 THEN 'E12' ELSE '' END AS code, CASE seq % 4 WHEN 0 THEN 'Type ST' WHEN 3 THEN 'own' ELSE '' END AS shape FROM feed"""
+)
+def derived_names(spark, sf_dir):
+    """Names for codes on a sheet."""
+    kinds = [{"Bulb Base": " e26 ", "Bulb Shape Code": "ST19"}, {"Bulb Base Code": "E12", "Bulb Shape Code": "x"}, {"Bulb Base": "Mogul"}, {"Bulb Shape": "own", "Bulb Shape Code": "T9"}]
+    maps = F.array(*[F.create_map(*[F.lit(x) for kv in k.items() for x in kv]) for k in kinds])
+    rows = sources.feed(spark, sf_dir).select("seq", layout.derived(F.element_at(maps, (F.col("seq") % 4 + 1).cast("int"))).alias("m"))
+    return rows.select("seq", *[F.coalesce(F.try_element_at("m", F.lit(k)), F.lit("")).alias(n) for k, n in (("Bulb Base", "base"), ("Bulb Base Code", "code"), ("Bulb Shape", "shape"))])
+
+
+@query("SELECT classpath, count(*) AS n FROM feed GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
+def largest_class(spark, sf_dir):
+    return mining.largest_class(sources.feed(spark, sf_dir))
+
+
+@query("SELECT 'DONE' AS status, CAST(count(*) AS INTEGER) AS processed, CAST(count(*) AS INTEGER) AS total, count(*) AS stored, CAST(2 AS BIGINT) AS corrections, (SELECT CAST(sum(seq) AS BIGINT) FROM (SELECT seq FROM feed ORDER BY seq LIMIT 10)) AS first_ten FROM feed")
+def job_store(spark, sf_dir):
+    """State, products, corrections and replay of a stored job."""
+    import uuid
+
+    from millrace.plans.service import Service
+
+    rows = sources.feed(spark, sf_dir)
+    service = Service(spark, f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}-jobs")
+    service.process("j", rows.select("seq", "Mfg_Part_Num", "Part_Desc", "classpath", F.col("manufacturer").alias("manufacturer_name"), F.lit(50.0).alias("confidence"), F.lit("LOW").alias("band")))
+    for field in ("classpath", "brand"):
+        service.review("p", field, "x")
+    job = service.job("j")
+    state = spark.createDataFrame([(job["status"], job["processed"], job["total"])], "status string, processed int, total int")
+    counts = service.results("j").agg(F.count("*").alias("stored")).crossJoin(service._read("corrections").agg(F.count("*").alias("corrections"))).crossJoin(service.replay("j", 10).agg(F.sum("seq").alias("first_ten")))
+    return state.crossJoin(counts)  # one row each
+
+
+@query("SELECT seq, upper(Part_Desc) AS up, CAST(NULL AS VARCHAR) AS row_error FROM feed WHERE seq <> 7 UNION ALL SELECT seq, NULL, 'ValueError: bad row' FROM feed WHERE seq = 7")
+def incremental_job(spark, sf_dir):
+    """A feed that arrives in files, enriched batch by batch as a stream; one row raises and comes through with its error."""
+    import uuid
+
+    from millrace.streaming import jobs
+
+    at = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}-stream"
+    sources.feed(spark, sf_dir).select("seq", "Part_Desc").repartition(2).write.parquet(f"{at}/in")
+    up = F.when(F.col("seq") == 7, F.raise_error("ValueError: bad row")).otherwise(F.upper("Part_Desc"))
+    schema = spark.read.parquet(f"{at}/in").schema
+    jobs.run_job(spark, f"{at}/in", schema, jobs.safe(lambda d: d.select("seq", up.alias("up"))), f"{at}/out", f"{at}/cp")
+    return spark.read.option("mergeSchema", True).parquet(f"{at}/out").select("seq", "up", "row_error")

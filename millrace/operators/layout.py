@@ -126,17 +126,68 @@ def chart(text_lines: DataFrame, sku: str) -> DataFrame:
     return watts.join(ccts, "doc", "left").select("doc", "watts", temps.alias("temperatures"))
 
 
-#: Shape names by the beginning of a shape code, in order of trial: fixed values.
-SHAPES = [("BR", "Bulged Reflector"), ("PAR", "Parabolic Reflector"), ("ST", "Straight Tube"), ("A", "A-Line"), ("B", "Blunt Tip"), ("G", "Globe"), ("T", "Tube"), ("R", "Reflector")]
+#: Shape names by the beginning of a shape code, in order of trial, and base names by their code: fixed values.
+SHAPES = [("BR", "Type BR"), ("ST", "Type ST"), ("T", "Tube"), ("A", "Type A"), ("G", "Globe"), ("R", "Type R"), ("B", "Type B")]
+BASES = {"E26": "Medium", "E12": "Candelabra"}
 
 
 def shape_name(code: Column) -> Column:
     out = F.lit(None).cast("string")
     for prefix, name in reversed(SHAPES):
-        out = F.when(F.upper(code).startswith(prefix), name).otherwise(out)
+        out = F.when(F.upper(F.trim(code)).startswith(prefix), name).otherwise(out)
     return out
 
 
+def derived(attrs: Column) -> Column:
+    """A sheet's map of attributes with names for the codes it prints: a code in place of the base's name
+    moves to its own label, and names that are missing come from the codes."""
+    at = lambda label: F.try_element_at(attrs, F.lit(label))
+    base = lambda code: F.try_element_at(F.create_map(*[F.lit(x) for kv in BASES.items() for x in kv]), F.upper(F.trim(code)))
+    moved = base(at("Bulb Base")).isNotNull()
+    code = F.when(moved, F.upper(F.trim(at("Bulb Base")))).otherwise(at("Bulb Base Code"))
+    names = {
+        "Bulb Base Code": code, "Bulb Base": F.when(moved | at("Bulb Base").isNull(), base(code)).otherwise(at("Bulb Base")),
+        "Bulb Shape": F.coalesce(at("Bulb Shape"), shape_name(at("Bulb Shape Code"))),
+    }
+    own = F.map_filter(F.create_map(*[x for k, v in names.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+    return F.map_concat(F.map_filter(attrs, lambda k, _: ~k.isin(list(names))), own)
+
+
+def _kept_part(pattern: str):
+    """What a pattern's group matches, else the value."""
+    return lambda v: F.coalesce(F.nullif(F.trim(F.regexp_extract(v, pattern, 1)), F.lit("")), v)
+
+
+def _without(pattern: str):
+    """The value without thousands separators and what a pattern matches."""
+    return lambda v: F.trim(F.regexp_replace(F.replace(v, F.lit(","), F.lit("")), pattern, ""))
+
+
+def _said(shown: str, yes: str, no: str | None = None):
+    """A fixed text where the value says so, else empty."""
+    said = lambda v: F.lower(v).rlike(yes) & (~F.lower(v).rlike(no) if no else F.lit(True))
+    return lambda v: F.when(said(v), shown).otherwise("")
+
+
+#: How a printed value is written in each slot; in all others it loses its thousands separators.
+SLOT_VALUES = {
+    "Wattage": _kept_part(r"^(.+?)\s*W$"), "Incandescent Wattage Equivalent": _kept_part(r"^(.+?)\s*W$"), "Voltage Rating": _kept_part(r"^(\d+(?:\.\d+)?)\s*V"),
+    "Color Temperature": _kept_part(r"^(.+?)\s*K$"), "Lumens": _without(r"\s*L$"), "Beam Angle": _without(r'(?i)\s*(deg|degrees|°|"")\s*$'), "Average Life": _without(r"(?i)\s*(hours|hrs|hr)\.?\s*$"),
+    "Length": lambda v: _without(r"(?<=\d\.\d{1,9})0+$")(_without(r"[\"']| ?in")(v)), "Diameter": lambda v: _without(r"(?<=\d\.\d{1,9})0+$")(_without(r"[\"']| ?in")(v)),
+    "Dimmable": _said("Dimmable", "yes|^(?!.*no).*dimmable"), "Energy Star Certified": _said("Energy Star Certified", "^yes$"),
+    "Title 20 Compliant": _said("Title 20 Compliant", "listed|lawful|compliant", "^(?!.*(yes|lawful|listed)).*no"), "Color Rendering Index (CRI)": lambda v: F.when(_without("$^")(v) == "90", "90+").otherwise(_without("$^")(v)),
+}
+
+
+def slot_value(value: Column, slot: Column) -> Column:
+    """A value as a sheet prints it, in the form of its slot; empty where there is none."""
+    v = F.trim(F.coalesce(value, F.lit("")))
+    out = _without("$^")(v)
+    for label, form in SLOT_VALUES.items():
+        out = F.when(slot == label, form(v)).otherwise(out)
+    return F.when(v == "", "").otherwise(out)
+
+
 #: What only sheets of a whole family print: fixed values.
 FAMILY = ["GENERAL SPECIFICATIONS", "ITEM SPECIFICATIONS"]
 

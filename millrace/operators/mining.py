@@ -168,4 +168,16 @@ def mine_all(rows: DataFrame, attributes: DataFrame) -> dict[str, DataFrame]:
     return {
         "templates": templates(attributes), "raw_manufacturers": raw_manufacturers(rows), "url_patterns": url_patterns(rows), "domains": domains(rows),
         "keywords": keywords(rows), "class_prior": class_prior(rows), "allowed_values": allowed_values(attributes), "clean_brands": clean_brands(rows),
+        "brand_pairs": brand_pairs(rows), "empty_rates": empty_rates(rows, "brand"), "tainted_sources": tainted_sources(rows), "slot_conflicts": slot_conflicts(attributes), "shape_mismatches": shape_mismatches(rows),
     }
+
+
+def write_all(mined: dict[str, DataFrame], path: str) -> None:
+    """Each mined table under its name, as Parquet: what a later session reads its lookups from."""
+    for name, table in mined.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def largest_class(rows: DataFrame) -> DataFrame:
+    """classpath, n: the most frequent class, the first in order among equals."""
+    return rows.where("classpath <> ''").groupBy("classpath").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "classpath").limit(1)

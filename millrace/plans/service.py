@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import evaluating, exporting
+from millrace.sources import lookups
 
 TABLES = ("jobs", "products", "corrections")
 
@@ -51,6 +52,10 @@ class Service:
         """The job's partition only."""
         return self._read("products").where(F.col("job_id") == job_id)
 
+    def replay(self, job_id: str, limit: int | None = None) -> DataFrame:
+        """The job's products in input order, the first ones only where there is a limit."""
+        return lookups.first_rows(self.results(job_id), "seq", limit)
+
     def product(self, job_id: str, product_id: str) -> dict:
         row = exporting.stored_products(self.results(job_id).where(F.col("product_id") == product_id).select("seq", "data_json")).first()
         if row is None:

@@ -13,7 +13,9 @@ RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW])
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """A CSV feed by its header: missing columns are null, empty cells empty, a byte-order mark goes.
-    Raises ValueError where there is no data row."""
+    Raises ValueError where there is no data row, or where a line is not UTF-8."""
+    if not spark.read.text(path).where(~F.expr("is_valid_utf8(value)")).isEmpty():
+        raise ValueError("not UTF-8")
     df = spark.read.option("header", True).option("encoding", "UTF-8").option("emptyValue", "").option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
     df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
     if df.isEmpty():

@@ -220,6 +220,9 @@ def test_read_feed(spark, tmp_path):
     p.write_text("Mfg_Part_Num\n")
     with pytest.raises(ValueError, match="no data rows"):
         feed.read_feed(spark, str(p))
+    p.write_bytes(b"Mfg_Part_Num\nA\xff\xfe\n")
+    with pytest.raises(ValueError, match="not UTF-8"):
+        feed.read_feed(spark, str(p))
 
 
 def test_pages(spark):
