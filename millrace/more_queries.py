@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.operators import caching, describing, evaluating, exporting, layout, mining, reconciling, resolving, validating
-from millrace.queries import CLEAN, PRIORS, TEMPLATES, URLS, cleaned, priors_of, query
+from millrace.queries import CLEAN, PRIORS, TEMPLATES, URLS, cleaned, fed, priors_of, query
 from millrace.sources import feed as sources
 from millrace.sources import pages
 
@@ -103,7 +103,7 @@ def reconciled_of(rows: DataFrame) -> DataFrame:
 
 @query("SELECT seq, classpath, slot, label, value, uom, origin FROM reconciled", REC)
 def reconcile_slots(spark, sf_dir):
-    return reconciled_of(sources.feed(spark, sf_dir))
+    return reconciled_of(fed(spark, sf_dir))
 
 
 PROV = """sourced AS (SELECT r.*, CASE WHEN value <> '' AND origin = 'llm_extract' AND r.seq % 2 = 0 THEN mfr_url END AS source_url,
@@ -123,7 +123,7 @@ def sourced_of(rows: DataFrame) -> DataFrame:
 
 @query("SELECT seq, slot, label, value, source_url, evidence_text FROM sourced".replace("FROM sourced", "FROM (SELECT seq, slot, label, value, source_url, evidence_text FROM sourced)"), REC + ", " + PROV.replace("SELECT r.*, ", "SELECT r.seq, r.classpath, r.slot, r.label, r.value, r.uom, r.origin, "))
 def provenance(spark, sf_dir):
-    return sourced_of(sources.feed(spark, sf_dir)).select("seq", "slot", "label", "value", "source_url", "evidence_text")
+    return sourced_of(fed(spark, sf_dir)).select("seq", "slot", "label", "value", "source_url", "evidence_text")
 
 
 # ---------------------------------------------------------------- validation and score
@@ -149,7 +149,7 @@ def checked_of(rows: DataFrame) -> DataFrame:
 
 @query("SELECT seq, slot, value, was, lov_valid, lov_miss FROM lov", LOV)
 def repair_values(spark, sf_dir):
-    return checked_of(sources.feed(spark, sf_dir)).select("seq", "slot", "value", "was", "lov_valid", "lov_miss")
+    return checked_of(fed(spark, sf_dir)).select("seq", "slot", "value", "was", "lov_valid", "lov_miss")
 
 
 VALIDATED = """makers AS (SELECT brand, manufacturer AS maker FROM (SELECT brand, manufacturer, row_number() OVER (PARTITION BY brand ORDER BY count(*) DESC, min(seq), manufacturer) AS r FROM branded WHERE brand IS NOT NULL GROUP BY 1, 2) WHERE r = 1),
@@ -289,7 +289,7 @@ WIDE = [*sources.RAW, "Classpath", "MFR URL", *[f"ATTRIBUTE_{k} {i}" for i in (1
 
 
 def products_of(spark, sf_dir) -> DataFrame:
-    rows = sources.feed(spark, sf_dir)
+    rows = fed(spark, sf_dir)
     raw = F.create_map(*[x for c in sources.RAW for x in (F.lit(c), F.col(c))]).alias("raw")
     base = rows.select("seq", raw, *[X.clean_value(F.col(c)).alias(c) for c in ("Mfg_Part_Num", "Part_Desc", "Part_Manuf")], F.col("manufacturer").alias("manufacturer_name"), F.lit(None).cast("string").alias("brand"), "classpath", "mfr_url")
     base = base.withColumns({"ref_urls": F.expr("cast(array() as array<string>)"), "features": F.expr("cast(array() as array<string>)"), **{t: F.lit(None).cast("string") for t in exporting.TEXTS}})
@@ -354,7 +354,7 @@ EVALS = ", ".join([REC, EVAL, LCS_SQL, TALLY])
 
 
 def evaluated_of(spark, sf_dir) -> DataFrame:
-    rows = sources.feed(spark, sf_dir)
+    rows = fed(spark, sf_dir)
     products = rows.select("seq", F.when(F.col("seq") % 10 == 0, "other").otherwise(F.col("classpath")).alias("classpath"), F.col("manufacturer").alias("manufacturer_name"))
     return evaluating.evaluate(products, rows.where("seq % 4 <> 3"), reconciled_of(rows), sources.attributes(rows))
 
@@ -375,7 +375,7 @@ def evaluation_summary(spark, sf_dir):
 
 @query("SELECT count(*) AS rows, CAST(round(100 * avg(CASE WHEN a THEN 1.0 ELSE 0.0 END)) AS BIGINT) AS any_pct, CAST(round(100 * avg(CASE WHEN p THEN 1.0 ELSE 0.0 END)) AS BIGINT) AS prior_pct FROM (SELECT seq, max(value <> '') AS a, max(value <> '' AND coalesce(origin = 'rule_prior', false)) AS p FROM reconciled GROUP BY 1)", REC)
 def attribute_coverage(spark, sf_dir):
-    return evaluating.coverage(reconciled_of(sources.feed(spark, sf_dir)))
+    return evaluating.coverage(reconciled_of(fed(spark, sf_dir)))
 
 
 STATUSES = ["FETCHED", "BLOCKED_SOURCE", "FETCH_FAILED"]

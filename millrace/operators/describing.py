@@ -83,32 +83,33 @@ def invoice(classpath: Column) -> Column:
     return F.when(classpath == LED, X.packed(base, more, MOST)).otherwise(X.packed(generic, F.coalesce(values, F.array().cast("array<string>")), MOST))
 
 
-def mobile(mpn: Column, manufacturer: Column, classpath: Column, names: dict[str, str] | None = None) -> Column:
+def mobile(mpn: Column, manufacturer: Column, said: Column, names: dict[str, str] | None = None) -> Column:
+    """said: the row's noun."""
     full = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c)
     ct, w = value("Color Temperature"), value("Wattage")
     parts = _tokens(
-        full(brand_name(manufacturer, names)), noun(classpath), full(mpn), F.when(w != "", X.with_unit(w, F.lit("W"), "MOBILE_DESC")),
+        full(brand_name(manufacturer, names)), said, full(mpn), F.when(w != "", X.with_unit(w, F.lit("W"), "MOBILE_DESC")),
         full(value("Bulb Shape")), full(value("Bulb Base")), full(value("Bulb Finish")), F.when((ct != "") & ~is_range(ct), X.with_unit(ct, F.lit("K"), "MOBILE_DESC")),
     )
     return F.array_join(parts, ", ")
 
 
-def retail(classpath: Column) -> Column:
+def retail(said: Column) -> Column:
     comma = lambda c, out=None: F.when(c != "", F.concat(c if out is None else out, F.lit(",")))
     w, ct, lm, beam = value("Wattage"), value("Color Temperature"), value("Lumens"), value("Beam Angle")
     parts = _tokens(
-        F.concat(noun(classpath), F.lit(",")), comma(w, X.with_unit(w, F.lit("W"), "SHORT_DESC")), comma(value("Bulb Shape")), comma(value("Bulb Base")), comma(value("Bulb Finish")),
+        F.concat(said, F.lit(",")), comma(w, X.with_unit(w, F.lit("W"), "SHORT_DESC")), comma(value("Bulb Shape")), comma(value("Bulb Base")), comma(value("Bulb Finish")),
         comma(ct, X.with_unit(ct, F.lit("K"), "SHORT_DESC")), F.when(lm != "", F.concat(lm, F.lit(" Lumens,"))), F.when(beam != "", X.with_unit(beam, F.lit("deg Beam"), "SHORT_DESC")),
     )
     return F.regexp_replace(X.strip(F.array_join(parts, " ")), ",$", "")
 
 
-def short(mpn: Column, manufacturer: Column, classpath: Column, names: dict[str, str] | None = None) -> Column:
+def short(mpn: Column, manufacturer: Column, retail_text: Column, names: dict[str, str] | None = None) -> Column:
     lead = [F.when(F.coalesce(c, F.lit("")) != "", c) for c in (brand_name(manufacturer, names), mpn)]
-    return X.strip(F.concat(F.array_join(_tokens(*lead), " "), F.lit(" "), retail(classpath)))
+    return X.strip(F.concat(F.array_join(_tokens(*lead), " "), F.lit(" "), retail_text))
 
 
-def long_text(manufacturer: Column, classpath: Column, names: dict[str, str] | None = None) -> Column:
+def long_text(manufacturer: Column, classpath: Column, said: Column, names: dict[str, str] | None = None) -> Column:
     """One category only: the noun, then every filled slot in order; empty for others."""
     form = F.create_map(*[F.lit(x) for kv in LONG_FORMATS.items() for x in kv])
 
@@ -121,7 +122,7 @@ def long_text(manufacturer: Column, classpath: Column, names: dict[str, str] | N
             .when(f == "l_v", F.concat(lab, F.lit(": "), v)).when(f == "l_v_u", F.concat(lab, F.lit(": "), vu)).otherwise(F.concat(v, sp, lab))
         )
 
-    prefix = X.strip(F.concat(brand_name(manufacturer, names), F.lit(" "), noun(classpath)))
+    prefix = X.strip(F.concat(brand_name(manufacturer, names), F.lit(" "), said))
     parts = F.concat(F.array(prefix), F.coalesce(F.transform("ordered", token), F.array().cast("array<string>")))
     return F.when(classpath == LED, F.array_join(parts, ", ")).otherwise("")
 
@@ -139,5 +140,7 @@ def template_copy(rows: DataFrame, table: DataFrame, maker: str, aliases: dict[s
 def describe(rows: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     """rows (Mfg_Part_Num, manufacturer_name, classpath, attrs, ordered) with the five texts; all null without classpath."""
     c, m, n = F.col("classpath"), F.col("manufacturer_name"), F.col("Mfg_Part_Num")
-    texts = {"INVOICE_DESC": invoice(c), "MOBILE_DESC": mobile(n, m, c, names), "SHORT_DESC": short(n, m, c, names), "RETAIL_DESC": retail(c), "LONG_DESC1": long_text(m, c, names)}
-    return rows.withColumns({k: F.when(F.coalesce(c, F.lit("")) != "", F.nullif(v, F.lit(""))) for k, v in texts.items()})
+    said, sold = F.col("__noun"), F.col("__retail")
+    rows = rows.withColumn("__noun", noun(c)).withColumn("__retail", retail(said))
+    texts = {"INVOICE_DESC": invoice(c), "MOBILE_DESC": mobile(n, m, said, names), "SHORT_DESC": short(n, m, sold, names), "RETAIL_DESC": sold, "LONG_DESC1": long_text(m, c, said, names)}
+    return rows.withColumns({k: F.when(F.coalesce(c, F.lit("")) != "", F.nullif(v, F.lit(""))) for k, v in texts.items()}).drop("__noun", "__retail")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.more_queries import FUZZY, LCS_SQL, NEAREST, RESOLVED
 from millrace.plans import enrich as plan
-from millrace.queries import CLEAN, PRIORS, SCORED, TEMPLATES, TOKENS, URLS, cleaned, query
+from millrace.queries import CLEAN, PRIORS, SCORED, TEMPLATES, TOKENS, URLS, cleaned, fed, query
 from millrace.sources import feed as sources
 
 MAKERS = """makers AS (SELECT brand, manufacturer AS maker FROM (SELECT brand, manufacturer, row_number() OVER (PARTITION BY brand ORDER BY count(*) DESC, min(seq), manufacturer) AS r FROM branded WHERE brand IS NOT NULL GROUP BY 1, 2) WHERE r = 1)"""
@@ -30,9 +30,9 @@ COLUMNS = ["seq", "status", "manufacturer_name", "match_score", "classpath", "cl
 
 
 def enriched_of(spark, sf_dir):
-    rows = cleaned(spark, sf_dir)
+    raw, rows = fed(spark, sf_dir), cleaned(spark, sf_dir)
     look = plan.mined(rows, sources.attributes(rows), "Part_Manuf is null or not Part_Manuf like 'Suplier%'")
-    return plan.enrich(sources.feed(spark, sf_dir).select("seq", *sources.RAW), look)
+    return plan.enrich(raw.select("seq", *sources.RAW), look)
 
 
 @query(f"SELECT {', '.join(COLUMNS[:-1])}, CASE WHEN confidence >= 90 THEN 'VERIFIED' WHEN confidence >= 70 THEN 'REVIEW' ELSE 'LOW' END AS band FROM marked", CTES)

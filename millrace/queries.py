@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as X
 from millrace.operators import classifying, mining, resolving
 from millrace.sources import feed as sources
+from millrace.sources.staging import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,7 +43,12 @@ branded AS (SELECT *, coalesce(E1_Brand, Unilog_Brand, DIB_Brand) AS brand FROM
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sources.feed(spark, sf_dir).withColumns({c: X.clean_value(F.col(c)) for c in sources.RAW})
-    return rows.withColumn("brand", F.coalesce("E1_Brand", "Unilog_Brand", "DIB_Brand"))
+    return kept(rows.withColumn("brand", F.coalesce("E1_Brand", "Unilog_Brand", "DIB_Brand")), "cleaned")
+
+
+def fed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed written once, for queries that read it several times."""
+    return kept(sources.feed(spark, sf_dir), "feed")
 
 
 @query("SELECT seq, Mfg_Part_Num, Part_Desc, E1_Brand, Unilog_Brand, DIB_Brand, Part_Manuf, brand FROM branded", CLEAN)
@@ -187,7 +193,7 @@ placed AS (SELECT seq, classpath, score, row_number() OVER (PARTITION BY seq ORD
     TOKENS + ", " + SCORED,
 )
 def classify_rules(spark, sf_dir):
-    rows = sources.feed(spark, sf_dir)
+    rows = fed(spark, sf_dir)
     return classifying.classify(rows, mining.keywords(rows), mining.class_prior(rows))
 
 
@@ -197,7 +203,7 @@ def classify_rules(spark, sf_dir):
     TOKENS + ", " + SCORED,
 )
 def class_shortlist(spark, sf_dir):
-    rows = sources.feed(spark, sf_dir)
+    rows = fed(spark, sf_dir)
     found = classifying.shortlist(classifying.classify(rows, mining.keywords(rows), mining.class_prior(rows)), rows)
     return found.select("seq", F.array_join("candidates", "|").alias("candidates"))
 
@@ -217,7 +223,7 @@ won AS (SELECT seq, classpath AS predicted FROM (SELECT *, row_number() OVER (PA
 
 @query("SELECT seq, own AS classpath, predicted FROM held LEFT JOIN won USING (seq)", TOKENS + ", " + LOO)
 def leave_one_out(spark, sf_dir):
-    return classifying.leave_one_out(sources.feed(spark, sf_dir))
+    return classifying.leave_one_out(fed(spark, sf_dir))
 
 
 @query("SELECT classpath, label, array_to_string(list_sort(list_distinct(list(value))), '|') AS allowed FROM attributes WHERE value <> '' GROUP BY 1, 2")
