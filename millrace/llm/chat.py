@@ -4,9 +4,11 @@ The longest common prefix of turns (same role, same text, turn by turn) is rende
 prompt; what follows on either side are the two completions. A completion's mask marks what a
 model is trained on: the text and end mark of assistant turns; everything else is masked out.
 
-Everything is joins and aggregates over turns, so a conversation of any length is spread over
-tasks. Output is one row for each rendered turn, in order (pair, part, turn); `assembled` joins
-them into strings for pairs of ordinary length, `digests` summarises them without gathering.
+What two conversations share is decided on digests of their turns, so texts are shuffled at most once, to
+meet their pair's first differing turn, and not at all where these are few enough to broadcast. Pairs of
+many turns are salted, so a conversation of any length is spread over tasks. Output is one row for each
+rendered turn, in order (pair, part, turn); `assembled` joins them into strings for pairs of
+ordinary length, `digests` summarises them without gathering.
 
 Turns are aligned by their number. Rows without pair, side or turn number are left out. Where a
 side repeats a turn number, the smallest (role, text) counts. A null role is "unknown", a null text
@@ -19,28 +21,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_hot, staged
+
 #: What is written around a turn: fixed values of the format.
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 TRAINED = "assistant"
 
 
-def _side(side: str):
-    turn = F.struct(F.coalesce(F.col("role"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return F.min(F.when(F.col("side") == side, turn))
+def _one_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (keys, role, text) with nulls filled; where a key is repeated, its smallest (role, text). Only
+    rows of repeated keys are grouped."""
+    rows = rows.select(*keys, F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    again = staged(rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    least = rows.join(again, keys, "left_semi").groupBy(*keys).agg(F.min(F.struct("role", "text")).alias("s"))
+    return rows.join(again, keys, "left_anti").unionByName(least.select(*keys, "s.role", "s.text"))
 
 
 def segments(turns: DataFrame) -> DataFrame:
     """turns: pair_id, side (chosen or rejected), turn, role, text. Returns pair_id, part (prompt,
     chosen, rejected), turn, rendered, trained_from and trained_to (code points; equal: all masked)."""
     used = turns.where("pair_id is not null and turn is not null and side in ('chosen', 'rejected')")
-    both = used.groupBy("pair_id", "turn").agg(_side("chosen").alias("chosen"), _side("rejected").alias("rejected"))
-    split = used.groupBy("pair_id", "turn").agg((~_side("chosen").eqNullSafe(_side("rejected"))).alias("differs"))
-    split = split.groupBy("pair_id").agg(F.min(F.when(F.col("differs"), F.col("turn"))).alias("split"))
-    rows = both.join(split, "pair_id")
+    used = _one_each(used.select("pair_id", "side", "turn", "role", "text"), ["pair_id", "side", "turn"])
+    digest = F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"))
+    on = lambda side: F.max(F.when(F.col("side") == side, F.col("digest")))
+    both = used.select("pair_id", "side", "turn", digest.alias("digest")).groupBy("pair_id", "turn").agg((~on("chosen").eqNullSafe(on("rejected"))).alias("differs"), F.count("*").alias("n"))
+    split = staged(both.groupBy("pair_id").agg(F.min(F.when(F.col("differs"), F.col("turn"))).alias("split"), F.sum("n").alias("n")), "splits")
+    rows = join_hot(used, split.drop("n"), "pair_id", split)
     common = F.col("split").isNull() | (F.col("turn") < F.col("split"))
-    part = lambda name, s: F.struct(F.lit(name).alias("part"), F.col(s).alias("said"))
-    parts = F.when(common, F.array(part("prompt", "chosen"))).otherwise(F.array(part("chosen", "chosen"), part("rejected", "rejected")))
-    rows = rows.select("pair_id", "turn", F.explode(parts).alias("p")).where("p.said is not null").select("pair_id", "p.part", "turn", "p.said.role", "p.said.text")
+    rows = rows.withColumn("part", F.when(~common, F.col("side")).when(F.col("side") == "chosen", "prompt")).where("part is not null")
     rendered = F.concat(F.lit(OPEN), "role", F.lit(MIDDLE), "text", F.lit(CLOSE))
     trained = (F.col("part") != "prompt") & (F.col("role") == TRAINED)
     start = F.length("role") + len(OPEN) + len(MIDDLE)
@@ -81,15 +89,14 @@ def swapped_answers(conversations: DataFrame) -> DataFrame:
     """Preferences from a table that has none: of every conversation, the chosen side is itself; the
     rejected one is the same up to its last assistant turn, which says what the last assistant turn of
     the conversation with the next conv_id says (nothing, if there is none) and ends the conversation."""
-    rows = conversations.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min(F.struct(F.coalesce(F.col("role"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))).alias("said"))
-    answer = F.when(F.col("said.role") == TRAINED, F.struct("turn", F.col("said.text").alias("text")))
-    last = rows.groupBy("conv_id").agg(F.max(answer).alias("last"))
-    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("other"))
-    last = last.where("last is not null").select("conv_id", F.col("last.turn").alias("at")).join(other, "conv_id", "left")
-    chosen = rows.select(F.col("conv_id").alias("pair_id"), F.lit("chosen").alias("side"), "turn", "said.role", "said.text")
-    rejected = rows.join(last, "conv_id").where("turn <= at")
-    text = F.when(F.col("turn") == F.col("at"), F.coalesce("other", F.lit(""))).otherwise(F.col("said.text"))
-    return chosen.unionByName(rejected.select(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), "turn", "said.role", text.alias("text")))
+    rows = _one_each(conversations.where("conv_id is not null and turn is not null").select("conv_id", "turn", "role", "text"), ["conv_id", "turn"])
+    # a row for each conversation: its last answer's turn; answers meet by number and turn alone
+    last = staged(rows.where(F.col("role") == TRAINED).groupBy("conv_id").agg(F.max("turn").alias("turn")), "last")
+    answers = rows.join(last, ["conv_id", "turn"], "left_semi").select((F.col("conv_id") - 1).alias("conv_id"), F.col("text").alias("other"))
+    answers = last.join(answers, "conv_id", "left").select(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), "turn", F.lit(TRAINED).alias("role"), F.coalesce("other", F.lit("")).alias("text"))
+    sided = lambda r, side: r.select(F.col("conv_id").alias("pair_id"), F.lit(side).alias("side"), "turn", "role", "text")
+    before = rows.join(last.withColumnRenamed("turn", "at"), "conv_id").where("turn < at")
+    return sided(rows, "chosen").unionByName(sided(before, "rejected")).unionByName(answers)
 
 
 #: segments() of swapped_answers() over conversations, as DuckDB SQL.
