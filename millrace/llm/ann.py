@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import in_batches, staged
 
 K = 10
-TABLES, PROBES, SEED = 8, 10, 20
+TABLES, PROBES, SEED = 10, 10, 20
 #: Rows and queries of a block.
 ROWS, QUERIES = 10_000, 2_000
 
