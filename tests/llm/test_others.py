@@ -1,12 +1,16 @@
+import os
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import ann, chat, toxicity
 
 from .cases import frame
 
+DATA = "/root/testdata/sf0.001"
+
 
 def test_ann_recall_ties_and_odd_vectors(spark):
     r = np.random.default_rng(1)
@@ -169,6 +173,21 @@ def test_toxicity_learns_and_holds_out(spark):
     assert len(empty) == 5 and all(x.predicted == 0 for x in empty)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_queries_with_sql(spark):
+    import duckdb
+
+    from millrace.llm import queries
+
+    con = duckdb.connect()
+    for f in os.listdir(DATA):
+        con.sql(f"create view {f.removesuffix('.parquet')} as select * from '{DATA}/{f}'")
+    for name, sql in queries.ORACLE.items():
+        df = queries.QUERIES[name](spark, DATA)
+        want = con.sql(sql)
+        assert sorted(map(str, (tuple(r[c] for c in want.columns) for r in df.collect()))) == sorted(map(str, want.fetchall()))
+
+
 def test_queries_import_without_touching_the_catalog():
     from millrace.llm import queries
 
