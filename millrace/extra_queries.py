@@ -10,7 +10,7 @@ from millrace.operators import caching, classifying, describing, evaluating, exp
 from millrace.queries import CLEAN, RAWMAP, SCORED, TOKENS, URLS, cleaned, query
 from millrace.sources import feed as sources
 from millrace.sources import lookups, pages
-from millrace.sources.staging import shared_dir
+from millrace.sources.staging import scratch
 
 
 def picked(values: list[str], n: str = "seq"):
@@ -27,9 +27,7 @@ def sql_picked(values: list[str], n: str = "seq") -> str:
 @query("SELECT raw AS key, names FROM named", CLEAN + ", " + RAWMAP)
 def load_lookups(spark, sf_dir):
     """A mined table written as JSON objects and loaded as a lookup."""
-    import uuid
-
-    path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}-lookup"
+    path = scratch(spark, "lookup")
     lookups.write_map(mining.raw_manufacturers(cleaned(spark, sf_dir)), "raw", "names", path)
     return lookups.read_map(spark, path, "array<string>", lines=True).select("key", F.array_join("value", "|").alias("names"))
 
@@ -302,13 +300,11 @@ def delivery_with_stubs(spark, sf_dir):
 @query("SELECT count(*) AS rows_scored, 'j' AS job_id, round(100 * count_if(seq % 10 <> 0) / count(*), 1) AS classpath_pct FROM feed WHERE seq % 4 <> 3")
 def job_evaluation(spark, sf_dir):
     """The evaluation of one job of the job store."""
-    import uuid
-
     from millrace.plans.service import Service
 
     rows = sources.feed(spark, sf_dir)
     products = rows.select("seq", "Mfg_Part_Num", "Part_Desc", F.when(F.col("seq") % 10 == 0, "other").otherwise(F.col("classpath")).alias("classpath"), F.col("manufacturer").alias("manufacturer_name"), F.lit(50.0).alias("confidence"), F.lit("LOW").alias("band"))
-    service = Service(spark, f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}-jobs")
+    service = Service(spark, scratch(spark, "jobs"))
     service.process("j", products)
     truth = rows.where("seq % 4 <> 3")
     done = evaluating.summarize(evaluating.evaluate(service.results("j"), truth, sources.attributes(rows).limit(0), sources.attributes(rows).limit(0)))
@@ -447,12 +443,10 @@ def largest_class(spark, sf_dir):
 @query("SELECT 'DONE' AS status, CAST(count(*) AS INTEGER) AS processed, CAST(count(*) AS INTEGER) AS total, count(*) AS stored, CAST(2 AS BIGINT) AS corrections, (SELECT CAST(sum(seq) AS BIGINT) FROM (SELECT seq FROM feed ORDER BY seq LIMIT 10)) AS first_ten FROM feed")
 def job_store(spark, sf_dir):
     """State, products, corrections and replay of a stored job."""
-    import uuid
-
     from millrace.plans.service import Service
 
     rows = sources.feed(spark, sf_dir)
-    service = Service(spark, f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}-jobs")
+    service = Service(spark, scratch(spark, "jobs"))
     service.process("j", rows.select("seq", "Mfg_Part_Num", "Part_Desc", "classpath", F.col("manufacturer").alias("manufacturer_name"), F.lit(50.0).alias("confidence"), F.lit("LOW").alias("band")))
     for field in ("classpath", "brand"):
         service.review("p", field, "x")
@@ -465,11 +459,9 @@ def job_store(spark, sf_dir):
 @query("SELECT seq, upper(Part_Desc) AS up, CAST(NULL AS VARCHAR) AS row_error FROM feed WHERE seq <> 7 UNION ALL SELECT seq, NULL, 'ValueError: bad row' FROM feed WHERE seq = 7")
 def incremental_job(spark, sf_dir):
     """A feed that arrives in files, enriched batch by batch as a stream; one row raises and comes through with its error."""
-    import uuid
-
     from millrace.streaming import jobs
 
-    at = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}-stream"
+    at = scratch(spark, "stream")
     sources.feed(spark, sf_dir).select("seq", "Part_Desc").repartition(2).write.parquet(f"{at}/in")
     up = F.when(F.col("seq") == 7, F.raise_error("ValueError: bad row")).otherwise(F.upper("Part_Desc"))
     schema = spark.read.parquet(f"{at}/in").schema

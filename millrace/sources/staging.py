@@ -22,14 +22,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}-{name}"
+    _KEPT.append((spark, path))
+    return path
+
+
 def kept(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     """df written once as Parquet to the shared folder and read back. It is not computed again, outlives
     lost executors, and Spark knows its true size: it broadcasts it in joins below its threshold only.
     The folder goes when the driver ends. options: the writer's."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}-{name}"
+    path = scratch(spark, name)
     df.write.options(**options).parquet(path)
-    _KEPT.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_kept = True
     return out
