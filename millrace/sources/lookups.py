@@ -12,7 +12,7 @@ def read_map(spark: SparkSession, path: str, value: str = "string", lines: bool
     """key, value of files with one JSON object each, or with one object to a line. value is the SQL type
     of the values: string, array<string>, map<string,double>, struct<...>. Raises ValueError where there is
     something else."""
-    texts = spark.read.option("wholetext", not lines).text(path).where(F.trim("value") != "")
+    texts = spark.read.text(path, wholetext=not lines).where(F.trim("value") != "")
     maps = texts.select(F.from_json("value", f"map<string,{value}>").alias("m"))
     if not maps.where("m is null").isEmpty():
         raise ValueError(f"not a JSON object: {path}")
