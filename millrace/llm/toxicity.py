@@ -60,18 +60,21 @@ class Trie:
                 for c in term:
                     node = node.setdefault(c, {})
                 node[kind] = weight
-        # one edit leaves one half of a term as it is, at its end of the token
-        self.halves: dict[int, tuple[set, set]] = {}
-        for term in terms:
-            if (n := len(term)) >= FUZZY:
-                heads, tails = self.halves.setdefault(n, (set(), set()))
-                heads.add(term[: n // 2])
-                tails.add(term[n // 2 :])
+        # a token at one edit of a term is the term without a letter, or without one of its own letters is the term or that
+        long = [t for t in terms if len(t) >= FUZZY]
+        self.cut = {t[:i] + t[i + 1 :] for t in long for i in range(len(t))}
+        self.near = self.cut.union(long)
+        self.lengths = range(min(map(len, long)) - 1, max(map(len, long)) + 2) if long else range(0)
 
     def _may_be_near(self, token: str) -> bool:
         """False only for tokens without a term at one edit."""
-        for n in (len(token) - 1, len(token), len(token) + 1):
-            if (h := self.halves.get(n)) and (token[: n // 2] in h[0] or token[n // 2 - n :] in h[1]):
+        if len(token) not in self.lengths:
+            return False
+        if token in self.cut:
+            return True
+        near = self.near
+        for i in range(len(token)):
+            if token[:i] + token[i + 1 :] in near:
                 return True
         return False
 
@@ -125,26 +128,32 @@ class Trie:
 EDGE = re.compile(r"^\W+|\W+$")
 
 
-class Scorer:
-    """Features of texts; results of tokens are cached in bounded memory."""
+class Seen(dict):
+    """token -> what the trie finds; bounded, emptied when full."""
 
     limit = 400_000
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float]):
-        self.trie, self.seen = Trie(terms, stems), {}
-
-    def _look(self, token: str):
-        if len(self.seen) >= self.limit:
-            self.seen.clear()
-        core = EDGE.sub("", token)
-        hit = self.trie.find(core) if core else None
-        self.seen[token] = hit
+    def __init__(self, trie: Trie):
+        self.trie = trie
+
+    def __missing__(self, token: str):
+        if len(self) >= self.limit:
+            self.clear()
+        core = token if token.isalpha() else EDGE.sub("", token)
+        hit = self[token] = self.trie.find(core) if core else None
         return hit
 
+
+class Scorer:
+    """Features of texts."""
+
+    def __init__(self, terms: dict[str, float], stems: dict[str, float]):
+        self.trie = Trie(terms, stems)
+        self.seen = Seen(self.trie)
+
     def features(self, text: str) -> list[float]:
-        words = text.lower().split()
-        seen, look = self.seen, self._look
-        hits = [(i, h) for i, w in enumerate(words) if (h := seen[w] if w in seen else look(w))]
+        words, seen = text.lower().split(), self.seen
+        hits = [(i, h) for i, w in enumerate(words) if (h := seen[w])]
         if not hits:
             return [0.0] * len(FEATURES)
         kinds, quoted, addressed = [0, 0, 0], 0, 0
