@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, minhash, mixing, quality, repeats, secrets, toxicity, wavelet
+from . import ann, bpe, chat, discriminant, minhash, mixing, periodic, quality, repeats, secrets, toxicity, trie, wavelet
 from .common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,22 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.looped(table(spark, sf_dir, "documents"))
+    return periodic.digests(periodic.collapse(docs, keep=["doc_id"]))
+
+
+@query
+def op12_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = discriminant.held_out("doc_id")
+    learnt = table(spark, sf_dir, "labels").where(~held_out)
+    out = discriminant.score(table(spark, sf_dir, "documents"), learnt, "quality", keep=["doc_id"])
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(*trie.rebuilt(trie.numbered(table(spark, sf_dir, "conversations"))))
