@@ -10,6 +10,7 @@ from millrace.operators import caching, describing, evaluating, exporting, layou
 from millrace.queries import CLEAN, PRIORS, TEMPLATES, URLS, cleaned, fed, priors_of, query
 from millrace.sources import feed as sources
 from millrace.sources import pages
+from millrace.sources.staging import kept
 
 # ---------------------------------------------------------------- similarity
 
@@ -57,8 +58,8 @@ pairs_b AS (SELECT lower(brand) AS key, min(manufacturer) AS manufacturer FROM b
 cascade AS (SELECT seq, CASE WHEN Part_Manuf IS NULL THEN CASE WHEN p.manufacturer IS NULL THEN 'UNRESOLVED' ELSE 'RESOLVED' END
     WHEN n = 1 THEN 'RESOLVED' WHEN n > 1 THEN 'NEEDS_DISAMBIGUATION' WHEN s.score >= 85 THEN 'RESOLVED' WHEN s.score >= 70 THEN 'NEEDS_REVIEW' ELSE 'UNRESOLVED' END AS status,
     CASE WHEN n = 1 THEN named.manufacturer WHEN n IS NULL AND Part_Manuf IS NOT NULL THEN s.manufacturer WHEN Part_Manuf IS NULL THEN p.manufacturer END AS manufacturer_name,
-    CASE WHEN n = 1 THEN Part_Manuf WHEN s.raw IS NOT NULL THEN s.raw WHEN Part_Manuf IS NULL AND p.manufacturer IS NOT NULL THEN 'brand' END AS matched_raw,
-    CASE WHEN n = 1 OR Part_Manuf IS NULL AND p.manufacturer IS NOT NULL THEN 100.0 WHEN n IS NULL THEN coalesce(s.score, 0.0) ELSE 0.0 END AS match_score, CASE WHEN n > 1 THEN names END AS candidates
+    CASE WHEN n = 1 THEN Part_Manuf WHEN s.raw IS NOT NULL THEN s.raw WHEN Part_Manuf IS NULL AND p.manufacturer IS NOT NULL THEN '[brand fallback: ''' || brand || ''']' END AS matched_raw,
+    CASE WHEN n = 1 OR Part_Manuf IS NULL AND p.manufacturer IS NOT NULL THEN 100.0 WHEN n IS NULL THEN s.score END AS match_score, CASE WHEN n > 1 THEN names END AS candidates
   FROM branded LEFT JOIN named ON raw = Part_Manuf LEFT JOIN pairs_b p ON p.key = lower(brand) LEFT JOIN nearest s ON s.name = Part_Manuf)"""
 CASCADE = ", ".join([CLEAN, FUZZY, LCS_SQL, NEAREST, RESOLVED])
 
@@ -131,10 +132,10 @@ def provenance(spark, sf_dir):
 ALLOWED = """allowed AS (SELECT classpath, label, list(DISTINCT value) AS vs FROM attributes WHERE value <> '' AND label <> 'Length' GROUP BY 1, 2),
 typed AS (SELECT seq, classpath, slot, label, CASE WHEN label = 'Finish' AND seq % 10 = 3 THEN value || 's' WHEN label = 'Line' AND seq % 10 = 4 THEN 'zzz' ELSE value END AS value, uom, origin, source_url, evidence_text FROM sourced),
 misses AS (SELECT DISTINCT t.classpath, t.label, t.value, unnest(vs) AS v FROM typed t JOIN allowed USING (classpath, label) WHERE t.value <> '' AND NOT list_contains(vs, t.value)),
-pairs AS (SELECT DISTINCT lower(value) AS a, lower(v) AS b FROM misses WHERE abs(length(value) - length(v)) <= 0.1 * (length(value) + length(v)))"""
-CHECKED = """fix AS (SELECT classpath, label, value, v AS fixed FROM (SELECT m.*, row_number() OVER (PARTITION BY classpath, label, value ORDER BY score DESC, v) AS r FROM misses m JOIN sim ON a = lower(value) AND b = lower(v) WHERE score >= 90) WHERE r = 1),
+pairs AS (SELECT DISTINCT lower(value) AS a, lower(v) AS b FROM misses)"""
+CHECKED = """fix AS (SELECT classpath, label, value, CASE WHEN score >= 90 THEN v END AS fixed, score FROM (SELECT m.*, score, row_number() OVER (PARTITION BY classpath, label, value ORDER BY score DESC, v) AS r FROM misses m JOIN sim ON a = lower(value) AND b = lower(v)) WHERE r = 1),
 lov AS (SELECT t.* REPLACE (coalesce(fixed, t.value) AS value), t.value AS was, CASE WHEN fixed IS NOT NULL THEN true WHEN max(fixed IS NOT NULL) OVER (PARTITION BY seq) THEN NULL WHEN t.value = '' THEN NULL ELSE vs IS NULL OR list_contains(vs, t.value) END AS lov_valid,
-  t.value <> '' AND vs IS NOT NULL AND NOT list_contains(vs, t.value) AND fixed IS NULL AS lov_miss
+  t.value <> '' AND vs IS NOT NULL AND NOT list_contains(vs, t.value) AND fixed IS NULL AS lov_miss, CASE WHEN t.value <> '' AND vs IS NOT NULL AND NOT list_contains(vs, t.value) THEN score END AS lov_score
   FROM typed t LEFT JOIN allowed USING (classpath, label) LEFT JOIN fix ON fix.classpath = t.classpath AND fix.label = t.label AND fix.value = t.value)"""
 PROVS = PROV.replace("SELECT r.*, ", "SELECT r.seq, r.classpath, r.slot, r.label, r.value, r.uom, r.origin, ")
 LOV = ", ".join([REC, PROVS, ALLOWED, LCS_SQL, CHECKED])
@@ -147,23 +148,32 @@ def checked_of(rows: DataFrame) -> DataFrame:
     return validating.repaired(sourced_of(rows).withColumn("value", typed), allowed)
 
 
-@query("SELECT seq, slot, value, was, lov_valid, lov_miss FROM lov", LOV)
+@query("SELECT seq, slot, value, was, lov_valid, lov_miss, round(lov_score, 6) AS lov_score FROM lov", LOV)
 def repair_values(spark, sf_dir):
-    return checked_of(fed(spark, sf_dir)).select("seq", "slot", "value", "was", "lov_valid", "lov_miss")
+    return checked_of(fed(spark, sf_dir)).select("seq", "slot", "value", "was", "lov_valid", "lov_miss", F.round("lov_score", 6).alias("lov_score"))
 
 
 VALIDATED = """makers AS (SELECT brand, manufacturer AS maker FROM (SELECT brand, manufacturer, row_number() OVER (PARTITION BY brand ORDER BY count(*) DESC, min(seq), manufacturer) AS r FROM branded WHERE brand IS NOT NULL GROUP BY 1, 2) WHERE r = 1),
 per AS (SELECT seq, coalesce(max(lov_miss), false) AS miss, coalesce(max(value <> '' AND uom <> '' AND NOT contains(replace(lower(value), ' ', ''), lower(uom))), false) AS unit,
-  max(value <> '' AND source_url IS NULL AND evidence_text IS NULL) AS bare, max(value <> '' AND source_url IS NULL AND evidence_text IS NOT NULL) AS told,
+  max(value <> '' AND source_url IS NULL AND evidence_text IS NULL) AS bare,
+  list(CASE WHEN lov_score IS NULL THEN NULL WHEN lov_miss THEN printf('V2: ''%s'' value ''%s'' not found in known LOV for %s (best match %.1f)', label, value, classpath, lov_score) ELSE printf('V2: repaired ''%s'' value ''%s'' -> ''%s'' (fuzzy match %.1f)', label, was, value, lov_score) END ORDER BY slot) AS w2,
+  list(CASE WHEN value <> '' AND uom <> '' AND NOT contains(replace(lower(value), ' ', ''), lower(uom)) THEN printf('V3: ''%s'' value ''%s'' does not carry expected UOM ''%s''', label, value, uom) END ORDER BY slot) AS w3,
+  list(CASE WHEN value = '' OR source_url IS NOT NULL THEN NULL WHEN evidence_text IS NULL THEN printf('V6: ''%s'' value ''%s'' has no source_url AND no evidence_text', label, value) ELSE printf('V6: ''%s'' value ''%s'' provenance is text-only (rule_prior or LOV-fallback), no source_url', label, value) END ORDER BY slot) AS w6,
   count(*) AS n, count_if(value <> '') AS filled, count_if(value <> '' AND source_url IS NOT NULL) AS found, count_if(value <> '' AND lov_valid IS NOT NULL) AS flagged, count_if(value <> '' AND coalesce(lov_valid, false)) AS valid FROM lov GROUP BY 1),
-validated AS (SELECT b.seq, coalesce(Mfg_Part_Num, '') <> '' AND coalesce(classpath, '') <> '' AND coalesce(b.manufacturer, '') <> '' AS v1_required, NOT miss AS v2_lov, NOT unit AS v3_uom_inline,
-  INVOICE_DESC = upper(INVOICE_DESC) AS v4_casing_inline, maker IS NULL OR maker = b.manufacturer AS v5_brand_mfr, NOT bare AS v6_source_url, told, n, filled, found, flagged, valid
-  FROM (SELECT *, CASE WHEN seq % 2 = 0 THEN upper(Part_Desc) ELSE Part_Desc END AS INVOICE_DESC FROM branded) b JOIN per USING (seq) LEFT JOIN makers USING (brand))"""
+validated AS (SELECT b.seq, b.classpath, b.manufacturer, brand, coalesce(Mfg_Part_Num, '') <> '' AND coalesce(desc_, '') <> '' AND coalesce(b.classpath, '') <> '' AS v1_required, NOT miss AS v2_lov, NOT unit AS v3_uom_inline,
+  INVOICE_DESC = upper(INVOICE_DESC) AS v4_casing_inline, coalesce(maker = b.manufacturer, true) AS v5_brand_mfr, NOT bare AS v6_source_url, n, filled, found, flagged, valid,
+  list_filter(list_concat([CASE WHEN coalesce(Mfg_Part_Num, '') = '' THEN 'V1: Mfg_Part_Num is required but missing' END, CASE WHEN coalesce(desc_, '') = '' THEN 'V1: Part_Desc is required but missing' END,
+    CASE WHEN coalesce(b.classpath, '') = '' THEN 'V1: could not classify to a leaf Classpath' END], w2, w3, [CASE WHEN INVOICE_DESC <> upper(INVOICE_DESC) THEN 'V4: ''INVOICE_DESC'' casing does not match field-aware contract' END,
+    CASE WHEN maker <> b.manufacturer THEN printf('V5: brand ''%s'' expected manufacturer ''%s'', got ''%s''', brand, maker, b.manufacturer) END], w6), lambda x: x IS NOT NULL) AS warnings
+  FROM (SELECT * REPLACE (CASE WHEN seq % 17 = 0 THEN NULL ELSE manufacturer END AS manufacturer, CASE WHEN seq % 19 = 0 THEN '' ELSE classpath END AS classpath), CASE WHEN seq % 13 <> 0 THEN Part_Desc END AS desc_,
+    CASE WHEN seq % 2 = 0 THEN upper(Part_Desc) ELSE Part_Desc END AS INVOICE_DESC FROM branded) b JOIN per USING (seq) LEFT JOIN makers USING (brand))"""
 
 
 def validated_of(rows: DataFrame, checked: DataFrame) -> DataFrame:
     makers = mining.brand_pairs(rows)
-    products = rows.select("seq", "Mfg_Part_Num", "Part_Desc", "classpath", F.col("manufacturer").alias("manufacturer_name"), "brand", F.when(F.col("seq") % 2 == 0, F.upper("Part_Desc")).otherwise(F.col("Part_Desc")).alias("INVOICE_DESC"), F.lit(None).cast("string").alias("MOBILE_DESC"))
+    seq = F.col("seq")
+    gaps = [F.when(seq % 13 != 0, F.col("Part_Desc")).alias("Part_Desc"), F.when(seq % 19 == 0, "").otherwise(F.col("classpath")).alias("classpath"), F.when(seq % 17 != 0, F.col("manufacturer")).alias("manufacturer_name")]
+    products = rows.select("seq", "Mfg_Part_Num", *gaps, "brand", F.when(F.col("seq") % 2 == 0, F.upper("Part_Desc")).otherwise(F.col("Part_Desc")).alias("INVOICE_DESC"), F.lit(None).cast("string").alias("MOBILE_DESC"))
     return validating.validate(products, checked, makers)
 
 
@@ -171,8 +181,7 @@ FLAGS = ["v1_required", "v2_lov", "v3_uom_inline", "v4_casing_inline", "v5_brand
 
 
 @query(
-    f"""SELECT seq, {", ".join(FLAGS)}, NOT (v1_required AND v5_brand_mfr) AS needs_review,
-  array_to_string(list_filter([{", ".join(f"CASE WHEN NOT {f} THEN 'failed {f}' END" for f in FLAGS[1:])}, CASE WHEN told THEN 'evidence without source' END], lambda x: x IS NOT NULL), '|') AS warnings FROM validated""",
+    f"""SELECT seq, {", ".join(FLAGS)}, NOT (v1_required AND v5_brand_mfr) AS needs_review, array_to_string(warnings, '|') AS warnings FROM validated""",
     ", ".join([CLEAN, LOV, VALIDATED]),
 )
 def validate_products(spark, sf_dir):
@@ -180,8 +189,8 @@ def validate_products(spark, sf_dir):
     return validated_of(rows, checked_of(rows)).select("seq", *FLAGS, "needs_review", F.array_join("warnings", "|").alias("warnings"))
 
 
-SCORE = """graded AS (SELECT seq, CASE WHEN found > 0 THEN 1.0 ELSE 0.5 END AS s, filled / n AS e, CASE WHEN filled = 0 THEN 0.0 WHEN flagged > 0 THEN valid / filled ELSE CASE WHEN v2_lov THEN 1.0 ELSE 0.0 END END AS l,
-  CASE WHEN v1_required AND v5_brand_mfr THEN 1.0 ELSE 0.0 END AS r, v5_brand_mfr FROM validated),
+SCORE = """graded AS (SELECT validated.*, CASE WHEN found > 0 THEN 1.0 WHEN classpath <> '' AND coalesce(manufacturer, brand) IS NOT NULL THEN 0.5 ELSE 0.0 END AS s, filled / n AS e, CASE WHEN filled = 0 THEN 0.0 WHEN flagged > 0 THEN valid / filled ELSE CASE WHEN v2_lov THEN 1.0 ELSE 0.0 END END AS l,
+  CASE WHEN v1_required AND v5_brand_mfr THEN 1.0 ELSE 0.0 END AS r FROM validated),
 marked AS (SELECT *, round(100 * (0.35 * CAST(s AS DOUBLE) + 0.30 * e + 0.20 * CAST(l AS DOUBLE) + 0.10 * CAST(r AS DOUBLE)), 2) AS confidence FROM graded)"""
 
 
@@ -198,6 +207,29 @@ def replay_flags(spark, sf_dir):
     return evaluating.replay(validated_of(rows, checked_of(rows)), FLAGS)
 
 
+INPUTS = ["source_strength", "extraction_conf", "lov_match", "rule_validation"]
+REPORT = """said AS (SELECT *, NOT (v1_required AND v5_brand_mfr) AS needs_review, CASE WHEN confidence >= 90 THEN 'VERIFIED' WHEN confidence >= 70 THEN 'REVIEW' ELSE 'LOW' END AS band FROM marked),
+truth AS (SELECT seq, a.label, a.value AS want, l.value AS got FROM attributes a LEFT JOIN (SELECT seq, label, value FROM lov WHERE value <> '') l USING (seq, label) WHERE a.value <> ''),
+hits AS (SELECT seq, count_if(coalesce(got = want, false)) AS hit, count_if(NOT coalesce(got = want, false)) AS off FROM truth GROUP BY 1),
+told AS (SELECT said.*, CASE WHEN classpath <> '' THEN coalesce(hit, 0) ELSE 0 END AS hit, CASE WHEN classpath <> '' THEN coalesce(off, 0) ELSE 0 END AS off FROM said LEFT JOIN hits USING (seq))"""
+SECTIONS = [*((f, f"CAST({f} AS VARCHAR)") for f in [*FLAGS, "needs_review"]), ("band", "band"), ("all", "''")]
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS section, {value} AS value, count(*) AS products, CAST(sum(hit) AS BIGINT) AS \"right\", CAST(sum(off) AS BIGINT) AS wrong, round(avg(s), 6) AS mean_source_strength, round(avg(e), 6) AS mean_extraction_conf, round(avg(l), 6) AS mean_lov_match, round(avg(r), 6) AS mean_rule_validation FROM told GROUP BY 2"
+        for name, value in SECTIONS
+    ),
+    ", ".join([CLEAN, LOV, VALIDATED, SCORE, REPORT]),
+)
+def replay_report(spark, sf_dir):
+    """Validators, bands, bands against labelled attributes and mean inputs of the score, in one pass."""
+    rows = cleaned(spark, sf_dir)
+    checked = kept(checked_of(rows), "checked")
+    scored = validating.confidence(validated_of(rows, checked), checked)
+    return evaluating.replay_report(scored, checked, sources.attributes(rows), [*FLAGS, "needs_review"], INPUTS)
+
+
 # ---------------------------------------------------------------- descriptions
 
 LED_ROWS = f"""led AS (SELECT seq, Mfg_Part_Num AS mpn, CASE WHEN seq % 3 = 0 THEN classpath ELSE '{describing.LED}' END AS classpath, manufacturer,
@@ -355,18 +387,31 @@ EVALS = ", ".join([REC, EVAL, LCS_SQL, TALLY])
 
 def evaluated_of(spark, sf_dir) -> DataFrame:
     rows = fed(spark, sf_dir)
-    products = rows.select("seq", F.when(F.col("seq") % 10 == 0, "other").otherwise(F.col("classpath")).alias("classpath"), F.col("manufacturer").alias("manufacturer_name"))
-    return evaluating.evaluate(products, rows.where("seq % 4 <> 3"), reconciled_of(rows), sources.attributes(rows))
+    seq, w1, brand, sp = F.col("seq"), F.col("w1"), F.col("p_brand"), F.lit(" ")
+    texts = [F.upper("Part_Desc").alias("INVOICE_DESC"), F.concat(w1, sp, brand).alias("MOBILE_DESC"), F.concat(w1, F.lit("x")).alias("SHORT_DESC"), F.when(seq % 3 == 0, "#").otherwise(F.when(seq % 3 == 1, w1)).alias("RETAIL_DESC")]
+    products = rows.select("seq", F.when(seq % 10 == 0, "other").otherwise(F.col("classpath")).alias("classpath"), F.col("manufacturer").alias("manufacturer_name"), *texts)
+    wanted = {"INVOICE_DESC": F.concat(sp, F.upper("Part_Desc"), F.when(seq % 6 == 0, "!").otherwise(" ")), "MOBILE_DESC": F.concat(brand, sp, w1), "SHORT_DESC": F.when(seq % 5 == 0, " ").otherwise(w1), "RETAIL_DESC": w1}
+    return evaluating.evaluate(products, rows.where("seq % 4 <> 3").withColumns(wanted), reconciled_of(rows), sources.attributes(rows))
+
 
+#: The descriptions' statuses: long texts that differ in a mark are close, and so are words in another order.
+TEXT_STATUS = """texts AS (SELECT seq, seq % 4 <> 3 AS scored, CASE WHEN seq % 4 = 3 THEN 'NO_GT' WHEN seq % 6 = 0 THEN 'CLOSE' ELSE 'EXACT' END AS INVOICE_DESC_status, CASE WHEN seq % 4 = 3 THEN 'NO_GT' ELSE 'CLOSE' END AS MOBILE_DESC_status,
+  CASE WHEN seq % 4 = 3 OR seq % 5 = 0 THEN 'NO_GT' WHEN 200.0 * length(w1) / (2 * length(w1) + 1) >= 85 THEN 'CLOSE' ELSE 'MISS' END AS SHORT_DESC_status, CASE WHEN seq % 4 = 3 THEN 'NO_GT' WHEN seq % 3 = 1 THEN 'EXACT' ELSE 'MISS' END AS RETAIL_DESC_status FROM feed)"""
+EVALS += ", " + TEXT_STATUS
 
-@query("SELECT seq, seq % 4 <> 3 AS scored, seq % 4 <> 3 AND seq % 10 <> 0 AS classpath_ok, seq % 4 <> 3 AS manufacturer_ok, expected, exact, close, missed FROM feed JOIN tally USING (seq)", EVALS)
+
+@query(
+    f"SELECT seq, scored, scored AND seq % 10 <> 0 AS classpath_ok, scored AS manufacturer_ok, expected, exact, close, missed, {', '.join(f'{d}_status' for d in evaluating.DESCRIPTIONS)} FROM texts JOIN tally USING (seq)", EVALS
+)
 def evaluate_products(spark, sf_dir):
     return evaluated_of(spark, sf_dir)
 
 
 @query(
-    """SELECT count(*) AS rows_scored, round(100 * count_if(seq % 10 <> 0) / count(*), 1) AS classpath_pct, 100.0::DOUBLE AS manufacturer_pct, CAST(sum(expected) AS BIGINT) AS attributes,
-  round(100 * sum(exact) / sum(expected), 1) AS exact_pct, round(100 * sum(close) / sum(expected), 1) AS close_pct FROM tally WHERE seq % 4 <> 3""",
+    """SELECT count(*) AS rows_scored, CAST(count_if(seq % 10 <> 0) AS BIGINT) AS classpath_correct, round(100 * count_if(seq % 10 <> 0) / count(*), 1) AS classpath_pct, count(*) AS manufacturer_correct, 100.0::DOUBLE AS manufacturer_pct,
+  CAST(sum(expected) AS BIGINT) AS attributes, CAST(sum(exact) AS BIGINT) AS exact_correct, round(100 * sum(exact) / sum(expected), 1) AS exact_pct, round(100 * sum(close) / sum(expected), 1) AS close_pct, """
+    + ", ".join(f"CAST(count_if({d}_status = 'EXACT') AS BIGINT) AS {d}_correct, CAST(count_if({d}_status <> 'NO_GT') AS BIGINT) AS {d}_total, round(100 * count_if({d}_status = 'EXACT') / count_if({d}_status <> 'NO_GT'), 1) AS {d}_pct" for d in evaluating.DESCRIPTIONS)
+    + " FROM tally JOIN texts USING (seq) WHERE scored",
     EVALS,
 )
 def evaluation_summary(spark, sf_dir):

@@ -18,11 +18,12 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def match_status(rows: DataFrame, got: str, expected: str, out: str) -> DataFrame:
-    """rows with out: NO_GT, MISS, EXACT, or CLOSE (words sorted, similarity 85 or more)."""
+    """rows with out: NO_GT, MISS, EXACT (the value as it is), or CLOSE (words sorted, similarity 85 or more). Labelled
+    cells are trimmed where they are read."""
     rows = rows.withColumns({"__a": X.token_sorted(F.coalesce(F.col(got), F.lit(""))), "__b": X.token_sorted(F.coalesce(F.col(expected), F.lit("")))})
     open_ = (F.col("__a") != F.col("__b")) & (F.col("__a") != "") & X.could_be_near("__a", "__b", CLOSE)
     close = (F.col("__a") == F.col("__b")) | F.coalesce(X.similarity("__a", "__b", open_) >= CLOSE, F.lit(False))
-    e, g = X.strip(F.coalesce(F.col(expected), F.lit(""))), X.strip(F.coalesce(F.col(got), F.lit("")))
+    e, g = F.coalesce(F.col(expected), F.lit("")), F.coalesce(F.col(got), F.lit(""))
     status = F.when(e == "", "NO_GT").when(g == "", "MISS").when(e == g, "EXACT").when(close, "CLOSE").otherwise("MISS")
     return rows.withColumn(out, status).drop("__a", "__b")
 
@@ -34,24 +35,41 @@ def attribute_tally(truth: DataFrame, produced: DataFrame) -> DataFrame:
     return both.groupBy("seq").agg(F.count("*").alias("expected"), *[F.count_if(F.col("status") == s).alias(n) for s, n in (("EXACT", "exact"), ("CLOSE", "close"), ("MISS", "missed"))])
 
 
+#: The descriptions that are scored.
+DESCRIPTIONS = ("INVOICE_DESC", "MOBILE_DESC", "SHORT_DESC", "RETAIL_DESC")
+
+
 def evaluate(products: DataFrame, truth: DataFrame, attributes: DataFrame, true_attributes: DataFrame) -> DataFrame:
-    """seq, scored, classpath_ok, manufacturer_ok and the attribute tally of every product; unscored without a labelled row."""
-    t = truth.select("seq", F.trim("classpath").alias("t_class"), F.trim("manufacturer").alias("t_maker"), F.lit(True).alias("scored"))
-    out = products.select("seq", "classpath", "manufacturer_name").join(t, "seq", "left").join(attribute_tally(true_attributes, attributes), "seq", "left")
+    """seq, scored, classpath_ok, manufacturer_ok, the attribute tally and the status of each description
+    (`.._status`) of every product; unscored, with statuses NO_GT, without a labelled row. A description that one of the
+    tables lacks counts as empty there."""
+    cell = lambda rows, c: F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string")
+    t = truth.select("seq", F.trim("classpath").alias("t_class"), F.trim("manufacturer").alias("t_maker"), *[X.strip(cell(truth, d)).alias(f"t_{d}") for d in DESCRIPTIONS], F.lit(True).alias("scored"))
+    made = products.select("seq", "classpath", "manufacturer_name", *[cell(products, d).alias(d) for d in DESCRIPTIONS])
+    out = made.join(t, "seq", "left").join(attribute_tally(true_attributes, attributes), "seq", "left")
+    for d in DESCRIPTIONS:
+        out = match_status(out, d, f"t_{d}", f"{d}_status")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select(
         "seq", F.coalesce("scored", F.lit(False)).alias("scored"), F.col("classpath").eqNullSafe(F.col("t_class")).alias("classpath_ok"),
-        F.col("manufacturer_name").eqNullSafe(F.col("t_maker")).alias("manufacturer_ok"), *[zero(c) for c in ("expected", "exact", "close", "missed")],
+        F.col("manufacturer_name").eqNullSafe(F.col("t_maker")).alias("manufacturer_ok"), *[zero(c) for c in ("expected", "exact", "close", "missed")], *[f"{d}_status" for d in DESCRIPTIONS],
     )
 
 
 def summarize(evaluated: DataFrame) -> DataFrame:
-    """One row of totals and percentages over the scored rows."""
+    """One row over the scored rows: totals, what is right and percentages of classes, makers, attributes and each
+    description (`.._total` leaves out rows without a labelled text)."""
     s = evaluated.where("scored")
-    out = s.agg(F.count("*").alias("n"), F.count_if("classpath_ok").alias("c"), F.count_if("manufacturer_ok").alias("m"), *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("expected", "exact", "close")])
+    total = lambda d: F.count_if(F.col(f"{d}_status") != "NO_GT")
+    right = lambda d: F.count_if(F.col(f"{d}_status") == "EXACT")
+    counts = [F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("expected", "exact", "close")]
+    counts += [x for d in DESCRIPTIONS for x in (right(d).alias(f"{d}_correct"), total(d).alias(f"{d}_total"))]
+    out = s.agg(F.count("*").alias("n"), F.count_if("classpath_ok").alias("c"), F.count_if("manufacturer_ok").alias("m"), *counts)
     return out.select(
-        F.col("n").alias("rows_scored"), percent(F.col("c"), F.col("n")).alias("classpath_pct"), percent(F.col("m"), F.col("n")).alias("manufacturer_pct"),
-        F.col("expected").alias("attributes"), percent(F.col("exact"), F.col("expected")).alias("exact_pct"), percent(F.col("close"), F.col("expected")).alias("close_pct"),
+        F.col("n").alias("rows_scored"), F.col("c").alias("classpath_correct"), percent(F.col("c"), F.col("n")).alias("classpath_pct"),
+        F.col("m").alias("manufacturer_correct"), percent(F.col("m"), F.col("n")).alias("manufacturer_pct"),
+        F.col("expected").alias("attributes"), F.col("exact").alias("exact_correct"), percent(F.col("exact"), F.col("expected")).alias("exact_pct"), percent(F.col("close"), F.col("expected")).alias("close_pct"),
+        *[x for d in DESCRIPTIONS for x in (f"{d}_correct", f"{d}_total", percent(F.col(f"{d}_correct"), F.col(f"{d}_total")).alias(f"{d}_pct"))],
     )
 
 
@@ -61,6 +79,29 @@ def replay(validated: DataFrame, flags: list[str]) -> DataFrame:
     return long.groupBy("flag").agg(F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"))
 
 
+def replay_report(scored: DataFrame, attributes: DataFrame, true_attributes: DataFrame, flags: list[str], inputs: list[str]) -> DataFrame:
+    """section, value, products, right, wrong and the mean of each input, by grouping sets in one pass: a section for each
+    flag (value true or false), one for the bands, one for all products (value empty).
+
+    right and wrong count a product's labelled attributes whose produced value is the same; products without
+    classpath have neither. scored: seq, classpath, band, the flags and inputs."""
+    want = true_attributes.where("label <> '' and value <> ''").groupBy("seq", "label").agg(F.max_by("value", "slot").alias("want"))
+    got = attributes.where("value <> ''").groupBy("seq", "label").agg(F.max_by("value", "slot").alias("got"))
+    same = F.coalesce(F.col("got") == F.col("want"), F.lit(False))
+    per = want.join(got, ["seq", "label"], "left").groupBy("seq").agg(F.count_if(same).alias("right"), F.count_if(~same).alias("wrong"))
+    counted = F.coalesce(F.col("classpath"), F.lit("")) != ""
+    both = scored.select("seq", "classpath", "band", *flags, *inputs).join(per, "seq", "left")
+    both = both.select(*[F.col(f).cast("string").alias(f) for f in flags], "band", *inputs, *[F.when(counted, F.col(c)).otherwise(0).alias(c) for c in ("right", "wrong")])
+    keys = [*flags, "band"]
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    out = both.groupingSets([[k] for k in keys] + [[]], *keys).agg(F.grouping_id().alias("g"), F.count("*").alias("products"), zero("right"), zero("wrong"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in inputs])
+    # in the set of a key its bit alone is clear
+    section = F.lit("all")
+    for i, k in enumerate(keys):
+        section = F.when(F.col("g") == (1 << len(keys)) - 1 - (1 << (len(keys) - 1 - i)), k).otherwise(section)
+    return out.select(section.alias("section"), F.coalesce(*keys, F.lit("")).alias("value"), "products", "right", "wrong", *[f"mean_{c}" for c in inputs])
+
+
 def source_counts(attributes: DataFrame) -> DataFrame:
     """One row: rows whose filled attributes all have a source URL (strict) or at least a text (gated),
     attributes that fail the strict rule, and of these those with neither (hard) and with a text only (soft)."""

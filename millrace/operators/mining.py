@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.sources.staging import kept
 
 #: Abbreviations in attribute values and what they stand for: fixed values.
 SYNONYMS = {
@@ -43,10 +44,15 @@ def url_domain(url):
     return F.replace(host, F.lit("www."), F.lit(""))
 
 
+def trimmed(rows: DataFrame) -> DataFrame:
+    """rows with their part number and URL without white space around."""
+    return rows.withColumns({c: X.strip(F.col(c)) for c in ("mfr_url", "Mfg_Part_Num")})
+
+
 def url_patterns(rows: DataFrame, least: int = 2, share: float = 0.8) -> DataFrame:
     """domain, template, confirmed_on, of_total: the most frequent URL template of a domain, with the
     part number's first occurrence replaced, where it holds for enough of the domain's rows."""
-    r = rows.where("mfr_url <> '' and Mfg_Part_Num <> ''").withColumn("domain", url_domain(F.col("mfr_url")))
+    r = trimmed(rows).where("mfr_url <> '' and Mfg_Part_Num <> ''").withColumn("domain", url_domain(F.col("mfr_url")))
     at = F.instr(F.lower("mfr_url"), F.lower("Mfg_Part_Num"))
     made = F.concat(F.substring(F.col("mfr_url"), F.lit(1), at - 1), F.lit("{mpn}"), F.substring(F.col("mfr_url"), at + F.length("Mfg_Part_Num"), F.length("mfr_url")))
     r = r.withColumn("template", F.when(at > 0, made))
@@ -57,7 +63,7 @@ def url_patterns(rows: DataFrame, least: int = 2, share: float = 0.8) -> DataFra
 
 def shape_mismatches(rows: DataFrame) -> DataFrame:
     """domain, rows, odd: each part number whose URL does not hold it, a row each, with the domain's rows."""
-    r = rows.where("mfr_url <> ''").withColumn("domain", url_domain(F.col("mfr_url")))
+    r = trimmed(rows).where("mfr_url <> ''").withColumn("domain", url_domain(F.col("mfr_url")))
     odd = r.where(F.instr(F.lower("mfr_url"), F.lower("Mfg_Part_Num")) == 0).select("domain", F.col("Mfg_Part_Num").alias("odd")).distinct()
     return odd.join(r.groupBy("domain").agg(F.count("*").alias("rows")), "domain")
 
@@ -65,7 +71,7 @@ def shape_mismatches(rows: DataFrame) -> DataFrame:
 def manual_patterns(rows: DataFrame, manual: DataFrame) -> DataFrame:
     """manual (domain, template, mpn_transform, shape: what a part number must look like) with the domain's
     rows as confirmed_on and of_total, and mismatches: its rows of another shape."""
-    r = rows.where("mfr_url <> ''").select(url_domain(F.col("mfr_url")).alias("domain"), "Mfg_Part_Num")
+    r = trimmed(rows).where("mfr_url <> ''").select(url_domain(F.col("mfr_url")).alias("domain"), "Mfg_Part_Num")
     r = r.join(manual.select("domain", "shape"), "domain")
     counts = r.groupBy("domain").agg(F.count("*").alias("n"), F.count_if(~F.expr("Mfg_Part_Num rlike shape")).alias("bad"))
     zero = lambda c: F.coalesce(c, F.lit(0))
@@ -94,8 +100,9 @@ def row_tokens(rows: DataFrame) -> DataFrame:
 
 
 def keywords(rows: DataFrame, top: int = 15) -> DataFrame:
-    """classpath, token, weight: freq x (classes / rows with the token), rounded to four digits; the top of each class."""
-    rows = rows.where("classpath <> ''")
+    """classpath, token, weight: freq x (classes / rows with the token), rounded to four digits; the top of each
+    class. Rows without class or description count nowhere."""
+    rows = rows.where("classpath <> '' and Part_Desc <> ''")
     tok = row_tokens(rows)
     freq = tok.groupBy("classpath", "token").agg(F.count("*").alias("freq"))
     df = freq.groupBy("token").agg(F.sum("freq").alias("df"))  # rows, not classes, hold the token
@@ -129,27 +136,45 @@ def mostly_empty(rates: DataFrame, least: int = 2, share: float = 0.75) -> DataF
     return rates.where((F.col("total") >= least) & (F.col("empty") >= share * F.col("total")))
 
 
-def row_brands(rows: DataFrame) -> DataFrame:
-    """seq, Part_Manuf, manufacturer, brand (as written) and key of every brand cell that is no placeholder."""
-    cells = F.explode(F.array(*[X.clean_value(F.col(c)) for c in ("E1_Brand", "Unilog_Brand", "DIB_Brand")])).alias("brand")
-    return rows.select("seq", "Part_Manuf", "manufacturer", cells).where("brand is not null").withColumn("key", X.brand_key(F.col("brand")))
+#: Brand cells that name nobody, in lower case; brands that are a maker's though no name says so, and brands that are
+#: not what they seem: fixed values.
+NO_BRAND = ["-- unbranded --", "-- no dib brand --", "-- no unilog brand --", "commodity - unbranded"]
+ALLOWED_BRANDS, DENIED_BRANDS = ["BRK"], ["JAMESHARDIE", "LP SMARTSIDE", "Wiz"]
+BRAND_CELLS = ("E1_Brand", "DIB_Brand", "Unilog_Brand")
 
 
-def tainted_sources(rows: DataFrame) -> DataFrame:
-    """Part_Manuf, brands: sources with more than one brand."""
-    return row_brands(rows).groupBy("Part_Manuf").agg(F.countDistinct("key").alias("brands")).where("brands > 1")
+def row_brands(rows: DataFrame, *more: str) -> DataFrame:
+    """seq, source (Part_Manuf, empty without), place (1 to 3) and brand as written, of every raw brand cell that is no placeholder."""
+    cells = F.posexplode(F.array(*[X.strip(F.coalesce(F.col(c), F.lit(""))) for c in BRAND_CELLS])).alias("place", "brand")
+    out = rows.select("seq", X.strip(F.coalesce(F.col("Part_Manuf"), F.lit(""))).alias("source"), *more, cells)
+    return out.where(F.col("brand") != "").where(~F.lower("brand").isin(NO_BRAND))
 
 
-def clean_brands(rows: DataFrame, allowed: list[str] = ()) -> DataFrame:
-    """key, manufacturer, n: brands of one manufacturer only, not all of whose sources are tainted,
-    unless they are allowed or a word of four letters or more of theirs is in the manufacturer's name."""
-    b = row_brands(rows)
-    per = b.groupBy("key").agg(F.countDistinct("manufacturer").alias("m"), F.min("manufacturer").alias("manufacturer"), F.count("*").alias("n")).where("m = 1")
-    sound = b.select("key", "Part_Manuf").distinct().join(tainted_sources(rows).select("Part_Manuf"), "Part_Manuf", "left_anti").select("key").distinct()
-    out = per.join(sound.withColumn("sound", F.lit(True)), "key", "left")
-    words = F.filter(F.split("key", r"[^a-z]+"), lambda w: F.length(w) >= 4)
-    named = F.exists(words, lambda w: F.lower("manufacturer").contains(w))
-    return out.where(F.coalesce("sound", F.lit(False)) | named | F.col("key").isin(list(allowed))).select("key", "manufacturer", "n")
+def tainted_sources(rows: DataFrame) -> DataFrame:
+    """source, brands: sources with more than one brand, as written."""
+    return row_brands(rows).where("source <> ''").groupBy("source").agg(F.countDistinct("brand").alias("brands")).where("brands > 1")
+
+
+def clean_brands(rows: DataFrame, resolved: DataFrame, known: DataFrame, allowed: list[str] | None = None, denied: list[str] | None = None) -> DataFrame:
+    """brand, manufacturer, n: brands to add to the known ones (known: brand).
+
+    rows: seq, Part_Manuf and the brand cells, raw. resolved: seq, status, manufacturer_name. Among the rows that are
+    RESOLVED, a brand of one manufacturer alone counts, unless it is denied or its key is a known brand's. Where all its
+    sources are tainted, a word of four letters or more of it must be in the manufacturer's name, or it must be
+    allowed. Of brands that share a key the one seen first is added."""
+    allowed, denied = ALLOWED_BRANDS if allowed is None else allowed, DENIED_BRANDS if denied is None else denied
+    made = resolved.where("status = 'RESOLVED' and manufacturer_name <> ''").select("seq", "manufacturer_name")
+    cells = kept(row_brands(rows).join(made, "seq"), "cells")
+    per = cells.groupBy("brand").agg(F.countDistinct("manufacturer_name").alias("m"), F.min("manufacturer_name").alias("manufacturer"), F.count("*").alias("n"), F.min(F.struct("seq", "place")).alias("first"))
+    per = per.where("m = 1").where(~F.col("brand").isin(list(denied))).withColumn("key", X.brand_key(F.col("brand")))
+    per = per.join(known.select(X.brand_key(F.col("brand")).alias("key")).distinct(), "key", "left_anti")
+    sound = cells.select("brand", "source").distinct().join(tainted_sources(rows), "source", "left_anti").select("brand").distinct()
+    out = per.join(sound.withColumn("sound", F.lit(True)), "brand", "left")
+    words = F.filter(F.regexp_extract_all(F.col("brand"), F.lit("([A-Za-z]+)"), F.lit(1)), lambda w: F.length(w) >= 4)
+    named = F.exists(words, lambda w: F.lower("manufacturer").contains(F.lower(w)))
+    out = out.where(F.coalesce("sound", F.lit(False)) | named | F.col("brand").isin(list(allowed)))
+    first = F.row_number().over(Window.partitionBy("key").orderBy("first"))
+    return out.withColumn("rank", first).where("rank = 1").select("brand", "manufacturer", "n")
 
 
 def self_names(rows: DataFrame, reviewed: DataFrame) -> DataFrame:
@@ -167,7 +192,7 @@ def slot_conflicts(attributes: DataFrame) -> DataFrame:
 def mine_all(rows: DataFrame, attributes: DataFrame) -> dict[str, DataFrame]:
     return {
         "templates": templates(attributes), "raw_manufacturers": raw_manufacturers(rows), "url_patterns": url_patterns(rows), "domains": domains(rows),
-        "keywords": keywords(rows), "class_prior": class_prior(rows), "allowed_values": allowed_values(attributes), "clean_brands": clean_brands(rows),
+        "keywords": keywords(rows), "class_prior": class_prior(rows), "allowed_values": allowed_values(attributes),
         "brand_pairs": brand_pairs(rows), "empty_rates": empty_rates(rows, "brand"), "tainted_sources": tainted_sources(rows), "slot_conflicts": slot_conflicts(attributes), "shape_mismatches": shape_mismatches(rows),
     }
 

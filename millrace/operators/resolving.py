@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.sources.staging import is_kept, kept
 
+from . import similar
+
 #: Name parts that identify nobody: fixed values.
 GENERIC = ["corporation", "company", "inc", "incorporated", "llc", "corp", "manufacturing", "industries", "holding", "holdings", "products", "systems", "group", "co", "ltd", "limited", "international", "usa"]
 #: Ordered rules for one cooperative's code: pattern in the description, then prefix of the part number. Fixed values.
@@ -25,6 +27,13 @@ def lookup(dim: DataFrame) -> DataFrame:
     return dim if is_kept(dim) else kept(dim, "lookup")
 
 
+def quoted(c: Column) -> Column:
+    """A text between single quotes; between double ones where it holds single quotes alone."""
+    c = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    plain = ~c.contains("'") | c.contains('"')
+    return F.when(plain, F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("\\'")), F.lit("'"))).otherwise(F.concat(F.lit('"'), c, F.lit('"')))
+
+
 def coop_rule(desc: Column, mpn: Column) -> Column:
     """The manufacturer that the cooperative's rules give, first match first; null if none does."""
     out = F.lit(None).cast("string")
@@ -46,25 +55,22 @@ def by_description(rows: DataFrame, manufacturers: DataFrame) -> DataFrame:
 
 
 def by_similarity(names: DataFrame, known: DataFrame, least: float = REVIEW) -> DataFrame:
-    """name, raw, manufacturer, score: the most similar known name of each distinct unknown one, codes
-    off, words sorted. Only pairs whose lengths allow the score are compared: they meet in length bands."""
-    a = names.select("name").distinct().withColumn("a", X.token_sorted(X.code_suffix_removed(F.col("name"))))
-    b = known.groupBy(X.token_sorted(X.code_suffix_removed(F.col("raw"))).alias("b")).agg(F.max(F.struct("raw", "manufacturer")).alias("k"))
-    width = least / 100
-    # lengths with |la - lb| <= (1 - least) (la + lb): lb within la x least / (2 - least) .. la x (2 - least) / least
-    reach = F.sequence(F.ceil(F.length("a") * (width / (2 - width))).cast("int"), F.floor(F.length("a") * ((2 - width) / width)).cast("int"))
-    pairs = kept(a, "names").withColumn("n", F.explode(reach)).join(kept(b, "known").withColumn("n", F.length("b")), "n").where(X.could_reach("a", "b", least))
-    scored = pairs.withColumn("score", X.similarity("a", "b")).where(F.col("score") >= least)
-    w = Window.partitionBy("name").orderBy(F.desc("score"), "k.raw")
-    return scored.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("name", "k.raw", "k.manufacturer", "score")
+    """name, raw, manufacturer, score: the most similar known name of each distinct unknown one, codes off, words
+    sorted. Of known names that are alike without code the first decides ties and the last is the match."""
+    a = kept(names.select("name").distinct().withColumn("x", X.token_sorted(X.code_suffix_removed(F.col("name")))), "names")
+    bare = X.token_sorted(X.code_suffix_removed(F.col("raw"))).alias("y")
+    b = kept(known.groupBy(bare).agg(F.min("raw").alias("order"), F.max(F.struct("raw", "manufacturer")).alias("k")), "known")
+    found = similar.best_matches(a, b, [], least)
+    return a.join(found, "x").join(b, "y").select("name", "k.raw", "k.manufacturer", "score")
 
 
 def resolve(rows: DataFrame, raw_names: DataFrame, brands: DataFrame, domains: DataFrame) -> DataFrame:
     """rows with status, manufacturer_name, domain, matched_raw, match_score, candidates.
 
     rows: seq, Part_Manuf, brand, Part_Desc, Mfg_Part_Num, cleaned. Order of trial without Part_Manuf: brand,
-    name in the description; with it: exact name, candidates (one cooperative's by rule), similarity.
-    Only what the equi-joins leave reaches the similarity step.
+    a name of the domain table in the description; with it: exact name, candidates (one cooperative's by rule),
+    similarity. matched_raw says how; without a match it and match_score are null. Only what the
+    equi-joins leave reaches the similarity step.
     """
     raw_names = lookup(raw_names)
     known = raw_names.where("size(names) = 1").select("raw", F.col("names")[0].alias("exact"))
@@ -73,7 +79,7 @@ def resolve(rows: DataFrame, raw_names: DataFrame, brands: DataFrame, domains: D
     key = brands.groupBy(F.col("key").alias("__key")).agg(F.min("manufacturer").alias("by_brand"))
     out = kept(out.withColumn("__key", F.when(F.col("Part_Manuf").isNull(), X.brand_key(F.col("brand")))).join(lookup(key), "__key", "left"), "named")
     nameless = out.where("Part_Manuf is null and by_brand is null")
-    told = by_description(nameless.select("seq", "Part_Desc"), raw_names.select(F.explode("names").alias("manufacturer")).distinct())
+    told = by_description(nameless.select("seq", "Part_Desc"), domains.select("manufacturer").distinct())
     out = out.join(told.withColumnRenamed("manufacturer", "by_text"), "seq", "left")
     out = out.withColumn("by_rule", F.when(F.col("Part_Manuf") == COOP_CODE, coop_rule(F.col("Part_Desc"), F.col("Mfg_Part_Num"))))
     left = out.where("Part_Manuf is not null and exact is null and candidates is null").select(F.col("Part_Manuf").alias("name"))
@@ -87,9 +93,9 @@ def resolve(rows: DataFrame, raw_names: DataFrame, brands: DataFrame, domains: D
         .when(F.col("Part_Manuf").isNull() & F.coalesce("by_brand", "by_text").isNotNull(), "RESOLVED").otherwise("UNRESOLVED")
     )
     name = F.coalesce("exact", F.when(ruled, F.col("by_rule")), "near_name", "by_brand", "by_text")
-    how = F.when(F.col("exact").isNotNull(), F.col("Part_Manuf")).when(F.col("by_rule").isNotNull() & ruled, F.lit("rule")).when(F.col("near_raw").isNotNull(), F.col("near_raw"))
-    how = how.when(F.col("by_brand").isNotNull(), F.lit("brand")).when(F.col("by_text").isNotNull(), F.lit("description"))
-    score = F.when(status == "UNRESOLVED", 0.0).when(F.col("score").isNotNull() & F.col("exact").isNull() & ~ruled, F.col("score")).when(status == "RESOLVED", 100.0).otherwise(0.0)
+    how = F.when(F.col("exact").isNotNull(), F.col("Part_Manuf")).when(F.col("by_rule").isNotNull() & ruled, F.concat("Part_Manuf", F.lit(" [ADC secondary-signal match]"))).when(F.col("near_raw").isNotNull(), F.col("near_raw"))
+    how = how.when(F.col("by_brand").isNotNull(), F.concat(F.lit("[brand fallback: "), quoted(F.col("brand")), F.lit("]"))).when(F.col("by_text").isNotNull(), F.lit("[description fallback]"))
+    score = F.when(F.col("score").isNotNull() & F.col("exact").isNull() & ~ruled, F.col("score")).when(status == "RESOLVED", 100.0)
     out = out.select(*rows.columns, status.alias("status"), name.alias("manufacturer_name"), how.alias("matched_raw"), score.alias("match_score"), F.when(status == "NEEDS_DISAMBIGUATION", F.col("candidates")).alias("candidates"))
     return out.join(lookup(domains.withColumnRenamed("manufacturer", "manufacturer_name")), "manufacturer_name", "left")
 

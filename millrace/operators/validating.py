@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as X
 from millrace.sources.staging import kept
 
+from . import similar
 from .resolving import lookup
 
 REPAIR = 90.0
@@ -18,20 +19,65 @@ VERIFIED, REVIEW = 90, 70
 
 def repaired(attributes: DataFrame, allowed: DataFrame) -> DataFrame:
     """attributes with value repaired to the most similar allowed one (90 or more, lower-cased; the first
-    in order among equals), was (the value before), and lov_valid: null on rows with any repair but for
-    the repaired values themselves, else whether the value is allowed (or its label has no list)."""
+    in order among equals), was (the value before), lov_valid: null on rows with any repair but for
+    the repaired values themselves, else whether the value is allowed (or its label has no list); lov_miss: not
+    allowed and not repaired; and lov_score, how similar the nearest allowed value of a repaired or missed one is."""
     a = kept(attributes.join(lookup(allowed.select("classpath", "label", "values")), ["classpath", "label"], "left"), "checked")
     checked = (F.col("value") != "") & F.col("values").isNotNull()
     ok = F.array_contains("values", F.col("value"))
-    miss = a.where(checked & ~ok).select("classpath", "label", "value", "values").distinct()
-    pairs = miss.select("classpath", "label", "value", F.explode("values").alias("v")).withColumns({"x": F.lower("value"), "y": F.lower("v")})
-    pairs = pairs.where(X.could_be_near("x", "y", REPAIR)).withColumn("score", X.similarity("x", "y")).where(F.col("score") >= REPAIR)
-    best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("classpath", "label", "value").orderBy(F.desc("score"), "v"))).where("rank = 1")
-    a = a.join(lookup(best.select("classpath", "label", "value", F.col("v").alias("fixed"))), ["classpath", "label", "value"], "left")
+    miss = kept(a.where(checked & ~ok).select("classpath", "label", "value").distinct().withColumn("x", F.lower("value")), "misses")
+    of = ["classpath", "label"]
+    lists = lookup(allowed.select(*of, "values")).join(miss.select(*of).distinct(), of, "left_semi")
+    known = kept(lists.select(*of, F.explode("values").alias("order")).withColumn("y", F.lower("order")), "allowed")
+    # the nearest value of all, as a warning tells how near it is
+    best = similar.best_matches(miss.select(*of, "x"), known, of, 0.0, (95.0, REPAIR, 75.0, 50.0))
+    first = known.groupBy(*of, "y").agg(F.min("order").alias("v"))
+    best = miss.join(best, [*of, "x"]).join(first, [*of, "y"])
+    fixed = F.when(F.col("score") >= REPAIR, F.col("v")).alias("fixed")
+    a = a.join(lookup(best.select(*of, "value", fixed, F.col("score").alias("best"))), [*of, "value"], "left")
     a = a.withColumn("any_fixed", F.max(F.col("fixed").isNotNull()).over(Window.partitionBy("seq")))
     valid = F.when(F.col("fixed").isNotNull(), True).when(F.col("any_fixed"), F.lit(None)).when(F.col("value") == "", F.lit(None)).otherwise(F.col("values").isNull() | ok)
     fixed = F.coalesce("fixed", "value")
-    return a.select(*[fixed.alias("value") if c == "value" else F.col(c) for c in attributes.columns], F.col("value").alias("was"), valid.alias("lov_valid"), (checked & ~ok & F.col("fixed").isNull()).alias("lov_miss"))
+    return a.select(*[fixed.alias("value") if c == "value" else F.col(c) for c in attributes.columns], F.col("value").alias("was"), valid.alias("lov_valid"), (checked & ~ok & F.col("fixed").isNull()).alias("lov_miss"), F.when(checked & ~ok, F.coalesce("best", F.lit(0.0))).alias("lov_score"))
+
+
+#: Texts of the warnings: fixed values of the format.
+MISSING = {"Mfg_Part_Num": "V1: Mfg_Part_Num is required but missing", "Part_Desc": "V1: Part_Desc is required but missing", "classpath": "V1: could not classify to a leaf Classpath"}
+REPAIRED = "V2: repaired '%s' value '%s' -> '%s' (fuzzy match %.1f)"
+NOT_ALLOWED = "V2: '%s' value '%s' not found in known LOV for %s (best match %.1f)"
+NO_UNIT = "V3: '%s' value '%s' does not carry expected UOM '%s'"
+CASING = "V4: '%s' casing does not match field-aware contract"
+OTHER_MAKER = "V5: brand '%s' expected manufacturer '%s', got '%s'"
+TEXT_ONLY = "V6: '%s' value '%s' provenance is text-only (rule_prior or LOV-fallback), no source_url"
+UNSOURCED = "V6: '%s' value '%s' has no source_url AND no evidence_text"
+#: Fields whose casing is part of the format.
+CASED = ("INVOICE_DESC", "MOBILE_DESC")
+
+
+def empty(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+
+
+def attribute_warnings(attributes: DataFrame) -> DataFrame:
+    """seq, what V2, V3 and V6 say of its attributes (arrays in order of slot), and whether any fails: miss, unit, bare.
+
+    attributes: what repaired() returns, with source_url and evidence_text. Only the attributes that are
+    warned of are gathered, at most a product's slots."""
+    filled = ~empty("value")
+    digits = F.bround("lov_score", 1)  # a score is a double: half goes to even
+    fixed = F.col("lov_score").isNotNull() & ~F.col("lov_miss")
+    unit = filled & ~empty("uom") & ~F.replace(F.lower("value"), F.lit(" "), F.lit("")).contains(F.lower("uom"))
+    unsourced = filled & empty("source_url")
+    bare = unsourced & empty("evidence_text")
+    said = {
+        "2": F.when(fixed, F.format_string(REPAIRED, "label", "was", "value", digits)).when(F.col("lov_miss"), F.format_string(NOT_ALLOWED, "label", "value", "classpath", digits)),
+        "3": F.when(unit, F.format_string(NO_UNIT, "label", "value", "uom")),
+        "6": F.when(bare, F.format_string(UNSOURCED, "label", "value")).when(unsourced, F.format_string(TEXT_ONLY, "label", "value")),
+    }
+    told = lambda w: F.transform(F.array_sort(F.collect_list(F.when(w.isNotNull(), F.struct("slot", w.alias("w"))))), lambda x: x["w"])
+    return attributes.groupBy("seq").agg(
+        *[told(w).alias(f"__w{v}") for v, w in said.items()], F.coalesce(F.max("lov_miss"), F.lit(False)).alias("__miss"), F.max(unit).alias("__unit"), F.max(bare).alias("__bare"),
+    )
 
 
 def validate(rows: DataFrame, attributes: DataFrame, brand_makers: DataFrame) -> DataFrame:
@@ -39,28 +85,25 @@ def validate(rows: DataFrame, attributes: DataFrame, brand_makers: DataFrame) ->
 
     rows: seq, Mfg_Part_Num, Part_Desc, classpath, manufacturer_name, brand and the description fields
     (INVOICE_DESC, MOBILE_DESC); attributes: what repaired() returns, with source_url and evidence_text.
+    Warnings come by validator, those on attributes by slot. A product without attributes passes V2, V3 and V6.
     """
-    filled = F.col("value") != ""
-    inline = F.coalesce(F.col("uom"), F.lit("")) != ""
-    per = attributes.groupBy("seq").agg(
-        F.coalesce(F.max(F.col("lov_miss")), F.lit(False)).alias("__miss"),
-        F.max(filled & inline & ~F.replace(F.lower("value"), F.lit(" "), F.lit("")).contains(F.lower("uom"))).alias("__unit"),
-        F.max(filled & F.col("source_url").isNull() & F.col("evidence_text").isNull()).alias("__bare"),
-        F.max(filled & F.col("source_url").isNull() & F.col("evidence_text").isNotNull()).alias("__told"),
-    )
     maker = brand_makers.select(F.col("brand"), F.col("manufacturer").alias("__maker"))
-    out = rows.join(per, "seq", "left").join(lookup(maker), "brand", "left")
+    out = rows.join(attribute_warnings(attributes), "seq", "left").join(lookup(maker), "brand", "left")
     no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
-    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    v1 = ~(empty("Mfg_Part_Num") | empty("classpath") | empty("manufacturer_name"))
-    v4 = F.coalesce(X.cased(F.col("INVOICE_DESC"), "INVOICE_DESC") == F.col("INVOICE_DESC"), F.lit(True)) & F.coalesce(X.cased(F.col("MOBILE_DESC"), "MOBILE_DESC") == F.col("MOBILE_DESC"), F.lit(True))
-    v5 = F.col("manufacturer_name").isNull() | F.col("__maker").isNull() | F.col("manufacturer_name").eqNullSafe(F.col("__maker"))
-    flags = {"v1_required": v1, "v2_lov": no("__miss"), "v3_uom_inline": no("__unit"), "v4_casing_inline": v4, "v5_brand_mfr": v5, "v6_source_url": no("__bare")}
-    out = out.withColumns(flags)
-    say = [F.when(empty(c), F.lit(f"missing {c}")) for c in ("Mfg_Part_Num", "classpath", "manufacturer_name")]
-    say += [F.when(~F.col(f), F.lit(f"failed {f}")) for f in list(flags)[1:]] + [F.when(~no("__told"), F.lit("evidence without source"))]
-    out = out.withColumns({"warnings": F.array_compact(F.array(*say)), "needs_review": ~(F.col("v1_required") & F.col("v5_brand_mfr"))})
-    return out.drop("__miss", "__unit", "__bare", "__told", "__maker")
+    missing = {c: empty(c) for c in MISSING}
+    cased = {f: F.coalesce(X.cased(F.col(f), f) == F.col(f), F.lit(True)) for f in CASED}
+    other = ~empty("brand") & ~empty("manufacturer_name") & F.col("__maker").isNotNull() & (F.col("__maker") != F.col("manufacturer_name"))
+    flags = {
+        "v1_required": ~(missing["Mfg_Part_Num"] | missing["Part_Desc"] | missing["classpath"]), "v2_lov": no("__miss"), "v3_uom_inline": no("__unit"),
+        "v4_casing_inline": cased["INVOICE_DESC"] & cased["MOBILE_DESC"], "v5_brand_mfr": ~F.coalesce(other, F.lit(False)), "v6_source_url": no("__bare"),
+    }
+    first = [F.when(missing[c], F.lit(w)) for c, w in MISSING.items()]
+    last = [F.when(~cased[f], F.lit(CASING % f)) for f in CASED] + [F.when(other, F.format_string(OTHER_MAKER, "brand", "__maker", "manufacturer_name"))]
+    none = F.array().cast("array<string>")
+    of = lambda v: F.coalesce(f"__w{v}", none)
+    warnings = F.concat(F.array_compact(F.array(*first)), of(2), of(3), F.array_compact(F.array(*last)), of(6))
+    out = out.withColumns({**flags, "warnings": warnings})
+    return out.withColumn("needs_review", ~(F.col("v1_required") & F.col("v5_brand_mfr"))).drop("__miss", "__unit", "__bare", "__w2", "__w3", "__w6", "__maker")
 
 
 def band(score: Column) -> Column:
@@ -71,7 +114,7 @@ def confidence(validated: DataFrame, attributes: DataFrame) -> DataFrame:
     """validated with the five inputs, confidence (0 to 100, two digits) and band."""
     filled = F.col("value") != ""
     per = attributes.groupBy("seq").agg(
-        F.count("*").alias("__n"), F.count_if(filled).alias("__filled"), F.count_if(filled & F.col("source_url").isNotNull()).alias("__sourced"),
+        F.count("*").alias("__n"), F.count_if(filled).alias("__filled"), F.count_if(filled & ~empty("source_url")).alias("__sourced"),
         F.count_if(filled & F.col("lov_valid").isNotNull()).alias("__flagged"), F.count_if(filled & F.coalesce("lov_valid", F.lit(False))).alias("__valid"),
     )
     out = validated.join(per, "seq", "left")

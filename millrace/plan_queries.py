@@ -10,7 +10,7 @@ from millrace.queries import CLEAN, PRIORS, SCORED, TEMPLATES, TOKENS, URLS, cle
 from millrace.sources import feed as sources
 
 MAKERS = """makers AS (SELECT brand, manufacturer AS maker FROM (SELECT brand, manufacturer, row_number() OVER (PARTITION BY brand ORDER BY count(*) DESC, min(seq), manufacturer) AS r FROM branded WHERE brand IS NOT NULL GROUP BY 1, 2) WHERE r = 1)"""
-BY_BRAND = RESOLVED.replace("SELECT lower(brand) AS key, min(manufacturer) AS manufacturer FROM branded WHERE brand IS NOT NULL GROUP BY 1", "SELECT lower(brand) AS key, min(maker) AS manufacturer FROM makers GROUP BY 1")
+BY_BRAND = RESOLVED.replace("SELECT lower(brand) AS key, min(manufacturer) AS manufacturer FROM branded WHERE brand IS NOT NULL GROUP BY 1", "SELECT lower(brand) AS key, arg_max(maker, brand) AS manufacturer FROM makers GROUP BY 1")
 ENRICHED = """classed AS (SELECT seq, max(classpath) FILTER (r = 1) AS classpath, round(max(score) FILTER (r = 1) / max(total), 3) AS class_confidence FROM placed GROUP BY 1),
 rows_ AS (SELECT b.seq, Mfg_Part_Num, Part_Desc, brand, status, manufacturer_name, match_score, k.classpath, coalesce(class_confidence, 0.0) AS class_confidence, replace(template, '{mpn}', Mfg_Part_Num) AS mfr_url
   FROM branded b JOIN cascade USING (seq) LEFT JOIN classed k USING (seq) LEFT JOIN domains d ON d.manufacturer = manufacturer_name LEFT JOIN patterns USING (domain)),
@@ -20,7 +20,7 @@ slots AS (SELECT r.seq, classpath, slot, t.label, uom_hint, row_number() OVER (P
 filled AS (SELECT s.seq, s.slot, s.label, coalesce(q.value, '') AS value, CASE WHEN q.value IS NOT NULL THEN uom_hint ELSE '' END AS uom, vs IS NULL OR list_contains(vs, q.value) AS ok
   FROM slots s LEFT JOIN queue q ON q.seq = s.seq AND q.uom = uom_hint AND q.k = s.k AND uom_hint <> '' LEFT JOIN allowed a ON a.classpath = s.classpath AND a.label = s.label),
 per AS (SELECT seq, count(*) AS n, count_if(value <> '') AS f, count_if(value <> '' AND ok) AS v, max(value <> '' AND uom <> '' AND NOT contains(lower(value), lower(uom))) AS unit FROM filled GROUP BY 1),
-judged AS (SELECT r.*, p.n, p.f, p.v, coalesce(Mfg_Part_Num, '') <> '' AND coalesce(classpath, '') <> '' AND coalesce(manufacturer_name, '') <> '' AS v1_required, coalesce(f = v, true) AS v2_lov, NOT coalesce(unit, false) AS v3_uom_inline,
+judged AS (SELECT r.*, p.n, p.f, p.v, coalesce(Mfg_Part_Num, '') <> '' AND coalesce(Part_Desc, '') <> '' AND coalesce(classpath, '') <> '' AS v1_required, coalesce(f = v, true) AS v2_lov, NOT coalesce(unit, false) AS v3_uom_inline,
     manufacturer_name IS NULL OR maker IS NULL OR maker = manufacturer_name AS v5_brand_mfr
   FROM rows_ r LEFT JOIN per p USING (seq) LEFT JOIN makers USING (brand)),
 marked AS (SELECT *, round(100 * (0.35 * CAST(CASE WHEN coalesce(classpath, '') <> '' AND coalesce(manufacturer_name, brand) IS NOT NULL THEN 0.5 ELSE 0.0 END AS DOUBLE) + 0.30 * coalesce(f / n, 0.0)

@@ -37,7 +37,7 @@ def mined(labelled: DataFrame, attributes: DataFrame, reviewed: str = "true") ->
     rows whose raw names may be learnt."""
     labelled = kept(labelled, "labelled")
     brands = mining.brand_pairs(labelled)
-    keys = brands.groupBy(X.brand_key(F.col("brand")).alias("key")).agg(F.min("manufacturer").alias("manufacturer"))
+    keys = brands.groupBy(X.brand_key(F.col("brand")).alias("key")).agg(F.max_by("manufacturer", "brand").alias("manufacturer"))  # of brands that share a key the last
     return Lookups(
         mining.raw_manufacturers(labelled.where(reviewed)), keys, mining.domains(labelled), mining.url_patterns(labelled), mining.keywords(labelled),
         mining.class_prior(labelled), mining.templates(attributes), mining.allowed_values(attributes), brands,
@@ -45,8 +45,10 @@ def mined(labelled: DataFrame, attributes: DataFrame, reviewed: str = "true") ->
 
 
 def clean(raw: DataFrame) -> DataFrame:
-    """raw (seq and the raw columns) with the cells as read in the map `raw`, cleaned columns and brand."""
-    cells = F.create_map(*[x for c in RAW for x in (F.lit(c), F.coalesce(F.col(c), F.lit("")))])
+    """raw (seq and the raw columns) with the cells as read in the map `raw`, cleaned columns and brand. A column that
+    the feed lacks has no entry; a null cell is the text "None"."""
+    cells = F.create_map(*[x for c in RAW if c in raw.columns for x in (F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit("None")))])
+    raw = raw.withColumns({c: F.lit(None).cast("string") for c in RAW if c not in raw.columns})
     rows = raw.withColumn("raw", cells).withColumns({c: X.clean_value(F.col(c)) for c in RAW})
     return rows.withColumn("brand", F.coalesce("E1_Brand", "Unilog_Brand", "DIB_Brand"))
 

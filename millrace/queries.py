@@ -239,23 +239,42 @@ def mine_empty_rates(spark, sf_dir):
     return rates.join(skip, "classpath", "left").select("classpath", "total", "empty", F.coalesce("s", F.lit(False)).alias("skip"))
 
 
-BRANDS = """cells AS (SELECT seq, Part_Manuf, manufacturer, lower(b) AS key FROM (
-  SELECT seq, Part_Manuf, manufacturer, unnest([E1_Brand, Unilog_Brand, DIB_Brand]) AS b FROM branded) WHERE b IS NOT NULL),
-tainted AS (SELECT Part_Manuf, count(DISTINCT key) AS brands FROM cells GROUP BY 1 HAVING count(DISTINCT key) > 1)"""
-
-
-@query("SELECT * FROM tainted", CLEAN + ", " + BRANDS)
+#: A feed to mine brands from. What a row's brand cells say goes by the source's number: a house brand alone, the same beside
+#: another, the maker's name beside another, and a denied one; every ninth row has the known brand.
+BRANDS = r"""scale AS (SELECT seq, trim(Part_Manuf) AS source, manufacturer, CAST(regexp_extract(Part_Manuf, '\d+') AS BIGINT) % 4 AS kind FROM feed WHERE Part_Manuf <> '-'),
+cells AS (SELECT seq, source, place, brand FROM (
+  SELECT seq, source, p AS place, CASE WHEN p = 0 AND seq % 9 = 0 THEN 'Known' WHEN p = 0 AND kind = 3 THEN 'Wiz' WHEN p = 0 AND kind = 2 THEN upper(manufacturer) || ' Works ®' WHEN p = 0 THEN 'House ' || source
+    WHEN p = 1 AND kind IN (1, 2) THEN 'Other' ELSE '' END AS brand FROM scale, (SELECT unnest([0, 1, 2]) AS p)) WHERE brand <> ''),
+tainted AS (SELECT source, count(DISTINCT brand) AS brands FROM cells GROUP BY 1 HAVING count(DISTINCT brand) > 1),
+maps AS (SELECT source, min(manufacturer) AS name FROM scale GROUP BY 1 HAVING count(DISTINCT manufacturer) = 1),
+single AS (SELECT brand, min(name) AS manufacturer, count(*) AS n, min({'s': seq, 'p': place}) AS first, count_if(source NOT IN (SELECT source FROM tainted)) > 0 AS sound, rtrim(lower(brand), ' ®') AS key
+  FROM cells JOIN maps USING (source) WHERE brand NOT IN ('Wiz', 'Known') GROUP BY 1 HAVING count(DISTINCT name) = 1)"""
+
+
+def scale_feed(spark, sf_dir):
+    """Rows to mine brands from (raw), and their resolution by names of one manufacturer."""
+    rows = sources.feed(spark, sf_dir).where("Part_Manuf <> '-'")
+    kind = F.regexp_extract("Part_Manuf", r"(\d+)", 1).cast("long") % 4
+    first = F.when(F.col("seq") % 9 == 0, "Known").when(kind == 3, "Wiz").when(kind == 2, F.concat(F.upper("manufacturer"), F.lit(" Works ®"))).otherwise(F.concat(F.lit("House "), "Part_Manuf"))
+    cells = {"E1_Brand": first, "DIB_Brand": F.when(kind.isin(1, 2), "Other").otherwise(" Commodity - Unbranded "), "Unilog_Brand": F.lit(" ")}
+    rows = kept(rows.withColumns(cells), "scale")
+    one = mining.raw_manufacturers(rows).where("size(names) = 1").select(F.col("raw").alias("Part_Manuf"), F.col("names")[0].alias("manufacturer_name"))
+    return rows, rows.select("seq", "Part_Manuf").join(one, "Part_Manuf").withColumn("status", F.lit("RESOLVED"))
+
+
+@query("SELECT * FROM tainted", BRANDS)
 def tainted_sources(spark, sf_dir):
-    return mining.tainted_sources(cleaned(spark, sf_dir))
+    return mining.tainted_sources(scale_feed(spark, sf_dir)[0])
 
 
 @query(
-    """SELECT key, min(manufacturer) AS manufacturer, count(*) AS n FROM cells c GROUP BY key HAVING count(DISTINCT manufacturer) = 1
-  AND (count_if(Part_Manuf IS NULL OR Part_Manuf NOT IN (SELECT Part_Manuf FROM tainted WHERE Part_Manuf IS NOT NULL)) > 0 OR contains(lower(min(manufacturer)), regexp_extract(key, '[a-z]{4,}')) AND regexp_extract(key, '[a-z]{4,}') <> '')""",
-    CLEAN + ", " + BRANDS,
+    """SELECT brand, manufacturer, n FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY first) AS r FROM single
+  WHERE sound OR brand LIKE '%Works%' AND contains(lower(manufacturer), 'nation')) WHERE r = 1""",
+    BRANDS,
 )
 def mine_clean_brands(spark, sf_dir):
-    return mining.clean_brands(cleaned(spark, sf_dir))
+    rows, resolved = scale_feed(spark, sf_dir)
+    return mining.clean_brands(rows, resolved, spark.createDataFrame([("KNOWN™",)], "brand string"))
 
 
 @query("SELECT raw, trim(regexp_replace(raw, '\\s*\\([^)]*\\)\\s*$', '')) AS manufacturer, count(*) AS affected FROM (SELECT Part_Manuf AS raw FROM branded WHERE Part_Manuf IS NOT NULL) GROUP BY 1", CLEAN)

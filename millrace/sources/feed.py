@@ -11,23 +11,31 @@ RAW = ["Mfg_Part_Num", "Part_Desc", "E1_Brand", "Unilog_Brand", "DIB_Brand", "Pa
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW])
 
 
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV table by its header. A file is cut into tasks, unless a quoted cell goes over a line's end somewhere (a line
+    with an odd number of quotes): then a file is one task. Raises ValueError where a line is not UTF-8. One
+    pass over the lines decides both."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    seen = spark.read.text(path).agg(F.max(~F.expr("is_valid_utf8(value)")).alias("bad"), F.max(quotes % 2 == 1).alias("open")).first()
+    if seen.bad:
+        raise ValueError("not UTF-8")
+    return spark.read.option("header", True).option("encoding", "UTF-8").option("emptyValue", "").option("quote", '"').option("escape", '"').option("multiLine", bool(seen.open)).csv(path)
+
+
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV feed by its header: missing columns are null, empty cells empty, a byte-order mark goes.
+    """A CSV feed by its header: columns that it lacks are left out, empty cells empty, a byte-order mark goes.
     Raises ValueError where there is no data row, or where a line is not UTF-8."""
-    if not spark.read.text(path).where(~F.expr("is_valid_utf8(value)")).isEmpty():
-        raise ValueError("not UTF-8")
-    df = spark.read.option("header", True).option("encoding", "UTF-8").option("emptyValue", "").option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    df = _csv(spark, path)
     df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
     if df.isEmpty():
         raise ValueError("no data rows")
-    have = set(df.columns)
-    return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in have else F.lit(None).cast("string").alias(c) for c in RAW])
+    return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in RAW if c in df.columns])
 
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """A labelled CSV table, all columns as strings in its own order, with seq in file order; a byte-order
     mark goes, empty cells are empty."""
-    df = spark.read.option("header", True).option("encoding", "UTF-8").option("emptyValue", "").option("escape", '"').option("multiLine", True).csv(path)
+    df = _csv(spark, path)
     names = [c.lstrip("\ufeff") for c in df.columns]
     return df.toDF(*names).select(F.monotonically_increasing_id().alias("seq"), *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names])
 

@@ -80,7 +80,7 @@ def test_coop_rules(spark):
 def test_resolution_cascade(spark):
     raw = spark.createDataFrame([("Satco Prod Inc (5573)", ["Satco Products, Inc"]), ("Appliance Dealers Cooperative (APPDE)", ["Haier", "Rheem Manufacturing"]), ("Huber Co (1)", ["J.M. Huber Corporation"])], "raw string, names array<string>")
     brands = spark.createDataFrame([("schumacher", "Schumacher Electric Corporation")], "key string, manufacturer string")
-    domains = spark.createDataFrame([("Satco Products, Inc", "satco.com")], "manufacturer string, domain string")
+    domains = spark.createDataFrame([("Satco Products, Inc", "satco.com"), ("J.M. Huber Corporation", "huber.com")], "manufacturer string, domain string")
     rows = spark.createDataFrame(
         [(1, "Satco Prod Inc (5573)", None, "x", "m"), (2, "Appliance Dealers Cooperative (APPDE)", None, "HUGE", "m"), (3, "Appliance Dealers Cooperative (APPDE)", None, "Ge x", "m"),
          (4, "Totally Unknown Distributor Co (999999)", None, "x", "m"), (5, "Satco Prd Inc (1)", None, "x", "m"), (6, None, "Schumacher®", "x", "m"), (7, None, None, "by Huber, new", "m"), (8, None, None, "x", "m")],
@@ -216,7 +216,9 @@ def test_read_feed(spark, tmp_path):
     p = tmp_path / "in.csv"
     p.write_bytes('﻿Mfg_Part_Num,Part_Desc,Extra\r\nA,"x, ""y""",1\r\nB,,2\r\n'.encode())
     rows = feed.read_feed(spark, str(p)).collect()
-    assert [(r.Mfg_Part_Num, r.Part_Desc, r.E1_Brand) for r in rows] == [("A", 'x, "y"', None), ("B", "", None)]
+    assert [tuple(r) for r in rows] == [("A", 'x, "y"'), ("B", "")] and rows[0].__fields__ == ["Mfg_Part_Num", "Part_Desc"]
+    p.write_text('Mfg_Part_Num,Part_Desc\nA,"two\nlines"\n')
+    assert [tuple(r) for r in feed.read_feed(spark, str(p)).collect()] == [("A", "two\nlines")]
     p.write_text("Mfg_Part_Num\n")
     with pytest.raises(ValueError, match="no data rows"):
         feed.read_feed(spark, str(p))
