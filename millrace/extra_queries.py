@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as X
 from millrace.more_queries import PROVS, REC, reconciled_of, sourced_of
 from millrace.operators import caching, classifying, describing, evaluating, exporting, extracting, layout, mining, reconciling, resolving
-from millrace.queries import CLEAN, RAWMAP, SCORED, TOKENS, URLS, cleaned, query
+from millrace.queries import CLEAN, RAWMAP, SCORED, TOKENS, URLS, cleaned, fed, query
 from millrace.sources import feed as sources
 from millrace.sources import lookups, pages
 from millrace.sources.staging import scratch
@@ -297,18 +297,24 @@ def delivery_with_stubs(spark, sf_dir):
     return exporting.with_stubs(exporting.delivery(made, columns), rows.select("seq", raw.alias("raw")))
 
 
-@query("SELECT count(*) AS rows_scored, 'j' AS job_id, round(100 * count_if(seq % 10 <> 0) / count(*), 1) AS classpath_pct FROM feed WHERE seq % 4 <> 3")
+@query(
+    """SELECT count(*) AS rows_scored, CAST(count_if(f.seq % 10 <> 0 AND f.classpath = t.classpath) AS BIGINT) AS classpath_correct, CAST(count_if(f.manufacturer = t.manufacturer) AS BIGINT) AS manufacturer_correct,
+  CAST(sum(a.n) AS BIGINT) AS attributes, CAST(sum(a.same) AS BIGINT) AS exact_correct, CAST(count_if(f.Part_Desc = t.Part_Desc) AS BIGINT) AS INVOICE_DESC_correct, count(*) AS INVOICE_DESC_total
+  FROM feed f JOIN (SELECT * FROM feed WHERE seq IN (SELECT max(seq) FROM feed WHERE seq % 4 <> 3 GROUP BY Mfg_Part_Num)) t USING (Mfg_Part_Num)
+  JOIN (SELECT x.seq, y.seq AS t_seq, count(*) AS n, count_if(coalesce(x.value = y.value, false)) AS same FROM attributes y JOIN feed USING (seq) JOIN feed g ON g.Mfg_Part_Num = feed.Mfg_Part_Num LEFT JOIN attributes x ON x.seq = g.seq AND x.label = y.label AND x.value <> '' WHERE y.value <> '' GROUP BY 1, 2) a
+    ON a.seq = f.seq AND a.t_seq = t.seq""".replace("SELECT x.seq, y.seq", "SELECT g.seq, y.seq")
+)
 def job_evaluation(spark, sf_dir):
-    """The evaluation of one job of the job store."""
+    """The evaluation of one job from the job store alone, by the last labelled row of each part number."""
     from millrace.plans.service import Service
 
-    rows = sources.feed(spark, sf_dir)
-    products = rows.select("seq", "Mfg_Part_Num", "Part_Desc", F.when(F.col("seq") % 10 == 0, "other").otherwise(F.col("classpath")).alias("classpath"), F.col("manufacturer").alias("manufacturer_name"), F.lit(50.0).alias("confidence"), F.lit("LOW").alias("band"))
+    rows = fed(spark, sf_dir)
+    products = rows.select("seq", "Mfg_Part_Num", "Part_Desc", F.when(F.col("seq") % 10 == 0, "other").otherwise(F.col("classpath")).alias("classpath"), F.col("manufacturer").alias("manufacturer_name"), F.lit(50.0).alias("confidence"), F.lit("LOW").alias("band"), F.col("Part_Desc").alias("INVOICE_DESC"))
     service = Service(spark, scratch(spark, "jobs"))
-    service.process("j", products)
-    truth = rows.where("seq % 4 <> 3")
-    done = evaluating.summarize(evaluating.evaluate(service.results("j"), truth, sources.attributes(rows).limit(0), sources.attributes(rows).limit(0)))
-    return done.select("rows_scored", F.lit("j").alias("job_id"), "classpath_pct")
+    slots = sources.attributes(rows)
+    service.process("j", products, slots)
+    done = evaluating.summarize(service.scored("j", rows.where("seq % 4 <> 3").withColumn("INVOICE_DESC", F.col("Part_Desc")), slots))
+    return done.select("rows_scored", "classpath_correct", "manufacturer_correct", "attributes", "exact_correct", "INVOICE_DESC_correct", "INVOICE_DESC_total")
 
 
 # ---------------------------------------------------------------- sheets

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
-from millrace.operators import caching, describing, evaluating, exporting, layout, mining, reconciling, resolving, validating
+from millrace.operators import caching, describing, evaluating, exporting, layout, mining, reconciling, records, resolving, validating
 from millrace.queries import CLEAN, PRIORS, TEMPLATES, URLS, cleaned, fed, priors_of, query
 from millrace.sources import feed as sources
 from millrace.sources import pages
@@ -351,14 +351,19 @@ def export_differences(spark, sf_dir):
 
 
 @query(
-    """SELECT seq, CASE WHEN bad THEN '' ELSE 'p' || CAST(seq AS VARCHAR) END AS product_id, CASE WHEN bad OR seq % 3 = 0 THEN '' ELSE Part_Desc END AS part_desc, CASE WHEN bad THEN 'EXPORT_VALIDATION_FAILED' END AS row_error
-  FROM (SELECT *, seq % 7 = 0 AS bad FROM feed)"""
+    """SELECT seq, CASE WHEN k = 0 THEN sha256('j|' || Mfg_Part_Num || '|{not valid json') ELSE 'p' || CAST(seq AS VARCHAR) END AS product_id, Mfg_Part_Num AS mfg_part_num, CASE WHEN k <= 2 OR seq % 3 = 0 THEN '' ELSE Part_Desc END AS part_desc,
+  CASE k WHEN 1 THEN 'EXPORT_VALIDATION_FAILED: confidence_band' WHEN 2 THEN 'EXPORT_VALIDATION_FAILED: confidence' END AS row_error, CASE WHEN k < 3 THEN 0 ELSE 1 END AS slots, CASE WHEN k > 2 THEN classpath END AS label
+  FROM (SELECT *, seq % 7 AS k FROM feed)"""
 )
 def stored_products(spark, sf_dir):
-    rows = sources.feed(spark, sf_dir)
-    good = F.to_json(F.struct(F.concat(F.lit("p"), F.col("seq").cast("string")).alias("product_id"), F.when(F.col("seq") % 3 != 0, F.col("Part_Desc")).alias("part_desc")))
-    stored = rows.select("seq", F.when(F.col("seq") % 7 == 0, "{not valid json").otherwise(good).alias("data_json"))
-    return exporting.stored_products(stored).select("seq", "product_id", "part_desc", "row_error")
+    """Stored JSON read back: no JSON, values that no product has, absent fields."""
+    rows = sources.feed(spark, sf_dir).withColumn("k", F.col("seq") % 7)
+    slot = F.array(F.struct(F.lit(1).alias("slot"), F.col("classpath").alias("label")))
+    band, score = F.when(F.col("k") == 1, "HIGH").otherwise("LOW"), F.when(F.col("k") == 2, 500.0).otherwise(50.0)
+    good = F.to_json(F.struct(F.concat(F.lit("p"), F.col("seq").cast("string")).alias("product_id"), F.when(F.col("seq") % 3 != 0, F.col("Part_Desc")).alias("part_desc"), band.alias("confidence_band"), score.alias("confidence"), slot.alias("attributes")))
+    stored = rows.select("seq", F.lit("j").alias("job_id"), F.col("Mfg_Part_Num").alias("mfg_part_num"), F.when(F.col("k") == 0, "{not valid json").otherwise(good).alias("data_json"))
+    r = records.parsed(stored).select("seq", "record.*")
+    return r.select("seq", "product_id", "mfg_part_num", "part_desc", "row_error", F.size("attributes").alias("slots"), F.try_element_at("attributes", F.lit(1))["label"].alias("label"))
 
 
 @query(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.sources.feed import RAW
 
@@ -65,23 +64,10 @@ def with_stubs(delivered: DataFrame, inputs: DataFrame) -> DataFrame:
     return delivered.unionByName(missing.select("seq", *blank))
 
 
-STORED = T.StructType([T.StructField(c, T.StringType()) for c in ("product_id", "job_id", "mfg_part_num", "part_desc", "manufacturer_name", "classpath")] + [T.StructField("confidence", T.DoubleType())])
-REQUIRED = {"product_id": "", "job_id": "", "mfg_part_num": "", "part_desc": ""}
-
-
-def stored_products(rows: DataFrame, column: str = "data_json") -> DataFrame:
-    """rows with the fields of a stored JSON product: absent required ones empty, and row_error
-    EXPORT_VALIDATION_FAILED where it does not parse."""
-    parsed = rows.withColumn("__p", F.from_json(column, T.StructType([*STORED.fields, T.StructField("_corrupt", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    bad = F.col("__p").isNull() | F.col("__p._corrupt").isNotNull()
-    fields = [F.when(bad, F.lit(None)).otherwise(F.col(f"__p.{f.name}")).alias(f.name) for f in STORED.fields]
-    fields = [F.coalesce(c, F.lit(REQUIRED[f.name])).alias(f.name) if f.name in REQUIRED else c for c, f in zip(fields, STORED.fields)]
-    return parsed.select(*[c for c in rows.columns if c not in STORED.names], *fields, F.when(bad, "EXPORT_VALIDATION_FAILED").alias("row_error"))
-
-
 def write_csv(delivered: DataFrame, path: str, order: str = "seq") -> None:
-    """Parts in input order, CRLF, minimal quoting, empty cells empty."""
-    delivered.repartitionByRange(order).sortWithinPartitions(order).drop(order).write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("emptyValue", "").option("escape", '"').csv(path)
+    """Parts in input order, CRLF, minimal quoting, empty cells empty, white space around cells as it is."""
+    rows = delivered.repartitionByRange(order).sortWithinPartitions(order).drop(order)
+    rows.write.mode("overwrite").options(header=True, lineSep="\r\n", emptyValue="", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def occurrences(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from millrace.more_queries import FUZZY, LCS_SQL, NEAREST, RESOLVED
 from millrace.plans import enrich as plan
+from millrace.plans import submission as export_job
+from millrace.plans.service import Service
 from millrace.queries import CLEAN, PRIORS, SCORED, TEMPLATES, TOKENS, URLS, cleaned, fed, query
 from millrace.sources import feed as sources
+from millrace.sources.staging import scratch
 
 MAKERS = """makers AS (SELECT brand, manufacturer AS maker FROM (SELECT brand, manufacturer, row_number() OVER (PARTITION BY brand ORDER BY count(*) DESC, min(seq), manufacturer) AS r FROM branded WHERE brand IS NOT NULL GROUP BY 1, 2) WHERE r = 1)"""
 BY_BRAND = RESOLVED.replace("SELECT lower(brand) AS key, min(manufacturer) AS manufacturer FROM branded WHERE brand IS NOT NULL GROUP BY 1", "SELECT lower(brand) AS key, arg_max(maker, brand) AS manufacturer FROM makers GROUP BY 1")
@@ -58,3 +61,41 @@ def enrich_delivery(spark, sf_dir):
     """Delivery rows of the composed plan."""
     wide = ["Mfg_Part_Num", "MANUFACTURER_NAME", "BRAND_NAME", "Classpath", "MFR URL", *[f"ATTRIBUTE_VALUE {i}" for i in (1, 2, 3)]]
     return plan.deliver(*enriched_of(spark, sf_dir), wide)
+
+
+STORED_SQL = """SELECT seq, coalesce(Mfg_Part_Num, '') AS Mfg_Part_Num, coalesce(manufacturer_name, '') AS MANUFACTURER_NAME, coalesce(brand, '') AS BRAND_NAME, coalesce(classpath, '') AS "Classpath", coalesce(mfr_url, '') AS "MFR URL",
+  coalesce(mfr_url, '') AS "Ref URL 1", coalesce(v1, '') AS "ATTRIBUTE_VALUE 1", coalesce(v2, '') AS "ATTRIBUTE_VALUE 2", coalesce(v3, '') AS "ATTRIBUTE_VALUE 3" FROM rows_ LEFT JOIN (SELECT seq, """
+STORED_SQL += ", ".join(f"max(value) FILTER (slot = {i}) AS v{i}" for i in (1, 2, 3)) + " FROM filled GROUP BY 1) USING (seq)"
+STORED = ["Mfg_Part_Num", "MANUFACTURER_NAME", "BRAND_NAME", "Classpath", "MFR URL", "Ref URL 1", *[f"ATTRIBUTE_VALUE {i}" for i in (1, 2, 3)]]
+
+
+@query(STORED_SQL, CTES)
+def stored_delivery(spark, sf_dir):
+    """Delivery rows from the job store alone, after the job has been stored twice."""
+    service = Service(spark, scratch(spark, "store"))
+    products, attributes = enriched_of(spark, sf_dir)
+    for _ in range(2):
+        service.process("j", products, attributes)
+    return service.delivery("j", STORED)
+
+
+def spaced(rows):
+    """Every 23rd part number with a space before it."""
+    return rows.withColumn("Mfg_Part_Num", F.when(F.col("seq") % 23 == 0, F.concat(F.lit(" "), "Mfg_Part_Num")).otherwise(F.col("Mfg_Part_Num")))
+
+
+@query(
+    """SELECT CASE WHEN p.seq IS NULL THEN ' ' || i.m ELSE p.Mfg_Part_Num END AS "Mfg_Part_Num", coalesce(p.manufacturer_name, '') AS "MANUFACTURER_NAME", coalesce(p.classpath, '') AS "Classpath", coalesce(p.mfr_url, '') AS "MFR URL", i.E1_Brand AS "E1_Brand"
+  FROM (SELECT f.seq, f.m, f.spaced, coalesce(g.E1_Brand, f.E1_Brand) AS E1_Brand, g.seq AS r_seq FROM
+    (SELECT seq, Mfg_Part_Num AS m, E1_Brand, seq % 23 = 0 AS spaced, row_number() OVER (PARTITION BY Mfg_Part_Num, seq % 23 = 0 ORDER BY seq) AS n FROM feed) f
+    LEFT JOIN (SELECT seq, Mfg_Part_Num AS m, E1_Brand, row_number() OVER (PARTITION BY Mfg_Part_Num ORDER BY seq) AS n FROM feed) g ON NOT f.spaced AND f.m = g.m AND f.n = g.n) i LEFT JOIN rows_ p ON p.seq = i.r_seq""",
+    CTES,
+)
+def submission(spark, sf_dir):
+    """The export job, read back from its CSV: a part number that is not as written in its product's gives a row of raw cells."""
+    raw, rows = fed(spark, sf_dir), cleaned(spark, sf_dir)
+    look = plan.mined(rows, sources.attributes(rows), "Part_Manuf is null or not Part_Manuf like 'Suplier%'")
+    columns, path = ["Mfg_Part_Num", "MANUFACTURER_NAME", "Classpath", "MFR URL", "E1_Brand"], scratch(spark, "submission")
+    export_job.run(spaced(raw.select("seq", *sources.RAW)), look, path, columns)
+    back = spark.read.option("header", True).option("escape", '"').csv(path)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
-from millrace.operators import caching, classifying, describing, evaluating, exporting, layout, mining, reconciling, resolving, validating
+from millrace.operators import caching, classifying, describing, evaluating, exporting, layout, mining, reconciling, records, resolving, similar, validating
 from millrace.sources import feed, pages
 from millrace.streaming import jobs
 
@@ -233,9 +233,20 @@ def test_pages(spark):
 
 
 def test_stored_products(spark):
-    df = spark.createDataFrame([(1, '{"product_id": "p", "part_desc": null}'), (2, "{not valid json"), (3, None)], "seq long, data_json string")
-    got = {r.seq: (r.product_id, r.part_desc, r.row_error) for r in exporting.stored_products(df).collect()}
-    assert got[1] == ("p", "", None) and got[2] == ("", "", "EXPORT_VALIDATION_FAILED") and got[3][2] == "EXPORT_VALIDATION_FAILED"
+    slots = '[{"slot": 2, "label": "L", "value": "V"}, {"slot": 2, "label": "L", "value": "W"}, {"slot": 99, "label": "far"}]'
+    texts = [
+        '{"product_id": "p", "part_desc": null, "confidence": 12.5, "attributes": ' + slots + ', "descriptions": {"mobile_desc": "m", "item_features": ["f"]}}', "{not valid json", None,
+        '{"product_id": "p4", "confidence": {"a": 1}}', '{"product_id": "p5", "confidence_band": "HIGH", "mfg_part_num": "x"}', '{"attributes": [{"slot": 1}]}', "[1]",
+    ]
+    df = spark.createDataFrame([(i, "j", f"M{i}", t) for i, t in enumerate(texts, 1)], "seq long, job_id string, mfg_part_num string, data_json string")
+    rows = records.parsed(df)
+    got = {r.seq: r.record for r in rows.collect()}
+    assert (got[1].product_id, got[1].part_desc, got[1].mfg_part_num, got[1].job_id, got[1].confidence, got[1].row_error) == ("p", "", "M1", "j", 12.5, None)
+    assert all(got[i].row_error is None and got[i].mfg_part_num == f"M{i}" and got[i].attributes == [] and got[i].confidence_band == "LOW" and len(got[i].product_id) == 64 for i in (2, 3))
+    assert [got[i].row_error for i in (4, 5, 6)] == [f"EXPORT_VALIDATION_FAILED: {w}" for w in ("types", "confidence_band", "attributes")] and got[7].row_error.startswith("EXPORT_VALIDATION_FAILED")
+    assert (got[4].product_id, got[5].mfg_part_num, got[5].part_desc, got[6].attributes) == ("p4", "M5", "", [])
+    d = {r.seq: r for r in exporting.delivery(records.flat(rows), ["Mfg_Part_Num", "MOBILE_DESC", "ITEM_FEATURES_1", "ATTRIBUTE_LABEL 2", "ATTRIBUTE_VALUE 2"]).collect()}
+    assert len(d) == len(texts) and tuple(d[1])[1:] == ("M1", "m", "f", "L", "W") and tuple(d[2])[1:] == ("M2", "", "", "", "")
 
 
 def test_job_keeps_bad_rows_and_replays(spark, tmp_path):
@@ -270,17 +281,25 @@ def test_service(spark, tmp_path):
 
     products = spark.createDataFrame([(1, "M1", "d", "Acme", "C", 80.0, "REVIEW"), (2, "M2", None, "Acme", "D", 20.0, "LOW")], "seq long, Mfg_Part_Num string, Part_Desc string, manufacturer_name string, classpath string, confidence double, band string")
     slots = spark.createDataFrame([(1, 1, "Wattage", "8"), (2, 1, "Wattage", "")], "seq long, slot int, label string, value string")
-    truth = spark.createDataFrame([(1, "C", "Acme")], "seq long, classpath string, manufacturer string")
+    truth = spark.createDataFrame([(0, "M1", "D", "Other"), (1, "M1", "C", "Acme")], "seq long, Mfg_Part_Num string, classpath string, manufacturer string")
     s = service.Service(spark, str(tmp_path / "service"))
-    s.process("j1", products)
-    assert s.job("j1")["status"] == "DONE" and s.results("j1").count() == 2
+    with pytest.raises(FileNotFoundError):
+        s.job("j1")
+    s.process("j0", products.limit(1))
+    for _ in range(2):  # again: the same rows under the same ids
+        s.process("j1", products, slots)
+        assert s.job("j1")["status"] == "DONE" and s.results("j1").count() == 2 and s.results("j0").count() == 1
     pid = s.results("j1").where("seq = 2").first().product_id
-    assert s.product("j1", pid)["part_desc"] == ""
+    assert s.product("j1", pid)["part_desc"] == "" and s.product("j1", pid)["attributes"][0]["label"] == "Wattage"
     s.review(pid, "classpath", "x")
-    got = s.evaluate("j1", truth, slots, slots)
-    assert got["rows_scored"] == 1 and got["classpath_pct"] == 100.0 and got["exact_pct"] == 100.0
-    with pytest.raises(KeyError):
-        s.job("none")
+    got = s.evaluate("j1", truth, slots)
+    assert (got["rows_total"], got["rows_scored"], got["rows_unscored"], got["classpath_pct"], got["exact_pct"]) == (2, 1, 1, 100.0, 100.0) and "note" not in got
+    assert "note" in s.evaluate("j1", truth.limit(0), slots)
+    s.export("j1", str(tmp_path / "csv"), ["Mfg_Part_Num", "Part_Desc", "ATTRIBUTE_VALUE 1"])
+    assert sorted(tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()) == [("M1", "d", "8"), ("M2", None, None)]
+    for call in (lambda: s.job("none"), lambda: s.delivery("none"), lambda: s.product("j1", "none")):
+        with pytest.raises(KeyError):
+            call()
 
 
 def test_clean_keeps_raw_cells(spark):
