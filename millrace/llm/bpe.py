@@ -17,8 +17,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,8 +34,6 @@ DONE, IN_L, IN_N, IN_O, LEAD, IN_W, TAKE1, TAKE2 = range(8)
 #: Contractions that end a word in the public pattern: fixed values.
 ONE = "stmd"
 TWO = ("re", "ve", "ll")
-#: Code points with the Unicode property White_Space: fixed values.
-WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LANE = 128
 
 
@@ -64,12 +62,18 @@ def _automaton() -> tuple[np.ndarray, np.ndarray]:
 STEP, BEGINS = _automaton()
 
 
+@cache
 def class_table() -> bytes:
-    """For each code point LETTER, NUMBER, WS or OTHER."""
-    kinds = {"L": LETTER, "N": NUMBER}
-    out = bytearray(kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000))
-    for c in WHITE:
-        out[c] = WS
+    """For each code point LETTER, NUMBER, WS or OTHER, as the library's version of Unicode has it: the library, given
+    single bytes as its vocabulary, keeps of all code points those that match a class. Made once, on the driver."""
+    import tiktoken
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    out = bytearray([OTHER]) * 0x110000
+    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", WS)):
+        only = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        for c in bytes(only.encode_ordinary(every)).decode():
+            out[ord(c)] = kind
     return bytes(out)
 
 

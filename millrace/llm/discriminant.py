@@ -143,11 +143,13 @@ def _losses(rows: DataFrame, models: dict[tuple[int, int], Model]) -> np.ndarray
     return out
 
 
-def fit(stats: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id") -> Model:
-    """From a staged table of ids and statistics, and labels (doc_id and the label's column, 0 or 1) to learn from."""
+def fit(stats: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id", stats_id: str | None = None) -> Model:
+    """From a staged table of ids (stats_id, doc_id by default) and statistics, and labels (doc_id and the label's
+    column, 0 or 1) to learn from."""
     known = labels.where(F.col(f"`{doc_id}`").isNotNull() & F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{doc_id}`").alias("id")).agg((F.avg(f"`{label}`") >= 0.5).cast("int").alias("label"))
     # rows alike meet before the join: an id may be repeated by a large share of all rows
-    rows = stats.where(F.col(f"`{doc_id}`").isNotNull()).groupBy(F.col(f"`{doc_id}`").alias("id"), *COUNTS).agg(F.count("*").alias("weight"))
+    own = F.col(f"`{stats_id or doc_id}`")
+    rows = stats.where(own.isNotNull()).groupBy(own.alias("id"), *COUNTS).agg(F.count("*").alias("weight"))
     rows = rows.join(known, "id").select((F.crc32(F.concat(F.lit("fold"), F.col("id").cast("string"))) % FOLDS).cast("int").alias("fold"), "label", "weight", *[x.alias(n) for n, x in zip(XS, vector())])
     rows = staged(rows, "labelled")
     by = moments(rows)
@@ -180,9 +182,11 @@ def scored(stats: DataFrame, by: Model, keep: list[str]) -> DataFrame:
 def score(df: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """keep (all columns by default), score (0 to 1, higher: label 1 likelier) and predicted of every row of df.
     labels: the rows to learn from."""
-    keep = [c for c in (df.columns if keep is None else keep) if c not in ("score", "predicted", *COUNTS)]
-    stats = staged(with_stats(df, text, keep=list(dict.fromkeys([doc_id, *keep]))), "stats")
-    return scored(stats, fit(stats, labels, label, doc_id), keep)
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("score", "predicted")]
+    name = {c: f"d{i}" for i, c in enumerate(df.columns)}
+    inner = [name[c] for c in keep]
+    stats = staged(with_stats(df.toDF(*name.values()), name[text], keep=list(dict.fromkeys([name[doc_id], *inner]))), "stats")
+    return scored(stats, fit(stats, labels, label, doc_id, name[doc_id]), inner).toDF(*keep, "score", "predicted")
 
 
 def held_out(doc_id: str, parts: int = 3, part: int = 1) -> Column:
