@@ -10,7 +10,7 @@ from millrace.operators import caching, classifying, describing, evaluating, exp
 from millrace.queries import CLEAN, RAWMAP, SCORED, TOKENS, URLS, cleaned, fed, query
 from millrace.sources import feed as sources
 from millrace.sources import lookups, pages
-from millrace.sources.staging import scratch
+from millrace.sources.staging import kept, scratch
 
 
 def picked(values: list[str], n: str = "seq"):
@@ -350,6 +350,90 @@ def sheet_table_rows(spark, sf_dir):
     return layout.sku_table(words).groupBy("doc", F.col("line").alias("n")).agg(F.count("*").alias("cells"))
 
 
+#: A page from each part: a heading, two tables side by side, one below them.
+REGIONS = "FROM part, (SELECT unnest([0, 1, 2]) AS k) a, (SELECT unnest([0, 1, 2]) AS r) b"
+
+
+def region_words(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    w = lambda text, x0, top: F.struct((F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(float(x0)).alias("x0"), F.lit(float(x0) + 30).alias("x1"), F.lit(float(top)).alias("top"))
+    words = [w("ITEM", 10, 20), w("SPECIFICATIONS", 45, 20)]
+    for k, (x, y) in enumerate(((10, 100), (400, 104), (10, 300))):
+        words += [w("Sku", x, y), w("Wattage", x + 60, y), w("Lumens", x + 120, y)]
+        for r in range(3):
+            top = y + 20 + 15 * r
+            words += [w(f"S{k}/{r}", x, top), w(F.concat((F.col("p_size") + 10 * k + r).cast("string"), F.lit("W")), x + 60, top), w(F.concat(F.col("p_size").cast("string"), F.lit(f"0{k}{r}L")), x + 120, top + 1)]
+    return p.select(F.col("p_partkey").cast("string").alias("doc"), F.lit(1).alias("page"), F.explode(F.array(*words)).alias("w")).select("doc", "page", "w.*"), p
+
+
+@query(f"SELECT CAST(p_partkey AS VARCHAR) AS doc, CAST(k + 1 AS INTEGER) AS region, CAST(r AS INTEGER) AS line, 'S' || k || '/' || r AS sku, CAST(p_size + 10 * k + r AS VARCHAR) || 'W' AS watts {REGIONS}")
+def page_regions(spark, sf_dir):
+    """Rows of several tables on one page, each by its own headers."""
+    cells = layout.sku_tables(region_words(spark, sf_dir)[0])
+    of = lambda label: F.max(F.when(F.col("label") == label, F.col("text")))
+    return cells.groupBy("doc", "region", "line").agg(of("Sku").alias("sku"), of("Replacement Wattage").alias("watts"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS doc, label, CASE label WHEN 'Equivalent' THEN CAST(p_size + 10 * (p_partkey % 3) + 1 AS VARCHAR) || 'W' ELSE CAST(p_size AS VARCHAR) || '0' || (p_partkey % 3) || '1L' END AS value FROM part, (SELECT unnest(['Equivalent', 'Lumens']) AS label)")
+def region_sheets(spark, sf_dir):
+    """The row of a document's part number, whichever of a page's tables holds it."""
+    words, p = region_words(spark, sf_dir)
+    labels = spark.createDataFrame([("Replacement Wattage", "Equivalent"), ("Lumens", "Lumens"), ("Sku", None)], "label string, slot_label string")
+    skus = p.select(F.col("p_partkey").cast("string").alias("doc"), F.concat(F.lit("s"), (F.col("p_partkey") % 3).cast("string"), F.lit("-1")).alias("sku"))
+    return layout.sheet(words, labels, skus)
+
+
+# ---------------------------------------------------------------- streams
+
+
+def _arrivals(spark, at: str, rows, time: str, parts: int = 4):
+    """Writes rows as files that arrive one after another in order of a time column; yields after each."""
+    edges = [r.t for r in rows.select(F.expr(f"explode(approx_percentile(unix_micros({time}), array({', '.join(str((i + 1) / parts) for i in range(parts - 1))})))").alias("t")).collect()]  # parts - 1 rows
+    part = F.aggregate(F.array(*[F.lit(e) for e in edges]), F.lit(0), lambda n, e: n + (F.unix_micros(time) > e).cast("int"))
+    rows = kept(rows.withColumn("__part", part), "arrivals")
+    for k in range(parts):
+        rows.where(F.col("__part") == k).drop("__part").write.mode("append").parquet(at)
+        yield rows.where(F.col("__part") == k).drop("__part")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    """Events that arrive in files: some come twice, some far too late, and the stream stops and goes on in between."""
+    from millrace.streaming import state
+
+    events, at = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), scratch(spark, "events")
+    run = lambda: state.run_windows(spark, f"{at}/in", events.schema, f"{at}/out", f"{at}/checkpoint")
+    first = None
+    for k, part in enumerate(_arrivals(spark, f"{at}/in", events, "ts")):
+        first = part if first is None else first
+        if k == 1:
+            run()  # ends here, and a later run goes on from the checkpoint
+        if k == 2:
+            part.write.mode("append").parquet(f"{at}/in")  # again
+    first.withColumn("event_id", -1 - F.col("event_id")).write.mode("append").parquet(f"{at}/in")  # new, but far too late
+    run()
+    state.close_windows(events, f"{at}/in")
+    run()
+    out = spark.read.parquet(f"{at}/out")
+    return out.where(F.col("event_type") != state.END).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT 'job' || (user_id % 7) AS job_id, count(*) AS processed, CAST(count_if(event_type = 'error') AS BIGINT) AS failed, max(ts) AS last_at, CASE WHEN count(*) >= 100 THEN 'DONE' ELSE 'RUNNING' END AS status FROM events GROUP BY 1")
+def job_counters(spark, sf_dir):
+    """Progress of jobs by their finished rows, which arrive in files and partly twice."""
+    from millrace.streaming import state
+
+    events, at = spark.read.parquet(f"{sf_dir}/events.parquet"), scratch(spark, "counters")
+    rows = events.select(F.concat(F.lit("job"), (F.col("user_id") % 7).cast("string")).alias("job_id"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("failed"), F.col("ts").cast("timestamp").alias("at"))
+    run = lambda: state.run_counters(spark, f"{at}/in", rows.schema, f"{at}/out", f"{at}/checkpoint")
+    for k, part in enumerate(_arrivals(spark, f"{at}/in", rows, "at")):
+        part.where("seq % 5 = 0").write.mode("append").parquet(f"{at}/in")  # again
+        if k in (1, 3):
+            run()
+    out = state.counters(spark, f"{at}/out")
+    return out.withColumns({"last_at": F.col("last_at").cast("timestamp_ntz"), "status": F.when(F.col("processed") >= 100, "DONE").otherwise("RUNNING")})
+
+
 @query("SELECT CAST(p_partkey AS VARCHAR) AS doc, '3000 K, 4000 K' AS temperatures, CASE WHEN p_size < 90 THEN CAST(p_size AS VARCHAR) || '/' || CAST(p_size + 100 AS VARCHAR) || '/' || CAST(p_size + 200 AS VARCHAR) END AS watts FROM part")
 def chart_watts(spark, sf_dir):
     """A chart's wattages: a product's row and the nameless rows beside it."""
@@ -462,6 +546,25 @@ def job_store(spark, sf_dir):
     return state.crossJoin(counts)  # one row each
 
 
+@query(
+    """SELECT seq, Mfg_Part_Num, CASE WHEN seq % 100 = 7 OR seq % 100 = 8 THEN NULL ELSE upper(Part_Desc) END AS up, CASE seq % 100 WHEN 7 THEN 'ValueError: bad row ' || seq WHEN 8 THEN 'part number of another shape' END AS row_error,
+  CASE WHEN seq % 100 IN (7, 8) THEN 0.0 ELSE 50.0 END::DOUBLE AS confidence, CASE WHEN seq % 100 IN (7, 8) THEN 'LOW' ELSE 'REVIEW' END AS band FROM feed"""
+)
+def rows_with_errors(spark, sf_dir):
+    """Two rows in a hundred that cannot be enriched, one kind found by a rule and one by a function that raises: a single pass."""
+    from millrace.operators import faults
+
+    def shout(text, seq):
+        if seq % 100 == 7:
+            raise ValueError(f"bad row {seq}")
+        return text.upper()
+
+    rows = sources.feed(spark, sf_dir).select("seq", "Mfg_Part_Num", "Part_Desc")
+    tried = faults.attempt(shout, "string")(F.col("Part_Desc"), F.col("seq"))
+    made = lambda d: faults.settled(d.withColumn("t", tried), {"up": "t"}).withColumns({"confidence": F.lit(50.0), "band": F.lit("REVIEW")})
+    return faults.guarded(made, {"part number of another shape": F.col("seq") % 100 == 8})(rows).select("seq", "Mfg_Part_Num", "up", "row_error", "confidence", "band")
+
+
 @query("SELECT seq, upper(Part_Desc) AS up, CAST(NULL AS VARCHAR) AS row_error FROM feed WHERE seq <> 7 UNION ALL SELECT seq, NULL, 'ValueError: bad row' FROM feed WHERE seq = 7")
 def incremental_job(spark, sf_dir):
     """A feed that arrives in files, enriched batch by batch as a stream; one row raises and comes through with its error."""

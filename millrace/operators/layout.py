@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.staging import kept
+
 TOLERANCE = 2.5
 #: x ranges of labels and values on a one-product sheet: fixed values.
 LABEL_X, VALUE_X = (305.0, 360.0), 400.0
@@ -86,6 +88,46 @@ def table_row(table: DataFrame, sku: str, key: str = "Sku") -> DataFrame:
     return table.join(keys, ["doc", "page", "line"]).where(F.replace("sku", F.lit("/"), F.lit("-")) == F.replace(F.lit(sku), F.lit("/"), F.lit("-"))).where(F.col("label") != key).select("doc", "label", "text")
 
 
+#: Empty bands that part a page into regions: their least width between words, and their least height between tops of lines.
+WIDE, TALL = 60.0, 40.0
+
+
+def regions(words: DataFrame, wide: float = WIDE, tall: float = TALL) -> DataFrame:
+    """words with region, the number of the part of its page that a word stands in, in reading order.
+
+    A page is cut across where a band of at least tall is empty from side to side, its parts lengthwise where a
+    band of at least wide is empty from top to bottom, and so on until no part has such a band: as many rounds as
+    regions are nested. A band is found by a sweep over a part's words in order of their beginning, against the
+    furthest end so far."""
+    rows = kept(words.withColumn("__path", F.lit("")), "regions")
+    parts = rows.select("doc", "page").distinct().count()
+
+    def cut(rows: DataFrame, start: str, end: str, gap: float) -> DataFrame:
+        order = Window.partitionBy("doc", "page", "__path").orderBy(start, end)
+        reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn("__new", F.coalesce((F.col(start) - reach >= gap).cast("int"), F.lit(0)))
+        n = F.sum("__new").over(order)
+        return rows.withColumn("__path", F.concat("__path", F.lpad(n.cast("string"), 6, "0"))).drop("__new")
+
+    while True:
+        rows = kept(cut(cut(rows, "top", "top", tall), "x0", "x1", wide), "regions")
+        now = rows.select("doc", "page", "__path").distinct().count()
+        if now == parts:
+            break
+        parts = now
+    return rows.withColumn("region", F.dense_rank().over(Window.partitionBy("doc", "page").orderBy("__path")) - 1).drop("__path")
+
+
+def regional(words: DataFrame) -> DataFrame:
+    """words whose page is the pair of page and region: what reads a page then reads each region by itself."""
+    return regions(words).withColumn("page", F.struct("page", "region")).drop("region")
+
+
+def sku_tables(words: DataFrame, anchor: str = "Sku") -> DataFrame:
+    """doc, page, region, line, label, text of every table on a page, as sku_table reads one."""
+    return sku_table(regional(words), anchor).select("doc", "page.page", "page.region", "line", "label", "text")
+
+
 #: Lines of the general block: label and pattern, fixed values.
 GENERAL = {"Input Voltage, Frequency": r"Input\s+Voltage,?\s+Frequency\s*:\s*(\S.*)", "Functional Life": r"Functional\s+Life\s*:\s*([\d,\s]+(?:Hours|Hrs|hr)?)", "CRI": r"(?<!Ambient Operating )CRI\s*:\s*(\d[\d+]*)"}
 
@@ -194,13 +236,14 @@ FAMILY = ["GENERAL SPECIFICATIONS", "ITEM SPECIFICATIONS"]
 
 def sheet(words: DataFrame, labels: DataFrame, skus: DataFrame) -> DataFrame:
     """doc, label, value of spec sheets, by their layout: one product (labels and values side by side) or a
-    family (the row of the document's part number and the general block; the row counts where both do).
+    family (the row of the document's part number in any of a page's tables and the general block; the row counts
+    where both do).
     labels: label, slot_label (null drops); skus: doc, sku. A sheet that holds neither has no rows."""
     text = lines(words)
     told = F.exists(F.array(*[F.lit(t) for t in FAMILY]), lambda t: F.upper("text").contains(t))
     family = text.groupBy("doc").agg(F.max(told).alias("family"))
     one = label_values(words.join(family.where("not family"), "doc", "left_semi"), labels).select("doc", F.col("slot_label").alias("label"), "value")
-    many = words.join(family.where("family"), "doc", "left_semi")
+    many = kept(regional(words.join(family.where("family"), "doc", "left_semi")), "family")
     table = sku_table(many)
     norm = lambda c: F.lower(F.replace(c, F.lit("/"), F.lit("-")))
     keys = table.where(F.col("label") == "Sku").select("doc", "page", "line", F.col("text").alias("own")).join(skus, "doc").where(norm(F.col("own")) == norm(F.col("sku"))).select("doc", "page", "line")
