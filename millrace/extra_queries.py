@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.more_queries import PROVS, REC, reconciled_of, sourced_of
-from millrace.operators import caching, classifying, describing, evaluating, exporting, extracting, layout, mining, reconciling, resolving
-from millrace.queries import CLEAN, RAWMAP, SCORED, TOKENS, URLS, cleaned, fed, query
+from millrace.operators import caching, classifying, counts, describing, evaluating, exporting, extracting, layout, mining, prompts, reconciling, resolving
+from millrace.queries import CLEAN, RAWMAP, SCORED, TEMPLATES, TOKENS, URLS, cleaned, fed, query
 from millrace.sources import feed as sources
 from millrace.sources import lookups, pages
 from millrace.sources.staging import kept, scratch
@@ -70,6 +73,36 @@ def chart_urls(spark, sf_dir):
     return sources.feed(spark, sf_dir).select("seq", resolving.filled_url("https://charts.example/{mpn}_Spec_Chart.pdf", F.col("Mfg_Part_Num")).alias("url"))
 
 
+@query(
+    """SELECT 'raw_manufacturers' AS lookup, raw AS key, names AS value FROM named
+  UNION ALL SELECT 'templates', classpath || '|' || slot, label || '|' || uom_hint FROM templates
+  UNION ALL SELECT 'url_patterns', domain, template || '|' || confirmed_on || '|' || of_total FROM patterns
+  UNION ALL SELECT 'domains', manufacturer, domain FROM domains
+  UNION ALL SELECT 'keywords', classpath || '|' || token, CAST(CAST(round(weight * 10000) AS BIGINT) AS VARCHAR) FROM keywords
+  UNION ALL SELECT 'class_prior', manufacturer || '|' || classpath, CAST(n AS VARCHAR) FROM prior
+  UNION ALL SELECT 'brand_pairs', brand, manufacturer FROM (SELECT brand, manufacturer, row_number() OVER (PARTITION BY brand ORDER BY count(*) DESC, min(seq), manufacturer) AS r FROM branded WHERE brand IS NOT NULL GROUP BY 1, 2) WHERE r = 1
+  UNION ALL SELECT 'empty_rates', classpath, count(*) || '|' || count_if(brand IS NULL) FROM branded GROUP BY classpath
+  UNION ALL SELECT 'allowed_values', classpath || '|' || label, array_to_string(list_sort(list(DISTINCT value)), '|') FROM attributes WHERE value <> '' GROUP BY classpath, label
+  UNION ALL SELECT 'self_names', raw, trim(regexp_replace(raw, '\\s*\\([^)]*\\)\\s*$', '')) || '|' || count(*) FROM (SELECT Part_Manuf AS raw FROM branded WHERE Part_Manuf IS NOT NULL) GROUP BY raw""",
+    ", ".join([CLEAN, RAWMAP, TEMPLATES, URLS, TOKENS]),
+)
+def mine_all(spark, sf_dir):
+    """All lookups from counts that were stored in two batches, the second of them twice."""
+    rows, store = cleaned(spark, sf_dir), counts.Store(spark, scratch(spark, "counts"))
+    for batch, where in (("first", "seq % 3 <> 0"), ("second", "seq % 3 = 0"), ("second", "seq % 3 = 0")):
+        part = rows.where(where)
+        store.add(batch, counts.counted(part, sources.attributes(part)))
+    t = counts.lookups(kept(store.counts(), "counts"))
+    told = {
+        "raw_manufacturers": ("raw", F.array_join("names", "|")), "templates": (("classpath", "slot"), ("label", "uom_hint")), "url_patterns": ("domain", ("template", "confirmed_on", "of_total")), "domains": ("manufacturer", "domain"),
+        "keywords": (("classpath", "token"), F.round(F.col("weight") * 10000).cast("long").cast("string")), "class_prior": (("manufacturer", "classpath"), F.col("n").cast("string")), "brand_pairs": ("brand", "manufacturer"),
+        "empty_rates": ("classpath", ("total", "empty")), "allowed_values": (("classpath", "label"), F.array_join("values", "|")), "self_names": ("raw", ("manufacturer", "affected")),
+    }
+    cell = lambda c: F.concat_ws("|", *c) if isinstance(c, tuple) else F.col(c) if isinstance(c, str) else c
+    parts = [t[name].select(F.lit(name).alias("lookup"), cell(k).alias("key"), cell(v).alias("value")) for name, (k, v) in told.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---------------------------------------------------------------- rules
 
 COOP_TEXTS = ["Washer SQ top", "speed queen dryer", "Ge Dishwasher SS", "Café Range", "BEKO oven", "lg fridge", "HUGE", "BISQUE", "SQUARE Large", "Beko and LG"]
@@ -168,6 +201,28 @@ def extracted_attributes(spark, sf_dir):
     return got.select("seq", "label", "value")
 
 
+@query(
+    """SELECT seq, md5('Slots to fill (use these exact labels as JSON keys):' || chr(10) || labels || chr(10) || chr(10) || 'Source text:' || chr(10) || substr(repeat(Part_Desc || ' ', 300), 1, 6000) || chr(10) || chr(10) || 'JSON:') AS page,
+  md5('Product category: ' || classpath || chr(10) || 'Manufacturer: ' || CASE WHEN seq % 2 = 0 THEN manufacturer ELSE 'unknown' END || chr(10) || 'Raw description: ' || Part_Desc || chr(10) || chr(10) || 'Attribute slots and their allowed values:' || chr(10) || lines || chr(10) || chr(10) || 'JSON:') AS fallback,
+  md5('Allowed Classpaths (choose exactly one):' || chr(10) || array_to_string([classpath, 'other'], chr(10)) || chr(10) || chr(10) || 'Product description: ' || Part_Desc || chr(10) || 'Manufacturer: ' || CASE WHEN seq % 2 = 0 THEN manufacturer ELSE 'unknown' END || chr(10) || chr(10) || 'Classpath:') AS class
+  FROM feed JOIN (SELECT classpath, string_agg(label, chr(10) ORDER BY slot) AS labels, string_agg('- ' || label || ': ' || CASE WHEN vs IS NULL THEN '(free-form, extract from description if present)'
+    ELSE 'ALLOWED VALUES: ' || array_to_string(vs[1:12], ', ') || CASE WHEN len(vs) > 12 THEN ' (and ' || (len(vs) - 12) || ' more)' ELSE '' END END, chr(10) ORDER BY slot) AS lines
+    FROM templates LEFT JOIN (SELECT classpath, label, list_sort(list(DISTINCT value)) AS vs FROM attributes WHERE value <> '' AND label <> 'Line' GROUP BY 1, 2) USING (classpath, label) GROUP BY 1) USING (classpath)""",
+    TEMPLATES,
+)
+def prompt_texts(spark, sf_dir):
+    """Digests of what a model is asked for each row: from a long page, from its description, for its class."""
+    rows = fed(spark, sf_dir)
+    a = sources.attributes(rows)
+    lines = prompts.slot_lines(mining.templates(a), mining.allowed_values(a.where("label <> 'Line'")))
+    maker = F.when(F.col("seq") % 2 == 0, F.col("manufacturer"))
+    asked = {
+        "page": prompts.page_prompt(F.col("labels"), F.repeat(F.concat("Part_Desc", F.lit(" ")), 300)), "fallback": prompts.fallback_prompt(F.col("Part_Desc"), F.col("classpath"), maker, F.col("lines")),
+        "class": prompts.class_prompt(F.array("classpath", F.lit("other")), F.col("Part_Desc"), maker),
+    }
+    return rows.join(lines, "classpath").select("seq", *[F.md5(p).alias(n) for n, p in asked.items()])
+
+
 ANSWERS = TOKENS + ", " + SCORED + """, short AS (SELECT seq, list_concat(c, list_filter((SELECT list(DISTINCT classpath ORDER BY classpath) FROM feed), lambda x: NOT list_contains(c, x)))[1:8] AS cands
   FROM (SELECT seq, list(classpath ORDER BY r) AS c FROM placed WHERE r <= 2 GROUP BY 1)),
 ruled AS (SELECT seq, max(classpath) FILTER (r = 1) AS classpath, coalesce(round(max(score) FILTER (r = 1) / max(total), 3), 0.0) AS confidence FROM placed GROUP BY seq),
@@ -182,8 +237,8 @@ said AS (SELECT seq, CASE length(Part_Desc) % 3 WHEN 0 THEN cands[8] WHEN 1 THEN
 def classify_answers(spark, sf_dir):
     rows = sources.feed(spark, sf_dir)
     none = spark.createDataFrame([], "namespace string, prompt_hash string, model string, response string, seq int")
-    size = F.length(F.regexp_extract("prompt", r"^Description: (.*)\n", 1)) % 3
-    call = lambda m: m.withColumn("response", F.when(size == 0, F.element_at(F.split(F.regexp_extract("prompt", r"Classes: (.*)$", 1), r" \| "), 8)).when(size == 1, "made up"))
+    size = F.length(F.regexp_extract("prompt", r"Product description: (.*)\n", 1)) % 3
+    call = lambda m: m.withColumn("response", F.when(size == 0, F.element_at(F.split("prompt", "\n"), 9)).when(size == 1, "made up"))
     ruled = classifying.classify(rows, mining.keywords(rows), mining.class_prior(rows))
     return extracting.classify_by_answer(rows, ruled, rows.select("classpath"), none, call)
 

@@ -10,7 +10,7 @@ from millrace.operators import caching, describing, evaluating, exporting, layou
 from millrace.queries import CLEAN, PRIORS, TEMPLATES, URLS, cleaned, fed, priors_of, query
 from millrace.sources import feed as sources
 from millrace.sources import pages
-from millrace.sources.staging import kept
+from millrace.sources.staging import kept, scratch
 
 # ---------------------------------------------------------------- similarity
 
@@ -451,6 +451,15 @@ def page_texts(spark, sf_dir):
     return p.select("page_id", F.coalesce(pages.page_title(F.col("html")), F.lit("")).alias("title"), pages.page_text(F.col("html")).alias("text"))
 
 
+@query("SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) AS host, url FROM pages WHERE lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) IN (SELECT lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) FROM pages WHERE page_id <= 5)")
+def page_mirror(spark, sf_dir):
+    """Pages of a few hosts from a mirror that is laid out by host."""
+    p, path = spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch(spark, "mirror")
+    pages.write_mirror(p, path)
+    hosts = [r[0] for r in p.where("page_id <= 5").select(pages.host(F.col("url"))).distinct().collect()]  # of six pages
+    return pages.scan_mirror(spark, path, hosts, ["page_id", "host", "url"])
+
+
 @query("SELECT seq, classpath FROM (SELECT seq, classpath, row_number() OVER (PARTITION BY p_size > 45 ORDER BY seq) - 1 AS n, p_size > 45 AS k FROM feed) WHERE k OR n % 7 = 0")
 def stride_sample(spark, sf_dir):
     """A sampling operator: all rows of one kind and every seventh of the others."""

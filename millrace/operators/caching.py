@@ -58,11 +58,6 @@ def parsed(completion: Column) -> Column:
     return F.coalesce(F.from_json(completion, "map<string,string>"), F.expr("cast(map() as map<string,string>)"))
 
 
-def prompt(desc: Column, slots: Column, allowed: Column, most: int = 12) -> Column:
-    """A row's request: its description and, for each slot, some allowed values and how many more there are."""
-    listed = F.concat(F.array_join(F.slice(F.coalesce(allowed, F.array().cast("array<string>")), 1, most), ", "), F.when(F.size(allowed) > most, F.format_string(" (and %d more)", F.size(allowed) - most)).otherwise(""))
-    return F.concat(F.lit("Description: "), desc, F.lit("\n"), slots, F.lit(": "), listed)
-
 
 def quota_exhausted(message: Column) -> Column:
     return message.contains("per day") | message.contains("TPD")

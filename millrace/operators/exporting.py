@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.sources.feed import RAW
+from millrace.sources.staging import kept
 
 #: Repeated groups of the delivery format: counts are fixed values.
 FEATURES, SLOTS = 20, 50
@@ -89,9 +93,44 @@ def last_by_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, *[f"r.{c}" for c in rest])
 
 
-def differences(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
+#: Ranges of keys that exports are compared by, and ranges that share a branch of the tree.
+LEAVES, BRANCH = 1 << 16, 1 << 8
+
+
+def leaf(key: str, leaves: int = LEAVES) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(leaves)).cast("int")
+
+
+def digests(rows: DataFrame, key: str, leaves: int = LEAVES) -> DataFrame:
+    """leaf, n, a, b: of each range of keys (by hash) its rows and two sums of hashes of whole rows, added up before the shuffle."""
+    whole = [F.col(f"`{c}`") for c in sorted(rows.columns)]
+    total = lambda salt: F.sum(F.xxhash64(F.lit(salt), *whole).cast("decimal(20,0)"))
+    return rows.groupBy(leaf(key, leaves).alias("leaf")).agg(F.count("*").alias("n"), total("a").alias("a"), total("b").alias("b"))
+
+
+def differing(old: DataFrame, new: DataFrame, key: str, leaves: int = LEAVES) -> DataFrame:
+    """leaf: ranges of keys whose rows are not the same in two exports. A tree of two levels: branches meet first, then
+    the leaves of those that differ. Digests alone are shuffled, at most as many as there are leaves."""
+    a, b = (kept(digests(rows, key, leaves), "digests") for rows in (old, new))
+    branch = F.expr(f"leaf div {BRANCH}").alias("branch")
+    up = lambda d: d.groupBy(branch).agg(*[F.sum(c).alias(c) for c in ("n", "a", "b")])
+    same = reduce(and_, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("n", "a", "b")])
+
+    def unlike(x: DataFrame, y: DataFrame, on: str) -> DataFrame:
+        return x.alias("x").join(y.alias("y"), on, "full").where(~same).select(on)
+
+    branches = F.broadcast(unlike(up(a), up(b), "branch"))  # LEAVES / BRANCH rows at most
+    inner = lambda d: d.withColumn("branch", branch).join(branches, "branch", "left_semi").drop("branch")
+    return unlike(inner(a), inner(b), "leaf")
+
+
+def differences(old: DataFrame, new: DataFrame, key: str, order: str, leaves: int = LEAVES) -> DataFrame:
     """key, nth, column, old, new: cells that are not the same in two exports; rows of one side only have nulls.
-    Whole rows meet first; only those that differ are laid out cell by cell."""
+    Digests of key ranges meet first, then whole rows of the ranges that differ; only rows that differ are laid
+    out cell by cell. Equal exports shuffle digests only."""
+    unlike = kept(differing(old, new, key, leaves), "unlike")  # leaves rows at most
+    narrowed = lambda rows: rows.withColumn("__leaf", leaf(key, leaves)).join(F.broadcast(unlike.withColumnRenamed("leaf", "__leaf")), "__leaf", "left_semi").drop("__leaf")
+    old, new = narrowed(old), narrowed(new)
     columns = [c for c in old.columns if c not in (key, order)]
     side = lambda rows, name: occurrences(rows, key, order).select(key, "nth", F.struct(*columns).alias(name))
     both = side(old, "a").join(side(new, "b"), [key, "nth"], "full").where(~F.col("a").eqNullSafe(F.col("b")))

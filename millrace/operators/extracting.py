@@ -8,12 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import caching, classifying, describing, reconciling
+from millrace.operators import caching, classifying, describing, prompts, reconciling
 
 from .resolving import lookup
 
-#: Allowed values that a request lists for a slot, and the keys of a prose answer: fixed values.
-LISTED = 12
+#: Keys of a prose answer: fixed values.
 PROSE = ["long_desc1", "marketing_description"]
 Call = Callable[[DataFrame], DataFrame]
 
@@ -23,15 +22,9 @@ def nothing(missing: DataFrame) -> DataFrame:
     return missing.withColumn("response", F.lit(None).cast("string"))
 
 
-def slot_lines(templates: DataFrame, allowed: DataFrame) -> DataFrame:
-    """classpath, lines: a line for each slot with its unit and up to LISTED allowed values."""
-    t = templates.join(allowed.select("classpath", "label", "values"), ["classpath", "label"], "left")
-    values = F.coalesce("values", F.array().cast("array<string>"))
-    more = F.when(F.size(values) > LISTED, F.format_string(" (and %d more)", F.size(values) - LISTED)).otherwise("")
-    unit = F.when(F.col("uom_hint") != "", F.concat(F.lit(" ["), "uom_hint", F.lit("]"))).otherwise("")
-    line = F.concat(F.col("label"), unit, F.lit(": "), F.array_join(F.slice(values, 1, LISTED), ", "), more)
-    lines = F.array_sort(F.collect_list(F.struct("slot", line.alias("line"))))
-    return t.groupBy("classpath").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("lines"))
+def configured(call: Call | None, key: str | None) -> Call:
+    """The model behind its gate: without a key nothing is asked, and every miss stays unanswered."""
+    return call if call and key else nothing
 
 
 def requested(rows: DataFrame, namespace: str, model: str, prompt: Column, legacy: Column | None = None, temperature: str = "0") -> DataFrame:
@@ -45,11 +38,14 @@ def requested(rows: DataFrame, namespace: str, model: str, prompt: Column, legac
 def extract(rows: DataFrame, templates: DataFrame, allowed: DataFrame, cache: DataFrame, call: Call | None = None, model: str = "m", namespace: str = "extract_fallback") -> tuple[DataFrame, DataFrame]:
     """seq, label, value that the model reads from rows (seq, classpath, manufacturer, text), and the
     rows to append to the cache. Rows without text or template ask nothing; only labels of the template
-    and telling values count. An answer given while the manufacturer was not known still holds."""
-    asking = rows.where("text <> ''").join(lookup(slot_lines(templates, allowed)), "classpath")
-    prompt = lambda maker: F.concat(F.lit("Text: "), "text", F.lit("\nManufacturer: "), maker, F.lit("\nClass: "), "classpath", F.lit("\n"), "lines")
-    unknown = F.lit("unknown")
-    requests = requested(asking, namespace, model, prompt(F.coalesce("manufacturer", unknown)), prompt(unknown))
+    and telling values count. In the namespace extract_page the text is a page's; else it is a row's description,
+    and an answer given while the manufacturer was not known still holds."""
+    asking = rows.where("text <> ''").join(lookup(prompts.slot_lines(templates, allowed)), "classpath")
+    if namespace == "extract_page":
+        asked = older = prompts.page_prompt(F.col("labels"), F.col("text"))
+    else:
+        asked, older = (prompts.fallback_prompt(F.col("text"), F.col("classpath"), m, F.col("lines")) for m in (F.col("manufacturer"), F.lit(None).cast("string")))
+    requests = requested(asking, namespace, model, asked, older)
     answered, fresh = caching.read_through(requests.select("seq", "classpath", "namespace", "model", "prompt", "prompt_hash", "old_hash"), cache, call or nothing, "old_hash")
     pairs = answered.select("seq", F.explode(caching.parsed(F.col("response"))).alias("label", "value"))
     return reconciling.usable(pairs, rows, templates), fresh
@@ -57,10 +53,10 @@ def extract(rows: DataFrame, templates: DataFrame, allowed: DataFrame, cache: Da
 
 def classify_by_answer(rows: DataFrame, ruled: DataFrame, classes: DataFrame, cache: DataFrame, call: Call | None = None, model: str = "m") -> DataFrame:
     """seq, classpath, confidence, method: the model's choice from a shortlist where it names a known class,
-    else the rules'. rows: seq, Part_Desc; ruled: what classify() returns; classes: column classpath."""
+    else the rules'. rows: seq, Part_Desc, manufacturer; ruled: what classify() returns; classes: column classpath."""
     short = classifying.shortlist(ruled, classes)
-    asking = rows.select("seq", "Part_Desc").join(short, "seq").join(ruled.select("seq", "classpath", "confidence"), "seq")
-    prompt = F.concat(F.lit("Description: "), "Part_Desc", F.lit("\nClasses: "), F.array_join("candidates", " | "))
+    asking = rows.select("seq", "Part_Desc", "manufacturer").join(short, "seq").join(ruled.select("seq", "classpath", "confidence"), "seq")
+    prompt = prompts.class_prompt(F.col("candidates"), F.col("Part_Desc"), F.col("manufacturer"))
     answered, _ = caching.read_through(requested(asking, "classify", model, prompt), cache, call or nothing)
     return classifying.accept_answer(answered.select("seq", "classpath", "confidence", F.col("response").alias("answer")), classes)
 

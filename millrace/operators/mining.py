@@ -190,10 +190,13 @@ def slot_conflicts(attributes: DataFrame) -> DataFrame:
 
 
 def mine_all(rows: DataFrame, attributes: DataFrame) -> dict[str, DataFrame]:
+    """Every lookup from the rows themselves; operators.counts makes the same from stored counts."""
+    named = rows.where("Part_Manuf <> ''")
     return {
         "templates": templates(attributes), "raw_manufacturers": raw_manufacturers(rows), "url_patterns": url_patterns(rows), "domains": domains(rows),
         "keywords": keywords(rows), "class_prior": class_prior(rows), "allowed_values": allowed_values(attributes),
         "brand_pairs": brand_pairs(rows), "empty_rates": empty_rates(rows, "brand"), "tainted_sources": tainted_sources(rows), "slot_conflicts": slot_conflicts(attributes), "shape_mismatches": shape_mismatches(rows),
+        "self_names": self_names(named, named.select(F.col("Part_Manuf").alias("raw")).distinct()),
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,29 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1))
 
 
+#: Parts that a mirror's hosts are dealt over.
+PARTS = 64
+
+
+def write_mirror(pages: DataFrame, path: str, parts: int = PARTS) -> None:
+    """Pages (with url) as a mirror: a folder for each part of the hosts, rows in order of host, so that a scan of some
+    hosts opens their folders and skips what lies between them."""
+    rows = pages.withColumn("host", host(F.col("url"))).withColumn("part", F.pmod(F.xxhash64("host"), F.lit(parts)).cast("int"))
+    # a host may hold a third of all pages: pages are dealt by part, host and page
+    rows.repartitionByRange("part", "host", F.xxhash64("url")).sortWithinPartitions("part", "host").write.partitionBy("part").parquet(path)
+
+
+def scan_mirror(spark: SparkSession, path: str, hosts: list[str] | None = None, columns: list[str] | None = None, parts: int = PARTS) -> DataFrame:
+    """A mirror's pages of some hosts (all: None), the columns asked for. The folders come from the hosts, the rows of a folder from
+    its statistics; other columns are not read."""
+    rows = spark.read.parquet(path)
+    if hosts is not None:
+        names = [h.lower() for h in hosts]
+        folders = [r[0] for r in spark.createDataFrame([(h,) for h in names], "h string").select(F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int")).distinct().collect()] if names else []
+        rows = rows.where(F.col("part").isin(folders) & F.col("host").isin(names))
+    return rows.select(*(columns or [c for c in rows.columns if c != "part"]))
+
+
 def is_pdf(content: Column) -> Column:
     return F.substring(content, 1, 4) == F.lit(b"%PDF")
 
