@@ -57,8 +57,9 @@ REJECT, RATE = 3.3, 0.01
 LONG, BIN, BINS = 64, 0.05, 400
 
 
-def _spans(text: str, pattern: str, kind: int, value: int | None = None) -> str:
-    """SQL for the array of (start, kind, end) of all matches, left to right; value: least length of group 2.
+def _spans(text: str, pattern: str, kind: int, value: int | None = None, token: bool = False) -> str:
+    """SQL for the array of (start, kind, end) of all matches, left to right, with token their texts (tok);
+    value: least length of group 2.
 
     The pieces between the matches and the matches' own lengths add up to the places.
     """
@@ -66,12 +67,38 @@ def _spans(text: str, pattern: str, kind: int, value: int | None = None) -> str:
     ok = f"length(m.v) >= {value}" if value else "true"
     group2 = f"regexp_extract_all({text}, {p}, 2)" if value else f"regexp_extract_all({text}, {p}, 0)"
     found = f"filter(transform(arrays_zip(regexp_extract_all({text}, {p}, 0), {group2}, split({text}, {p}, -1)), z -> named_struct('m', z['0'], 'v', z['1'], 'g', z['2'])), z -> z.m is not null)"
-    fold = f"""aggregate({found},
-        named_struct('at', 0, 'out', cast(array() as array<struct<start:int,kind:int,end:int>>)),
-        (a, m) -> named_struct('at', a.at + length(m.g) + length(m.m), 'out',
-            if({ok}, concat(a.out, array(named_struct('start', a.at + length(m.g), 'kind', {kind}, 'end', a.at + length(m.g) + length(m.m)))), a.out)),
-        a -> a.out)"""
-    return f"if({text} rlike {p}, {fold}, cast(array() as array<struct<start:int,kind:int,end:int>>))"
+    place = "named_struct('m', f.x.m, 'v', f.x.v, 'start', f.at + length(f.x.g), 'end', f.at + length(f.x.g) + length(f.x.m))"
+    placed = f"transform({_running(found, 'length(x.g) + length(x.m)', 'a + v', '0')}, f -> {place})"
+    tok = ", 'tok', m.m" if token else ""
+    spans = f"transform(filter({placed}, m -> {ok}), m -> named_struct('start', m.start, 'kind', {kind}, 'end', m.end{tok}))"
+    return f"if({text} rlike {p}, {spans}, cast(array() as array<struct<start:int,kind:int,end:int{',tok:string' if token else ''}>>))"
+
+
+#: Items of a block in _running, and code points of a piece of text in redact.
+BLOCK, PIECE = 256, 4096
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for body with name standing for value, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _running(items: str, value: str, combine: str, zero: str) -> str:
+    """SQL for the array of (x, at) of items: at combines (a, v) the values of all items before x.
+
+    Runs block by block: the blocks' totals are chained, then every block's items, so the work is linear in the items but
+    for the copies within a block.
+    """
+    step = f"aggregate(array({value}), a, (a, v) -> {combine})"
+    total = f"aggregate(b, {zero}, (a, x) -> {step})"
+    chained = f"""aggregate(transform(blocks, b -> {total}), named_struct('a', {zero}, 'out', cast(array() as array<int>)),
+        (s, t) -> named_struct('a', aggregate(array(t), s.a, (a, v) -> {combine}), 'out', concat(s.out, array(s.a))), s -> s.out)"""
+    inside = f"""aggregate(b, named_struct('a', z, 'out', cast(array() as array<int>)),
+        (s, x) -> named_struct('a', {step.replace(', a, (a, v)', ', s.a, (a, v)', 1)}, 'out', concat(s.out, array(s.a))), s -> s.out)"""
+    prefix = f"flatten(zip_with(blocks, {chained}, (b, z) -> {inside}))"
+    blocks = f"transform(sequence(0, (size(items) - 1) div {BLOCK}), i -> slice(items, int(i) * {BLOCK} + 1, {BLOCK}))"
+    joined = f"zip_with(items, {prefix}, (x, at) -> named_struct('x', x, 'at', at))"
+    return _let("items", items, f"if(size(items) = 0, transform(items, x -> named_struct('x', x, 'at', {zero})), {_let('blocks', blocks, joined)})")
 
 
 def _joined(spans: str) -> str:
@@ -127,10 +154,11 @@ def _scanned(df: DataFrame, text: str, keep: list) -> DataFrame:
     """keep (aliased apart from t, base, tested), t (the text), base (array of spans), tested."""
     rows = df.select(*keep, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     base = f"array_sort(concat({_spans('t', ASSIGN, 0, ASSIGN_VALUE)}, {_spans('t', ACCESS, 1)}, {_spans('t', HEX, 2)}))"
-    rows = rows.withColumns({"base": F.expr(base), "tokens": F.expr(_spans("t", TOKEN, 3))})
-    inside = "exists(base, b -> b.start <= s.start and s.end <= b.end)"
-    rows = rows.withColumn("tokens", F.expr(f"transform(filter(tokens, s -> not {inside}), s -> named_struct('start', s.start, 'end', s.end, 'tok', substring(t, s.start + 1, s.end - s.start)))"))
-    rows = rows.withColumn("tokens", F.expr(f"filter(tokens, s -> not s.tok rlike '{PLAIN}')"))
+    rows = rows.withColumns({"base": F.expr(base), "tokens": F.expr(f"filter({_spans('t', TOKEN, 3, token=True)}, s -> not s.tok rlike '{PLAIN}')")})
+    # in order of start, base spans first: a token lies inside one if their furthest end so far reaches its own
+    every = "array_sort(concat(transform(base, b -> named_struct('start', b.start, 'kind', b.kind, 'end', b.end, 'tok', '')), tokens))"
+    apart = f"filter({_running(every, 'if(x.kind < 3, x.end, 0)', 'greatest(a, v)', '0')}, s -> s.x.kind = 3 and s.at < s.x.end)"
+    rows = rows.withColumn("tokens", F.expr(f"if(size(tokens) = 0, cast(array() as array<struct<start:int,end:int,tok:string>>), transform({apart}, s -> named_struct('start', s.x.start, 'end', s.x.end, 'tok', s.x.tok)))"))
     return rows.withColumn("tested", F.expr(_tested("tokens"))).drop("tokens")
 
 
@@ -183,10 +211,16 @@ def redact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str
     accepted = _accepted(staged(_scanned(df, text, []).select("tested"), "tested"))
     rows = _scanned(df, text, [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)])
     rows = rows.withColumn("spans", F.expr(f"array_sort(concat(base, {accepted}))"))
-    fold = f"""aggregate(spans, named_struct('at', 0, 'out', ''),
-        (a, s) -> if(s.start < a.at, named_struct('at', greatest(a.at, s.end), 'out', a.out),
-            named_struct('at', s.end, 'out', concat(a.out, substring(t, a.at + 1, s.start - a.at), '{mark}'))),
-        a -> concat(a.out, substring(t, a.at + 1)))"""
+    # the text in pieces; a piece's spans are found by halving, and what reaches into it by the furthest end before them
+    first = "aggregate(sequence(1, 31), named_struct('lo', 0, 'hi', size(r)), (w, k) -> if(w.lo >= w.hi, w, if(element_at(r, int((w.lo + w.hi) div 2) + 1).x.start < {}, named_struct('lo', int((w.lo + w.hi) div 2) + 1, 'hi', w.hi), named_struct('lo', w.lo, 'hi', int((w.lo + w.hi) div 2)))), w -> w.lo)"
+    begin = f"(i * {PIECE})"
+    own = _let("l", first.format(begin), f"named_struct('s', slice(r, l + 1, {first.format(f'({begin} + {PIECE})')} - l), 'at', if(l > 0, greatest(element_at(r, greatest(l, 1)).at, element_at(r, greatest(l, 1)).x.end), 0))")
+    piece = f"""aggregate(o.s, named_struct('at', greatest(o.at, {begin}), 'out', ''),
+        (a, s) -> if(s.x.start < a.at, named_struct('at', greatest(a.at, s.x.end), 'out', a.out),
+            named_struct('at', s.x.end, 'out', concat(a.out, substring(p, a.at - {begin} + 1, s.x.start - a.at), '{mark}'))),
+        a -> if(a.at - {begin} >= {PIECE}, a.out, concat(a.out, substring(p, a.at - {begin} + 1))))"""
+    pieces = f"transform(regexp_extract_all(t, '(?s).{{1,{PIECE}}}', 0), (p, i) -> {_let('o', own, piece)})"
+    clean_text = _let("r", _running("spans", "x.end", "greatest(a, v)", "0"), f"array_join({pieces}, '')")
     at = df.columns.index(text)
-    clean = F.expr(f"if(size(spans) = 0, c{at}, {fold})")
+    clean = F.expr(f"if(size(spans) = 0, c{at}, {clean_text})")
     return rows.select(*[(clean if i == at else F.col(f"c{i}")).alias(c) for i, c in enumerate(df.columns)])

@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, discriminant, periodic, trie
+from millrace.llm import bpe, discriminant, periodic, secrets, trie
 from millrace.llm import queries as registered
 from millrace.llm.common import WordHashes
 from millrace.llm.quality import MORE, STATS, text_stats
@@ -233,3 +233,34 @@ def test_copies_of_one_conversation_share_pieces(spark):
     turns = spark.range(2500).select(F.col("id").alias("conv_id"), F.explode(F.expr("sequence(0L, 2L)")).alias("turn")).withColumns({"role": F.lit("user"), "text": F.concat(F.lit("t"), F.col("turn").cast("string"))})
     got = {r.depth: r for r in trie.trie(turns).collect()}
     assert [got[d].n_convs for d in range(4)] == [2500] * 4 and got[3].ends_sha256 == sha(",".join(map(str, range(2500)))) and got[0].saved_tokens == 3 * 2 * 2499
+
+
+# ---------------------------------------------------------------- secrets
+
+
+def brute_redacted(text, spans):
+    out, at = "", 0
+    for s, e in sorted(spans):
+        if s >= at:
+            out += text[at:s] + "[SECRET]"
+        at = max(at, e)
+    return out + text[at:]
+
+
+def test_secrets_in_pieces_and_blocks(spark, monkeypatch):
+    r = random.Random(8)
+    monkeypatch.setattr(secrets, "BLOCK", 3)
+    monkeypatch.setattr(secrets, "PIECE", 7)
+    one = lambda: r.choice(["password = hunter2x", "api_key: " + "ab12" * 9, "AKIA" + "QWERTY7890ABCDEF" * r.randrange(1, 3), "0123456789abcdef" * r.randrange(1, 4), "plain", "é𝒳", "secret=short", "x" * 30, "Zk3" * 9])
+    texts = [r.choice([" ", "\n", "", "; "]).join(one() for _ in range(r.randrange(30))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {x.doc_id: [(s.start, s.end) for s in [*x.base, *x.found]] for x in secrets.scan(df).collect()}
+    got = {x.doc_id: x.text for x in secrets.redact(df).collect()}
+    assert got == {i: brute_redacted(t, found[i]) for i, t in enumerate(texts)} and sum(map(len, found.values())) > 100
+
+
+def test_a_long_text_of_secrets(spark):
+    text = " ".join(f"password = {i:012x}" for i in range(20_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.digests(secrets.scan(df)).first().n_assign == 20_000
+    assert secrets.redact(df).first().text == " ".join(["[SECRET]"] * 20_000)
