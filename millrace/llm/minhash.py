@@ -80,14 +80,14 @@ def text_set(raw: bytes, cache: WordHashes) -> np.ndarray:
 
 
 def signatures(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, sig (128-bit hash of the set), bands (band keys), short (16 bits of each coordinate)."""
+    """doc_id, n_shingles, sig (128-bit hash of the set), bands (band keys), short (16 bits of each coordinate), th (xxhash64 of the text)."""
 
     def run(batches):
         import pyarrow as pa
 
         cache = WordHashes()
 
-        def out(ids, sets):
+        def out(ids, sets, ths):
             full = [k for k, s in enumerate(sets) if len(s)]
             keys: list = [None] * len(sets)
             short: list = [None] * len(sets)
@@ -97,25 +97,26 @@ def signatures(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 for k, row, low_row in zip(full, bands(sk).tolist(), low):
                     keys[k], short[k] = row, low_row.tobytes()
             sig = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array(sig, pa.binary()), "bands": pa.array(keys, pa.list_(pa.int64())), "short": pa.array(short, pa.binary())})
+            return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array(sig, pa.binary()), "bands": pa.array(keys, pa.list_(pa.int64())), "short": pa.array(short, pa.binary()), "th": pa.array(np.array(ths, np.uint64).view(np.int64))})
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                ids, sets, size = [], [], 0
+                ids, sets, ths, size = [], [], [], 0
                 for d, raw in zip(part.column(0).to_pylist(), texts_of(part.column(1))):
                     s = text_set(raw, cache)
                     ids.append(d)
                     sets.append(s)
+                    ths.append(xxhash.xxh64_intdigest(raw, 42))
                     size += len(s)
                     if size > CHUNK:
-                        yield out(ids, sets)
-                        ids, sets, size = [], [], 0
+                        yield out(ids, sets, ths)
+                        ids, sets, ths, size = [], [], [], 0
                 if ids:
-                    yield out(ids, sets)
+                    yield out(ids, sets, ths)
 
     source = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t"))
-    return in_batches(source, run, "doc_id long, n_shingles long, sig binary, bands array<long>, short binary")
+    return in_batches(source, run, "doc_id long, n_shingles long, sig binary, bands array<long>, short binary, th long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, counts: DataFrame) -> DataFrame:
@@ -149,9 +150,9 @@ def verified(pairs: DataFrame, texts: DataFrame, counts: DataFrame) -> DataFrame
 def components(links: DataFrame) -> DataFrame:
     """id, component (smallest id reachable) of every id in links (a, b), by contraction.
 
-    A round hangs every vertex under its smallest neighbour, follows the pointers to their roots and
-    replaces the ends of each link by their roots; links within a root go. The number of vertices at
-    least halves, so rounds are few. Rows are two numbers: a key that many share is split by Spark's
+    A round hangs every vertex that has a smaller neighbour under the smallest, follows the pointers to their roots
+    and replaces the ends of each link by their roots; links within a root go. Roots are vertices below all
+    their neighbours, and those that share a neighbour meet in the next round, so rounds are few. Rows are two numbers: a key that many share is split by Spark's
     own skew join where it is large.
     """
     edges = staged(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
@@ -165,7 +166,8 @@ def components(links: DataFrame) -> DataFrame:
                 break
             up = far.select("id", F.coalesce("root", "to").alias("to"))
         new = up.select("id", F.col("to").alias("component"))
-        roots = up.select(F.col("to").alias("id")).distinct().join(up.select("id"), "id", "left_anti").select("id", F.col("id").alias("component"))
+        # a vertex below all its neighbours is a root, also where each of them hangs under a smaller one
+        roots = edges.select(F.col("a").alias("id")).distinct().join(up.select("id"), "id", "left_anti").select("id", F.col("id").alias("component"))
         new = new.unionByName(roots)
         if label is None:
             label = staged(new, "components")
@@ -267,8 +269,10 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     asking = dealt.where("component <> main").withColumns({"asks": F.lit(True), "q": block("qb")}).withColumn("r", over("rb"))
     asked = dealt.withColumns({"asks": F.lit(False), "r": block("rb")}).withColumn("q", over("qb"))
     dealt = asking.unionByName(asked).select("band", "id", "component", "main", "asks", "q", "r")
-    sketch = reps.select(F.col("doc_id").alias("id"), "short", "bands").dropDuplicates(["id"])
-    dealt = dealt.join(sketch.join(texts.dropDuplicates(["id"]), "id"), "id")
+    # an id may stand for several texts: each goes with its own sketch, into its own bands
+    sketch = reps.select(F.col("doc_id").alias("id"), "th", "short", "bands").dropDuplicates(["id", "th"])
+    known_texts = texts.withColumn("th", F.xxhash64("t")).dropDuplicates(["id", "th"])
+    dealt = dealt.join(sketch.join(known_texts, ["id", "th"]), "id").where(F.array_contains("bands", F.col("band"))).drop("th")
     links = links.union(staged(dealt.groupBy("band", "q", "r").applyInPandas(_linked, "a long, b long"), "linked"))
     label = components(links.union(twins.select("a", "b")))
     out = rows.select("doc_id", "n_shingles").join(label.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")

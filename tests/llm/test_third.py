@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, discriminant, periodic, secrets, trie
+from millrace.llm import bpe, discriminant, minhash, periodic, secrets, trie
 from millrace.llm import queries as registered
 from millrace.llm.common import WordHashes
 from millrace.llm.quality import MORE, STATS, text_stats
@@ -264,3 +264,39 @@ def test_a_long_text_of_secrets(spark):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert secrets.digests(secrets.scan(df)).first().n_assign == 20_000
     assert secrets.redact(df).first().text == " ".join(["[SECRET]"] * 20_000)
+
+
+# ---------------------------------------------------------------- near copies
+
+
+def test_ids_that_stand_for_several_texts(spark):
+    r = random.Random(11)
+    bases, rows = [words(60, s) for s in (1, 2, 3)], []
+    for i in range(90):
+        w = list(r.choice(bases))
+        for _ in range(r.choice([0, 1, 2, 3, 5])):
+            w[r.randrange(60)] = f"n{r.randrange(10**6)}"
+        rows.append((r.randrange(70), " ".join(w)))
+    sets = [(i, {tuple(t.split()[k : k + 5]) for k in range(56)}) for i, t in rows]
+    least = {i: i for i, _ in rows}
+    changed = True
+    while changed:
+        changed = False
+        for i, a in sets:
+            for j, b in sets:
+                if least[j] < least[i] and 100 * len(a & b) >= 75 * len(a | b):
+                    least[i], changed = least[j], True
+    got = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 90 and all(x.component_id == least[x.doc_id] for x in got) and len(set(least.values())) > 3
+
+
+def test_components_keep_every_link(spark):
+    r = random.Random(2)
+    for size, links in ((12, 14), (40, 30), (200, 190)):
+        pairs = [(r.randrange(size), r.randrange(size)) for _ in range(links)]
+        least = list(range(size))
+        for _ in range(size):
+            for a, b in pairs:
+                least[a] = least[b] = min(least[a], least[b])
+        got = {x.id: x.component for x in minhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+        assert got == {v: least[v] for a, b in pairs if a != b for v in (a, b)}
