@@ -191,4 +191,4 @@ def test_queries_with_sql(spark):
 def test_queries_import_without_touching_the_catalog():
     from millrace.llm import queries
 
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
