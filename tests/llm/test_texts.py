@@ -242,29 +242,44 @@ def brute_targets(sizes, copies=3, weights=(5, 2, 1)):
     return target
 
 
-def brute_taken(rows, target):
-    """taken by row number: each source's queue copy by copy, what does not fit passed over, at most PASSES times."""
-    from fractions import Fraction
-
-    taken = Counter()
-    for s in {r[1] for r in rows}:
-        mine = sorted((h, n, size) for n, (_, src, size, h) in enumerate(rows) if src == s and size)
-        sent, passes = 0, 0
-        for _ in range(mixing.COPIES):
-            for h in sorted({m[0] for m in mine}):
-                block = [m for m in mine if m[0] == h]
-                words = sum(m[2] for m in block)
-                if Fraction(sent + words) <= Fraction(target[s]):
-                    sent += words
-                    taken.update({n: size for _, n, size in block})
-                else:
-                    passes += 1
-                    if passes > mixing.PASSES:
-                        break
-            else:
-                continue
+def brute_taken(rows, target, weights=(5, 2, 1)):
+    """taken by row number: all copies in order of finish time, cut at the budget and at each source's
+    target; then copies behind of at most half of what is missing, as long as some fit."""
+    ranked = sorted((s for s in target if s is not None)) + ([None] if None in target else [])
+    copies = []
+    for rank, s in enumerate(ranked):
+        block = Counter()
+        for _, source, size, h in rows:
+            if source == s and size:
+                block[h] += size
+        at = 0
+        for k in range(mixing.COPIES):
+            for h in sorted(block):
+                at += block[h]
+                copies.append((at / weights[rank % 3], rank, k, h, at, block[h]))
+    total, budget, taken = 0, sum(r[2] for r in rows), set()
+    for _, rank, k, h, at, words in sorted(copies):
+        total += words
+        if total > budget:
             break
-    return taken
+        if at <= target[ranked[rank]]:
+            taken.add((rank, k, h))
+    for rank, s in enumerate(ranked):
+        mine = [c[2:4] + c[5:] for c in copies if c[1] == rank]
+        left = target[s] - sum(words for k, h, words in mine if (rank, k, h) in taken)
+        behind = [c for c in mine if (rank, *c[:2]) not in taken]
+        while behind:
+            bound, over = left / 2, None
+            for i, (k, h, words) in enumerate(behind):
+                if words <= bound:
+                    if words > left:
+                        over = i
+                        break
+                    taken.add((rank, k, h))
+                    left -= words
+            behind = [] if over is None else behind[over + 1 :]
+    times = Counter((rank, h) for rank, _, h in taken)
+    return {n: size * times[ranked.index(s), h] for n, (_, s, size, h) in enumerate(rows)}
 
 
 def test_mixing(spark):
@@ -286,17 +301,39 @@ def test_mixing(spark):
         assert target[s] == pytest.approx(expected[s]) and target[s] - max(40, 0.02 * target[s]) <= taken[s] <= target[s] + 1e-6
     places = {(x.doc_id, x.source, x.n): x.h for x in frame(spark, rows).select("doc_id", "source", F.coalesce(mixing.word_count("text"), F.lit(0)).alias("n"), mixing._place("doc_id", "text").alias("h")).collect()}
     flat = [(x.doc_id, x.source, x["size"], places[x.doc_id, x.source, x["size"]]) for x in got]
-    assert [x.taken for x in got] == [brute_taken(flat, target)[n] for n in range(len(flat))]
+    brute = brute_taken(flat, target)
+    assert [x.taken for x in got] == [brute[n] for n in range(len(flat))]
     out = mixing.take(frame(spark, rows))
     assert out.columns == frame(spark, rows).columns
     times = Counter((x.doc_id, x.source) for x in out.collect())
     assert times == {k: n for k, n in sum((Counter({(x.doc_id, x.source): x.taken // max(1, x["size"])}) for x in got), Counter()).items() if n}
     order = [x.finish for x in mixing.schedule(frame(spark, rows)).collect()]
-    assert order == sorted(order) and len(order) == sum(times.values())
+    assert order == sorted(order) and sum(x.rows for x in mixing.schedule(frame(spark, rows)).collect()) == sum(times.values())
     assert mixing.mix(frame(spark, [])).count() == 0 and mixing.take(frame(spark, [])).count() == 0
     assert mixing.mix(frame(spark, [(1, None, "en", "a", "", 0)])).first().taken == 0
 
 
+def test_mixing_in_parts(spark, monkeypatch):
+    """Buckets and parts of few rows, a third of all rows alike, texts that never fit before many that do."""
+    monkeypatch.setattr(mixing, "PART_ROWS", 40)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
+    r = random.Random(9)
+    rows = [(k, " ".join(["w"] * (r.choice([1, 2, 3, 400, 700]))), "en", r.choice("aaabc"), "", 0) for k in range(200)]
+    rows += [(7000, "one row many times", "en", "a", "", 0)] * 100 + [(8000, " ".join(["w"] * 60_000), "en", "b", "", 0)]
+    docs = frame(spark, rows)
+    got = mixing.mix(docs).collect()
+    places = {x.doc_id: x.h for x in docs.select("doc_id", mixing._place("doc_id", "text").alias("h")).distinct().collect()}
+    flat = [(x.doc_id, x.source, x["size"], places[x.doc_id]) for x in got]
+    brute = brute_taken(flat, {x.source: x.target for x in got})
+    assert [x.taken for x in got] == [brute[n] for n in range(len(flat))]
+    times = Counter()
+    for x in got:
+        times[x.doc_id] += x.taken // x["size"]
+    assert Counter(x.doc_id for x in mixing.take(docs).collect()) == +times
+    queue, sources = mixing._queue(docs, "doc_id", "source", "text")[1:]
+    assert mixing._ordered(queue, sources).agg(F.max("part")).first()[0] > 5
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
