@@ -24,7 +24,9 @@ lost far less often still. Every link that is reported is exact.
 
 Null or wordless texts have an empty set and no links. Rows that repeat a doc_id are one vertex; a
 null doc_id is linked with nothing (component null, kept). Columns of other names are neither read
-nor lost. An empty table gives an empty result.
+nor lost. An empty table gives an empty result. A very long text enters with its whole shingle set, held
+by one task. doc_id is an integer, or a string that Spark casts to one: other strings raise
+CAST_INVALID_INPUT, as component ids are the smallest of them.
 """
 
 from __future__ import annotations

@@ -13,6 +13,7 @@ language, without a size at which the rule changes. A document whose squared Mah
 exceeds the cut is rejected.
 
 Null text has no words, so it fails the base rule; null lang or source form groups of their own.
+A very long text is read whole, by one task, and leaves it as counts.
 An empty table gives an empty result. Repeated rows count as often as they stand. Columns of any name
 pass through reject_outliers; with_stats leaves out columns whose names are those of its statistics.
 """

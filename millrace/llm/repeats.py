@@ -21,7 +21,9 @@ representative; their other copies repeat from end to end.
 Null or short texts have no passages. Repeats within one document alone are not reported: the operator
 looks for what documents share. Rows with a null doc_id are left out; rows that repeat a doc_id are one
 document to this operator. Documents without a repeated passage have no row; columns of other names are
-neither read nor lost; an empty table gives an empty result.
+neither read nor lost; an empty table gives an empty result. A very long text is read whole, by one
+task, as hashes of its words. doc_id is an integer, or a string that Spark casts to one: other
+strings raise CAST_INVALID_INPUT.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ the histogram is shuffled: `redact` reads the texts twice and rewrites them wher
 
 Spans are in code points, end exclusive. Null text is empty and has none. Tokens that lie in a base
 span are not repeated. Rows are independent, also those that repeat a doc_id; columns of any other
-name are neither read nor lost. An empty table gives an empty result.
+name are neither read nor lost. A text of any length is scanned whole, in time that grows with its length
+and its spans. An empty table gives an empty result.
 """
 
 from __future__ import annotations

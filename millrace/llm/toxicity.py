@@ -17,7 +17,8 @@ Null text is empty; an empty text gets the score of a text without hits. Without
 every score is the share of toxic rows among what there is (0 if nothing). Rows that repeat a doc_id
 are scored each by its own text; as a labelled row such a doc_id counts once, by its least text; where
 labels repeat a doc_id, toxic wins. A null doc_id is scored, not labelled, not held out. Columns of
-other names are neither read nor lost. An empty table of documents gives an empty result.
+other names are neither read nor lost. A very long text is read whole, by one task. An empty table of
+documents gives an empty result.
 """
 
 from __future__ import annotations

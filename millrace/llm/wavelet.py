@@ -12,7 +12,8 @@ makes every shard appear whole or not at all on any store, also when executors a
 are shuffled, never texts, and images never are.
 
 Order of documents: doc_id ascending, null first; equal doc_ids by a checksum of their ids. A null
-text is empty, and an empty text has the end id alone. A document is never split, so a shard may
+text is empty, and an empty text has the end id alone. doc_id is an integer, or a string that Spark
+casts to one: other strings raise CAST_INVALID_INPUT. A document is never split, so a shard may
 exceed the target. Other columns of the table, whatever their names, take no part. An empty table
 has no shards and no rows.
 """
