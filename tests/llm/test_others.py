@@ -51,6 +51,54 @@ def test_ann_recall_with_few_shorter_vectors(spark):
     assert hit / 1000 >= 0.97
 
 
+def near_vectors(n, seed):
+    """Rows of 200 clusters, all of length 1."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(200, 64))[r.integers(0, 200, n)] + 0.2 * r.normal(size=(n, 64))
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def test_ann_long_short_and_extreme_vectors_leave_the_others_alone(spark):
+    x = near_vectors(4000, 8)
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    rows += [(5001, (50 * x[1]).tolist()), (5002, (1e-3 * x[2]).tolist()), (5003, (x[3] * 1e-170).tolist()), (5100, (1.5 * x[100]).tolist()), (5005, (1e160 * x[5]).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = ann.search(df, df.where("vec_id % 100 = 0")).collect()
+    all_ids, all_x, hit = np.array([i for i, _ in rows]), np.array([v for _, v in rows]), 0
+    queries = all_ids[all_ids % 100 == 0]
+    for q in queries:
+        with np.errstate(over="ignore"):
+            d = np.sqrt(((all_x - all_x[all_ids == q][0]) ** 2).sum(1))
+        d[all_ids == q] = np.inf
+        mine = {o.vec_id: o.score for o in out if o.query_id == q}
+        assert len(mine) == 10 and all(abs(d[all_ids == i][0] - s) < 1e-9 for i, s in mine.items())
+        hit += len(set(all_ids[np.argsort(d)[:10]].tolist()) & set(mine))
+    assert hit / (10 * len(queries)) >= 0.97
+    assert next(o.vec_id for o in out if o.query_id == 5100 and o.rank == 1) in range(4000)
+
+
+def test_ann_share_reranked_falls_with_the_rows():
+    shares = []
+    for n in (500, 8000):
+        x = near_vectors(n, 9)
+        first, second = ann.assigned(x)
+        met = np.zeros((20, n), bool)
+        for i, _, t, firsts, seconds in ann.probed(x[:20], [ann.share(n)]):
+            for f, s in zip(firsts, seconds):
+                met[i] |= (first[:, t] == f) & np.isin(second[:, t], s)
+        true = np.argsort(((x[:20, None] - x[None]) ** 2).sum(2), axis=1)[:, 1:11]
+        assert np.mean([met[i, true[i]].mean() for i in range(20)]) >= 0.95
+        shares.append(met.mean())
+    assert shares[0] < 0.5 and shares[1] < 0.3 and shares[1] < 0.7 * shares[0]
+
+
+def test_ann_one_rotation_where_axes_are_many():
+    x = np.random.default_rng(2).normal(size=(3, 300))
+    first, second = ann.assigned(x)
+    assert first.max() >= 512 and not second.any()
+    assert all(not np.concatenate(s).any() and len(f) == 8 for _, _, _, f, s in ann.probed(x, [1e-6]))
+
+
 def test_hadamard_is_orthogonal():
     a = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose((ann.hadamard(a) ** 2).sum(1), (a**2).sum(1)) and np.allclose(ann.hadamard(ann.hadamard(a)), a)
