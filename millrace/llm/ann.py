@@ -45,6 +45,8 @@ BAND = 1.25
 MANY_AXES = 512
 #: Rows and queries of a block.
 ROWS, QUERIES = 10_000, 2_000
+#: Components of the rows that are gathered for queries at once (and those of one query more).
+PAIRS = 4_000_000
 
 
 def hadamard(a: np.ndarray) -> np.ndarray:
@@ -181,17 +183,36 @@ def _parts(a, b, k: int):
     qids, q = b.id.to_numpy(), np.array(b.v.tolist())
     if b["sub"].isna().all():
         return best(ids, x, qids, q, k)
+    probes = np.concatenate(b["sub"].to_numpy())
+    asks = np.repeat(np.arange(len(b)), b["sub"].map(len))
+    lo, hi = np.searchsorted(subs, probes), np.searchsorted(subs, probes, side="right")
+    n = hi - lo
+    met = np.bincount(asks, n, len(b)).astype(np.int64)  # rows that each query reads
+    chunk = np.cumsum(met) // max(1, PAIRS // x.shape[1])
+    repeated = len(np.unique(ids)) < len(ids)
     out: tuple[list, list, list] = ([], [], [])
-    for i, probes in enumerate(b["sub"]):
-        lo, hi = np.searchsorted(subs, probes), np.searchsorted(subs, probes, side="right")
-        n = hi - lo
-        if n.sum():
-            at = np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
-            for held, more in zip(out, best(ids[at], x[at], qids[i : i + 1], q[i : i + 1], k)):
-                held.extend(more)
+    for c in np.unique(chunk):
+        at = np.flatnonzero(chunk[asks] == c)
+        rows = np.repeat(hi[at] - np.cumsum(n[at]), n[at]) + np.arange(n[at].sum())
+        for held, more in zip(out, nearest_of_pairs(ids[rows], x[rows], qids, q, np.repeat(asks[at], n[at]), k, repeated)):
+            held.extend(more.tolist())
     return out
 
 
+def nearest_of_pairs(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, asks: np.ndarray, k: int, repeated: bool):
+    """The k rows nearest to each query among pairs of a row (ids, x) and the place of its query (asks).
+    repeated: several rows have one id, of which the nearest counts."""
+    d = np.sqrt(((x - q[asks]) ** 2).sum(axis=1))
+    at = np.flatnonzero(np.isfinite(d) & (ids != qids[asks]))
+    at = at[np.lexsort((ids[at], d[at], asks[at]))]
+    if repeated:
+        _, first = np.unique(np.stack((asks[at], ids[at])), axis=1, return_index=True)
+        at = at[np.sort(first)]
+    _, start, n = np.unique(asks[at], return_index=True, return_counts=True)
+    at = at[np.arange(len(at)) - np.repeat(start, n) < k]
+    return qids[asks[at]], ids[at], d[at]
+
+
 def best(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[list, list, list]:
     """The k rows nearest to each query: query ids, row ids, distances."""
     near = (x * x).sum(axis=1)[None, :] - 2 * (q @ x.T)

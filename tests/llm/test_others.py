@@ -92,6 +92,19 @@ def test_ann_share_reranked_falls_with_the_rows():
     assert shares[0] < 0.5 and shares[1] < 0.3 and shares[1] < 0.7 * shares[0]
 
 
+def test_ann_repeated_ids_count_once(spark):
+    x = near_vectors(600, 3)
+    rows = [(i % 400, v) for i, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = ann.search(df, df.where("vec_id = 399")).toPandas()
+    asker = x[399]  # the id stands once
+    best = {}
+    for i, v in rows:
+        if i != 399:
+            best[i] = min(best.get(i, 9.0), float(np.sqrt(((np.array(v) - asker) ** 2).sum())))
+    assert len(out) == 10 and out.vec_id.is_unique and all(abs(best[r.vec_id] - r.score) < 1e-9 for r in out.itertuples())
+
+
 def test_ann_one_rotation_where_axes_are_many():
     x = np.random.default_rng(2).normal(size=(3, 300))
     first, second = ann.assigned(x)
