@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, grams, in_batches, staged, texts_of
+from .common import WordHashes, grams, in_batches, join_hot, staged, texts_of
 
 SYMBOLS = [b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"]
 PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -43,7 +43,7 @@ P = len(VECTOR)
 SHARE, STEPS, WITHIN = 0.75, 6, 0.975
 #: Rows that the wider group's estimate counts for beside a group's own.
 PRIOR = 100
-#: Groups up to which their parameters (under 1 KB each) are broadcast; beyond, they are joined.
+#: Groups up to which their parameters (under 1 KB each) are broadcast; beyond, they are joined, keys of many rows salted.
 BROADCAST_GROUPS = 20_000
 #: Cut on the squared distance: a chi-squared quantile (upper tail) times a factor for tails heavier than normal.
 TAIL, HEAVY = 1e-6, 2.0
@@ -211,7 +211,7 @@ def toward(n: float, mu: np.ndarray, cov: np.ndarray, wider_mu: np.ndarray, wide
 
 
 def _combined(frames):
-    """From a group's estimate (mu, cov), its language's (1) and the corpus's (2): g, mu, inv."""
+    """From a group's estimate (mu, cov), its language's (1) and the corpus's (2): g, n, mu, inv."""
     import pandas as pd
 
     square = lambda v: np.array(v, float).reshape(P, P)
@@ -222,12 +222,18 @@ def _combined(frames):
             mu, cov = toward(r.n, np.array(r.mu), square(r.cov), mu, cov)
             mus.append(mu.tolist())
             invs.append(np.linalg.inv(_floored(cov)).ravel().tolist())
-        yield pd.DataFrame({"g": pdf.g, "q_mu": mus, "q_inv": invs})
+        yield pd.DataFrame({"g": pdf.g, "n": pdf.n, "q_mu": mus, "q_inv": invs})
 
 
-def fit(stats: DataFrame, lang: str | None = "lang", source: str | None = "source") -> tuple[DataFrame, bool]:
-    """g, q_mu, q_inv: centre and inverse scatter by which each language and source of a staged table
-    with statistics is judged; and whether they are few enough to broadcast."""
+def _with_group(rows: DataFrame, groups: DataFrame, on: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with what is known of their group. counts: the groups (n rows each), which decide how to join: the corpus is one
+    group of all rows, a language may be one of a third of them."""
+    return rows.join(F.broadcast(groups), on, how) if counts.count() <= BROADCAST_GROUPS else join_hot(rows, groups, on, counts, how)
+
+
+def fit(stats: DataFrame, lang: str | None = "lang", source: str | None = "source") -> DataFrame:
+    """g, n, q_mu, q_inv: rows, centre and inverse scatter by which each language and source of a staged table
+    with statistics is judged."""
     own, wide, corpus = _groups(lang, source)
     rows = stats.where(~_base_failed()).select(own.alias("own"), wide.alias("wide"), *[x.alias(f"x{i}") for i, x in enumerate(_vector())])
     pairs = staged(rows.select("own", "wide").distinct(), "groups")
@@ -235,24 +241,24 @@ def fit(stats: DataFrame, lang: str | None = "lang", source: str | None = "sourc
     coordinate = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.round(F.col(f"x{k}") / 0.02).cast("long").alias("b")) for k in range(P)]))
     binned = rows.select("g", coordinate.alias("v")).groupBy("g", "v.k", "v.b").agg(F.count("*").alias("c"))
     params = staged(binned.groupBy("g").applyInPandas(_first, PARAMS), "mcd0")
-    few = params.count() <= BROADCAST_GROUPS
     for k, step in enumerate([*[_step] * STEPS, _reweighted]):
-        at = rows.join(F.broadcast(params) if few else params, "g").withColumn("d", _distance("x", "mu", "inv"))
+        at = _with_group(rows, params.drop("n"), "g", params.select("g", "n")).withColumn("d", _distance("x", "mu", "inv"))
         at = at.withColumn("b", F.least(F.floor(16 * F.log1p(F.greatest("d", F.lit(0.0)))), F.lit(800)).cast("long"))
         sums = at.groupBy("g", "b").agg(F.count("*").alias("c"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(P)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"m{i}_{j}") for i, j in PAIRS])
         params = staged(sums.groupBy("g").applyInPandas(step, PARAMS), f"mcd{k + 1}")
     named = lambda n: [F.col(c).alias(f"{c}{n}") for c in ("n", "mu", "cov")]
     every = pairs.join(params.select(F.col("g").alias("own"), "n", "mu", "cov"), "own").join(params.select(F.col("g").alias("wide"), *named(1)), "wide")
-    every = every.withColumn("any", F.lit("")).join(params.select(F.col("g").alias("any"), *named(2)), "any")
-    return staged(every.withColumnRenamed("own", "g").mapInPandas(_combined, "g string, q_mu array<double>, q_inv array<double>"), "estimates"), few
+    whole = F.broadcast(params.where(F.col("g") == corpus).select(F.col("g").alias("any"), *named(2)))  # one row
+    every = every.withColumn("any", corpus).join(whole, "any")
+    return staged(every.withColumnRenamed("own", "g").mapInPandas(_combined, "g string, n long, q_mu array<double>, q_inv array<double>"), "estimates")
 
 
-def verdicts(stats: DataFrame, estimates: DataFrame, few: bool, lang: str | None = "lang", source: str | None = "source") -> DataFrame:
+def verdicts(stats: DataFrame, estimates: DataFrame, lang: str | None = "lang", source: str | None = "source") -> DataFrame:
     """stats with q_base_failed, q_distance (squared) and q_kept."""
     xs = [f"q_x{i}" for i in range(P)]
     rows = stats.withColumns({"q_g": _groups(lang, source)[0], **{x: v for x, v in zip(xs, _vector())}})
-    estimates = estimates.withColumnRenamed("g", "q_g")
-    out = rows.join(F.broadcast(estimates) if few else estimates, "q_g", "left")
+    estimates = estimates.withColumnsRenamed({"g": "q_g", "n": "q_n"})
+    out = _with_group(rows, estimates.drop("q_n"), "q_g", estimates.select("q_g", F.col("q_n").alias("n")), "left")
     out = out.withColumns({"q_base_failed": _base_failed(), "q_distance": _distance("q_x", "q_mu", "q_inv")})
     out = out.withColumn("q_kept", ~F.col("q_base_failed") & (F.coalesce(F.col("q_distance"), F.lit(0.0)) <= HEAVY * chi2_upper(P, TAIL)))
     return out.select(*stats.columns, "q_base_failed", "q_distance", "q_kept")
@@ -263,5 +269,5 @@ def reject_outliers(df: DataFrame, text: str = "text", lang: str | None = "lang"
     name = {c: f"c{i}" for i, c in enumerate(df.columns)}
     rows = df.toDF(*name.values())
     text, lang, source = name[text], lang and name[lang], source and name[source]
-    estimates, few = fit(staged(with_stats(rows, text, [c for c in (lang, source) if c]), "stats"), lang, source)
-    return verdicts(with_stats(rows, text), estimates, few, lang, source).where("q_kept").select(*rows.columns).toDF(*df.columns)
+    estimates = fit(staged(with_stats(rows, text, [c for c in (lang, source) if c]), "stats"), lang, source)
+    return verdicts(with_stats(rows, text), estimates, lang, source).where("q_kept").select(*rows.columns).toDF(*df.columns)

@@ -33,7 +33,7 @@ def op6_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = staged(quality.with_stats(table(spark, sf_dir, "documents"), keep=["doc_id", "lang", "source"]), "stats")
-    out = quality.verdicts(stats, *quality.fit(stats))
+    out = quality.verdicts(stats, quality.fit(stats))
     return out.select("doc_id", *[f"q_{s}" for s in quality.STATS], "q_base_failed", "q_kept", "q_distance").toDF("doc_id", *quality.STATS, "base_failed", "kept", "distance")
 
 

@@ -175,7 +175,7 @@ def test_quality_statistics_and_verdicts(spark):
         lines = [x for x in t.split("\n") if WORDS.search(x)]
         assert (r.q_n_words, r.q_word_chars, r.q_n_symbols) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)))
         assert (r.q_n_dup_lines, r.q_n_repeat_words) == (len(lines) - len(set(lines)), len(covered))
-    out = {r.doc_id: r for r in quality.verdicts(stats, *quality.fit(stats)).collect()}
+    out = {r.doc_id: r for r in quality.verdicts(stats, quality.fit(stats)).collect()}
     assert not out[5000].q_kept and not out[5000].q_base_failed
     assert out[5].q_base_failed and out[15].q_base_failed and not out[15].q_kept
     assert sum(out[1000 + k].q_kept for k in range(400)) >= 398
@@ -186,6 +186,19 @@ def test_quality_statistics_and_verdicts(spark):
     assert quality.reject_outliers(frame(spark, [])).count() == 0
 
 
+def test_quality_joins_of_many_groups_give_the_same(spark, monkeypatch):
+    """The salted joins that stand in for broadcasts beyond BROADCAST_GROUPS, with a source of most rows."""
+    rows = [(k, " ".join(words(60 + k % 90, k)) + ("" if k % 97 else " $$$%%%" * 80), "en" if k % 5 else None, "a" if k % 3 else "b", "", 0) for k in range(1, 700)]
+    rows += [(1000, None, None, None, "", 0), (1001, "", "xx", None, "", 0)]
+    stats = quality.with_stats(frame(spark, rows), keep=["doc_id", "lang", "source"]).cache()
+    want = {r.doc_id: r for r in quality.verdicts(stats, quality.fit(stats)).collect()}
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)
+    got = quality.verdicts(stats, quality.fit(stats)).collect()
+    assert len(got) == len(rows) and sum(not r.q_kept for r in got) > 2
+    for r in got:
+        assert r.q_kept == want[r.doc_id].q_kept and (r.q_distance == want[r.doc_id].q_distance or r.q_distance == pytest.approx(want[r.doc_id].q_distance, rel=1e-6))
+
+
 def brute_distances(stats):
     """Squared distances of the rows that pass the base rules: the estimates over gathered vectors, group by group."""
     import math
