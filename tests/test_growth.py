@@ -4,7 +4,7 @@ import random
 
 from tests.test_rules import score
 
-from millrace.operators import similar
+from millrace.operators import classifying, similar
 
 
 def test_numbered_names_meet_by_what_they_leave(spark):
@@ -17,3 +17,13 @@ def test_numbered_names_meet_by_what_they_leave(spark):
     assert got == {x: (y, round(-s, 6)) for x, (s, _, y) in best.items() if s <= -70}
     near = similar.near_matches(left, right, [], 70.0).collect()
     assert all((q.y, round(q.score, 6)) == got[q.x] for q in near) and len(near) >= 0.9 * len(got)  # the rest alone meets pair by pair
+
+
+def test_rows_read_alike_are_scored_once(spark):
+    rows = spark.createDataFrame([(i, ("red bolt", "small ring")[i % 2], "M") for i in range(200)], "seq long, Part_Desc string, manufacturer string")
+    kw = spark.createDataFrame([("A", "bolt", 2.0), ("B", "ring", 1.0), ("B", "red", 0.5)], "classpath string, token string, weight double")
+    prior = spark.createDataFrame([("M", "A", 1), ("M", "B", 1)], "manufacturer string, classpath string, n long")
+    kinds = classifying.read(rows).dropDuplicates(["kind"])
+    assert classifying.scores(kinds, kw, prior).count() == 4  # 400 rows of rows and classes before
+    got = {(r.seq % 2, r.classpath, r.confidence, r.runner_up) for r in classifying.classify(rows, kw, prior).collect()}
+    assert got == {(0, "A", 0.75, "B"), (1, "B", 0.833, "A")}
