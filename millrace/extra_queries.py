@@ -379,7 +379,7 @@ FAMILY = ["GENERAL SPECIFICATIONS", "CRI: 80 Ra", "Functional Life: 25,000 Hours
 
 
 def family_words(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    p = sources.spread(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey")
     size = F.col("p_size").cast("string")
     w = lambda text, x0, x1, top: F.struct((F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(float(x0)).alias("x0"), F.lit(float(x1)).alias("x1"), F.lit(float(top)).alias("top"))
     words = [w("GENERAL", 10, 40, 20), w("SPECIFICATIONS", 42, 90, 20), w("CRI:", 10, 30, 40), w("80", 32, 40, 40), w("Functional", 10, 40, 60), w("Life:", 42, 60, 60), w("25,000", 62, 80, 60), w("Hours", 82, 95, 60)]
@@ -410,7 +410,7 @@ REGIONS = "FROM part, (SELECT unnest([0, 1, 2]) AS k) a, (SELECT unnest([0, 1, 2
 
 
 def region_words(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    p = sources.spread(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey")
     w = lambda text, x0, top: F.struct((F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(float(x0)).alias("x0"), F.lit(float(x0) + 30).alias("x1"), F.lit(float(top)).alias("top"))
     words = [w("ITEM", 10, 20), w("SPECIFICATIONS", 45, 20)]
     for k, (x, y) in enumerate(((10, 100), (400, 104), (10, 300))):
@@ -492,7 +492,7 @@ def job_counters(spark, sf_dir):
 @query("SELECT CAST(p_partkey AS VARCHAR) AS doc, '3000 K, 4000 K' AS temperatures, CASE WHEN p_size < 90 THEN CAST(p_size AS VARCHAR) || '/' || CAST(p_size + 100 AS VARCHAR) || '/' || CAST(p_size + 200 AS VARCHAR) END AS watts FROM part")
 def chart_watts(spark, sf_dir):
     """A chart's wattages: a product's row and the nameless rows beside it."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    p = sources.spread(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey")
     size = lambda n: (F.col("p_size") + n).cast("string")
     text = [F.lit("Sku Wattage/CCT 4000K 3000K"), F.concat(size(200), F.lit("W 100L 120L")), F.concat(F.lit("65-7/R3 "), size(100), F.lit("W 90L")), F.concat(size(0), F.lit("W 10L 20L")), F.concat(size(50), F.lit("W 11L")), F.concat(F.lit("66-8 "), size(7), F.lit("W 10L"))]
     rows = p.select(F.col("p_partkey").cast("string").alias("doc"), F.lit(1).alias("page"), F.posexplode(F.array(*text)).alias("line", "text"))

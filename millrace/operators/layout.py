@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.sources.staging import kept
+from millrace.sources.staging import kept, rowwise
 
 TOLERANCE = 2.5
 #: x ranges of labels and values on a one-product sheet: fixed values.
 LABEL_X, VALUE_X = (305.0, 360.0), 400.0
 
 
+def pages_of(words: DataFrame) -> DataFrame:
+    """doc, page, w: a page's words in order of (rounded top, x0). Pages are bounded."""
+    return words.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct(F.round("top", 1).alias("y"), "x0", "top", "text", "x1"))).alias("w"))
+
+
 def line_numbers(words: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """words (doc, page, text, x0, x1, top) with line: words whose top is within the tolerance of the
     line's first word, in order of (rounded top, x0). Pages are bounded, so a page is folded as one array."""
-    page = words.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct(F.round("top", 1).alias("y"), "x0", "top", "text", "x1"))).alias("w"))
+    return numbered(pages_of(words), tolerance=tolerance)
+
+
+def numbered(page: DataFrame, *more: str, tolerance: float = TOLERANCE) -> DataFrame:
+    """The words of pages_of() with line, and more columns of their page."""
     fold = f"""aggregate(w, named_struct('first', -1e18D, 'n', -1, 'out', cast(array() as array<int>)),
         (a, x) -> if(abs(x.top - a.first) <= {tolerance}D, named_struct('first', a.first, 'n', a.n, 'out', concat(a.out, array(a.n))),
                      named_struct('first', x.top, 'n', a.n + 1, 'out', concat(a.out, array(a.n + 1)))), a -> a.out)"""
     page = page.withColumn("l", F.expr(fold))
-    return page.select("doc", "page", F.explode(F.arrays_zip("w", "l")).alias("z")).select("doc", "page", F.col("z.l").alias("line"), "z.w.text", "z.w.x0", "z.w.x1", "z.w.top")
+    return page.select("doc", "page", *more, F.explode(F.arrays_zip("w", "l")).alias("z")).select("doc", "page", *more, F.col("z.l").alias("line"), "z.w.text", "z.w.x0", "z.w.x1", "z.w.top")
 
 
 def lines(words: DataFrame) -> DataFrame:
@@ -41,9 +51,22 @@ def label_values(words: DataFrame, labels: DataFrame) -> DataFrame:
 
 def nearest_header(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """doc, page, line, label, text: every cell word under the header whose centre is nearest, the left one among equals."""
-    centre = lambda a, b: (F.col(a) + F.col(b)) / 2
-    h = headers.groupBy("doc", "page").agg(F.collect_list(F.struct(centre("x0", "x1").alias("c"), F.col("text").alias("label"))).alias("h"))
-    cells = cells.join(h, ["doc", "page"]).withColumn("at", centre("x0", "x1"))
+    return under(cells.join(rowwise(header_maps(headers)), ["doc", "page"]))
+
+
+def centre(a: str, b: str) -> Column:
+    return (F.col(a) + F.col(b)) / 2
+
+
+def header_maps(headers: DataFrame) -> DataFrame:
+    """doc, page, h: a page's headers with their centres; bottom: their lowest top."""
+    lowest = F.max("top") if "top" in headers.columns else F.lit(None).cast("double")
+    return headers.groupBy("doc", "page").agg(F.collect_list(F.struct(centre("x0", "x1").alias("c"), F.col("text").alias("label"))).alias("h"), lowest.alias("bottom"))
+
+
+def under(cells: DataFrame) -> DataFrame:
+    """nearest_header of cells that carry their page's headers (h)."""
+    cells = cells.withColumn("at", centre("x0", "x1"))
     best = F.array_min(F.transform("h", lambda x: F.struct(F.abs(x["c"] - F.col("at")).alias("d"), x["c"].alias("c"), x["label"].alias("label"))))["label"]
     cells = cells.withColumn("label", best)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ")
@@ -59,8 +82,13 @@ ABOVE, APART = 12.0, 10.0
 def headers(words: DataFrame, anchor: str = "Sku") -> DataFrame:
     """doc, page, text, x0, x1, top of a table's headers: words about the anchor's line, those that stand
     closer than APART to the one before joined, known halves as one."""
-    at = words.where(F.col("text") == anchor).groupBy("doc", "page").agg(F.min("top").alias("y"))
-    near = words.join(at, ["doc", "page"]).where(F.abs(F.col("top") - F.col("y")) <= ABOVE)
+    return headers_of(pages_of(words), anchor)
+
+
+def headers_of(page: DataFrame, anchor: str) -> DataFrame:
+    """headers() of pages_of()."""
+    y = F.array_min(F.transform(F.filter("w", lambda x: x["text"] == anchor), lambda x: x["top"]))
+    near = page.withColumn("at", y).select("doc", "page", F.explode(F.filter("w", lambda x: F.abs(x["top"] - F.col("at")) <= ABOVE)).alias("x")).select("doc", "page", "x.*")
     order = Window.partitionBy("doc", "page").orderBy("x0", "top", "text")
     gap = F.coalesce((F.col("x0") - F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1)) > APART).cast("int"), F.lit(1))
     near = near.withColumn("gap", gap).withColumn("n", F.sum("gap").over(order))
@@ -73,49 +101,66 @@ def headers(words: DataFrame, anchor: str = "Sku") -> DataFrame:
 def sku_table(words: DataFrame, anchor: str = "Sku") -> DataFrame:
     """doc, page, line, label, text: the cells below the headers, each under the nearest one; lines end with
     the first one after the headers that has nothing under the anchor."""
-    heads = headers(words, anchor)
-    below = heads.groupBy("doc", "page").agg(F.max("top").alias("y"))
-    cells = line_numbers(words.join(below, ["doc", "page"]).where(F.col("top") > F.col("y") + TOLERANCE).drop("y"))
-    table = nearest_header(cells, heads)
-    keyed = table.groupBy("doc", "page", "line").agg(F.max((F.col("label") == anchor).cast("int")).alias("keyed"))
-    first = keyed.where("keyed = 0").groupBy("doc", "page").agg(F.min("line").alias("end"))
-    return table.join(first, ["doc", "page"], "left").where(F.col("end").isNull() | (F.col("line") < F.col("end"))).drop("end")
+    page = kept(pages_of(words), "pages")
+    cells = page.join(rowwise(header_maps(headers_of(page, anchor))), ["doc", "page"])
+    cells = cells.withColumn("w", F.filter("w", lambda x: x["top"] > F.col("bottom") + TOLERANCE))
+    table = under(numbered(cells, "h"))
+    table = table.withColumn("keyed", F.max((F.col("label") == anchor).cast("int")).over(Window.partitionBy("doc", "page", "line")))
+    table = table.withColumn("end", F.min(F.when(F.col("keyed") == 0, F.col("line"))).over(Window.partitionBy("doc", "page")))
+    return table.where(F.col("end").isNull() | (F.col("line") < F.col("end"))).drop("keyed", "end")
 
 
 def table_row(table: DataFrame, sku: str, key: str = "Sku") -> DataFrame:
     """doc, label, text of the row of a part number: rows stop at the first one after it without a key."""
     keys = table.where(F.col("label") == key).select("doc", "page", "line", F.col("text").alias("sku"))
-    return table.join(keys, ["doc", "page", "line"]).where(F.replace("sku", F.lit("/"), F.lit("-")) == F.replace(F.lit(sku), F.lit("/"), F.lit("-"))).where(F.col("label") != key).select("doc", "label", "text")
+    return table.join(rowwise(keys), ["doc", "page", "line"]).where(F.replace("sku", F.lit("/"), F.lit("-")) == F.replace(F.lit(sku), F.lit("/"), F.lit("-"))).where(F.col("label") != key).select("doc", "label", "text")
 
 
 #: Empty bands that part a page into regions: their least width between words, and their least height between tops of lines.
 WIDE, TALL = 60.0, 40.0
 
 
+def _cut(at: list[int], start: list[float], end: list[float], gap: float) -> list[list[int]]:
+    """Words (by number) in parts: a sweep in order of their beginning, against the furthest end so far."""
+    parts, reach = [], float("inf")
+    for i in sorted(at, key=lambda i: (start[i], end[i])):
+        if not parts or start[i] - reach >= gap:
+            parts.append([])
+        reach = end[i] if len(parts[-1]) == 0 and len(parts) == 1 else max(reach, end[i])
+        parts[-1].append(i)
+    return parts
+
+
+def _numbered(x0: list[float], x1: list[float], top: list[float], wide: float, tall: float) -> list[int]:
+    """The region of each word of a page."""
+    out, n, todo = [0] * len(top), 0, [list(range(len(top)))]
+    while todo:
+        at = todo.pop()
+        parts = [p for band in _cut(at, top, top, tall) for p in _cut(band, x0, x1, wide)]
+        if len(parts) > 1:
+            todo.extend(reversed(parts))
+            continue
+        for i in at:
+            out[i] = n
+        n += 1
+    return out
+
+
 def regions(words: DataFrame, wide: float = WIDE, tall: float = TALL) -> DataFrame:
     """words with region, the number of the part of its page that a word stands in, in reading order.
 
     A page is cut across where a band of at least tall is empty from side to side, its parts lengthwise where a
-    band of at least wide is empty from top to bottom, and so on until no part has such a band: as many rounds as
-    regions are nested. A band is found by a sweep over a part's words in order of their beginning, against the
-    furthest end so far."""
-    rows = kept(words.withColumn("__path", F.lit("")), "regions")
-    parts = rows.select("doc", "page").distinct().count()
-
-    def cut(rows: DataFrame, start: str, end: str, gap: float) -> DataFrame:
-        order = Window.partitionBy("doc", "page", "__path").orderBy(start, end)
-        reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-        rows = rows.withColumn("__new", F.coalesce((F.col(start) - reach >= gap).cast("int"), F.lit(0)))
-        n = F.sum("__new").over(order)
-        return rows.withColumn("__path", F.concat("__path", F.lpad(n.cast("string"), 6, "0"))).drop("__new")
-
-    while True:
-        rows = kept(cut(cut(rows, "top", "top", tall), "x0", "x1", wide), "regions")
-        now = rows.select("doc", "page", "__path").distinct().count()
-        if now == parts:
-            break
-        parts = now
-    return rows.withColumn("region", F.dense_rank().over(Window.partitionBy("doc", "page").orderBy("__path")) - 1).drop("__path")
+    band of at least wide is empty from top to bottom, and so on until no part has such a band. Pages are bounded, so
+    a page is cut as one array, in one pass over all pages."""
+
+    def numbers(x0: pd.Series, x1: pd.Series, top: pd.Series) -> pd.Series:
+        return pd.Series([_numbered(a.tolist(), b.tolist(), c.tolist(), wide, tall) for a, b, c in zip(x0, x1, top)], dtype=object)
+
+    rest = [c for c in words.columns if c not in ("doc", "page")]
+    page = words.groupBy("doc", "page").agg(F.collect_list(F.struct(*rest)).alias("w"))
+    page = page.withColumn("n", F.pandas_udf(numbers, "array<int>")("w.x0", "w.x1", "w.top"))
+    each = page.select("doc", "page", F.explode(F.arrays_zip("w", "n")).alias("z"))
+    return each.select(*[F.col(c) if c in ("doc", "page") else F.col(f"z.w.{c}").alias(c) for c in words.columns], F.col("z.n").alias("region"))
 
 
 def regional(words: DataFrame) -> DataFrame:
@@ -165,7 +210,7 @@ def chart(text_lines: DataFrame, sku: str) -> DataFrame:
     watts = own.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.col("w").cast("int"))), lambda x: x.cast("string")), "/").alias("watts"))
     ccts = t.where("cct <> ''").groupBy("doc").agg(F.max("cct").alias("cct"))
     temps = F.array_join(F.transform(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("cct", F.lit(r"(\d+)K"), F.lit(1)), lambda x: x.cast("int")))), lambda x: F.concat(x.cast("string"), F.lit(" K"))), ", ")
-    return watts.join(ccts, "doc", "left").select("doc", "watts", temps.alias("temperatures"))
+    return watts.join(rowwise(ccts), "doc", "left").select("doc", "watts", temps.alias("temperatures"))
 
 
 #: Shape names by the beginning of a shape code, in order of trial, and base names by their code: fixed values.
@@ -241,13 +286,13 @@ def sheet(words: DataFrame, labels: DataFrame, skus: DataFrame) -> DataFrame:
     labels: label, slot_label (null drops); skus: doc, sku. A sheet that holds neither has no rows."""
     text = lines(words)
     told = F.exists(F.array(*[F.lit(t) for t in FAMILY]), lambda t: F.upper("text").contains(t))
-    family = text.groupBy("doc").agg(F.max(told).alias("family"))
-    one = label_values(words.join(family.where("not family"), "doc", "left_semi"), labels).select("doc", F.col("slot_label").alias("label"), "value")
-    many = kept(regional(words.join(family.where("family"), "doc", "left_semi")), "family")
-    table = sku_table(many)
+    family = kept(text.groupBy("doc").agg(F.max(told).alias("family")), "families")
+    one = label_values(words.join(rowwise(family.where("not family")), "doc", "left_semi"), labels).select("doc", F.col("slot_label").alias("label"), "value")
+    many = kept(regional(words.join(rowwise(family.where("family")), "doc", "left_semi")), "family")
+    table = kept(sku_table(many), "table")
     norm = lambda c: F.lower(F.replace(c, F.lit("/"), F.lit("-")))
-    keys = table.where(F.col("label") == "Sku").select("doc", "page", "line", F.col("text").alias("own")).join(skus, "doc").where(norm(F.col("own")) == norm(F.col("sku"))).select("doc", "page", "line")
-    row = table.join(keys, ["doc", "page", "line"]).where("label <> 'Sku'").select("doc", "label", F.col("text").alias("value"), F.lit(1).alias("first"))
+    keys = table.where(F.col("label") == "Sku").select("doc", "page", "line", F.col("text").alias("own")).join(rowwise(skus), "doc").where(norm(F.col("own")) == norm(F.col("sku"))).select("doc", "page", "line")
+    row = table.join(rowwise(keys), ["doc", "page", "line"]).where("label <> 'Sku'").select("doc", "label", F.col("text").alias("value"), F.lit(1).alias("first"))
     block = general_block(lines(many)).select("doc", "label", "value", F.lit(0).alias("first"))
     found = row.unionByName(block).join(labels, "label").where("slot_label is not null")
     found = found.groupBy("doc", F.col("slot_label").alias("label")).agg(F.max_by("value", "first").alias("value"))

@@ -4,7 +4,7 @@ import random
 
 from tests.test_rules import score
 
-from millrace.operators import classifying, similar
+from millrace.operators import classifying, layout, reconciling, records, similar
 
 
 def test_numbered_names_meet_by_what_they_leave(spark):
@@ -27,3 +27,28 @@ def test_rows_read_alike_are_scored_once(spark):
     assert classifying.scores(kinds, kw, prior).count() == 4  # 400 rows of rows and classes before
     got = {(r.seq % 2, r.classpath, r.confidence, r.runner_up) for r in classifying.classify(rows, kw, prior).collect()}
     assert got == {(0, "A", 0.75, "B"), (1, "B", 0.833, "A")}
+
+
+def test_tables_of_rows_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(1, "m")], "seq long, Mfg_Part_Num string")
+    slots = spark.createDataFrame([(1, 1, "L", "v", "")], "seq long, slot int, label string, value string, uom string")
+    plan = records.records(rows, slots, "j")._jdf.queryExecution().toString()  # two small tables, as compressed files look
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_table_of_a_page_is_read_without_broadcast(spark):
+    w = lambda text, x, top: ("d", 1, text, float(x), float(x) + 20, float(top))
+    words = [w("Sku", 10, 100), w("Lumens", 100, 100), w("S1", 10, 120), w("80L", 100, 121), w("note", 100, 140), w("S2", 10, 160)]
+    table = layout.sku_table(spark.createDataFrame(words, "doc string, page int, text string, x0 double, x1 double, top double"))
+    assert {(r.line, r.label, r.text) for r in table.collect()} == {(0, "Sku", "S1"), (0, "Lumens", "80L")}
+    assert "BroadcastHashJoin" not in table._jdf.queryExecution().toString()
+
+
+def test_slots_are_filled_where_their_row_lies(spark):
+    rows = spark.createDataFrame([(1, "C")], "seq long, classpath string")
+    templates = spark.createDataFrame([("C", 1, "A", "W"), ("C", 2, "B", "W"), ("C", 3, "D", "W")], "classpath string, slot int, label string, uom_hint string")
+    told = spark.createDataFrame([(1, "B", "9 W")], "seq long, label string, value string")
+    priors = spark.createDataFrame([(1, 0, "9", "V"), (1, 1, "8", "W"), (1, 2, "7", "W")], "seq long, pos int, value string, uom string")
+    out = reconciling.reconcile(rows, templates, told, priors)
+    assert [tuple(r)[2:] for r in out.orderBy("slot").collect()] == [(1, "A", "8", "W", "rule_prior"), (2, "B", "9", "V", "llm_extract"), (3, "D", "7", "W", "rule_prior")]
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
