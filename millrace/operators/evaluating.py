@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
-from millrace.sources.staging import kept
+from millrace.sources.staging import kept, rowwise
 
 CLOSE = 85.0
 #: Ranges into which stride_sample cuts its order.
@@ -31,7 +31,7 @@ def match_status(rows: DataFrame, got: str, expected: str, out: str) -> DataFram
 def attribute_tally(truth: DataFrame, produced: DataFrame) -> DataFrame:
     """seq, expected, exact, close, missed: labelled attributes against the last non-empty produced value of a label."""
     made = produced.where("value <> ''").groupBy("seq", "label").agg(F.max_by("value", "slot").alias("got"))
-    both = match_status(truth.where("value <> ''").select("seq", "label", F.col("value").alias("want")).join(made, ["seq", "label"], "left"), "got", "want", "status")
+    both = match_status(truth.where("value <> ''").select("seq", "label", F.col("value").alias("want")).join(rowwise(made), ["seq", "label"], "left"), "got", "want", "status")
     return both.groupBy("seq").agg(F.count("*").alias("expected"), *[F.count_if(F.col("status") == s).alias(n) for s, n in (("EXACT", "exact"), ("CLOSE", "close"), ("MISS", "missed"))])
 
 
@@ -46,7 +46,7 @@ def evaluate(products: DataFrame, truth: DataFrame, attributes: DataFrame, true_
     cell = lambda rows, c: F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string")
     t = truth.select("seq", F.trim("classpath").alias("t_class"), F.trim("manufacturer").alias("t_maker"), *[X.strip(cell(truth, d)).alias(f"t_{d}") for d in DESCRIPTIONS], F.lit(True).alias("scored"))
     made = products.select("seq", "classpath", "manufacturer_name", *[cell(products, d).alias(d) for d in DESCRIPTIONS])
-    out = made.join(t, "seq", "left").join(attribute_tally(true_attributes, attributes), "seq", "left")
+    out = made.join(rowwise(t), "seq", "left").join(rowwise(attribute_tally(true_attributes, attributes)), "seq", "left")
     for d in DESCRIPTIONS:
         out = match_status(out, d, f"t_{d}", f"{d}_status")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
@@ -88,9 +88,9 @@ def replay_report(scored: DataFrame, attributes: DataFrame, true_attributes: Dat
     want = true_attributes.where("label <> '' and value <> ''").groupBy("seq", "label").agg(F.max_by("value", "slot").alias("want"))
     got = attributes.where("value <> ''").groupBy("seq", "label").agg(F.max_by("value", "slot").alias("got"))
     same = F.coalesce(F.col("got") == F.col("want"), F.lit(False))
-    per = want.join(got, ["seq", "label"], "left").groupBy("seq").agg(F.count_if(same).alias("right"), F.count_if(~same).alias("wrong"))
+    per = want.join(rowwise(got), ["seq", "label"], "left").groupBy("seq").agg(F.count_if(same).alias("right"), F.count_if(~same).alias("wrong"))
     counted = F.coalesce(F.col("classpath"), F.lit("")) != ""
-    both = scored.select("seq", "classpath", "band", *flags, *inputs).join(per, "seq", "left")
+    both = scored.select("seq", "classpath", "band", *flags, *inputs).join(rowwise(per), "seq", "left")
     both = both.select(*[F.col(f).cast("string").alias(f) for f in flags], "band", *inputs, *[F.when(counted, F.col(c)).otherwise(0).alias(c) for c in ("right", "wrong")])
     keys = [*flags, "band"]
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
@@ -125,7 +125,7 @@ def description_scores(made: DataFrame, truth: DataFrame, led: str, fields: list
     """One row: rows, exact matches of each text with the labelled one, invoice texts over the limit, and
     rows of other classes whose texts speak of bulbs or LEDs."""
     t = truth.select("seq", *[F.col(f).alias(f"t_{f}") for f in fields])
-    both = made.join(t, "seq")
+    both = made.join(rowwise(t), "seq")
     said = F.exists(F.transform(F.array(*fields), F.lower), lambda x: x.contains("bulb") | x.contains(" led") | x.startswith("led"))
     wrong = (F.coalesce("classpath", F.lit("")) != led) & F.coalesce(said, F.lit(False))
     return both.agg(F.count("*").alias("rows"), *[F.count_if(F.col(f) == F.col(f"t_{f}")).alias(f"exact_{f.lower()}") for f in fields], F.count_if(F.length(fields[0]) > most).alias("over_limit"), F.count_if(wrong).alias("wrong_noun"))
@@ -136,7 +136,7 @@ def whole_run(matched: DataFrame, attributes: DataFrame, true_attributes: DataFr
     product's seq, null: missing), row_error, classpath, manufacturer_name, t_class, t_maker."""
     want = true_attributes.where("value <> ''").select("seq", "label", F.col("value").alias("want"))
     got = attributes.where("value <> ''").groupBy(F.col("seq").alias("made"), "label").agg(F.max_by("value", "slot").alias("got"))
-    fields = matched.where("made is not null").select("seq", "made").join(want, "seq").join(got, ["made", "label"], "left").agg(F.count("*").alias("fields"), F.count_if(F.col("got") == F.col("want")).alias("fields_right"))
+    fields = matched.where("made is not null").select("seq", "made").join(rowwise(want), "seq").join(rowwise(got), ["made", "label"], "left").agg(F.count("*").alias("fields"), F.count_if(F.col("got") == F.col("want")).alias("fields_right"))
     rows = matched.agg(
         F.count("*").alias("rows"), F.count_if(F.col("made").isNull() | F.col("row_error").isNotNull()).alias("errors"),
         F.count_if(F.col("classpath") == F.col("t_class")).alias("classpath_right"), F.count_if(F.col("manufacturer_name") == F.col("t_maker")).alias("manufacturer_right"),

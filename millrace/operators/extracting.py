@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import caching, classifying, describing, prompts, reconciling
+from millrace.sources.staging import rowwise
 
 from .resolving import lookup
 
@@ -55,7 +56,7 @@ def classify_by_answer(rows: DataFrame, ruled: DataFrame, classes: DataFrame, ca
     """seq, classpath, confidence, method: the model's choice from a shortlist where it names a known class,
     else the rules'. rows: seq, Part_Desc, manufacturer; ruled: what classify() returns; classes: column classpath."""
     short = classifying.shortlist(ruled, classes)
-    asking = rows.select("seq", "Part_Desc", "manufacturer").join(short, "seq").join(ruled.select("seq", "classpath", "confidence"), "seq")
+    asking = rows.select("seq", "Part_Desc", "manufacturer").join(rowwise(short), "seq").join(rowwise(ruled.select("seq", "classpath", "confidence")), "seq")
     prompt = prompts.class_prompt(F.col("candidates"), F.col("Part_Desc"), F.col("manufacturer"))
     answered, _ = caching.read_through(requested(asking, "classify", model, prompt), cache, call or nothing)
     return classifying.accept_answer(answered.select("seq", "classpath", "confidence", F.col("response").alias("answer")), classes)

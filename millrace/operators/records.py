@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.sources.staging import rowwise
+
 from .exporting import SLOTS, TEXTS
 
 _STRING, _STRINGS = T.StringType(), T.ArrayType(T.StringType())
@@ -44,7 +46,7 @@ def records(products: DataFrame, attributes: DataFrame, job_id: str) -> DataFram
     have = set(attributes.columns)
     fields = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in ATTRIBUTE.fields]
     slots = attributes.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("__attributes"))
-    p = products.join(slots, "seq", "left")
+    p = products.join(rowwise(slots), "seq", "left")
     cell = lambda c, kind=None: _cell(products, c, kind)
     text = lambda c: F.coalesce(cell(c), F.lit(""))
     texts = F.struct(*[cell(t).alias(t.lower()) for t in ("INVOICE_DESC", "MOBILE_DESC", "SHORT_DESC", "LONG_DESC1", "RETAIL_DESC", "MARKETING_DESCRIPTION")], F.coalesce(cell("features", _STRINGS), F.array().cast(_STRINGS)).alias("item_features"))

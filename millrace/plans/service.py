@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import evaluating, exporting, records
 from millrace.sources import lookups
+from millrace.sources.staging import rowwise
 
 TABLES = ("jobs", "products", "corrections")
 
@@ -95,8 +96,8 @@ class Service:
         stored = self.records(job_id)
         made = records.flat(stored)
         truth = exporting.last_by_key(labelled, "Mfg_Part_Num", "seq").withColumnRenamed("seq", "t_seq")
-        met = made.select("seq", "Mfg_Part_Num").join(truth, "Mfg_Part_Num")
-        wanted = met.select("seq", "t_seq").join(true_attributes.withColumnRenamed("seq", "t_seq"), "t_seq").drop("t_seq")
+        met = made.select("seq", "Mfg_Part_Num").join(rowwise(truth), "Mfg_Part_Num")
+        wanted = met.select("seq", "t_seq").join(rowwise(true_attributes.withColumnRenamed("seq", "t_seq")), "t_seq").drop("t_seq")
         return evaluating.evaluate(made, met.drop("Mfg_Part_Num", "t_seq"), records.attributes_of(stored), wanted)
 
     def evaluate(self, job_id: str, labelled: DataFrame, true_attributes: DataFrame) -> dict:

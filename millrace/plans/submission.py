@@ -9,7 +9,7 @@ from millrace.operators import exporting, records
 from millrace.plans import enrich as plan
 from millrace.sources import lookups
 from millrace.sources.feed import RAW
-from millrace.sources.staging import kept
+from millrace.sources.staging import kept, rowwise
 
 
 def submission(raw: DataFrame, look: plan.Lookups, columns: list[str] | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -24,7 +24,7 @@ def submission(raw: DataFrame, look: plan.Lookups, columns: list[str] | None = N
     numbers = products.select("seq", F.coalesce("Mfg_Part_Num", F.lit("")).alias("key"))
     keyed = inputs.select("seq", F.coalesce("Mfg_Part_Num", F.lit("")).alias("key"))
     met = kept(exporting.matched(keyed, numbers, "key", "seq").select("seq", "r_seq"), "matched")
-    out = met.where("r_seq is not null").join(made.withColumnRenamed("seq", "r_seq"), "r_seq").drop("r_seq")
+    out = met.where("r_seq is not null").join(rowwise(made.withColumnRenamed("seq", "r_seq")), "r_seq").drop("r_seq")
     cells = F.create_map(*[x for c in RAW if c in inputs.columns for x in (F.lit(c), F.col(c))])
     counts = met.agg(F.count("*").alias("rows"), F.count("r_seq").alias("with_output"), F.count_if(F.col("r_seq").isNull()).alias("stubbed"))
     return exporting.with_stubs(out, inputs.select("seq", cells.alias("raw"))), counts
