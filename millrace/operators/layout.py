@@ -120,41 +120,39 @@ def table_row(table: DataFrame, sku: str, key: str = "Sku") -> DataFrame:
 WIDE, TALL = 60.0, 40.0
 
 
-def _cut(at: list[int], start: list[float], end: list[float], gap: float) -> list[list[int]]:
-    """Words (by number) in parts: a sweep in order of their beginning, against the furthest end so far."""
-    parts, reach = [], float("inf")
-    for i in sorted(at, key=lambda i: (start[i], end[i])):
-        if not parts or start[i] - reach >= gap:
-            parts.append([])
-        reach = end[i] if len(parts[-1]) == 0 and len(parts) == 1 else max(reach, end[i])
-        parts[-1].append(i)
-    return parts
-
-
-def _numbered(x0: list[float], x1: list[float], top: list[float], wide: float, tall: float) -> list[int]:
-    """The region of each word of a page."""
-    out, n, todo = [0] * len(top), 0, [list(range(len(top)))]
-    while todo:
-        at = todo.pop()
-        parts = [p for band in _cut(at, top, top, tall) for p in _cut(band, x0, x1, wide)]
-        if len(parts) > 1:
-            todo.extend(reversed(parts))
-            continue
-        for i in at:
-            out[i] = n
-        n += 1
-    return out
-
-
 def regions(words: DataFrame, wide: float = WIDE, tall: float = TALL) -> DataFrame:
     """words with region, the number of the part of its page that a word stands in, in reading order.
 
     A page is cut across where a band of at least tall is empty from side to side, its parts lengthwise where a
     band of at least wide is empty from top to bottom, and so on until no part has such a band. Pages are bounded, so
-    a page is cut as one array, in one pass over all pages."""
+    a page is cut as one array, in one pass over all pages. The functions stand inside so that they travel to workers whole."""
+
+    def cut(at: list[int], start: list[float], end: list[float], gap: float) -> list[list[int]]:
+        """Words (by number) in parts: a sweep in order of their beginning, against the furthest end so far."""
+        parts, reach = [], float("inf")
+        for i in sorted(at, key=lambda i: (start[i], end[i])):
+            if not parts or start[i] - reach >= gap:
+                parts.append([])
+            reach = end[i] if len(parts[-1]) == 0 and len(parts) == 1 else max(reach, end[i])
+            parts[-1].append(i)
+        return parts
+
+    def numbered_(x0: list[float], x1: list[float], top: list[float]) -> list[int]:
+        """The region of each word of a page."""
+        out, n, todo = [0] * len(top), 0, [list(range(len(top)))]
+        while todo:
+            at = todo.pop()
+            parts = [p for band in cut(at, top, top, tall) for p in cut(band, x0, x1, wide)]
+            if len(parts) > 1:
+                todo.extend(reversed(parts))
+                continue
+            for i in at:
+                out[i] = n
+            n += 1
+        return out
 
     def numbers(x0: pd.Series, x1: pd.Series, top: pd.Series) -> pd.Series:
-        return pd.Series([_numbered(a.tolist(), b.tolist(), c.tolist(), wide, tall) for a, b, c in zip(x0, x1, top)], dtype=object)
+        return pd.Series([numbered_(a.tolist(), b.tolist(), c.tolist()) for a, b, c in zip(x0, x1, top)], dtype=object)
 
     rest = [c for c in words.columns if c not in ("doc", "page")]
     page = words.groupBy("doc", "page").agg(F.collect_list(F.struct(*rest)).alias("w"))
