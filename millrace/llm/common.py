@@ -13,14 +13,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.sources.staging import kept as staged
-from millrace.sources.staging import shared_dir
+from millrace.sources.staging import kept, shared_dir
 
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
 GAP = "[\\x20\\x09-\\x0D]+"
 
 
+def staged(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
+    """kept() with files of any number of rows: the operators' tables have many short ones."""
+    return kept(df, name, **{"maxRecordsPerFile": "0", **options})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

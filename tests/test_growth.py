@@ -2,9 +2,12 @@
 
 import random
 
+from pyspark.sql import functions as F
 from tests.test_rules import score
 
+from millrace.functions import text as X
 from millrace.operators import classifying, layout, reconciling, records, similar
+from millrace.sources.staging import kept
 
 
 def test_numbered_names_meet_by_what_they_leave(spark):
@@ -52,3 +55,27 @@ def test_slots_are_filled_where_their_row_lies(spark):
     out = reconciling.reconcile(rows, templates, told, priors)
     assert [tuple(r)[2:] for r in out.orderBy("slot").collect()] == [(1, "A", "8", "W", "rule_prior"), (2, "B", "9", "V", "llm_extract"), (3, "D", "7", "W", "rule_prior")]
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_files_that_are_kept_have_few_rows(spark):
+    table = kept(spark.range(50_000).coalesce(1))  # one file before, whatever its rows
+    assert table.count() == 50_000 and len(table.inputFiles()) == 3
+
+
+def test_rests_are_made_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(similar, "TEXTS", 10)
+    left, right = (kept(spark.createDataFrame([(f"{c}ame {i:05d}",) * (1 + (v == "y")) for i in range(100)], f"{v} string" + ", order string" * (v == "y"))) for c, v in (("N", "x"), ("n", "y")))
+    near = similar.near_matches(left, right, [], 70.0)
+    assert near._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2  # one task a side before
+    assert {(r.x, r.y) for r in near.collect()} == {(f"Name {i:05d}", f"name {i:05d}") for i in range(100)}
+
+
+def test_ends_are_stripped_as_the_pattern_does(spark):
+    c = F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')")
+    every = spark.range(0x110000).where("id not between 55296 and 57343").select(F.explode(F.array(F.concat(c, F.lit("a"), c, F.lit("b"), c, c), F.concat(F.lit(" "), c), c)).alias("t"))
+    assert every.where(~X.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
+
+
+def test_tokens_are_as_before(spark):
+    texts = spark.createDataFrame([("The a LED bolt-x2 of Bolt  ab1cd \u00c9b led",), ("",), ("a b c",), (None,)], "t string")
+    assert [r.k for r in texts.select(X.tokens(F.col("t")).alias("k")).collect()] == [["led", "bolt", "ab", "cd"], [], [], None]
