@@ -20,6 +20,7 @@ def submission(raw: DataFrame, look: plan.Lookups, columns: list[str] | None = N
     product gives a row of its raw cells."""
     inputs = kept(lookups.first_rows(raw, "seq", limit), "inputs")
     products, attributes = plan.enrich(inputs, look)
+    products = kept(products, "products")  # the records and their numbers
     made = kept(exporting.delivery(records.flat(records.records(products, attributes, "submission")), columns), "made")
     numbers = products.select("seq", F.coalesce("Mfg_Part_Num", F.lit("")).alias("key"))
     keyed = inputs.select("seq", F.coalesce("Mfg_Part_Num", F.lit("")).alias("key"))
