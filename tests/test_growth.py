@@ -79,3 +79,13 @@ def test_ends_are_stripped_as_the_pattern_does(spark):
 def test_tokens_are_as_before(spark):
     texts = spark.createDataFrame([("The a LED bolt-x2 of Bolt  ab1cd \u00c9b led",), ("",), ("a b c",), (None,)], "t string")
     assert [r.k for r in texts.select(X.tokens(F.col("t")).alias("k")).collect()] == [["led", "bolt", "ab", "cd"], [], [], None]
+
+
+def test_rows_are_dealt_to_tasks_by_number(spark, monkeypatch):
+    monkeypatch.setattr(reconciling, "ROWS", 10)
+    rows = spark.range(100).selectExpr("id as seq", "'C' as classpath")
+    templates = spark.createDataFrame([("C", 1, "A", "W")], "classpath string, slot int, label string, uom_hint string")
+    told, priors = rows.limit(0).selectExpr("seq", "'' as label", "'' as value"), rows.selectExpr("seq", "0 as pos", "string(seq) as value", "'W' as uom")
+    out = reconciling.reconcile(rows, templates, told, priors)
+    assert {(r.seq, r.value) for r in out.collect()} == {(i, str(i)) for i in range(100)}
+    assert out.rdd.getNumPartitions() == 10  # one before: these rows are few bytes
