@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
-from millrace.sources.staging import kept, rowwise
+from millrace.sources.staging import SLOTS, dealt, kept, rowwise
 
 CLOSE = 85.0
 #: Ranges into which stride_sample cuts its order.
@@ -84,11 +84,14 @@ def replay_report(scored: DataFrame, attributes: DataFrame, true_attributes: Dat
     flag (value true or false), one for the bands, one for all products (value empty).
 
     right and wrong count a product's labelled attributes whose produced value is the same; products without
-    classpath have neither. scored: seq, classpath, band, the flags and inputs."""
-    want = true_attributes.where("label <> '' and value <> ''").groupBy("seq", "label").agg(F.max_by("value", "slot").alias("want"))
-    got = attributes.where("value <> ''").groupBy("seq", "label").agg(F.max_by("value", "slot").alias("got"))
+    classpath have neither. scored: seq, classpath, band, the flags and inputs. attributes: written before, as they are counted.
+    Labelled and produced attributes are dealt as one table, so they meet without a join."""
+    side = lambda t, wanted: t.select("seq", "label", "slot", "value", F.lit(wanted).alias("wanted"))
+    pairs = side(true_attributes.where("label <> '' and value <> ''"), True).unionByName(side(attributes.where("value <> ''"), False))
+    last = lambda c: F.max_by(F.when(c, F.col("value")), F.when(c, F.col("slot")))
+    pairs = dealt(pairs, attributes.count(), "seq", rows=SLOTS // 2).groupBy("seq", "label").agg(last(F.col("wanted")).alias("want"), last(~F.col("wanted")).alias("got"), F.max("wanted").alias("wanted"))
     same = F.coalesce(F.col("got") == F.col("want"), F.lit(False))
-    per = want.join(rowwise(got), ["seq", "label"], "left").groupBy("seq").agg(F.count_if(same).alias("right"), F.count_if(~same).alias("wrong"))
+    per = pairs.where("wanted").groupBy("seq").agg(F.count_if(same).alias("right"), F.count_if(~same).alias("wrong"))
     counted = F.coalesce(F.col("classpath"), F.lit("")) != ""
     both = scored.select("seq", "classpath", "band", *flags, *inputs).join(rowwise(per), "seq", "left")
     both = both.select(*[F.col(f).cast("string").alias(f) for f in flags], "band", *inputs, *[F.when(counted, F.col(c)).otherwise(0).alias(c) for c in ("right", "wrong")])

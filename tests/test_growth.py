@@ -1,12 +1,13 @@
 """Steps that must not grow faster than their input."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 from tests.test_rules import score
 
 from millrace.functions import text as X
-from millrace.operators import classifying, layout, reconciling, records, similar
+from millrace.operators import classifying, evaluating, layout, mining, reconciling, records, similar, validating
 from millrace.sources.staging import kept
 
 
@@ -89,3 +90,49 @@ def test_rows_are_dealt_to_tasks_by_number(spark, monkeypatch):
     out = reconciling.reconcile(rows, templates, told, priors)
     assert {(r.seq, r.value) for r in out.collect()} == {(i, str(i)) for i in range(100)}
     assert out.rdd.getNumPartitions() == 10  # one before: these rows are few bytes
+
+
+SLOT = "seq long, classpath string, slot int, label string, value string, uom string, origin string, source_url string, evidence_text string"
+
+
+def slots_and_lists(spark, n):
+    rows = [(i, "C", s, "L", v, "", None, None, "e") for i in range(n) for s, v in ((1, "Alpha Beta Gammas" if i % 2 else "Alpha Beta Gamma"), (2, "zzz" if i % 3 else "red"))]
+    return spark.createDataFrame(rows, SLOT), spark.createDataFrame([("C", "L", ["Alpha Beta Gamma", "red"])], "classpath string, label string, values array<string>")
+
+
+def test_repaired_rows_meet_in_tasks_of_a_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(validating, "SLOTS", 20)
+    out = validating.repaired(*slots_and_lists(spark, 100))
+    assert out.rdd.getNumPartitions() == 10  # those of the session before, whatever their rows
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("values#") == 0  # lists went along with every row before
+    got = {(r.seq, r.slot): (r.value, r.lov_valid, r.lov_miss) for r in out.collect()}
+    assert got == {
+        (i, s): ("Alpha Beta Gamma", True, False) if s == 1 else ("zzz" if i % 3 else "red", None if i % 2 else not i % 3, bool(i % 3)) for i in range(100) for s in (1, 2)
+    }
+
+
+def test_attributes_are_gathered_once_for_warnings_and_score(spark):
+    rows = spark.createDataFrame([(i, "P", "D", "C", "M", "B" if i else None, "X", None) for i in range(9)], "seq long, Mfg_Part_Num string, Part_Desc string, classpath string, manufacturer_name string, brand string, INVOICE_DESC string, MOBILE_DESC string")
+    slots, makers = validating.repaired(*slots_and_lists(spark, 8)), spark.createDataFrame([("B", "N")], "brand string, manufacturer string")
+    one, two = validating.scored(rows, slots, makers), validating.confidence(validating.validate(rows, slots, makers), slots)
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.select(*one.columns).collect()))
+    joins = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [seq")
+    assert (joins(one), joins(two)) == (1, 2)
+
+
+def test_templates_are_mined_without_a_sort_of_all_rows(spark):
+    rows = spark.createDataFrame([(3, "C", 1, "B", "W"), (2, "C", 1, "A", "W"), (4, "C", 1, "A", "V"), (None, "C", 1, "D", ""), (1, "C", 2, "", "")], "seq long, classpath string, slot int, label string, uom string")
+    out = mining.templates(rows)
+    assert [tuple(r) for r in out.collect()] == [("C", 1, "A", "W")]
+    assert re.search(r"Aggregate \[classpath#\d+, slot#\d+, label#\d+\]", out._jdf.queryExecution().optimizedPlan().toString())  # numbers are added up first
+
+
+def test_report_joins_no_attributes(spark):
+    scored = spark.createDataFrame([(1, "C", "LOW", True, 0.5), (2, "", "LOW", False, 1.0), (3, "C", "REVIEW", True, 0.0)], "seq long, classpath string, band string, f boolean, i double")
+    kind = "seq long, slot int, label string, value string"
+    made = spark.createDataFrame([(1, 1, "A", "x"), (1, 2, "A", "y"), (1, 3, "B", ""), (2, 1, "A", "x"), (3, 1, "Z", "q")], kind)
+    true = spark.createDataFrame([(1, 1, "A", "y"), (1, 3, "B", "b"), (2, 1, "A", "x"), (3, 1, "A", "x"), (3, 2, "", "x")], kind)
+    out = evaluating.replay_report(scored, made, true, ["f"], ["i"])
+    got = {(r.section, r.value): (r.products, r.right, r.wrong, r.mean_i) for r in out.collect()}
+    assert got == {("f", "true"): (2, 1, 2, 0.25), ("f", "false"): (1, 0, 0, 1.0), ("band", "LOW"): (2, 1, 1, 0.75), ("band", "REVIEW"): (1, 0, 1, 0.0), ("all", ""): (3, 1, 2, 0.5)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # two before
