@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import accumulate, chain
 
 import numpy as np
 import zstandard
@@ -186,6 +187,7 @@ class WordCodec:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.separable = self._separable()
+        self.plain = self.separable and self._plain()
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {}
@@ -199,8 +201,31 @@ class WordCodec:
         plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"])) for t in spec.get("added_tokens") or [])
         return plain and steps == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("behavior") == "Removed" and "\\s" in str(split["pattern"]) and not spec.get("post_processor")
 
+    def _plain(self) -> bool:
+        """Whether a word of lower-case ASCII letters reaches the model whole and as it is, so that the model alone can be asked."""
+        import json
+        import string
+
+        spec = json.loads(self.tokenizer.to_str())
+        split, *rest = spec["pre_tokenizer"]["pretokenizers"]
+        level = [(r["type"], r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)]
+        marked = all(not t["content"].isalpha() for t in spec.get("added_tokens") or [])
+        letters = string.ascii_lowercase * 2
+        whole = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(letters)] == [letters]
+        return level and marked and whole and "[\\p{L}]+" in str(split["pattern"].get("Regex")) and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+
+    def _ascii(self, items: list[str]) -> list[bytes]:
+        """_raw for lower-case ASCII letters: by the tokenizer's model, without its steps before."""
+        tokenize = self.tokenizer.model.tokenize
+        return self._cells([[t.id for t in tokenize(w)] for w in items])
+
     def _raw(self, items: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch(items, add_special_tokens=False)]
+        return self._cells([e.ids for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)])  # ids alone
+
+    def _cells(self, ids: list[list[int]]) -> list[bytes]:
+        whole, size = np.array(list(chain.from_iterable(ids)), self.type).tobytes(), self.type.itemsize
+        cut = list(accumulate((size * len(x) for x in ids), initial=0))
+        return [whole[a:b] for a, b in zip(cut, cut[1:])]
 
     def _letters(self, items: list[str]) -> list[bytes]:
         """_raw for runs of letters, many in one call: each is one pre-token, which the count shows."""
@@ -217,20 +242,24 @@ class WordCodec:
         """A plain Latin word in lower case, and the full stop or comma behind it; else the word itself."""
         tail = word[-1:] if word[-1:] in (".", ",") else ""
         core = word[:-1] if tail else word
-        if core.isalpha() and max(core) < "İ":  # composed letters, lower-cased one by one
+        if core.isalpha() and (core.isascii() or max(core) < "İ"):  # composed letters, lower-cased one by one
             return core.lower(), tail
         return word, ""
 
-    def _learn(self, missing: list[bytes]) -> None:
-        pairs, cores = [self._core(w.decode()) for w in missing], self.cores
-        new = [c for c in {x for p in pairs for x in p if x} if c not in cores]
-        for kind, encode in ((True, self._letters), (False, self._raw)):
-            part = [c for c in new if c.isalpha() == kind]
+    def _learn(self, missing: list[bytes]) -> list[bytes]:
+        """The ids of words not met before."""
+        cores = self.cores
+        cores[""] = b""
+        pairs = list(map(self._core, map(bytes.decode, missing)))
+        new = {core for core, _ in pairs}.union(".,").difference(cores)
+        letters = set(filter(str.isalpha, new))
+        ascii_ = [w for w in letters if w.isascii() and w.islower()] if self.plain else []
+        for part, encode in ((ascii_, self._ascii), (list(letters.difference(ascii_)), self._letters), (list(new - letters), self._raw)):
             for lo in range(0, len(part), 2000):
                 cores.update(zip(part[lo : lo + 2000], encode(part[lo : lo + 2000])))
-        cores[""] = b""
-        for w, (core, tail) in zip(missing, pairs):
-            self.words[w] = cores[core] + cores[tail] if tail else cores[core]
+        learnt = [cores[core] + cores[tail] if tail else cores[core] for core, tail in pairs]
+        self.words.update(zip(missing, learnt))
+        return learnt
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of an Arrow array of texts, one after another, and where each text's begin (and the last one's end)."""
@@ -248,16 +277,15 @@ class WordCodec:
         split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         first = split.offsets.to_numpy() - split.offsets[0].as_py()
         coded = split.flatten().cast(pa.large_binary()).dictionary_encode()
-        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        distinct = coded.dictionary.to_pylist()
         found = list(map(self.words.get, distinct))
         if missing := [w for w, x in zip(distinct, found) if x is None]:
-            self._learn(missing)
-            found = list(map(self.words.__getitem__, distinct))
-        ids = np.frombuffer(b"".join(found), self.type)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.type.itemsize
-        begin, size = (np.cumsum(sizes) - sizes)[at], sizes[at]
-        ends = np.concatenate(([0], np.cumsum(size)))
-        return ids[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])], ends[first]
+            learnt = iter(self._learn(missing))
+            found = [next(learnt) if x is None else x for x in found]
+        # the cells of the words taken one after another are the ids: copied word by word, not looked up id by id
+        _, ends, cells = pa.array(found, pa.large_binary()).take(coded.indices).buffers()
+        ends = np.frombuffer(ends, np.int64, len(coded) + 1) // self.type.itemsize if len(coded) else np.zeros(1, np.int64)
+        return np.frombuffer(cells or b"", self.type, ends[-1]), ends[first]
 
 
 _CODECS: dict[str, WordCodec] = {}
@@ -281,8 +309,8 @@ def encoded(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         c = word_codec(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
                 ids, first = c.encode(part.column(1))
                 out = np.insert(ids, first[1:], end_id)
                 offsets = (first + np.arange(len(first))) * c.type.itemsize
