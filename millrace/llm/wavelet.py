@@ -33,6 +33,8 @@ from .common import in_batches, staged
 
 #: Ids in a shard, about, and bits of a block.
 SHARD, BLOCK = 1 << 21, 1 << 16
+#: Bytes of texts that are encoded at once, about: the more, the fewer words are met again.
+TOGETHER = 1 << 24
 #: Magic, bits, bits of a block, ids, documents, compressed size of the directory.
 HEAD = struct.Struct("<4sIIqqq")
 MAGIC = b"WVM2"
@@ -180,7 +182,10 @@ class WordCodec:
     definition; any other tokenizer encodes whole texts.
     """
 
-    limit = 600_000
+    limit = 1_200_000
+    #: Lower-case letters that the checks and the table of _plain hold for; a run of letters up to there, and the punctuation behind it.
+    letters = "".join(c for c in map(chr, range(0x130)) if c.isalpha() and c == c.lower())
+    split = r"^(?P<core>[A-Za-zªµºÀ-ÖØ-öø-\x{12F}]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -189,8 +194,7 @@ class WordCodec:
         self.separable = self._separable()
         self.plain = self.separable and self._plain()
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {"": b""}
 
     def _separable(self) -> bool:
         import json
@@ -202,22 +206,27 @@ class WordCodec:
         return plain and steps == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("behavior") == "Removed" and "\\s" in str(split["pattern"]) and not spec.get("post_processor")
 
     def _plain(self) -> bool:
-        """Whether a word of lower-case ASCII letters reaches the model whole and as it is, so that the model alone can be asked."""
+        """Whether lower-case letters below U+0130 reach the model whole, each byte as one sign, so that the model alone can be asked,
+        and apart from punctuation behind them."""
         import json
         import string
 
+        from tokenizers.pre_tokenizers import ByteLevel
+
         spec = json.loads(self.tokenizer.to_str())
         split, *rest = spec["pre_tokenizer"]["pretokenizers"]
         level = [(r["type"], r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)]
         marked = all(not t["content"].isalpha() for t in spec.get("added_tokens") or [])
-        letters = string.ascii_lowercase * 2
-        whole = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(letters)] == [letters]
+        signs = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs = {ord(c): signs.pre_tokenize_str(c)[0][0] for c in self.letters if not c.isascii()}
+        tail = "".join(c for c in string.punctuation if c != "'")
+        whole = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.letters * 2 + tail)] == [self.letters.translate(self.signs) * 2, tail]
         return level and marked and whole and "[\\p{L}]+" in str(split["pattern"].get("Regex")) and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
 
-    def _ascii(self, items: list[str]) -> list[bytes]:
-        """_raw for lower-case ASCII letters: by the tokenizer's model, without its steps before."""
-        tokenize = self.tokenizer.model.tokenize
-        return self._cells([[t.id for t in tokenize(w)] for w in items])
+    def _asked(self, items: list[str]) -> list[bytes]:
+        """_raw for runs of letters below U+0130, lower-case: by the tokenizer's model, without its steps before."""
+        tokenize, signs = self.tokenizer.model.tokenize, self.signs
+        return self._cells([[t.id for t in tokenize(w if w.isascii() else w.translate(signs))] for w in items])
 
     def _raw(self, items: list[str]) -> list[bytes]:
         return self._cells([e.ids for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)])  # ids alone
@@ -237,32 +246,31 @@ class WordCodec:
         cut = (size * np.searchsorted(word, np.arange(len(items) + 1))).tolist()
         return [ids[a:b] for a, b in zip(cut, cut[1:])]
 
-    @staticmethod
-    def _core(word: str) -> tuple[str, str]:
-        """A plain Latin word in lower case, and the full stop or comma behind it; else the word itself."""
-        tail = word[-1:] if word[-1:] in (".", ",") else ""
-        core = word[:-1] if tail else word
-        if core.isalpha() and (core.isascii() or max(core) < "İ"):  # composed letters, lower-cased one by one
-            return core.lower(), tail
-        return word, ""
-
-    def _learn(self, missing: list[bytes]) -> list[bytes]:
-        """The ids of words not met before."""
+    def _learn(self, missing: list[str]) -> None:
+        """The ids of runs of letters, of punctuation and of other words not met before."""
         cores = self.cores
-        cores[""] = b""
-        pairs = list(map(self._core, map(bytes.decode, missing)))
-        new = {core for core, _ in pairs}.union(".,").difference(cores)
-        letters = set(filter(str.isalpha, new))
-        ascii_ = [w for w in letters if w.isascii() and w.islower()] if self.plain else []
-        for part, encode in ((ascii_, self._ascii), (list(letters.difference(ascii_)), self._letters), (list(new - letters), self._raw)):
+        letters = [w for w in missing if w.isalpha() and (w.isascii() or max(w) < "İ")]  # composed and lower-case: see encode
+        for part, encode in ((letters, self._asked if self.plain else self._letters), (list(set(missing).difference(letters)), self._raw)):
             for lo in range(0, len(part), 2000):
                 cores.update(zip(part[lo : lo + 2000], encode(part[lo : lo + 2000])))
-        learnt = [cores[core] + cores[tail] if tail else cores[core] for core, tail in pairs]
-        self.words.update(zip(missing, learnt))
-        return learnt
+
+    def _found(self, keys) -> "pa.LargeBinaryArray":  # noqa: F821
+        """The ids of each of an Arrow array of distinct texts without white space, as cells."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(keys):
+            return pa.array([], pa.large_binary())
+        told = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.scalar("\n", keys.type))[0].as_py().split("\n")
+        if missing := [w for w in told if w not in self.cores]:
+            self._learn(missing)
+        return pa.array(map(self.cores.__getitem__, told), pa.large_binary(), size=len(told))
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of an Arrow array of texts, one after another, and where each text's begin (and the last one's end)."""
+        """The ids of an Arrow array of texts, one after another, and where each text's begin (and the last one's end).
+
+        Of distinct words, those of letters with punctuation behind them are cut in two (each part is a pre-token of its own), and
+        the letters lower-cased; so what is encoded are distinct runs of letters, of punctuation, and other words."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
@@ -270,20 +278,20 @@ class WordCodec:
         if not self.separable:
             raw = self._raw(texts.to_pylist())
             return np.frombuffer(b"".join(raw), self.type), np.cumsum([0, *map(len, raw)]) // self.type.itemsize
-        if len(self.words) > self.limit:
-            self.words.clear()
-        if len(self.cores) > 2 * self.limit:
-            self.cores.clear()
+        if len(self.cores) > self.limit:
+            self.cores = {"": b""}
         split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         first = split.offsets.to_numpy() - split.offsets[0].as_py()
-        coded = split.flatten().cast(pa.large_binary()).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        found = list(map(self.words.get, distinct))
-        if missing := [w for w, x in zip(distinct, found) if x is None]:
-            learnt = iter(self._learn(missing))
-            found = [next(learnt) if x is None else x for x in found]
+        coded = split.flatten().dictionary_encode()
+        if self.plain:
+            cut = pc.extract_regex(coded.dictionary, self.split)
+            core = pc.coalesce(pc.utf8_lower(pc.struct_field(cut, "core")), coded.dictionary).dictionary_encode()
+            tail = pc.coalesce(pc.struct_field(cut, "tail"), pa.scalar("", pa.large_string())).dictionary_encode()
+            words = pc.binary_join_element_wise(*[self._found(x.dictionary).take(x.indices) for x in (core, tail)], pa.scalar(b"", pa.large_binary()))
+        else:
+            words = self._found(coded.dictionary)
         # the cells of the words taken one after another are the ids: copied word by word, not looked up id by id
-        _, ends, cells = pa.array(found, pa.large_binary()).take(coded.indices).buffers()
+        _, ends, cells = words.take(coded.indices).buffers()
         ends = np.frombuffer(ends, np.int64, len(coded) + 1) // self.type.itemsize if len(coded) else np.zeros(1, np.int64)
         return np.frombuffer(cells or b"", self.type, ends[-1]), ends[first]
 
@@ -308,14 +316,28 @@ def encoded(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         c = word_codec(path)
+
+        def coded(held):
+            d, texts = (pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1))
+            ids, first = c.encode(texts)
+            out = np.insert(ids, first[1:], end_id)
+            offsets = (first + np.arange(len(first))) * c.type.itemsize
+            cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])
+            for lo in range(0, len(texts), 1000):
+                yield pa.RecordBatch.from_arrays([d.slice(lo, 1000), cells.slice(lo, 1000).cast(pa.binary())], names=["d", "ids"])
+
+        held: list = []
+        size = 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                ids, first = c.encode(part.column(1))
-                out = np.insert(ids, first[1:], end_id)
-                offsets = (first + np.arange(len(first))) * c.type.itemsize
-                cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])
-                yield pa.RecordBatch.from_arrays([part.column(0), cells.cast(pa.binary())], names=["d", "ids"])
+                held.append(part)
+                size += part.column(1).nbytes
+                if size >= TOGETHER:
+                    yield from coded(held)
+                    held, size = [], 0
+        if held:
+            yield from coded(held)
 
     source = df.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.col(f"`{text}`").cast("string").alias("t"))
     return in_batches(source, run, "d long, ids binary")
