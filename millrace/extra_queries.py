@@ -180,24 +180,15 @@ now AS (SELECT DISTINCT Part_Desc, classpath, manufacturer FROM asked WHERE seq
 )
 def extracted_attributes(spark, sf_dir):
     """Answers from the cache, from its older keys, and from a call; off-template labels and empty words go."""
-    rows = sources.feed(spark, sf_dir)
+    rows = kept(sources.feed(spark, sf_dir).select("seq", "classpath", "manufacturer", "Part_Desc", "p_size", "p_brand", "w1"), "feed")
     a = sources.attributes(rows)
-    templates, allowed = mining.templates(a), mining.allowed_values(a)
+    lines = resolving.lookup(prompts.slot_lines(mining.templates(a), mining.allowed_values(a)))
     asking = rows.select("seq", "classpath", "manufacturer", F.when(F.col("seq") % 9 != 0, F.col("Part_Desc")).otherwise("").alias("text"))
-    none = spark.createDataFrame([], "namespace string, prompt_hash string, model string, response string, seq int")
-    keys = []
-
-    def spied(missing):
-        keys.append(missing)
-        return extracting.nothing(missing)
-
+    requests = extracting.asked(asking, lines)
     answer = lambda v: F.lit(f'{{"Line": "{v}", "Finish": "N/A", "Nope": "x"}}')
-    cached = []
-    for which, value in (("seq % 2 = 0", "cached"), ("seq % 3 = 0", "legacy")):
-        part = asking.where(which) if value == "cached" else asking.where(which).withColumn("manufacturer", F.lit(None).cast("string"))
-        extracting.extract(part, templates, allowed, none, spied)
-        cached.append(keys.pop().select("namespace", "prompt_hash", "model", answer(value).alias("response"), F.lit(0).alias("seq")))
-    got, _ = extracting.extract(asking, templates, allowed, cached[0].unionByName(cached[1]), lambda m: m.withColumn("response", answer("called")))
+    entries = lambda which, key, v: requests.where(which).select("namespace", F.col(key).alias("prompt_hash"), "model", answer(v).alias("response"), F.lit(0).alias("seq"))
+    cache = entries("seq % 2 = 0", "prompt_hash", "cached").unionByName(entries("seq % 3 = 0", "old_hash", "legacy"))
+    got, _ = extracting.answers(requests, lines, cache, lambda m: m.withColumn("response", answer("called")))
     return got.select("seq", "label", "value")
 
 

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KEY = ["namespace", "prompt_hash", "model"]
+from millrace.sources.staging import is_kept, kept, rowwise
+
+#: The hash is first, as sorts compare the first column's leading bytes, and namespaces and models are few.
+KEY = ["prompt_hash", "namespace", "model"]
 
 
 def prompt_hash(model: Column, system: Column, user: Column, temperature: str) -> Column:
@@ -20,23 +23,32 @@ def latest(cache: DataFrame, order: str = "seq") -> DataFrame:
     return cache.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
+def stored(requests: DataFrame) -> DataFrame:
+    """requests, prompts and all, written once."""
+    return requests if is_kept(requests) else kept(requests, "requests", compression="zstd")
+
+
 def read_through(requests: DataFrame, cache: DataFrame, call: Callable[[DataFrame], DataFrame], legacy: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """requests with response and hit, and the rows to append to the cache.
+    """requests, without their prompts, with response and hit, and the rows to append to the cache.
 
     call gets the distinct missing keys with their prompts and adds response; it runs once for each
-    key. legacy names a column with an older key that is tried before calling.
+    key. legacy names a column with an older key that is tried before calling. Requests are written once, and so
+    is what the cache holds for them; prompts are long, so only those of missing keys leave their rows.
     """
-    known = latest(cache).select(*KEY, F.col("response").alias("__new"))
-    out = requests.join(known, KEY, "left")
+    requests = stored(requests)
+    out = requests.drop("prompt")
     if legacy:
         old = latest(cache).select("namespace", F.col("prompt_hash").alias(legacy), "model", F.col("response").alias("__old"))
-        out = out.join(old, ["namespace", legacy, "model"], "left")
+        out = out.join(old, [legacy, "namespace", "model"], "left")
     else:
         out = out.withColumn("__old", F.lit(None).cast("string"))
-    out = out.withColumn("__hit", F.coalesce("__new", "__old"))
-    called = call(out.where("__hit is null").select(*KEY, "prompt").dropDuplicates(KEY))
+    known = latest(cache).select(*KEY, F.col("response").alias("__new"))
+    columns = [c for c in requests.columns if c != "prompt"]
+    out = kept(out.join(known, KEY, "left").select(*columns, F.coalesce("__new", "__old").alias("__hit")), "hits")
+    missing = out.where("__hit is null").select(*KEY).distinct()
+    called = call(requests.select(*KEY, "prompt").join(rowwise(missing), KEY, "left_semi").dropDuplicates(KEY))
     fresh = called.select(*KEY, F.col("response").alias("__called"))
-    answered = out.join(fresh, KEY, "left").select(*requests.columns, F.coalesce("__hit", "__called").alias("response"), F.col("__hit").isNotNull().alias("hit"))
+    answered = out.join(fresh, KEY, "left").select(*columns, F.coalesce("__hit", "__called").alias("response"), F.col("__hit").isNotNull().alias("hit"))
     return answered, called.where("response is not null").select(*KEY, "response")
 
 

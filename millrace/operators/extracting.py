@@ -36,20 +36,34 @@ def requested(rows: DataFrame, namespace: str, model: str, prompt: Column, legac
     return out if legacy is None else out.withColumn("old_hash", key(legacy))
 
 
+def asked(rows: DataFrame, lines: DataFrame, model: str = "m", namespace: str = "extract_fallback") -> DataFrame:
+    """The requests of rows (seq, classpath, manufacturer, text) with text and template, written once: seq, classpath,
+    namespace, model, prompt, prompt_hash, old_hash. lines: what prompts.slot_lines() returns."""
+    asking = rows.where("text <> ''").join(lines, "classpath")
+    if namespace == "extract_page":
+        prompt = older = prompts.page_prompt(F.col("labels"), F.col("text"))
+    else:
+        prompt, older = (prompts.fallback_prompt(F.col("text"), F.col("classpath"), m, F.col("lines")) for m in (F.col("manufacturer"), F.lit(None).cast("string")))
+    requests = requested(asking, namespace, model, prompt, older)
+    return caching.stored(requests.select("seq", "classpath", "namespace", "model", "prompt", "prompt_hash", "old_hash"))
+
+
+def answers(requests: DataFrame, lines: DataFrame, cache: DataFrame, call: Call | None = None) -> tuple[DataFrame, DataFrame]:
+    """seq, label, value of the answers to asked(), and the rows to append to the cache. A row brings its class, so its pairs meet
+    the labels of a class and not the rows."""
+    answered, fresh = caching.read_through(requests, cache, call or nothing, "old_hash")
+    pairs = answered.select("seq", "classpath", F.explode(caching.parsed(F.col("response"))).alias("label", "value")).where(reconciling.telling(F.col("value")))
+    labels = lines.select("classpath", F.col("labels").alias("__labels"))
+    return pairs.join(labels, "classpath").where(F.array_contains("__labels", F.col("label"))).select("seq", "label", "value"), fresh
+
+
 def extract(rows: DataFrame, templates: DataFrame, allowed: DataFrame, cache: DataFrame, call: Call | None = None, model: str = "m", namespace: str = "extract_fallback") -> tuple[DataFrame, DataFrame]:
     """seq, label, value that the model reads from rows (seq, classpath, manufacturer, text), and the
     rows to append to the cache. Rows without text or template ask nothing; only labels of the template
     and telling values count. In the namespace extract_page the text is a page's; else it is a row's description,
     and an answer given while the manufacturer was not known still holds."""
-    asking = rows.where("text <> ''").join(lookup(prompts.slot_lines(templates, allowed)), "classpath")
-    if namespace == "extract_page":
-        asked = older = prompts.page_prompt(F.col("labels"), F.col("text"))
-    else:
-        asked, older = (prompts.fallback_prompt(F.col("text"), F.col("classpath"), m, F.col("lines")) for m in (F.col("manufacturer"), F.lit(None).cast("string")))
-    requests = requested(asking, namespace, model, asked, older)
-    answered, fresh = caching.read_through(requests.select("seq", "classpath", "namespace", "model", "prompt", "prompt_hash", "old_hash"), cache, call or nothing, "old_hash")
-    pairs = answered.select("seq", F.explode(caching.parsed(F.col("response"))).alias("label", "value"))
-    return reconciling.usable(pairs, rows, templates), fresh
+    lines = lookup(prompts.slot_lines(templates, allowed))
+    return answers(asked(rows, lines, model, namespace), lines, cache, call)
 
 
 def classify_by_answer(rows: DataFrame, ruled: DataFrame, classes: DataFrame, cache: DataFrame, call: Call | None = None, model: str = "m") -> DataFrame:
