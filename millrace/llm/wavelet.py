@@ -55,9 +55,9 @@ def build(ids: np.ndarray, doc_ids: list, counts: list[int]) -> bytes:
         ones = np.bitwise_count(plane.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.int64)
         ranks.append(np.concatenate(([0], np.cumsum(ones))))
         blocks += [pack(b) for b in plane.reshape(-1, BLOCK // 8)]
-        low = a[~one]
+        low = np.compress(~one, a)  # a quarter of the time of a mask as index, where bits follow no order
         zeros.append(len(low))
-        a = np.concatenate((low, a[one]))
+        a = np.concatenate((low, np.compress(one, a)))
     null = [d is None for d in doc_ids]
     directory = pack(np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + np.array(null, "u1").tobytes() + np.array(counts, "<i8").tobytes())
     ends = np.cumsum([0, *map(len, blocks)])
@@ -168,8 +168,8 @@ class WaveletMatrix:
             plane = b"".join(self._bytes(k * self.steps + b) for b in range(self.steps))
             one, z = np.unpackbits(np.frombuffer(plane, np.uint8), count=self.n, bitorder="little").view(bool), int(self.zeros[k])
             out = np.empty_like(a)
-            out[~one] = a[:z]
-            out[one] = a[z:] | a.dtype.type(1 << (self.bits - 1 - k))
+            out[np.flatnonzero(~one)] = a[:z]
+            out[np.flatnonzero(one)] = a[z:] | a.dtype.type(1 << (self.bits - 1 - k))
             a = out
         return a
 
