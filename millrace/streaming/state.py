@@ -12,8 +12,9 @@ LATE, SIZE, END = "10 minutes", "1 hour", "end of feed"
 
 
 def _files(spark: SparkSession, source: str, schema: StructType) -> DataFrame:
-    """One file to a batch, in order of arrival."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    """All files that have come since the last run, as one batch. Files that are written together are in no order of
+    time, so a batch of one of them would move the watermark past the rows of the next."""
+    return spark.readStream.schema(schema).parquet(source)
 
 
 def event_windows(events: DataFrame, late: str = LATE, size: str = SIZE) -> DataFrame:

@@ -80,6 +80,18 @@ def test_counters_go_on_after_a_restart(spark, tmp_path):
     assert told() == {"a": (2, 1, 3), "b": (1, 1, 1)}
 
 
+def test_files_that_come_together_are_one_batch_of_windows(spark, tmp_path):
+    at = str(tmp_path)
+    events = spark.range(600).selectExpr("id as event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, id, 0) as ts", "'a' as event_type", "1d as value")
+    events.repartition(4).write.parquet(f"{at}/in")  # each file spans all the time: the first one made the others late before
+    run = lambda: state.run_windows(spark, f"{at}/in", events.schema, f"{at}/out", f"{at}/cp")
+    run()
+    state.close_windows(events, f"{at}/in")
+    run()
+    got = spark.read.parquet(f"{at}/out").where(F.col("event_type") != state.END)
+    assert sorted((r.start.hour, r.n, r.total) for r in got.collect()) == [(h, 60, 60.0) for h in range(10)]
+
+
 def test_errors_come_as_data_in_one_pass(spark):
     calls = spark.sparkContext.accumulator(0)
 
