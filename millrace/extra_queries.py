@@ -433,9 +433,9 @@ def region_sheets(spark, sf_dir):
 
 
 def _arrivals(spark, at: str, rows, time: str, parts: int = 4):
-    """Writes rows as files that arrive one after another in order of a time column; yields after each."""
+    """Writes rows as files that arrive one after another in order of a time column, first those without a time; yields after each."""
     edges = [r.t for r in rows.select(F.expr(f"explode(approx_percentile(unix_micros({time}), array({', '.join(str((i + 1) / parts) for i in range(parts - 1))})))").alias("t")).collect()]  # parts - 1 rows
-    part = F.aggregate(F.array(*[F.lit(e) for e in edges]), F.lit(0), lambda n, e: n + (F.unix_micros(time) > e).cast("int"))
+    part = F.aggregate(F.array(*[F.lit(e) for e in edges]), F.lit(0), lambda n, e: n + F.coalesce(F.unix_micros(time) > e, F.lit(False)).cast("int"))
     rows = kept(rows.withColumn("__part", part), "arrivals")
     for k in range(parts):
         rows.where(F.col("__part") == k).drop("__part").write.mode("append").parquet(at)

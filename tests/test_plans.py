@@ -2,11 +2,13 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import extra_queries
 from millrace.operators import counts, exporting, extracting, faults, layout, mining, prompts
-from millrace.queries import cleaned
+from millrace.queries import ORACLE, cleaned
 from millrace.sources import feed as sources
 from millrace.sources import pages
 from millrace.streaming import jobs, state
@@ -92,6 +94,15 @@ def test_files_that_come_together_are_one_batch_of_windows(spark, tmp_path):
     assert sorted((r.start.hour, r.n, r.total) for r in got.collect()) == [(h, 60, 60.0) for h in range(10)]
 
 
+def test_counters_read_events_of_many_files(spark, tmp_path):
+    events = spark.range(500).selectExpr("id as event_id", "if(id = 7, null, timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, id, 0)) as ts", "id % 9 as user_id", "if(id % 4 = 0, 'error', 'view') as event_type")
+    events.repartition(4).write.parquet(f"{tmp_path}/events.parquet")  # rows of later files were late before, and rows without a time were lost
+    got = extra_queries.job_counters(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert {tuple(r) for r in got} == set(con.sql(ORACLE["job_counters"]).fetchall())
+
+
 def test_errors_come_as_data_in_one_pass(spark):
     calls = spark.sparkContext.accumulator(0)
 
