@@ -433,49 +433,50 @@ def region_sheets(spark, sf_dir):
 
 
 def _arrivals(spark, at: str, rows, time: str, parts: int = 4):
-    """Writes rows as files that arrive one after another in order of a time column, first those without a time; yields after each."""
+    """Writes rows as files that arrive one after another in order of a time column, first those without a time; yields after
+    each what came, and its last time in microseconds (None: the last arrival)."""
     edges = [r.t for r in rows.select(F.expr(f"explode(approx_percentile(unix_micros({time}), array({', '.join(str((i + 1) / parts) for i in range(parts - 1))})))").alias("t")).collect()]  # parts - 1 rows
     part = F.aggregate(F.array(*[F.lit(e) for e in edges]), F.lit(0), lambda n, e: n + F.coalesce(F.unix_micros(time) > e, F.lit(False)).cast("int"))
-    rows = kept(rows.withColumn("__part", part), "arrivals")
     for k in range(parts):
-        rows.where(F.col("__part") == k).drop("__part").write.mode("append").parquet(at)
-        yield rows.where(F.col("__part") == k).drop("__part")
+        came = rows.where(part == k)
+        came.write.mode("append").parquet(at)
+        yield came, edges[k] if k < len(edges) else None
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
-    """Events that arrive in files: some come twice, some far too late, and the stream stops and goes on in between."""
+    """Events that arrive in files: some come twice, some far too late, and the stream stops and goes on after each arrival."""
     from millrace.streaming import state
 
-    events, at = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), scratch(spark, "events")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    at = scratch(spark, "events")
     run = lambda: state.run_windows(spark, f"{at}/in", events.schema, f"{at}/out", f"{at}/checkpoint")
     first = None
-    for k, part in enumerate(_arrivals(spark, f"{at}/in", events, "ts")):
+    for k, (part, until) in enumerate(_arrivals(spark, f"{at}/in", events, "ts")):
         first = part if first is None else first
-        if k == 1:
-            run()  # ends here, and a later run goes on from the checkpoint
         if k == 2:
             part.write.mode("append").parquet(f"{at}/in")  # again
-    first.withColumn("event_id", -1 - F.col("event_id")).write.mode("append").parquet(f"{at}/in")  # new, but far too late
-    run()
-    state.close_windows(events, f"{at}/in")
-    run()
-    out = spark.read.parquet(f"{at}/out")
-    return out.where(F.col("event_type") != state.END).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+            reached = until
+        if k == 3 and reached is not None:  # new, but far too late
+            late = first.where(F.unix_micros("ts") < reached - 11 * 60 * 10**6)
+            late.withColumn("event_id", -1 - F.col("event_id")).write.mode("append").parquet(f"{at}/in")
+        if k == 3:
+            state.close_windows(events, f"{at}/in")
+        run()  # ends here, and the next run goes on from the checkpoint
+    out = spark.read.schema("start timestamp, event_type string, n long, total double").parquet(f"{at}/out")
+    return out.where(~F.col("event_type").eqNullSafe(state.END)).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT 'job' || (user_id % 7) AS job_id, count(*) AS processed, CAST(count_if(event_type = 'error') AS BIGINT) AS failed, max(ts) AS last_at, CASE WHEN count(*) >= 100 THEN 'DONE' ELSE 'RUNNING' END AS status FROM events GROUP BY 1")
 def job_counters(spark, sf_dir):
-    """Progress of jobs by their finished rows, which arrive in files and partly twice."""
+    """Progress of jobs by their finished rows, which arrive in files and partly twice; the stream goes on after each arrival."""
     from millrace.streaming import state
 
     events, at = spark.read.parquet(f"{sf_dir}/events.parquet"), scratch(spark, "counters")
     rows = events.select(F.concat(F.lit("job"), (F.col("user_id") % 7).cast("string")).alias("job_id"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("failed"), F.col("ts").cast("timestamp").alias("at"))
-    run = lambda: state.run_counters(spark, f"{at}/in", rows.schema, f"{at}/out", f"{at}/checkpoint")
-    for k, part in enumerate(_arrivals(spark, f"{at}/in", rows, "at")):
+    for part, _ in _arrivals(spark, f"{at}/in", rows, "at"):
         part.where("seq % 5 = 0").write.mode("append").parquet(f"{at}/in")  # again
-        if k in (1, 3):
-            run()
+        state.run_counters(spark, f"{at}/in", rows.schema, f"{at}/out", f"{at}/checkpoint")
     out = state.counters(spark, f"{at}/out")
     return out.withColumns({"last_at": F.col("last_at").cast("timestamp_ntz"), "status": F.when(F.col("processed") >= 100, "DONE").otherwise("RUNNING")})
 

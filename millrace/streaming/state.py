@@ -3,12 +3,18 @@ after its watermark counts not at all, and a stream that stops goes on from its
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: How late an event may come, and the type of the event that closes a feed's windows.
 LATE, SIZE, END = "10 minutes", "1 hour", "end of feed"
+#: State lies on the executors' disks behind a cache of a fixed size; by default all ids of a batch lie in memory. Counting its rows
+#: costs a read for each write; a store that is not closed after its batch keeps its memory and files until the executor looks for idle ones.
+ON_DISK = {"providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "rocksdb.boundedMemoryUsage": "true", "rocksdb.trackTotalNumberOfRows": "false", "unloadOnCommit": "true"}
 
 
 def _files(spark: SparkSession, source: str, schema: StructType) -> DataFrame:
@@ -17,6 +23,21 @@ def _files(spark: SparkSession, source: str, schema: StructType) -> DataFrame:
     return spark.readStream.schema(schema).parquet(source)
 
 
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within keep their state on disk; the session's settings are as before afterwards. A stream that began
+    with another store goes on with it."""
+    keys = {f"spark.sql.streaming.stateStore.{k}": v for k, v in ON_DISK.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def event_windows(events: DataFrame, late: str = LATE, size: str = SIZE) -> DataFrame:
     """start, event_type, n, total: counts and sums of a stream of events (event_id, ts, event_type, value) by time window
     and type. State: the ids and the windows that the watermark has not passed."""
@@ -28,7 +49,8 @@ def event_windows(events: DataFrame, late: str = LATE, size: str = SIZE) -> Data
 def run_windows(spark: SparkSession, source: str, schema: StructType, out: str, checkpoint: str) -> None:
     """Reads the files that have come since the last run and appends the windows that are closed by then."""
     windows = event_windows(_files(spark, source, schema))
-    windows.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    with _state_on_disk(spark):
+        windows.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def close_windows(events: DataFrame, source: str) -> None:
@@ -48,7 +70,8 @@ def run_counters(spark: SparkSession, source: str, schema: StructType, out: str,
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
-    counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    with _state_on_disk(spark):
+        counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def counters(spark: SparkSession, out: str) -> DataFrame:

@@ -103,6 +103,32 @@ def test_counters_read_events_of_many_files(spark, tmp_path):
     assert {tuple(r) for r in got} == set(con.sql(ORACLE["job_counters"]).fetchall())
 
 
+def test_events_of_one_moment_are_not_late(spark, tmp_path):
+    events = spark.range(90).selectExpr("id as event_id", "timestamp_ntz'2024-01-01 00:10:00' + make_interval(0, 0, 0, 0, 0, id % 3, 0) as ts", "id as user_id", "if(id % 5 = 0, null, 'view') as event_type", "1d as value")
+    events.repartition(4).write.parquet(f"{tmp_path}/events.parquet")  # what the query sent as late was in time, and events without a type were lost
+    got = extra_queries.event_windows(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert {tuple(r) for r in got} == set(con.sql(ORACLE["event_windows"]).fetchall())
+    assert extra_queries.event_windows(spark, _empty(events, f"{tmp_path}/empty")).count() == 0
+
+
+def _empty(events, at):
+    events.limit(0).write.parquet(f"{at}/events.parquet")
+    return at
+
+
+def test_batches_do_not_grow_with_files(spark, tmp_path):
+    at, key = str(tmp_path), "spark.sql.streaming.stateStore.providerClass"
+    events = spark.range(40).selectExpr("id as event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, id, 0) as ts", "'a' as event_type", "1d as value")
+    events.repartition(8).write.parquet(f"{at}/in")
+    before = spark.conf.get(key)
+    state.run_windows(spark, f"{at}/in", events.schema, f"{at}/out", f"{at}/cp")
+    begun = [p for p in (tmp_path / "cp" / "offsets").iterdir() if not p.name.startswith(".")]
+    assert len(begun) <= 2  # the files and what they close; 8 before
+    assert "RocksDB" in begun[0].read_text() and spark.conf.get(key) == before  # memory before
+
+
 def test_errors_come_as_data_in_one_pass(spark):
     calls = spark.sparkContext.accumulator(0)
 
