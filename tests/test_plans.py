@@ -129,6 +129,18 @@ def test_batches_do_not_grow_with_files(spark, tmp_path):
     assert "RocksDB" in begun[0].read_text() and spark.conf.get(key) == before  # memory before
 
 
+def test_counts_are_written_once_an_arrival(spark, tmp_path):
+    at = str(tmp_path)
+    rows = spark.range(40).selectExpr("'j' as job_id", "id as seq", "false as failed", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, id, 0) as at")
+    rows.repartition(8).write.parquet(f"{at}/in")
+    state.run_counters(spark, f"{at}/in", rows.schema, f"{at}/out", f"{at}/cp")
+    assert len(list((tmp_path / "out").glob("batch=*"))) <= 2  # 8 before
+    offsets = [p for p in (tmp_path / "cp" / "offsets").iterdir() if not p.name.startswith(".")]
+    assert "RocksDB" in offsets[0].read_text()
+    none = spark.range(0).selectExpr("id as event_id", "timestamp_ntz'2024-01-01' as ts", "id as user_id", "'a' as event_type")
+    assert extra_queries.job_counters(spark, _empty(none, f"{at}/empty")).count() == 0
+
+
 def test_errors_come_as_data_in_one_pass(spark):
     calls = spark.sparkContext.accumulator(0)
 
